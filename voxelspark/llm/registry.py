@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat
 from .media import op9_media
 from .mixing import OP10_SQL, op10_mixing
+from .quality import op5_quality
+from .urls import op1_urls
 
 QUERIES = {
+    "op1_urls": op1_urls,
+    "op5_quality": op5_quality,
+    "op7_chat": op7_chat,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
+    "op7_chat": OP7_SQL,
     "op10_mixing": OP10_SQL,
 }
 
