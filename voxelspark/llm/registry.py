@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
+from .licenses import OP8_SQL, op8_licenses
 from .media import op9_media
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op4_packing
 from .quality import op5_quality
 from .urls import op1_urls
 
 QUERIES = {
     "op1_urls": op1_urls,
+    "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
     "op7_chat": OP7_SQL,
+    "op8_licenses": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
 
