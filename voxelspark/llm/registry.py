@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
+from .langid import op2_langid
 from .licenses import OP8_SQL, op8_licenses
 from .media import op9_media
+from .minhash import op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op5_quality
@@ -12,8 +14,10 @@ from .urls import op1_urls
 
 QUERIES = {
     "op1_urls": op1_urls,
+    "op2_langid": op2_langid,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash,
     "op7_chat": op7_chat,
     "op8_licenses": op8_licenses,
     "op9_media": op9_media,
