@@ -10,11 +10,13 @@ from .minhash import op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op5_quality
+from .suffix_dedup import op3_suffix_dedup
 from .urls import op1_urls
 
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_langid": op2_langid,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
