@@ -1,6 +1,6 @@
 """Removal of repeated strings with suffix arrays of shards.
 
-A string of 400 bytes is owned by its least hashed 48-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, and every string of a block holds a fixed core around the anchor. A block whose core is found once holds no repeated string. The other blocks' bytes go to shards by core; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Equal strings have equal anchors and cores, so they meet in one shard.
+A string of 400 bytes is owned by its least hashed 48-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, and every string of a block holds a fixed core around the anchor. A block whose core is found once holds no repeated string; if all blocks of a core are equal, all their strings repeat. The other blocks' bytes go to shards by core, equal ones once; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Equal strings have equal anchors and cores, so they meet in one shard.
 
 A core with more bytes than a shard is dealt to several. Each then hands on digests of its different strings, and those that two shards have repeat as well.
 """
@@ -21,10 +21,11 @@ from .sais import permuted_common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 48
-#: Bytes of a shard, about.
+#: Bytes of a shard, about, and of the texts that are hashed at a time.
 SHARD = 1 << 20
-#: Bytes of a table that is broadcast, at most; larger ones are joined by a shuffle.
-SMALL = 64 << 20
+SLICE = 1 << 19
+#: Rows of a table of keys that is broadcast, at most; larger ones are joined by a shuffle.
+SMALL = 200_000
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -70,7 +71,7 @@ def find_blocks(texts: DataFrame, length: int) -> DataFrame:
     """Blocks of ``texts`` (t1, t2, text): core, t1, t2, first, last."""
 
     def run(batches):
-        for part in slices(batches, size=1 << 20):
+        for part in slices(batches, size=SLICE):
             core, doc, first, last = blocks(*text_buffer(part.column("text")), length)
             ids = [part.column(c).to_numpy()[doc] for c in ("t1", "t2")]
             yield pa.RecordBatch.from_arrays([pa.array(core), *map(pa.array, ids), pa.array(first), pa.array(last)], names=["core", "t1", "t2", "first", "last"])
@@ -79,22 +80,22 @@ def find_blocks(texts: DataFrame, length: int) -> DataFrame:
 
 
 def cut_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found): core, t1, t2, first, digest (d1, d2), bytes."""
+    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found): core, t1, t2, first, digest (d1, d2), size, bytes."""
 
     def run(batches):
-        for part in slices(batches, rows=256, size=1 << 20):
+        for part in slices(batches, rows=256, size=SLICE):
             rows = []
             for t1, t2, text, found in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "text", "found")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for b in found:
                     piece = raw[b["first"] : b["last"] + length]
                     digest = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8")
-                    rows.append((b["core"], t1, t2, b["first"], digest[0], digest[1], piece))
+                    rows.append((b["core"], t1, t2, b["first"], digest[0], digest[1], len(piece), piece))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([(c, pa.int64()) for c in ("core", "t1", "t2", "first", "d1", "d2")] + [("bytes", pa.binary())])
-    return texts.mapInArrow(run, "core long, t1 long, t2 long, first long, d1 long, d2 long, bytes binary")
+    schema = pa.schema([(c, pa.int64()) for c in ("core", "t1", "t2", "first", "d1", "d2", "size")] + [("bytes", pa.binary())])
+    return texts.mapInArrow(run, "core long, t1 long, t2 long, first long, d1 long, d2 long, size long, bytes binary")
 
 
 def shard_repeats(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,30 +156,28 @@ def shard_arrays(dealt: DataFrame, length: int) -> DataFrame:
     return dealt.repartition("core", "salt").sortWithinPartitions("core", "salt", "d1", "d2").mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, places array<long>")
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` to be broadcast if its rows fit; larger ones are left to the planner."""
-    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
-
-
 def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2 and the byte ranges (start, end) of each text that lie in repeated strings, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
+    """t1, t2 and the byte ranges (a, b) of each text that lie in repeated strings, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
     found = stored(find_blocks(texts, length), "blocks")
     shared = found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    listed = found.join(shared, "core", "left_semi").groupBy("t1", "t2", "core", "first").agg(F.max("last").alias("last"))
-    listed = checkpoint(listed.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "first", "last")).alias("found")))
-    cut = stored(cut_blocks(texts.join(small(listed, 1024), ["t1", "t2"]).select("t1", "t2", "text", "found"), length), "pieces")
-
-    pieces = cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
-    sizes = cut.groupBy("core", "d1", "d2").agg(F.max(F.length("bytes")).alias("b")).groupBy("core").agg(F.sum("b").alias("b"))
-    large = checkpoint(sizes.filter(F.col("b") > SHARD).select("core", F.ceil(F.col("b") / SHARD).alias("shards")))
-    dealt = pieces.join(small(large, 16), "core", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    told = checkpoint(shard_arrays(dealt.withColumn("salt", F.pmod("d1", "shards")).select("core", "salt", "shards", "d1", "d2", "copies", "bytes"), length))
+    listed = found.join(shared, "core", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("core", "first", "last")).alias("found"))
+    listed = checkpoint(listed)
+    keys = listed.select("t1", "t2")
+    near = texts.join(F.broadcast(keys), ["t1", "t2"], "left_semi") if listed.count() <= SMALL else texts
+    cut = stored(cut_blocks(near.join(listed, ["t1", "t2"]).select("t1", "t2", "text", "found"), length), "pieces")
+
+    kinds = checkpoint(cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.max("size").alias("size")))
+    cores = checkpoint(kinds.groupBy("core").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("copies").alias("most"), F.max("d1").alias("d1"), F.max("d2").alias("d2")))
+    alike = cores.filter("n = 1 and most > 1").select("core", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("b"))
+    several = cores.filter("n > 1").select("core", F.ceil(F.col("b") / SHARD).alias("shards"))
+    pieces = cut.select("core", "d1", "d2", "bytes").join(several, "core").groupBy("core", "d1", "d2", "shards").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
+    told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), length))
 
     strings = told.filter(F.size("strings") > 0).select("core", "d1", "d2", F.explode(F.arrays_zip("strings", "places")).alias("s")).select("core", "d1", "d2", F.col("s.strings").alias("string"), F.col("s.places").alias("place"))
     twice = strings.groupBy("core", "string").agg(F.count("*").alias("n")).filter("n > 1").select("core", "string")
     across = strings.filter("place >= 0").join(twice, ["core", "string"], "left_semi").select("core", "d1", "d2", F.col("place").alias("a"), (F.col("place") + length).alias("b"))
     ranges = told.select("core", "d1", "d2", F.explode(F.expr("transform(sequence(0, size(ranges) div 2), i -> struct(get(ranges, 2 * i) as a, get(ranges, 2 * i + 1) as b))")).alias("r")).select("core", "d1", "d2", "r.a", "r.b").filter("a is not null")
-    placed = cut.select("core", "t1", "t2", "first", "d1", "d2").distinct().join(ranges.union(across), ["core", "d1", "d2"])
+    placed = cut.select("core", "t1", "t2", "first", "d1", "d2").join(ranges.union(across).union(alike), ["core", "d1", "d2"])
     return placed.select("t1", "t2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
@@ -191,9 +190,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     """
     keyed = docs.withColumns({"_t1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_t2": F.xxhash64(F.lit(5), F.coalesce(F.col(text), F.lit("")))})
     texts = keyed.filter(F.octet_length(text) >= length).select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(text).alias("text"))
-    ranges = repeated_ranges(texts, length).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "a", "b").distinct()
-    ranges = checkpoint(ranges.groupBy("_t1", "_t2").agg(F.sort_array(F.collect_list(F.array("a", "b"))).alias("_ranges")))
-    joined = keyed.join(small(ranges, 512), ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    ranges = repeated_ranges(texts, length).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    ranges = checkpoint(ranges.agg(F.sort_array(F.collect_set(F.array("a", "b"))).alias("_ranges")))
+    if ranges.count() <= SMALL:  # only the texts that lose something are dealt anew
+        keys = F.broadcast(ranges.select("_t1", "_t2"))
+        whole = keyed.join(keys, ["_t1", "_t2"], "left_anti").withColumn("_ranges", F.lit(None).cast("array<array<bigint>>"))
+        joined = keyed.join(keys, ["_t1", "_t2"], "left_semi").join(ranges, ["_t1", "_t2"]).unionByName(whole).drop("_t1", "_t2")
+    else:
+        joined = keyed.join(ranges, ["_t1", "_t2"], "left").drop("_t1", "_t2")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
