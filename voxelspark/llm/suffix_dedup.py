@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, stored, table, text_buffer
+from .common import checkpoint, parts, slices, stored, table, text_buffer
 from .quality import Ranges, mixed
 from .sais import permuted_common_prefixes, suffix_array
 
@@ -124,7 +124,7 @@ def runs_of(places: np.ndarray, length: int) -> list[int]:
     return np.stack([starts, ends], 1).reshape(-1).tolist()
 
 
-def shard_arrays(dealt: DataFrame, length: int) -> DataFrame:
+def shard_arrays(dealt: DataFrame, length: int, tasks: int) -> DataFrame:
     """For each piece of ``dealt`` (core, salt, shards, d1, d2, copies, bytes) its repeated ranges, and for cores of several shards the hashes of strings to compare across them, with their places (-1 for strings known to repeat)."""
 
     def run(batches):
@@ -153,13 +153,13 @@ def shard_arrays(dealt: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     schema = pa.schema([("core", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ranges", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
-    return dealt.repartition("core", "salt").sortWithinPartitions("core", "salt", "d1", "d2").mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, places array<long>")
+    return dealt.repartition(tasks, "core", "salt").sortWithinPartitions("core", "salt", "d1", "d2").mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, places array<long>")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 and the byte ranges (a, b) of each text that lie in repeated strings, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
     found = stored(find_blocks(texts, length), "blocks")
-    shared = found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    shared = checkpoint(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
     listed = found.join(shared, "core", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("core", "first", "last")).alias("found"))
     listed = checkpoint(listed)
     keys = listed.select("t1", "t2")
@@ -169,9 +169,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = checkpoint(cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.max("size").alias("size")))
     cores = checkpoint(kinds.groupBy("core").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("copies").alias("most"), F.max("d1").alias("d1"), F.max("d2").alias("d2")))
     alike = cores.filter("n = 1 and most > 1").select("core", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("b"))
-    several = cores.filter("n > 1").select("core", F.ceil(F.col("b") / SHARD).alias("shards"))
-    pieces = cut.select("core", "d1", "d2", "bytes").join(several, "core").groupBy("core", "d1", "d2", "shards").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
-    told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), length))
+    several = cores.filter("n > 1").select("core", F.ceil(F.col("b") / SHARD).alias("shards"), "b")
+    pieces = cut.select("core", "d1", "d2", "bytes").join(several.drop("b"), "core").groupBy("core", "d1", "d2", "shards").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
+    tasks = -(-(several.agg(F.sum("b")).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
+    told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), length, max(parts(texts.sparkSession), tasks)))
 
     strings = told.filter(F.size("strings") > 0).select("core", "d1", "d2", F.explode(F.arrays_zip("strings", "places")).alias("s")).select("core", "d1", "d2", F.col("s.strings").alias("string"), F.col("s.places").alias("place"))
     twice = strings.groupBy("core", "string").agg(F.count("*").alias("n")).filter("n > 1").select("core", "string")
