@@ -17,7 +17,7 @@ from .common import slices, table, text_buffer
 BUCKETS, DIMENSIONS = 4096, 16
 NGRAMS = (2, 3, 4)
 #: Rows of a language that the classifier is fitted on, at most. Each sends its n-gram counts, at most BUCKETS, to the driver.
-SAMPLE = 1500
+SAMPLE = 1000
 #: Share of the accepted rows that should be right, and the least probability that is accepted.
 TARGET, FLOOR = 0.99, 0.5
 UNKNOWN = "und"
@@ -65,9 +65,11 @@ class Model:
     temperature: float = 1.0
     threshold: float = FLOOR
 
+    def logits(self, counts: np.ndarray) -> np.ndarray:
+        return (scaled(counts) @ self.embeddings) @ self.weights + self.bias
+
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        logits = (scaled(counts) @ self.embeddings) @ self.weights + self.bias
-        return softmax(logits / self.temperature)
+        return softmax(self.logits(counts) / self.temperature)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -79,14 +81,31 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(counts: np.ndarray, labels: list[str], epochs: int = 12, batch: int = 32, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Model:
+class Rows:
+    """Bucket counts of rows, kept sparse; indexing by row numbers gives them as an array."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], buckets: int = BUCKETS):
+        self.rows, self.buckets = rows, buckets
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, which) -> np.ndarray:
+        out = np.zeros((len(which), self.buckets), np.float32)
+        for k, i in enumerate(which):
+            index, counts = self.rows[i]
+            out[k, np.frombuffer(index, "<u2")] = np.frombuffer(counts, "<f4")
+        return out
+
+
+def train(counts: Rows, labels: list[str], epochs: int = 12, batch: int = 32, rate: float = 0.5, decay: float = 1e-5, seed: int = 7) -> Model:
     """Fits embeddings, weights and bias on four fifths of the rows, temperature and threshold on the rest."""
     languages = sorted(set(labels))
     y = np.searchsorted(languages, labels)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
-    model = Model(languages, rng.normal(0, 0.1, (counts.shape[1], DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
+    model = Model(languages, rng.normal(0, 0.1, (counts.buckets, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
     steps, done = max(1, epochs * -(-len(fit) // batch)), 0
     for _ in range(epochs):
         rng.shuffle(fit)
@@ -103,19 +122,16 @@ def train(counts: np.ndarray, labels: list[str], epochs: int = 12, batch: int =
             model.embeddings -= back + decay * model.embeddings
             done += 1
     if len(held):
-        calibrate(model, counts[held], y[held])
+        logits = np.concatenate([model.logits(counts[held[i : i + batch]]) for i in range(0, len(held), batch)])
+        calibrate(model, logits, y[held])
     return model
 
 
-def calibrate(model: Model, counts: np.ndarray, y: np.ndarray, target: float = TARGET, floor: float = FLOOR) -> None:
+def calibrate(model: Model, logits: np.ndarray, y: np.ndarray, target: float = TARGET, floor: float = FLOOR) -> None:
     """The temperature of least log loss, and the least threshold from ``floor`` on above which a share of ``target`` is right."""
-
-    def loss(t: float) -> float:
-        model.temperature = t
-        return -np.log(np.maximum(model.probabilities(counts)[np.arange(len(y)), y], 1e-12)).mean()
-
-    model.temperature = min(np.exp(np.linspace(-1.5, 2.5, 41)), key=loss)
-    p = model.probabilities(counts)
+    loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
+    model.temperature = float(min(np.exp(np.linspace(-1.5, 2.5, 41)), key=loss))
+    p = softmax(logits / model.temperature)
     score, right = p.max(1), p.argmax(1) == y
     model.threshold = floor
     for t in [floor, *np.sort(score[score > floor])]:
@@ -144,10 +160,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     rows = drawn.mapInArrow(run, "lang string, draw long, i binary, c binary").orderBy("draw", "lang", "i", "c").limit(sample * len(sizes)).collect()
     if not rows:
         return None
-    counts = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        counts[k, np.frombuffer(r["i"], "<u2")] = np.frombuffer(r["c"], "<f4")
-    return train(counts, [r["lang"] for r in rows])
+    return train(Rows([(bytes(r["i"]), bytes(r["c"])) for r in rows]), [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

@@ -35,8 +35,8 @@ def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: int = CAP
     return out
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, slopes=SLOPES, cap: int = CAP) -> DataFrame:
-    """All rows of ``docs`` with _size, _source_size, _target, _copies and _position, range-sorted by position.
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, slopes=SLOPES, cap: int = CAP, ordered: bool = True) -> DataFrame:
+    """All rows of ``docs`` with _size, _source_size, _target, _copies and _position, range-sorted by position if ``ordered``.
 
     _copies, from 0 to ``cap``, is how often the mix takes the document; _position is the training time of its first copy (past 1 if the mix takes none). Copies k = 0, 1, ... are taken while the middle of the document's interval, k passes on, lies below the target, so a source misses its target by half a document at most, if its last one is not longer than the target.
 
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     taken = sum((F.when(F.col("_start") + k * F.col("_source_size") + F.col("_size") / 2 < F.col("_target"), 1).otherwise(0) for k in range(cap)), F.lit(0))
     placed = placed.withColumns({"_copies": taken, "_position": position(F.col("_start"))})
     placed = placed.drop("_key", "_bucket", "_buckets", "_hash", "_base", "_within")
-    return placed.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position", doc_id)
+    return placed.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position", doc_id) if ordered else placed
 
 
 def position(start):
@@ -78,7 +78,7 @@ def position(start):
 def take(docs: DataFrame, **options) -> DataFrame:
     """The training order itself: each document as often as the mix takes it, with the columns of ``docs``, range-sorted by the positions of the copies."""
     columns = docs.columns
-    mixed = mix(docs, **options)
+    mixed = mix(docs, **options, ordered=False)
     copies = mixed.withColumn("_k", F.explode(F.expr("filter(sequence(0, _copies), k -> k < _copies)")))
     copies = copies.withColumn("_position", position(F.col("_start") + F.col("_k") * F.col("_source_size")))
     return copies.repartitionByRange(F.col("_position"), F.col(options.get("doc_id", "doc_id"))).sortWithinPartitions("_position").select(*columns)
