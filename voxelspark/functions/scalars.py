@@ -16,6 +16,11 @@ def _band(a: Column, b: int) -> Column:
     return a.bitwiseAND(F.lit(b).cast("long"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spread(v: Column) -> Column:
     v = _band(v.cast("long"), 1023)
     for shift, mask in SPREAD:

@@ -128,10 +128,9 @@ def transfer_function(labels: DataFrame) -> DataFrame:
 def colored(voxels: DataFrame, colors: DataFrame, hidden: DataFrame | None = None, lit: int | None = None) -> DataFrame:
     """rgba of each voxel: its label's colour, else its hash; hidden labels are 0, the highlighted one brighter."""
     out = voxels.join(F.broadcast(colors.select("label", "rgba")), "label", "left")
-    rgba = F.coalesce("rgba", S.label_color(F.col("label")))
+    out = out.withColumn("rgba", F.coalesce("rgba", S.label_color(F.col("label"))))
     if lit is not None:
-        rgba = F.when(F.col("label") == lit, S.highlight(rgba)).otherwise(rgba)
-    out = out.withColumn("rgba", rgba)
+        out = out.withColumn("rgba", F.when(F.col("label") == lit, S.highlight(F.col("rgba"))).otherwise(F.col("rgba")))
     if hidden is not None:
         out = out.join(F.broadcast(hidden.select("label", F.lit(True).alias("_hidden")).distinct()), "label", "left").withColumn("rgba", F.when(F.col("_hidden"), 0).otherwise(F.col("rgba"))).drop("_hidden")
     return out

@@ -1,9 +1,469 @@
-"""The engine's own queries and their DuckDB oracles."""
+"""The engine's own queries over volumes that the test tables give, and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import cache, codec, rays, view
+from ..operators import volume as V
+
+WIDTH, HEIGHT = 32, 24
+CAPACITY = 4096
+
+
+def seg_bricks(spark, d):
+    return V.to_bricks(V.segmentation(spark, d), V.SEG_BRICK)
+
+
+def seg_nodes(spark, d):
+    return V.pyramid(seg_bricks(spark, d), V.SEG_BRICK)
+
+
+def seg_palettes(spark, d):
+    return V.positions(V.palettes(seg_bricks(spark, d)), V.SEG_BRICK)
+
+
+def cameras(spark, d):
+    """Twelve cameras around the volume, from the first events."""
+    e = V.read(spark, d, "events").filter("event_id < 12").select(F.col("event_id").alias("frame"))
+    at = [(F.col("frame") * a % 64 - b).cast("double") for a, b in ((7, 20), (11, 10), (13, 30))]
+    e = e.select("frame", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
+    to = [16.0 - F.col(c) for c in ("px", "py", "pz")]
+    return e.select("frame", "px", "py", "pz", *(c.alias(n) for c, n in zip(S.normalized(*to), ("dx", "dy", "dz"), strict=True)))
+
+
+def hidden(spark, d):
+    return V.read(spark, d, "nation").filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 1).cast("long").alias("label"))
+
+
+def seen(spark, d):
+    return view.seen_from(seg_palettes(spark, d), cameras(spark, d), V.SEG_BRICK)
+
+
+def lods(spark, d):
+    return seen(spark, d).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+
+
+def wanted(spark, d):
+    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+
+
+def before(df):
+    """What the frame before wanted, as the residents of a frame."""
+    return df.withColumn("frame", F.col("frame") + 1)
+
+
+def frames(spark, d):
+    hide = hidden(spark, d).agg(F.collect_list("label").alias("hidden"))
+    s = seen(spark, d).crossJoin(F.broadcast(hide)).withColumn("visible", view.in_frustum(V.SEG_BRICK) & view.palette_visible(F.col("hidden")))
+    return s.select(F.lit(1).cast("long").alias("session"), "frame", "px", "py", "pz", "dx", "dy", "dz", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "visible")
+
+
+def colors(spark, d):
+    return V.transfer_function(V.segmentation(spark, d))
+
+
+def one_camera(spark, d):
+    return cameras(spark, d).filter("frame = 3")
+
+
+def label_top10(spark: SparkSession, d: str) -> DataFrame:
+    return V.label_top(V.segmentation(spark, d)).withColumn("pct", F.round("pct", 6))
+
+
+def label_stats(spark, d):
+    return V.volume_stats(V.segmentation(spark, d))
+
+
+def distinct_labels(spark, d):
+    return V.segmentation(spark, d).select("label").distinct()
+
+
+def zero_fraction(spark, d):
+    return V.segmentation(spark, d).agg(F.round(F.avg(F.when(F.col("label") == 0, 1.0).otherwise(0.0)), 6).alias("zeros"))
+
+
+def morton_roundtrip(spark, d):
+    v = V.points(spark, d).withColumn("code", S.morton(F.col("x"), F.col("y"), F.col("z")))
+    x, y, z = S.demorton(F.col("code"))
+    return v.select("code", x.alias("x"), y.alias("y"), z.alias("z"), S.parent(F.col("code")).alias("above"))
+
+
+def child_codes(spark, d):
+    return spark.range(64).select(F.col("id").alias("code"), F.explode(S.children(F.col("id"))).alias("child"))
+
+
+def brick_split(spark, d):
+    return V.to_bricks(V.points(spark, d), V.PTS_BRICK)
+
+
+def brick_padding(spark, d):
+    b = V.padded(brick_split(spark, d), V.PTS_BRICK)
+    return b.groupBy("brick_id").agg(F.count("*").alias("voxels"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("empty"), F.sum(F.col("label") * (F.col("m") + 1)).alias("checksum"))
+
+
+def pyramid_nodes(spark, d):
+    return seg_nodes(spark, d)
+
+
+def pyramid_points(spark, d):
+    n = V.pyramid(V.padded(brick_split(spark, d), V.PTS_BRICK), V.PTS_BRICK)
+    return n.groupBy("brick_id", "lod").agg(F.sum(F.col("label") * (F.col("m") + 1)).alias("checksum"), F.sum(F.when(F.col("is_const"), 1).otherwise(0)).alias("const"))
+
+
+def const_nodes_by_level(spark, d):
+    return seg_nodes(spark, d).groupBy("lod").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("is_const"), 1).otherwise(0)).alias("const"))
+
+
+def visited_nodes(spark, d):
+    return V.in_stream_order(V.predicted(seg_nodes(spark, d))).select("brick_id", "lod", "m", "seq")
+
+
+def op_predictors(spark, d):
+    return V.predicted(seg_nodes(spark, d))
+
+
+def op_rollup_sign(spark, d):
+    return V.predicted(seg_nodes(spark, d)).rollup("op", "sign").agg(F.count("*").alias("n"))
+
+
+def brick_flags(spark, d):
+    return V.palettes(seg_bricks(spark, d)).select("brick_id", "label_min", "label_max", "n_labels", "is_empty")
+
+
+def grid_dims(spark, d):
+    return seg_palettes(spark, d).agg(*((F.max(f"b{c}") / V.SEG_BRICK + 1).cast("long").alias(f"n{c}") for c in "xyz"))
+
+
+def bounds(spark, d):
+    p = seg_palettes(spark, d)
+    agg = [F.min(f"b{c}").alias(f"low_{c}") for c in "xyz"] + [(F.max(f"b{c}") + V.SEG_BRICK).alias(f"high_{c}") for c in "xyz"]
+    return p.agg(*agg)
+
+
+def transfer_function(spark, d):
+    return colors(spark, d)
+
+
+def label_hash_color(spark, d):
+    v = V.read(spark, d, "orders").select((F.col("o_orderkey") * 2654435761 + F.col("o_custkey")).alias("label"))
+    return v.select("label", S.label_color(F.col("label")).alias("rgba")).distinct()
+
+
+def hidden_labels_anti(spark, d):
+    return V.segmentation(spark, d).join(hidden(spark, d), "label", "left_anti")
+
+
+def highlight_color(spark, d):
+    v = V.segmentation(spark, d).select("label").distinct()
+    return V.colored(v, colors(spark, d), hidden(spark, d), lit=2).filter("label <> 0")
+
+
+def palette_visible_bricks(spark, d):
+    hide = hidden(spark, d).agg(F.collect_list("label").alias("hidden"))
+    return V.palettes(seg_bricks(spark, d)).crossJoin(F.broadcast(hide)).filter(view.palette_visible(F.col("hidden"))).select("brick_id")
+
+
+def frustum_bricks(spark, d):
+    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
+
+
+def brick_lod(spark, d):
+    return lods(spark, d)
+
+
+def lod_histogram(spark, d):
+    return view.lod_histogram(lods(spark, d)).withColumn("pct", F.round("pct", 6))
+
+
+def offset_prefix_sum(spark, d):
+    return view.with_offsets(lods(spark, d))
+
+
+def work_queue(spark, d):
+    w = wanted(spark, d)
+    return view.work_queue(w, before(w))
+
+
+def evicted_bricks(spark, d):
+    w = wanted(spark, d)
+    return view.evicted(before(w), w)
+
+
+def requested_bricks(spark, d):
+    w = wanted(spark, d)
+    return view.requested(w, before(w))
+
+
+def residency_left_join(spark, d):
+    first = view.with_offsets(wanted(spark, d)).filter("frame = 3").select("brick_id", "lod", "offset")
+    return view.residency(seg_palettes(spark, d).select("brick_id"), first)
+
+
+def cache_replay(spark, d):
+    return cache.replay(frames(spark, d), CAPACITY)
+
+
+def rolling60(spark, d):
+    e = V.read(spark, d, "events").select(F.lit(1).alias("session"), F.col("event_id").alias("frame"), (F.col("event_id") * 7 % 31).cast("double").alias("ms"))
+    w = W.partitionBy("session").orderBy("frame").rowsBetween(-59, 0)
+    return e.select("frame", F.sum("ms").over(w).alias("sum_ms"), F.count("*").over(w).alias("samples")).filter("frame % 10 = 0")
+
+
+def ray_generate(spark, d):
+    r = rays.rays(spark, one_camera(spark, d), WIDTH, HEIGHT)
+    return r.select("px", "py", *(F.round(c, 6).alias(c) for c in ("rx", "ry", "rz")))
+
+
+def ray_slab_hits(spark, d):
+    r = rays.slab(rays.rays(spark, one_camera(spark, d), WIDTH, HEIGHT), (0.0,) * 3, (32.0,) * 3)
+    return r.filter("hit").select("px", "py", F.round("t_in", 5).alias("t_in"), F.round("t_out", 5).alias("t_out"))
+
+
+def ray_bricks(spark, d):
+    return rays.bricks_hit(spark, one_camera(spark, d), V.SEG, V.SEG_BRICK, WIDTH, HEIGHT)
+
+
+def ray_render(spark, d):
+    return rays.render(spark, V.segmentation(spark, d), colors(spark, d), one_camera(spark, d), V.SEG, WIDTH, HEIGHT)
+
+
+def samples(spark, d):
+    i = V.read(spark, d, "lineitem")
+    part = lambda c, n: (F.col(c) % n).cast("double") / n
+    return i.select((F.col("l_orderkey") % 500).alias("px"), (F.col("l_orderkey") % 7).alias("py"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), part("l_partkey", 11).alias("r"), part("l_partkey", 13).alias("g"), part("l_partkey", 17).alias("b"), part("l_suppkey", 9).alias("alpha")).groupBy("px", "py", "seq").agg(*(F.max(c).alias(c) for c in ("r", "g", "b", "alpha")))
+
+
+def composite_window(spark, d):
+    return rays.composite(samples(spark, d)).select("px", "py", *(F.round(c, 6).alias(c) for c in ("r", "g", "b", "a")))
+
+
+def first_hits(spark, d):
+    return rays.first_hits(samples(spark, d)).select("px", "py", F.col("first.seq").alias("seq"), F.col("first.alpha").alias("alpha"))
+
+
+def gradient(spark, d):
+    a = V.segmentation(spark, d).withColumn("alpha", (F.col("label") % 8) / 8.0).drop("label")
+    return rays.gradients(a).select("x", "y", "z", "gx", "gy", "gz").filter("gx <> 0 or gy <> 0 or gz <> 0")
+
+
+def shading(spark, d):
+    g = gradient(spark, d)
+    return g.select("x", "y", "z", F.round(rays.shade([F.col(c) for c in ("gx", "gy", "gz")], S.light_direction(25)), 6).alias("light"))
+
+
+def shadow_rays(spark, d):
+    a = V.segmentation(spark, d).withColumn("alpha", (F.col("label") % 8) / 8.0).drop("label")
+    points = a.filter("alpha > 0.4 and x % 8 = 0 and y % 8 = 0 and z % 8 = 0").select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")).alias("id"), "x", "y", "z")
+    return rays.shadows(points, a, S.light_direction(25)).withColumn("shadow", F.round("shadow", 6))
+
+
+def encoded(spark, d):
+    return codec.encode(seg_bricks(spark, d), V.SEG_BRICK)
+
+
+def palette_ops(spark, d):
+    return encoded(spark, d).select("brick_id", F.size("palette").cast("long").alias("palette_size"), F.col("n_symbols").cast("long").alias("n_symbols"), F.length("packed").cast("long").alias("bytes"))
+
+
+def freq_table_normalise(spark, d):
+    freq = codec.rans_model(encoded(spark, d))
+    return spark.createDataFrame([(i, f, sum(freq[:i])) for i, f in enumerate(freq)], "symbol int, freq int, cum int")
+
+
+def rans_bytes(spark, d):
+    e = encoded(spark, d)
+    return codec.compress(e, codec.rans_model(e)).select("brick_id", F.length("encoded").cast("long").alias("bytes"), F.crc32("encoded").alias("crc"))
+
+
+def codec_roundtrip(spark, d):
+    e = encoded(spark, d)
+    freq = codec.rans_model(e)
+    back = codec.decode(codec.decompress(codec.compress(e, freq), freq), V.SEG_BRICK)
+    p = V.positions(back, V.SEG_BRICK)
+    x, y, z = S.demorton(F.col("m"))
+    return p.select((F.col("bx") + x).alias("x"), (F.col("by") + y).alias("y"), (F.col("bz") + z).alias("z"), "label")
+
+
+def decode_lod2(spark, d):
+    return codec.decode(encoded(spark, d), V.SEG_BRICK, 2)
+
+
+def decode_lod0(spark, d):
+    return codec.decode(encoded(spark, d), V.SEG_BRICK, 0).select("brick_id", "label")
+
+
+def points_roundtrip(spark, d):
+    back = codec.decode(codec.encode(brick_split(spark, d), V.PTS_BRICK), V.PTS_BRICK)
+    return back.filter("label <> 0")
+
+
+def validate_match_rate(spark, d):
+    b = seg_bricks(spark, d)
+    return V.compare(b, codec.decode(codec.encode(b, V.SEG_BRICK), V.SEG_BRICK), ["brick_id", "m"])
+
+
+def morton_sql(x: str, y: str, z: str) -> str:
+    bit = lambda v: "(" + " | ".join(f"((CAST({v} AS BIGINT) >> {i} & 1) << {3 * i})" for i in range(7)) + ")"
+    return f"({bit(x)} | ({bit(y)} << 1) | ({bit(z)} << 2))"
+
+
+def axis_sql(code: str, axis: int, bits: int = 7) -> str:
+    return "(" + " | ".join(f"((({code}) >> {3 * i + axis} & 1) << {i})" for i in range(bits)) + ")"
+
+
+SEG_CTE = """seeds AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier WHERE s_suppkey < 24),
+grid AS (SELECT i % 32 AS x, i // 32 % 32 AS y, i // 1024 AS z FROM range(32768) t(i)),
+near AS (SELECT x, y, z, min(((x-(7*k+3)%32)*(x-(7*k+3)%32)+(y-(11*k+5)%32)*(y-(11*k+5)%32)+(z-(13*k+1)%32)*(z-(13*k+1)%32))*32+k) AS d FROM grid, seeds GROUP BY ALL),
+vox AS (SELECT x, y, z, CAST(CASE WHEN d < 101*32 THEN d % 32 + 1 ELSE 0 END AS BIGINT) AS label FROM near)"""
+PTS_CTE = "vox AS (SELECT l_orderkey % 64 AS x, l_partkey % 64 AS y, l_suppkey % 64 AS z, CAST(min(l_linenumber) AS BIGINT) AS label FROM lineitem GROUP BY ALL)"
+
+
+def bricks_cte(k: int) -> str:
+    return f"bricks AS (SELECT {morton_sql(f'x>>{k}', f'y>>{k}', f'z>>{k}')} AS brick_id, {morton_sql(f'x&{2**k-1}', f'y&{2**k-1}', f'z&{2**k-1}')} AS m, label FROM vox)"
+
+
+def nodes_cte(levels: int, source: str = "bricks") -> str:
+    out = [f"n{levels} AS (SELECT brick_id, CAST({levels} AS INTEGER) AS lod, m, label, TRUE AS is_const FROM {source})"]
+    for k in range(levels - 1, -1, -1):
+        out.append(f"""v{k} AS (SELECT brick_id, m >> 3 AS m, label, count(*) AS c, bool_and(is_const) AS f FROM n{k + 1} GROUP BY 1, 2, 3),
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY brick_id, m ORDER BY c DESC, label) AS r, count(*) OVER (PARTITION BY brick_id, m) AS kinds, bool_and(f) OVER (PARTITION BY brick_id, m) AS ok FROM v{k}),
+n{k} AS (SELECT brick_id, CAST({k} AS INTEGER) AS lod, m, label, (kinds = 1 AND ok) AS is_const FROM r{k} WHERE r = 1)""")
+    out.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(levels + 1)) + ")")
+    return ",\n".join(out)
+
+
+PAD_CTE = "padded AS (SELECT f.brick_id, f.m, coalesce(b.label, 0) AS label FROM (SELECT brick_id, m FROM (SELECT DISTINCT brick_id FROM bricks), range(4096) t(m)) f LEFT JOIN bricks b USING (brick_id, m))"
+NODES = f"WITH {SEG_CTE},\n{bricks_cte(3)},\n{nodes_cte(3)}"
+
+
+def _neighbour(i: int) -> str:
+    at = [axis_sql("h.m", j, 3) for j in range(3)]
+    moved = [f"({a} + CASE WHEN (h.m >> {i}) & 1 = 0 THEN -1 ELSE 1 END)" if j == i else a for j, a in enumerate(at)]
+    inside = f"({moved[i]} BETWEEN 0 AND (1 << h.lod) - 1)"
+    code = morton_sql(*moved)
+    return f"LEFT JOIN nodes n{i} ON n{i}.brick_id = h.brick_id AND n{i}.lod = h.lod - ((h.m >> {i}) & 1) AND {inside} AND n{i}.m = (CASE WHEN (h.m >> {i}) & 1 = 0 THEN {code} ELSE {code} >> 3 END)"
+
+
+OPS = f"""{NODES},
+ops AS (SELECT h.brick_id, h.lod, h.m, h.is_const AS stop,
+  CASE WHEN p.label = h.label THEN 'parent' WHEN n0.label = h.label THEN 'x' WHEN n1.label = h.label THEN 'y' WHEN n2.label = h.label THEN 'z' ELSE 'palette' END AS op,
+  CAST(CASE WHEN p.label = h.label THEN 0 WHEN n0.label = h.label THEN ((h.m & 1) * 2 - 1) WHEN n1.label = h.label THEN ((h.m >> 1 & 1) * 2 - 1) WHEN n2.label = h.label THEN ((h.m >> 2 & 1) * 2 - 1) ELSE 0 END AS INTEGER) AS sign
+  FROM nodes h JOIN nodes p ON p.brick_id = h.brick_id AND p.lod = h.lod - 1 AND p.m = h.m >> 3 AND NOT p.is_const {_neighbour(0)} {_neighbour(1)} {_neighbour(2)})"""
+PALETTES = f"{NODES},\npal AS (SELECT brick_id, min(label) AS label_min, max(label) AS label_max, count(DISTINCT label) AS n_labels, bool_and(label = 0) AS is_empty, {axis_sql('brick_id', 0)} * 8 AS bx, {axis_sql('brick_id', 1)} * 8 AS by_, {axis_sql('brick_id', 2)} * 8 AS bz FROM bricks GROUP BY brick_id)"
+CAMERAS = """cam0 AS (SELECT event_id AS frame, CAST(event_id * 7 % 64 - 20 AS DOUBLE) AS px, CAST(event_id * 11 % 64 - 10 AS DOUBLE) AS py, CAST(event_id * 13 % 64 - 30 AS DOUBLE) AS pz FROM events WHERE event_id < 12),
+cam AS (SELECT *, (16.0 - px) / n AS dx, (16.0 - py) / n AS dy, (16.0 - pz) / n AS dz FROM (SELECT *, sqrt((16.0-px)*(16.0-px)+(16.0-py)*(16.0-py)+(16.0-pz)*(16.0-pz)) AS n FROM cam0))"""
+_f = 256 / 2 / math.tan(math.pi / 6)
+_r = math.sqrt(3) * 4
+SEEN = f"""{PALETTES},
+{CAMERAS},
+seen AS (SELECT *, (bx+4.0-px)*dx + (by_+4.0-py)*dy + (bz+4.0-pz)*dz AS along, sqrt((bx+4.0-px)*(bx+4.0-px)+(by_+4.0-py)*(by_+4.0-py)+(bz+4.0-pz)*(bz+4.0-pz)) AS distance FROM pal, cam),
+lods AS (SELECT frame, brick_id, along, distance, CAST({" + ".join(f"(CASE WHEN {_f!r}::DOUBLE * {8 / 2**k!r} / greatest(distance, 0.1) >= 1 THEN 1 ELSE 0 END)" for k in (1, 2, 3))} AS INTEGER) AS lod,
+  CASE WHEN distance = 0 THEN TRUE ELSE along / distance >= {math.cos(math.pi / 6)!r}::DOUBLE - {_r!r}::DOUBLE / sqrt({_r * _r!r}::DOUBLE + distance * distance) END AS inside FROM seen),
+wanted AS (SELECT frame, brick_id, lod FROM lods WHERE inside),
+resident AS (SELECT frame + 1 AS frame, brick_id, lod FROM wanted)"""
+HIDDEN = "hidden AS (SELECT CAST(n_nationkey + 1 AS BIGINT) AS label FROM nation WHERE n_nationkey % 5 = 0)"
+
+
+def _hsl() -> str:
+    c = "(1 - abs(2 * l - 1)) * s"
+    x = f"({c}) * (1 - abs(h / 60 - 2 * floor(h / 60 / 2) - 1))"
+    pick = lambda names: "CASE " + " ".join(f"WHEN h < {60 * (k + 1)} THEN {n}" for k, n in enumerate(names[:5])) + f" ELSE {names[5]} END"
+    o = "0.0::DOUBLE"
+    channel = lambda names: f"least(floor(floor(({pick(names)} + (l - ({c}) / 2)) * 255 + 0.5) * 0.92), 255)"
+    return f"CAST({channel([c, x, o, o, x, c])} AS BIGINT) + 256 * CAST({channel([x, c, c, x, o, o])} AS BIGINT) + 65536 * CAST({channel([o, o, x, c, c, x])} AS BIGINT)"
+
+
+COLORS = f"""{NODES},
+ranked AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT label FROM vox WHERE label <> 0)),
+hsl AS (SELECT label, idx, idx * 137.5::DOUBLE - 360 * floor(idx * 137.5::DOUBLE / 360) AS h, 0.55::DOUBLE + (idx % 3) * 0.08::DOUBLE AS s, 0.35::DOUBLE + (idx % 4) * 0.05::DOUBLE AS l FROM ranked),
+colors AS (SELECT label, idx, {_hsl()} + 16777216 * CAST(floor((0.25::DOUBLE + (idx % 5) * 0.08::DOUBLE) * 255) AS BIGINT) AS rgba FROM hsl)"""
+
+
+def times_sql(v: str, k: int) -> str:
+    return f"((((({v}) * {k >> 16}) & 65535) << 16) + ({v}) * {k & 0xFFFF}) & 4294967295"
+
+
+RAYS = f"""WITH {CAMERAS},
+b AS (SELECT *, CASE WHEN abs(dy) > 0.999 THEN 1.0 ELSE 0.0 END AS ux, CASE WHEN abs(dy) > 0.999 THEN 0.0 ELSE 1.0 END AS uy FROM cam WHERE frame = 3),
+b1 AS (SELECT *, -dz * uy AS sx, dz * ux AS sy, dx * uy - dy * ux AS sz FROM b),
+b2 AS (SELECT *, sx / n1 AS r0, sy / n1 AS r1, sz / n1 AS r2 FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS n1 FROM b1)),
+b3 AS (SELECT *, r1*dz - r2*dy AS u0, r2*dx - r0*dz AS u1, r0*dy - r1*dx AS u2 FROM b2),
+px AS (SELECT i % {WIDTH} AS qx, i // {WIDTH} AS qy FROM range({WIDTH * HEIGHT}) t(i)),
+nd AS (SELECT *, ((qx + 0.5) / {WIDTH}.0 * 2 - 1) * {WIDTH / HEIGHT * math.tan(math.pi / 6)!r}::DOUBLE AS nx, (1 - (qy + 0.5) / {HEIGHT}.0 * 2) * {math.tan(math.pi / 6)!r}::DOUBLE AS ny FROM px, b3),
+d AS (SELECT *, dx + r0*nx + u0*ny AS ex, dy + r1*nx + u1*ny AS ey, dz + r2*nx + u2*ny AS ez FROM nd),
+rays AS (SELECT qx, qy, px AS ox, py AS oy, pz AS oz, ex/n2 AS rx, ey/n2 AS ry, ez/n2 AS rz FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS n2 FROM d))"""
+_inv = lambda c: f"((CASE WHEN {c} < 0 THEN -1.0 WHEN {c} > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE / greatest(abs({c}), 1e-6))"
+_t = lambda f: ", ".join(f"{f}((0.0 - {o}) * {_inv(r)}, (32.0 - {o}) * {_inv(r)})" for o, r in (("ox", "rx"), ("oy", "ry"), ("oz", "rz")))
+SAMPLES = "s AS (SELECT l_orderkey % 500 AS px, l_orderkey % 7 AS py, l_orderkey * 10 + l_linenumber AS seq, max((l_partkey % 11)::DOUBLE / 11) AS r, max((l_partkey % 13)::DOUBLE / 13) AS g, max((l_partkey % 17)::DOUBLE / 17) AS b, max((l_suppkey % 9)::DOUBLE / 9) AS alpha FROM lineitem GROUP BY 1, 2, 3)"
+GRADIENT = f"""WITH {SEG_CTE}, al AS (SELECT x, y, z, (label % 8) / 8.0::DOUBLE AS a FROM vox),
+g AS (SELECT c.x, c.y, c.z, (coalesce(xp.a, 0) - coalesce(xm.a, 0)) / 2 AS gx, (coalesce(yp.a, 0) - coalesce(ym.a, 0)) / 2 AS gy, (coalesce(zp.a, 0) - coalesce(zm.a, 0)) / 2 AS gz FROM al c
+{" ".join(f"LEFT JOIN al {k}{n} ON {' AND '.join(f'{k}{n}.{j} = c.{j}' + (f' {s} 1' if j == k else '') for j in 'xyz')}" for k in "xyz" for n, s in (("p", "+"), ("m", "-")))}),
+grad AS (SELECT * FROM g WHERE gx <> 0 OR gy <> 0 OR gz <> 0)"""
+_l = S.light_direction(25)
+_ln = math.sqrt(sum(c * c for c in _l))
+
+ORACLES = {
+    "label_top10": f"WITH {SEG_CTE} SELECT label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM (SELECT label, count(*) AS n FROM vox GROUP BY label) ORDER BY n DESC, label LIMIT 10",
+    "label_stats": f"WITH {SEG_CTE} SELECT count(*) AS voxels, count(DISTINCT label) AS labels, min(label) AS least, max(label) AS most, CAST(count(*) FILTER (label = 0) AS BIGINT) AS zeros, max(x) + 1 AS size_x, max(y) + 1 AS size_y, max(z) + 1 AS size_z FROM vox",
+    "distinct_labels": f"WITH {SEG_CTE} SELECT DISTINCT label FROM vox",
+    "zero_fraction": f"WITH {SEG_CTE} SELECT round(avg(CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zeros FROM vox",
+    "morton_roundtrip": f"WITH {PTS_CTE}, c AS (SELECT {morton_sql('x', 'y', 'z')} AS code, * FROM vox) SELECT code, x, y, z, code >> 3 AS above FROM c",
+    "child_codes": "SELECT i AS code, i * 8 + c AS child FROM range(64) t(i), range(8) u(c)",
+    "brick_split": f"WITH {PTS_CTE}, {bricks_cte(4)} SELECT * FROM bricks",
+    "brick_padding": f"WITH {PTS_CTE}, {bricks_cte(4)}, {PAD_CTE} SELECT brick_id, count(*) AS voxels, count(*) FILTER (label = 0) AS empty, CAST(sum(label * (m + 1)) AS BIGINT) AS checksum FROM padded GROUP BY 1",
+    "pyramid_nodes": f"{NODES} SELECT * FROM nodes",
+    "pyramid_points": f"WITH {PTS_CTE}, {bricks_cte(4)}, {PAD_CTE}, {nodes_cte(4, 'padded')} SELECT brick_id, lod, CAST(sum(label * (m + 1)) AS BIGINT) AS checksum, count(*) FILTER (is_const) AS const FROM nodes GROUP BY 1, 2",
+    "const_nodes_by_level": f"{NODES} SELECT lod, count(*) AS nodes, count(*) FILTER (is_const) AS const FROM nodes GROUP BY 1",
+    "visited_nodes": f"{OPS} SELECT brick_id, lod, m, row_number() OVER (PARTITION BY brick_id ORDER BY lod, m) AS seq FROM ops",
+    "op_predictors": f"{OPS} SELECT * FROM ops",
+    "op_rollup_sign": f"{OPS} SELECT op, sign, count(*) AS n FROM ops GROUP BY ROLLUP (op, sign)",
+    "brick_flags": f"{PALETTES} SELECT brick_id, label_min, label_max, n_labels, is_empty FROM pal",
+    "grid_dims": f"{PALETTES} SELECT CAST(max(bx) // 8 + 1 AS BIGINT) AS nx, CAST(max(by_) // 8 + 1 AS BIGINT) AS ny, CAST(max(bz) // 8 + 1 AS BIGINT) AS nz FROM pal",
+    "bounds": f"{PALETTES} SELECT min(bx) AS low_x, min(by_) AS low_y, min(bz) AS low_z, max(bx) + 8 AS high_x, max(by_) + 8 AS high_y, max(bz) + 8 AS high_z FROM pal",
+    "transfer_function": f"{COLORS} SELECT label, idx, rgba FROM colors",
+    "label_hash_color": f"""WITH v AS (SELECT DISTINCT o_orderkey * 2654435761 + o_custkey AS label FROM orders), a AS (SELECT label, xor(label & 4294967295, label >> 32) AS lo, label >> 32 AS hi FROM v),
+a1 AS (SELECT label, hi, {times_sql('xor(lo, lo >> 16)', 0x7FEB352D)} AS lo FROM a), a2 AS (SELECT label, hi, xor(lo, lo >> 15) AS lo FROM a1), a3 AS (SELECT label, lo, xor(hi, lo) AS h FROM a2),
+a4 AS (SELECT label, lo, {times_sql('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM a3), a5 AS (SELECT label, lo, xor(h, h >> 13) AS h FROM a4)
+SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256 + (h >> 8 & 255) * 65536 + 64 * 16777216 END AS rgba FROM a5""",
+    "hidden_labels_anti": f"WITH {SEG_CTE}, {HIDDEN} SELECT * FROM vox WHERE label NOT IN (SELECT label FROM hidden)",
+    "highlight_color": f"{COLORS}, {HIDDEN} SELECT c.label, CASE WHEN c.label IN (SELECT label FROM hidden) THEN 0 WHEN c.label = 2 THEN {' + '.join(f'CAST(least(255, floor((rgba >> {8 * i} & 255) * 1.8::DOUBLE)) AS BIGINT) * {256**i}' for i in range(3))} + (rgba >> 24 & 255) * 16777216 ELSE rgba END AS rgba FROM colors c",
+    "palette_visible_bricks": f"{NODES}, {HIDDEN} SELECT DISTINCT brick_id FROM bricks WHERE label <> 0 AND label NOT IN (SELECT label FROM hidden)",
+    "frustum_bricks": f"{SEEN} SELECT frame, brick_id FROM wanted",
+    "brick_lod": f"{SEEN} SELECT frame, brick_id, lod FROM lods",
+    "lod_histogram": f"{SEEN} SELECT frame, lod, count(*) AS bricks, CAST(sum(1 << (3 * lod)) AS BIGINT) AS voxels, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY frame), 6) AS pct FROM lods GROUP BY 1, 2",
+    "offset_prefix_sum": f"{SEEN} SELECT frame, brick_id, lod, CAST(1 << (3 * lod) AS BIGINT) AS voxels, CAST(coalesce(sum(1 << (3 * lod)) OVER (PARTITION BY frame ORDER BY brick_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM lods",
+    "work_queue": f"{SEEN} SELECT w.* FROM wanted w LEFT JOIN resident r USING (frame, brick_id) WHERE r.lod IS NULL OR r.lod <> w.lod",
+    "evicted_bricks": f"{SEEN} SELECT * FROM resident r WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.frame = r.frame AND w.brick_id = r.brick_id)",
+    "requested_bricks": f"{SEEN} SELECT * FROM wanted r WHERE EXISTS (SELECT 1 FROM resident w WHERE w.frame = r.frame AND w.brick_id = r.brick_id)",
+    "residency_left_join": f"{SEEN}, f AS (SELECT brick_id, lod, CAST(coalesce(sum(1 << (3 * lod)) OVER (ORDER BY brick_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM wanted WHERE frame = 3) SELECT p.brick_id, f.lod, f.\"offset\" FROM pal p LEFT JOIN f USING (brick_id)",
+    "rolling60": "SELECT * FROM (SELECT event_id AS frame, sum((event_id * 7 % 31)::DOUBLE) OVER w AS sum_ms, count(*) OVER w AS samples FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE frame % 10 = 0",
+    "ray_generate": f"{RAYS} SELECT qx AS px, qy AS py, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM rays",
+    "ray_slab_hits": f"{RAYS}, t AS (SELECT qx, qy, greatest({_t('least')}, 0.0) AS t_in, least({_t('greatest')}) AS t_out FROM rays) SELECT qx AS px, qy AS py, round(t_in, 5) AS t_in, round(t_out, 5) AS t_out FROM t WHERE t_in <= t_out",
+    "composite_window": f"WITH {SAMPLES}, k AS (SELECT *, exp(coalesce(sum(ln(greatest(1 - alpha, 1e-12))) OVER (PARTITION BY px, py ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM s WHERE alpha > 0.05) SELECT px, py, round(sum(r * alpha * t), 6) AS r, round(sum(g * alpha * t), 6) AS g, round(sum(b * alpha * t), 6) AS b, round(sum(alpha * t), 6) AS a FROM k WHERE 1 - t <= 0.95 GROUP BY 1, 2",
+    "first_hits": f"WITH {SAMPLES} SELECT px, py, min(seq) AS seq, arg_min(alpha, seq) AS alpha FROM s GROUP BY 1, 2",
+    "gradient": f"{GRADIENT} SELECT x, y, z, gx, gy, gz FROM grad",
+    "shading": f"{GRADIENT}, n AS (SELECT x, y, z, -(gx * {_l[0]!r}::DOUBLE + gy * {_l[1]!r}::DOUBLE + gz * ({_l[2]!r})::DOUBLE) / greatest(sqrt(gx*gx+gy*gy+gz*gz), 0.001) AS a FROM grad) SELECT x, y, z, round(least(greatest(0.5 + greatest(a, 0.0) * 0.8, CASE WHEN a > 0.01 THEN 0.3 ELSE 0.1 END), 1.0), 6) AS light FROM n",
+    "shadow_rays": f"WITH {SEG_CTE}, al AS (SELECT x, y, z, (label % 8) / 8.0::DOUBLE AS a FROM vox), p AS (SELECT x + 32 * y + 1024 * z AS id, x, y, z FROM al WHERE a > 0.4 AND x % 8 = 0 AND y % 8 = 0 AND z % 8 = 0), q AS (SELECT id, {', '.join(f'CAST(floor({c} + 0.5 + (k + 1.1::DOUBLE) * ({d / _ln!r})::DOUBLE) AS BIGINT) AS s{c}' for c, d in zip('xyz', _l, strict=True))} FROM p, range(24) t(k)) SELECT id, round(CASE WHEN coalesce(sum(a), 0) > 0.8 THEN 0.0 ELSE exp(-1.5 * coalesce(sum(a), 0)) END, 6) AS shadow FROM q LEFT JOIN al ON al.x = sx AND al.y = sy AND al.z = sz GROUP BY id",
+    "codec_roundtrip": f"WITH {SEG_CTE} SELECT x, y, z, label FROM vox",
+    "decode_lod2": f"{NODES} SELECT brick_id, m, label FROM nodes WHERE lod = 2",
+    "decode_lod0": f"{NODES} SELECT brick_id, label FROM nodes WHERE lod = 0",
+    "points_roundtrip": f"WITH {PTS_CTE}, {bricks_cte(4)} SELECT * FROM bricks WHERE label <> 0",
+    "validate_match_rate": f"{NODES} SELECT brick_id, count(*) AS matches, CAST(0 AS BIGINT) AS mismatches, 100.0::DOUBLE AS pct FROM bricks GROUP BY 1",
+}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds,
+        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, cache_replay, rolling60,
+        ray_generate, ray_slab_hits, ray_bricks, ray_render, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
+    )
+}
 
 
 def queries() -> dict:
