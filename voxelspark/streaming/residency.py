@@ -15,10 +15,12 @@ def stream_residency(frames: DataFrame, capacity: int) -> DataFrame:
     """The stream form of ``replay``: frames of a session must come in order over the batches, and a batch holds whole frames."""
 
     def run(key, batches, state: GroupState):
-        cache, last = pickle.loads(state.get[0]) if state.exists else (BrickCache(capacity), None)
+        cache, last = BrickCache(capacity), None
+        if state.exists:
+            cache.top, cache.free, cache.resident, last = pickle.loads(state.get[0])
         pdf = pd.concat(list(batches))
         rows, last = step(cache, last, pdf)
-        state.update((pickle.dumps((cache, last)),))
+        state.update((pickle.dumps((cache.top, cache.free, cache.resident, last)),))
         out = pd.DataFrame(rows, columns=["frame", "brick_id", "lod", "action", "slot"])
         out.insert(0, "session", key[0])
         yield out.astype({"slot": "Int64"})
