@@ -58,7 +58,7 @@ def nodes_at(level: int) -> int:
 
 def output_index(code: Column, level: Column, target: Column) -> Column:
     """First place of a node of ``level`` among the nodes of the finer level ``target``."""
-    return F.expr("1L") * code * F.pow(F.lit(8.0), target - level).cast("long")
+    return code * F.pow(F.lit(8.0), target - level).cast("long")
 
 
 def times32(v: Column, k: int) -> Column:
