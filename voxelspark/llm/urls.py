@@ -48,10 +48,16 @@ def shape(path: Column) -> Column:
     return F.concat_ws("/", segments)
 
 
+def _score(b: Column, m: Column, rb: Column, rm: Column) -> Column:
+    """Two-proportion z score of b of m against rb of rm, each with one more page of either kind."""
+    pooled = (b + rb + 1) / (m + rm + 2)
+    return F.abs((b + 1) / (m + 2) - (rb + 1) / (rm + 2)) / F.sqrt(pooled * (1 - pooled) * (1 / (m + 2) + 1 / (rm + 2)))
+
+
 def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR, z: float = Z) -> DataFrame:
     """Templates of all (host, shape): columns host, shape, template, purity.
 
-    ``labelled`` has host, shape and bad (1, 0, or null for unlabelled pages). The tree works on the distinct shapes with their counts, so a host with any share of the pages is a few rows here. A branch keeps its own name if its rate of bad pages differs from that of its siblings by a two-proportion z score of at least ``z``; the others of the node share "*". Purity is (bad + prior * purity above) / (labelled + prior), one half above the root.
+    ``labelled`` has host, shape and bad (1, 0, or null for unlabelled pages). The tree works on the distinct shapes with their counts, so a host with any share of the pages is a few rows here. A branch whose rate of bad pages does not differ from that of its siblings by a two-proportion z score of at least ``z`` shares "*". Of the others, those above and those below their siblings are compared among themselves: the ones alike share "*+" or "*-", the rest keep their own names. Purity is (bad + prior * purity above) / (labelled + prior), one half above the root.
     """
     known = labelled.groupBy("host", "shape").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("_b"), F.count("bad").cast("double").alias("_m"))
     cur = checkpoint(known.withColumns({"_s": F.filter(F.split("shape", "/"), lambda s: s != ""), "template": F.lit("")}))
@@ -67,9 +73,12 @@ def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR,
         children = here.filter("_c is not null").groupBy("host", "template", "_c").agg(F.sum("_b").alias("_cb"), F.sum("_m").alias("_cm"))
         nodes = children.groupBy("host", "template").agg(F.sum("_cb").alias("_nb"), F.sum("_cm").alias("_nm"))
         b, m, rb, rm = F.col("_cb"), F.col("_cm"), F.col("_nb") - F.col("_cb"), F.col("_nm") - F.col("_cm")
-        pooled = (b + rb + 1) / (m + rm + 2)
-        score = F.abs((b + 1) / (m + 2) - (rb + 1) / (rm + 2)) / F.sqrt(pooled * (1 - pooled) * (1 / (m + 2) + 1 / (rm + 2)))
-        branches = children.join(nodes, ["host", "template"]).select("host", "template", "_c", F.when(score >= z, F.col("_c")).otherwise(F.lit("*")).alias("_t"))
+        compared = children.join(nodes, ["host", "template"]).withColumns({"_own": _score(b, m, rb, rm) >= z, "_side": F.when((b + 1) / (m + 2) > (rb + 1) / (rm + 2), "+").otherwise("-")})
+        sides = compared.filter("_own").groupBy("host", "template", "_side").agg(F.sum("_cb").alias("_sb"), F.sum("_cm").alias("_sm"), F.count("*").alias("_k"))
+        sides = sides.withColumn("_own", F.lit(True))
+        like = (F.col("_k") > 1) & (_score(b, m, F.col("_sb") - b, F.col("_sm") - m) < z)
+        name = F.when(~F.col("_own"), F.lit("*")).when(like, F.concat(F.lit("*"), "_side")).otherwise(F.col("_c"))
+        branches = compared.join(sides, ["host", "template", "_side", "_own"], "left").select("host", "template", "_c", name.alias("_t"))
         here = here.join(branches, ["host", "template", "_c"], "left")
         here = here.withColumn("_t", F.when(F.col("_c").isNotNull(), F.concat("template", F.lit("/"), "_t")))
         pure = here.filter("_t is not null").groupBy("host", "_t").agg(F.sum("_b").alias("_tb"), F.sum("_m").alias("_tm"))
