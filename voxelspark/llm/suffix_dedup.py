@@ -37,7 +37,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     ranges = Ranges(data)
     width = length - gram + 1
     grams = ranges.hash(np.arange(n - gram + 1), np.arange(gram, n + 1))
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(max(32, int(n).bit_length()))  # the same for all buffers, so that equal strings break ties alike
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     rows = -(-len(packed) // width)
     square = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
