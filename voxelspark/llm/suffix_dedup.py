@@ -170,7 +170,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     cores = checkpoint(kinds.groupBy("core").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("copies").alias("most"), F.max("d1").alias("d1"), F.max("d2").alias("d2")))
     alike = cores.filter("n = 1 and most > 1").select("core", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("b"))
     several = cores.filter("n > 1").select("core", F.ceil(F.col("b") / SHARD).alias("shards"), "b")
-    pieces = cut.select("core", "d1", "d2", "bytes").join(several.drop("b"), "core").groupBy("core", "d1", "d2", "shards").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
+    # Bytes are dealt by core and digest, as a core may be in most texts; only the short rows of kinds meet by core.
+    dealt = checkpoint(kinds.join(several.drop("b"), "core").select("core", "d1", "d2", "copies", "shards"))
+    pieces = cut.groupBy("core", "d1", "d2").agg(F.first("bytes").alias("bytes")).join(dealt, ["core", "d1", "d2"])
     tasks = -(-(several.agg(F.sum("b")).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
     told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), length, max(parts(texts.sparkSession), tasks)))
 
