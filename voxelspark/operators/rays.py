@@ -99,7 +99,7 @@ def render(spark: SparkSession, voxels: DataFrame, colors: DataFrame, camera: Da
     limit = side // stride
     path = crossed(slab(rays(spark, camera, width, height), (0.0,) * 3, (float(side),) * 3), float(stride), (limit,) * 3)
     grid = voxels.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "label").filter("label <> 0")
-    hit = path.join(grid, ["cx", "cy", "cz"]).join(F.broadcast(colors.select("label", "rgba")), "label")
+    hit = path.join(grid, ["cx", "cy", "cz"]).join(colors.select("label", "rgba"), "label")
     r, g, b, a = S.unpack(F.col("rgba"))
     samples = hit.select("px", "py", "seq", (r / 255).alias("r"), (g / 255).alias("g"), (b / 255).alias("b"), opacity(a / 255, float(stride)).alias("alpha"))
     byte = lambda c: F.floor(F.coalesce(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) * 255)
@@ -117,16 +117,52 @@ def first_hits(samples: DataFrame) -> DataFrame:
     return samples.groupBy("px", "py").agg(F.min_by(F.struct("seq", "alpha", "r", "g", "b"), "seq").alias("first"))
 
 
+def gathered(cells: DataFrame, keys: list[str], moves: dict[str, list[Column]]) -> DataFrame:
+    """keys, alpha and the alpha of each neighbour of ``cells`` (keys, alpha). ``moves`` says, by name, the cell that takes a cell's alpha under that name; null keys take none. Every cell sends its own alpha, so one shuffle serves all neighbours."""
+    own = F.coalesce("alpha", F.lit(0.0))
+    sent = [F.struct(*(F.col(k).cast("long").alias(k) for k in keys), F.lit(n).alias("as"), own.alias("a")) if to is None else F.struct(*(c.cast("long").alias(k) for k, c in zip(keys, to, strict=True)), F.lit(n).alias("as"), own.alias("a")) for n, to in {"alpha": None, **moves}.items()]
+    dealt = cells.select(F.explode(F.array(*sent)).alias("s")).select("s.*").dropna(subset=keys)
+    return dealt.groupBy(*keys).agg(*(F.max(F.when(F.col("as") == n, F.col("a"))).alias(n) for n in ("alpha", *moves))).filter("alpha is not null")
+
+
 def gradients(alphas: DataFrame) -> DataFrame:
-    """Central differences of alpha at every voxel of ``alphas`` (x, y, z, alpha); absent neighbours are 0."""
-    out = alphas
-    for c in "xyz":
-        others = [k for k in "xyz" if k != c]
+    """x, y, z, alpha and the central differences gx, gy, gz of alpha at every voxel of ``alphas`` (x, y, z, alpha); absent neighbours are 0."""
+    moves = {f"{c}_{name}": [F.col(k) + (step if k == c else 0) for k in "xyz"] for c in "xyz" for name, step in (("up", -1), ("down", 1))}
+    out = gathered(alphas, ["x", "y", "z"], moves)
+    at = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return out.select("x", "y", "z", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
+
+
+def lod_gradients(nodes: DataFrame, least: float = 0.05) -> DataFrame:
+    """brick_id, lod, m, alpha, gx, gy, gz of the nodes of a level (brick_id, lod, m, alpha), in steps of that level's cells. A neighbour out of the brick, absent or of an alpha up to ``least`` counts as the node's own, so that gradients do not point at what is not seen."""
+    axes = S.demorton(F.col("m"))
+    side = F.pow(F.lit(2.0), F.col("lod")).cast("long")
+    moves = {}
+    for i, c in enumerate("xyz"):
         for name, step in (("up", -1), ("down", 1)):
-            side = alphas.select(*others, (F.col(c) + step).alias(c), F.col("alpha").alias(f"{c}_{name}"))
-            out = out.join(side, ["x", "y", "z"], "left")
-        out = out.withColumn(f"g{c}", (F.coalesce(f"{c}_up", F.lit(0.0)) - F.coalesce(f"{c}_down", F.lit(0.0))) / 2).drop(f"{c}_up", f"{c}_down")
-    return out
+            to = [a + (step if j == i else 0) for j, a in enumerate(axes)]
+            moves[f"{c}_{name}"] = [F.col("brick_id"), F.col("lod"), F.when((to[i] >= 0) & (to[i] < side), S.morton(*to))]
+    out = gathered(nodes, ["brick_id", "lod", "m"], moves)
+    at = lambda c: F.when(F.col(c) > least, F.col(c)).otherwise(F.col("alpha"))
+    return out.select("brick_id", F.col("lod").cast("int").alias("lod"), "m", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
+
+
+def trilinear(points: DataFrame, nodes: DataFrame, values: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
+    """id and the blend of ``values`` over the eight cells around each point, by their nearness; 0 where all are absent.
+
+    ``points`` has id, brick_id, lod and the place in the brick in cells of that level (cx, cy, cz); ``nodes`` has brick_id, lod, m and the values. Cells past the brick's far faces are its last ones.
+    """
+    last = F.pow(F.lit(2.0), F.col("lod")).cast("long") - 1
+    low = {c: F.floor(F.col(f"c{c}")).cast("long") for c in "xyz"}
+    corner = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    out = points.select("id", "brick_id", "lod", *(F.col(f"c{c}") for c in "xyz"), corner)
+    bit = {c: F.shiftright("k", i).bitwiseAND(F.lit(1)) for i, c in enumerate("xyz")}
+    part = {c: F.col(f"c{c}") - low[c] for c in "xyz"}
+    weight = math.prod(F.when(bit[c] == 1, part[c]).otherwise(1 - part[c]) for c in "xyz")
+    out = out.select("id", "brick_id", "lod", S.morton(*(F.least(low[c] + bit[c], last) for c in "xyz")).alias("m"), weight.alias("w"))
+    found = out.filter("w > 0").join(nodes.select("brick_id", "lod", "m", *values), ["brick_id", "lod", "m"])
+    blend = found.groupBy("id").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values))
+    return points.select("id").join(blend, "id", "left").select("id", *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
 
 
 def shade(g, light: tuple, ambient: float = 0.5, diffuse: float = 0.8, shadow: Column | float = 1.0) -> Column:

@@ -43,6 +43,20 @@ def brick_lod(size: int, fov: float = FOV, width: int = 1080) -> Column:
     return sum((F.when(f * (size / 2**k) / d >= 1, 1).otherwise(0) for k in range(1, size.bit_length())), F.lit(0))
 
 
+def distance_lod(size: int) -> Column:
+    """The level by distance alone: the finest within a brick's size, one less for each doubling, 0 at the least."""
+    top = size.bit_length() - 1
+    return sum((F.when(F.col("distance") / size <= 2.0 ** (top - k), 1).otherwise(0) for k in range(1, top + 1)), F.lit(0))
+
+
+def orbit(inputs: DataFrame, center: tuple[float, float, float], radius: float, low: float, high: float, max_pitch: float = math.pi / 3) -> DataFrame:
+    """Camera positions of a session's inputs (session, frame, yaw, pitch, zoom: each frame's drags and wheel steps, which add up), looking at ``center``."""
+    w = W.partitionBy("session").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    turned = inputs.select("session", "frame", F.sum("yaw").over(w).alias("yaw"), S.clamp(F.sum("pitch").over(w), -max_pitch, max_pitch).alias("pitch"), S.clamp(S.zoomed(F.lit(radius), F.sum("zoom").over(w)), low, high).alias("radius"))
+    at = S.orbit_position([F.lit(c) for c in center], F.col("radius"), F.col("yaw"), F.col("pitch"))
+    return turned.select("session", "frame", "radius", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
+
+
 def with_offsets(lods: DataFrame) -> DataFrame:
     """voxels (8^lod) and offset of each brick of a frame, in order of brick_id."""
     w = W.partitionBy("frame").orderBy("brick_id").rowsBetween(W.unboundedPreceding, -1)

@@ -114,25 +114,35 @@ def positions(bricks: DataFrame, size: int) -> DataFrame:
     return bricks.withColumns({"bx": x * size, "by": y * size, "bz": z * size})
 
 
+def ranked(rows: DataFrame, order: str, out: str, buckets: int = 256) -> DataFrame:
+    """``rows`` with the place of each, from 0, in the order of a column of different numbers. Approximate percentiles deal the rows to buckets that are numbered on their own, so no task takes all rows; places are exact whatever the bounds."""
+    cuts = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], F.lit(10_000)).alias("_cuts"))
+    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most ``buckets`` rows
+    base = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    placed = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1).join(F.broadcast(base), "_bucket")
+    return placed.withColumn(out, (F.col("_base") + F.col("_k")).cast("long")).drop("_bucket", "_k", "_base")
+
+
 def transfer_function(labels: DataFrame) -> DataFrame:
     """idx and rgba of each distinct label but 0, by golden-angle hues in unsigned order of the labels."""
-    order = F.col("label").bitwiseXOR(F.lit(-(1 << 63)))
-    ranked = labels.select("label").filter("label <> 0").distinct().withColumn("idx", (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
+    known = labels.select("label").filter("label <> 0").distinct().withColumn("_order", F.col("label").bitwiseXOR(F.lit(-(1 << 63))))
+    places = ranked(known, "_order", "idx").drop("_order")
     i = F.col("idx")
     turns = i * 137.5
     r, g, b = S.hsl_to_rgb(turns - 360 * F.floor(turns / 360), 0.55 + (i % 3) * 0.08, 0.35 + (i % 4) * 0.05)
     dim = lambda c: F.least(F.floor(c * 0.92), F.lit(255))
-    return ranked.withColumn("rgba", S.pack(dim(r), dim(g), dim(b), F.floor((0.25 + (i % 5) * 0.08) * 255)))
+    return places.withColumn("rgba", S.pack(dim(r), dim(g), dim(b), F.floor((0.25 + (i % 5) * 0.08) * 255)))
 
 
 def colored(voxels: DataFrame, colors: DataFrame, hidden: DataFrame | None = None, lit: int | None = None) -> DataFrame:
-    """rgba of each voxel: its label's colour, else its hash; hidden labels are 0, the highlighted one brighter."""
-    out = voxels.join(F.broadcast(colors.select("label", "rgba")), "label", "left")
+    """rgba of each voxel: its label's colour, else its hash; hidden labels are 0, the highlighted one brighter. The tables of labels grow with the data, so their sizes decide how they are joined."""
+    out = voxels.join(colors.select("label", "rgba"), "label", "left")
     out = out.withColumn("rgba", F.coalesce("rgba", S.label_color(F.col("label"))))
     if lit is not None:
         out = out.withColumn("rgba", F.when(F.col("label") == lit, S.highlight(F.col("rgba"))).otherwise(F.col("rgba")))
     if hidden is not None:
-        out = out.join(F.broadcast(hidden.select("label", F.lit(True).alias("_hidden")).distinct()), "label", "left").withColumn("rgba", F.when(F.col("_hidden"), 0).otherwise(F.col("rgba"))).drop("_hidden")
+        out = out.join(hidden.select("label", F.lit(True).alias("_hidden")).distinct(), "label", "left").withColumn("rgba", F.when(F.col("_hidden"), 0).otherwise(F.col("rgba"))).drop("_hidden")
     return out
 
 
@@ -142,3 +152,9 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     same = F.when(F.col("_a").eqNullSafe(F.col("_b")), 1).otherwise(0)
     out = both.groupBy("brick_id").agg(F.sum(same).alias("matches"), F.sum(1 - same).alias("mismatches"))
     return out.withColumn("pct", 100.0 * F.col("matches") / (F.col("matches") + F.col("mismatches")))
+
+
+def first_mismatches(a: DataFrame, b: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
+    """The first ``k`` rows in order of ``keys`` whose labels differ: keys, label and other; null where a side has no row."""
+    both = a.select(*keys, "label").join(b.select(*keys, F.col("label").alias("other")), keys, "full")
+    return both.filter(~F.col("label").eqNullSafe(F.col("other"))).orderBy(*keys).limit(k)

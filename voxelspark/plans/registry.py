@@ -308,6 +308,37 @@ def validate_match_rate(spark, d):
     return V.compare(b, codec.decode(codec.encode(b, V.SEG_BRICK), V.SEG_BRICK), ["brick_id", "m"])
 
 
+def first_mismatches(spark, d):
+    """Voxels that differ from their parents of the level above."""
+    nodes = seg_nodes(spark, d)
+    above = nodes.filter("lod = 2").select("brick_id", F.explode(S.children(F.col("m"))).alias("m"), "label")
+    return V.first_mismatches(nodes.filter("lod = 3"), above, ["brick_id", "m"])
+
+
+def distance_lod(spark, d):
+    return seen(spark, d).select("frame", "brick_id", view.distance_lod(V.SEG_BRICK).cast("int").alias("lod"))
+
+
+def orbit_path(spark, d):
+    i = V.read(spark, d, "events").select((F.col("user_id") % 16).alias("session"), F.col("event_id").alias("frame"), ((F.col("event_id") % 9 - 3) / 64.0).alias("yaw"), ((F.col("event_id") % 7 - 3) / 64.0).alias("pitch"), (F.col("event_id") * 7 % 41 - 20.0).alias("zoom"))
+    return view.orbit(i, (16.0,) * 3, 48.0, 20.0, 200.0).select("session", "frame", *(F.round(c, 6).alias(c) for c in ("radius", "px", "py", "pz")))
+
+
+def lod_alphas(spark, d):
+    return seg_nodes(spark, d).filter("lod = 2").select("brick_id", "lod", "m", ((F.col("label") % 8) / 8.0).alias("alpha"))
+
+
+def gradient_lod(spark, d):
+    return rays.lod_gradients(lod_alphas(spark, d)).filter("alpha > 0.35").select("brick_id", "m", "gx", "gy", "gz")
+
+
+def trilinear_alpha(spark, d):
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *((F.col("o_orderkey") * k % 256 / 8.0).alias(f"p{c}") for k, c in ((7, "x"), (11, "y"), (13, "z"))))
+    brick = S.morton(*(F.floor(F.col(f"p{c}") / V.SEG_BRICK).cast("long") for c in "xyz"))
+    at = [((F.col(f"p{c}") - F.floor(F.col(f"p{c}") / V.SEG_BRICK) * V.SEG_BRICK) * S.lod_scale(F.lit(2), V.SEG_BRICK)).alias(f"c{c}") for c in "xyz"]
+    return rays.trilinear(o.select("id", brick.alias("brick_id"), F.lit(2).alias("lod"), *at), lod_alphas(spark, d), ("alpha",)).withColumn("alpha", F.round("alpha", 6))
+
+
 def morton_sql(x: str, y: str, z: str) -> str:
     bit = lambda v: "(" + " | ".join(f"((CAST({v} AS BIGINT) >> {i} & 1) << {3 * i})" for i in range(7)) + ")"
     return f"({bit(x)} | ({bit(y)} << 1) | ({bit(z)} << 2))"
@@ -408,6 +439,14 @@ grad AS (SELECT * FROM g WHERE gx <> 0 OR gy <> 0 OR gz <> 0)"""
 _l = S.light_direction(25)
 _ln = math.sqrt(sum(c * c for c in _l))
 
+_steps = [(c, n, "".join(f" AND {n}.c{j} = h.c{j}{s if j == i else ''}" for j in range(3))) for i, c in enumerate("xyz") for n, s in ((f"{c}p", " + 1"), (f"{c}m", " - 1"))]
+_safe = lambda n: f"(CASE WHEN {n}.a > 0.05 THEN {n}.a ELSE h.a END)"
+LOD_ALPHAS = f"{NODES}, la AS (SELECT brick_id, m, {', '.join(f'{axis_sql('m', i, 2)} AS c{i}' for i in range(3))}, (label % 8) / 8.0::DOUBLE AS a FROM nodes WHERE lod = 2)"
+_place = ", ".join(f"CAST(o_orderkey * {k} % 256 AS DOUBLE) / 8 AS p{i}" for i, k in enumerate((7, 11, 13)))
+_cell = ", ".join(f"(p{i} - floor(p{i} / 8) * 8) * 0.5::DOUBLE AS q{i}" for i in range(3))
+_corner = " AND ".join(f"la.c{i} = least(CAST(floor(q{i}) AS BIGINT) + (k >> {i} & 1), 3)" for i in range(3))
+_near = " * ".join(f"(CASE WHEN k >> {i} & 1 = 1 THEN q{i} - floor(q{i}) ELSE 1 - (q{i} - floor(q{i})) END)" for i in range(3))
+
 ORACLES = {
     "label_top10": f"WITH {SEG_CTE} SELECT label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM (SELECT label, count(*) AS n FROM vox GROUP BY label) ORDER BY n DESC, label LIMIT 10",
     "label_stats": f"WITH {SEG_CTE} SELECT count(*) AS voxels, count(DISTINCT label) AS labels, min(label) AS least, max(label) AS most, CAST(count(*) FILTER (label = 0) AS BIGINT) AS zeros, max(x) + 1 AS size_x, max(y) + 1 AS size_y, max(z) + 1 AS size_z FROM vox",
@@ -445,6 +484,14 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
     "rolling60": "SELECT * FROM (SELECT event_id AS frame, sum((event_id * 7 % 31)::DOUBLE) OVER w AS sum_ms, count(*) OVER w AS samples FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE frame % 10 = 0",
     "ray_generate": f"{RAYS} SELECT qx AS px, qy AS py, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM rays",
     "ray_slab_hits": f"{RAYS}, t AS (SELECT qx, qy, greatest({_t('least')}, 0.0) AS t_in, least({_t('greatest')}) AS t_out FROM rays) SELECT qx AS px, qy AS py, round(t_in, 5) AS t_in, round(t_out, 5) AS t_out FROM t WHERE t_in <= t_out",
+    "first_mismatches": f"{NODES} SELECT h.brick_id, h.m, h.label, p.label AS other FROM nodes h JOIN nodes p ON p.brick_id = h.brick_id AND p.lod = 2 AND h.lod = 3 AND p.m = h.m >> 3 WHERE h.label <> p.label ORDER BY 1, 2 LIMIT 10",
+    "distance_lod": f"{SEEN} SELECT frame, brick_id, CAST({' + '.join(f'(CASE WHEN distance / 8 <= {2.0 ** (3 - k)!r} THEN 1 ELSE 0 END)' for k in (1, 2, 3))} AS INTEGER) AS lod FROM seen",
+    "orbit_path": """WITH i AS (SELECT user_id % 16 AS session, event_id AS frame, sum(CAST(event_id % 9 - 3 AS DOUBLE) / 64) OVER w AS yaw, sum(CAST(event_id % 7 - 3 AS DOUBLE) / 64) OVER w AS pitch, sum(CAST(event_id * 7 % 41 - 20 AS DOUBLE)) OVER w AS zoom
+FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT session, frame, yaw, greatest(-pi() / 3, least(pi() / 3, pitch)) AS pitch, greatest(20.0::DOUBLE, least(200.0::DOUBLE, 48.0::DOUBLE * exp(zoom * 0.0015::DOUBLE))) AS radius FROM i)
+SELECT session, frame, round(radius, 6) AS radius, round(16 + radius * cos(pitch) * sin(yaw), 6) AS px, round(16 + radius * sin(pitch), 6) AS py, round(16 + radius * cos(pitch) * cos(yaw), 6) AS pz FROM o""",
+    "gradient_lod": f"{LOD_ALPHAS} SELECT h.brick_id, h.m, {', '.join(f'({_safe(c + 'p')} - {_safe(c + 'm')}) / 2 AS g{c}' for c in 'xyz')} FROM la h {' '.join(f'LEFT JOIN la {n} ON {n}.brick_id = h.brick_id{on}' for _, n, on in _steps)} WHERE h.a > 0.35",
+    "trilinear_alpha": f"{LOD_ALPHAS}, pt AS (SELECT o_orderkey AS id, {_place} FROM orders), pq AS (SELECT id, {morton_sql('floor(p0 / 8)', 'floor(p1 / 8)', 'floor(p2 / 8)')} AS brick_id, {_cell} FROM pt), w AS (SELECT id, {_near} AS w, la.a FROM pq CROSS JOIN range(8) t(k) JOIN la ON la.brick_id = pq.brick_id AND {_corner}) SELECT id, round(sum(w * a) / sum(w), 6) AS alpha FROM w GROUP BY id",
     "composite_window": f"WITH {SAMPLES}, k AS (SELECT *, exp(coalesce(sum(ln(greatest(1 - alpha, 1e-12))) OVER (PARTITION BY px, py ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM s WHERE alpha > 0.05) SELECT px, py, round(sum(r * alpha * t), 6) AS r, round(sum(g * alpha * t), 6) AS g, round(sum(b * alpha * t), 6) AS b, round(sum(alpha * t), 6) AS a FROM k WHERE 1 - t <= 0.95 GROUP BY 1, 2",
     "first_hits": f"WITH {SAMPLES} SELECT px, py, min(seq) AS seq, arg_min(alpha, seq) AS alpha FROM s GROUP BY 1, 2",
     "gradient": f"{GRADIENT} SELECT x, y, z, gx, gy, gz FROM grad",
@@ -462,6 +509,7 @@ QUERIES = {
         label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds,
         transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, cache_replay, rolling60,
         ray_generate, ray_slab_hits, ray_bricks, ray_render, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
+        first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
 }
 
