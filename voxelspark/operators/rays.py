@@ -135,14 +135,14 @@ def gradients(alphas: DataFrame) -> DataFrame:
 
 def lod_gradients(nodes: DataFrame, least: float = 0.05) -> DataFrame:
     """brick_id, lod, m, alpha, gx, gy, gz of the nodes of a level (brick_id, lod, m, alpha), in steps of that level's cells. A neighbour out of the brick, absent or of an alpha up to ``least`` counts as the node's own, so that gradients do not point at what is not seen."""
-    axes = S.demorton(F.col("m"))
     side = F.pow(F.lit(2.0), F.col("lod")).cast("long")
+    placed = nodes.select("brick_id", "lod", *(a.alias(f"c{c}") for c, a in zip("xyz", S.demorton(F.col("m")), strict=True)), "alpha")
     moves = {}
-    for i, c in enumerate("xyz"):
+    for c in "xyz":
         for name, step in (("up", -1), ("down", 1)):
-            to = [a + (step if j == i else 0) for j, a in enumerate(axes)]
-            moves[f"{c}_{name}"] = [F.col("brick_id"), F.col("lod"), F.when((to[i] >= 0) & (to[i] < side), S.morton(*to))]
-    out = gathered(nodes, ["brick_id", "lod", "m"], moves)
+            to = F.col(f"c{c}") + step
+            moves[f"{c}_{name}"] = [F.col("brick_id"), F.col("lod"), *(F.when((to >= 0) & (to < side), to) if k == c else F.col(f"c{k}") for k in "xyz")]
+    out = gathered(placed, ["brick_id", "lod", "cx", "cy", "cz"], moves).withColumn("m", S.morton(F.col("cx"), F.col("cy"), F.col("cz")))
     at = lambda c: F.when(F.col(c) > least, F.col(c)).otherwise(F.col("alpha"))
     return out.select("brick_id", F.col("lod").cast("int").alias("lod"), "m", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
 
