@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm.common import stored
+from voxelspark.llm.common import shielded, stored, unshielded
 from voxelspark.llm.langid import fit, predict
 from voxelspark.llm.minhash import keep_one
 from voxelspark.llm.mixing import take
@@ -18,9 +18,9 @@ from voxelspark.llm.suffix_dedup import remove_repeats
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty; the classifier is fitted on the labelled ones among them."""
-    model = fit(docs)
-    named = predict(docs, model, out=("_lang", "_score", "_rejected"))
-    return named.filter(~F.col("_rejected")).select(*docs.columns)
+    docs, old, _ = shielded(docs)
+    named = predict(docs, fit(docs), out=("_lang", "_score", "_rejected"))
+    return unshielded(named.filter(~F.col("_rejected")).select(*docs.columns), old)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the strings of 400 bytes that repeat."""
+    docs, old, _ = shielded(docs)
     left = remove_repeats(docs)
     text = F.when(F.col("_n_spans") > 0, F.col("_kept")).otherwise(F.col("text"))
     counted = F.when(F.col("_n_spans") > 0, F.length("_kept")).otherwise(F.col("n_chars"))
-    return left.withColumns({"text": text, "n_chars": counted.cast("long")}).select(*docs.columns)
+    return unshielded(left.withColumns({"text": text, "n_chars": counted.cast("long")}).select(*docs.columns), old)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

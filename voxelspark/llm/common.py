@@ -42,6 +42,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``docs`` with columns whose names begin with "_" renamed, so that an operator's own names are free; the old names by the new ones; and what the columns ``used`` are called now."""
+    free = "kept"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    old = {f"{free}{i}": c for i, c in enumerate(docs.columns) if c.startswith("_")}
+    new = {c: k for k, c in old.items()}
+    return docs.withColumnsRenamed(new) if old else docs, old, [new.get(c, c) for c in used]
+
+
+def unshielded(out: DataFrame, old: dict[str, str]) -> DataFrame:
+    """``out`` with the old names back; a column of the operator's own replaces one of the same name."""
+    if not old:
+        return out
+    own = {c.lower() for c in out.columns if c not in old}
+    return out.drop(*(c for c, name in old.items() if name.lower() in own)).withColumnsRenamed(old)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffer
+from .common import shielded, slices, table, text_buffer, unshielded
 
 BUCKETS, DIMENSIONS = 4096, 16
 NGRAMS = (2, 3, 4)
@@ -168,7 +168,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple
 
     Null texts and texts without a letter are "und" with score 0, and rejected. Without a model, so is every text. Columns of ``docs`` with the names of ``out`` are replaced.
     """
-    clash = [c for c in docs.columns if c not in out]
+    docs, old, (text,) = shielded(docs, text)
+    own = {c.lower() for c in out}
+    clash = [c for c in docs.columns if c.lower() not in own]
     docs = docs.select(*(f"`{c}`" for c in clash))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_letter boolean"])
 
@@ -190,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     kinds = ddl.removesuffix(", _letter boolean")
-    return docs.withColumn("_letter", letter).mapInArrow(run, f"{kinds}, {out[0]} string, {out[1]} double, {out[2]} boolean")
+    return unshielded(docs.withColumn("_letter", letter).mapInArrow(run, f"{kinds}, {out[0]} string, {out[1]} double, {out[2]} boolean"), old)
 
 
 def held_out(doc_id: str = "doc_id"):

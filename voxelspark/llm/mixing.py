@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, table, word_count
+from .common import prefix_sums, shielded, table, unshielded, word_count
 
 WEIGHTS = (1, 2, 3)
 SLOPES = (0.5, 0.0, -0.5)
@@ -40,8 +40,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
     _copies, from 0 to ``cap``, is how often the mix takes the document; _position is the training time of its first copy (past 1 if the mix takes none). Copies k = 0, 1, ... are taken while the middle of the document's interval, k passes on, lies below the target, so a source misses its target by half a document at most, if its last one is not longer than the target.
 
-    Null text: size 0. Null source: a source of its own, ordered last. Null ids come in one place of the order. Equal rows are told apart only by their order, which leaves the same rows either way. An empty table gives an empty result. Other columns are kept; names that start with "_" are for this operator.
+    Null text: size 0. Null source: a source of its own, ordered last. Null ids come in one place of the order. Equal rows are told apart only by their order, which leaves the same rows either way. An empty table gives an empty result. Other columns are kept, whatever their names; those with the names of the operator's own are replaced.
     """
+    docs, old, (text, doc_id, source) = shielded(docs, text, doc_id, source)
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     named = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source)))
     sized = docs.withColumns({"_size": word_count(F.col(text)), "_key": named})
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     taken = sum((F.when(F.col("_start") + k * F.col("_source_size") + F.col("_size") / 2 < F.col("_target"), 1).otherwise(0) for k in range(cap)), F.lit(0))
     placed = placed.withColumns({"_copies": taken, "_position": position(F.col("_start"))})
     placed = placed.drop("_key", "_bucket", "_buckets", "_hash", "_base", "_within")
-    return placed.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position", doc_id) if ordered else placed
+    return unshielded(placed.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position", doc_id) if ordered else placed, old)
 
 
 def position(start):
@@ -75,13 +76,14 @@ def position(start):
     return F.when(y <= 1, t).otherwise(y)
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The training order itself: each document as often as the mix takes it, with the columns of ``docs``, range-sorted by the positions of the copies."""
+    docs, old, (text, doc_id, source) = shielded(docs, text, doc_id, source)
     columns = docs.columns
-    mixed = mix(docs, **options, ordered=False)
+    mixed = mix(docs, text, doc_id, source, **options, ordered=False)
     copies = mixed.withColumn("_k", F.explode(F.expr("filter(sequence(0, _copies), k -> k < _copies)")))
     copies = copies.withColumn("_position", position(F.col("_start") + F.col("_k") * F.col("_source_size")))
-    return copies.repartitionByRange(F.col("_position"), F.col(options.get("doc_id", "doc_id"))).sortWithinPartitions("_position").select(*columns)
+    return unshielded(copies.repartitionByRange(F.col("_position"), F.col(doc_id)).sortWithinPartitions("_position").select(*columns), old)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

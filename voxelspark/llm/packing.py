@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, prefix_sums, slices, table
+from .common import checkpoint, prefix_sums, shielded, slices, table, unshielded
 
 SEQUENCE = 2048
 END = 0
@@ -140,6 +140,7 @@ def pack(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
     The ranks of a length are dealt to buckets by hash, as many as the length's count asks for, so that a length that most pieces share is no group of its own.
     """
+    cut, old, _ = shielded(cut)
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     placed, _ = best_fit_decreasing(counts, size)
@@ -164,7 +165,7 @@ def pack(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * n)], names=[*names, "sequence_id", "offset"])
 
     ddl = ", ".join(f"`{c}` {kind}" for c, kind in cut.dtypes)
-    return ranked.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return unshielded(ranked.mapInArrow(run, f"{ddl}, sequence_id long, offset long"), old)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id", size: int = SEQUENCE, end: int = END) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, parts, slices, stored, table, text_buffer
+from .common import checkpoint, parts, shielded, slices, stored, table, text_buffer, unshielded
 from .quality import Ranges, mixed
 from .sais import permuted_common_prefixes, suffix_array
 
@@ -187,10 +187,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """All rows and columns of ``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept.
 
-    Texts are UTF-8 bytes, null as none. Bytes covered by a string of ``length`` bytes that starts anywhere else too, in the same text or another, are removed; all strings are judged on the input. _kept is what is left as text; a character that loses some of its bytes only is left out of it, but not of _kept_sha256. Repeated rows are two places, so both lose all strings; texts shorter than ``length`` lose nothing; an empty table gives an empty result. Columns whose names start with "_" are for this operator.
+    Texts are UTF-8 bytes, null as none. Bytes covered by a string of ``length`` bytes that starts anywhere else too, in the same text or another, are removed; all strings are judged on the input. _kept is what is left as text; a character that loses some of its bytes only is left out of it, but not of _kept_sha256. Repeated rows are two places, so both lose all strings; texts shorter than ``length`` lose nothing; an empty table gives an empty result. Other columns are kept, whatever their names; those with the names of the five are replaced.
 
     Texts meet by 128 bits of their hash. Matches of whole pieces go by a 128-bit digest and anchors by 64 bits; a collision of the latter only brings strangers to one shard.
     """
+    docs, old, (text,) = shielded(docs, text)
     keyed = docs.withColumns({"_t1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_t2": F.xxhash64(F.lit(5), F.coalesce(F.col(text), F.lit("")))})
     texts = keyed.filter(F.octet_length(text) >= length).select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(text).alias("text"))
     ranges = repeated_ranges(texts, length).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept"])
 
-    return joined.mapInArrow(run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept string")
+    return unshielded(joined.mapInArrow(run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept string"), old)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

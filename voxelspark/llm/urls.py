@@ -10,7 +10,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, shielded, table, unshielded
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Levels of the tree; deeper segments are the one wildcard "**".
@@ -92,8 +92,9 @@ def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR,
 def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", label: str | None = None, purity: float = PURITY, **tree) -> DataFrame:
     """All rows of ``pages`` with _host, _path, _rule, _verdict, _template and _purity.
 
-    Pages are labelled by ``label`` (1 bad, 0 good, null unknown), or else by the rule that fits them. Where no rule fits, a page is blocked if its template's purity is at least ``purity``. Null urls and urls without "://" have empty host and path, and the template "" of the empty host. Unlabelled hosts stay at one half and are allowed. Repeated rows are judged alike and stay repeated; an empty table gives an empty result; other columns are kept, whatever their names, but for names that start with "_".
+    Pages are labelled by ``label`` (1 bad, 0 good, null unknown), or else by the rule that fits them. Where no rule fits, a page is blocked if its template's purity is at least ``purity``. Null urls and urls without "://" have empty host and path, and the template "" of the empty host. Unlabelled hosts stay at one half and are allowed. Repeated rows are judged alike and stay repeated; an empty table gives an empty result; other columns are kept, whatever their names; those with the names of the six are replaced.
     """
+    pages, old, (url, label) = shielded(pages, url, label)
     host, path = host_path(F.col(url))
     rule, verdict = rule_columns(F.col("_host"), F.col("_path"), rules)
     judged = pages.withColumns({"_host": host, "_path": path}).withColumns({"_rule": rule, "_said": verdict, "_shape": shape(F.col("_path"))})
@@ -102,7 +103,7 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", label: str | Non
     templates = templates.select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), F.col("template").alias("_template"), F.col("purity").alias("_purity"))
     joined = judged.join(templates, ["_host", "_shape"], "left")
     by_tree = F.when(F.col("_purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))
-    return joined.withColumn("_verdict", F.coalesce("_said", by_tree)).drop("_said", "_shape")
+    return unshielded(joined.withColumn("_verdict", F.coalesce("_said", by_tree)).drop("_said", "_shape"), old)
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
