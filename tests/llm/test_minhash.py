@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from voxelspark.llm import minhash
 from voxelspark.llm.common import text_buffer
 from voxelspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, shingle_units
 
@@ -110,3 +111,41 @@ def test_pairs_among_documents_with_much_in_common(spark):
     rows = list(enumerate(texts))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted((r.doc_id, r.class_id) for r in got.collect()) == brute(rows)
+
+
+def near_leaders(count):
+    """Rows of ``count`` documents that share so many words that no two of them are alike, and a near copy of each."""
+    rng = random.Random(8)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shared, texts = some(262), []
+    for _ in range(count):
+        base = shared + some(38)
+        copy = list(base)
+        for at in (265, 295):
+            copy[at] = some(1)[0]
+        texts += [" ".join(base), " ".join(copy)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [16, 128])
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, block):
+    """Leaders link nobody but their own copies, so a pair that never has a leader is found only by comparing all members of a bucket."""
+    monkeypatch.setattr(minhash.links, "__defaults__", (block,))
+    rows = near_leaders(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = minhash.signatures(docs, "text", "doc_id", 3, 1, minhash.SHINGLE).collect()
+    bands = {r.doc_id: set(r.bands) for r in signed}
+    sets = [multiset(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bands[a] & bands[b] and similarity(sets[a], sets[b]) >= minhash.SIMILARITY:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = near_duplicates(docs, bands=3, rows=1)
+    assert {r.doc_id: r.class_id for r in got.collect()} == {a: root(a) for a in range(len(rows))}

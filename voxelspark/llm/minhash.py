@@ -1,6 +1,6 @@
 """MinHash near-deduplication with DartMinHash signatures.
 
-A document is the multiset of its five-word shingles, weighted by their counts; similarity is the weighted Jaccard of two such multisets. Each unit of weight is a region into which hashed darts fall, a Poisson number to each unit of rank; every coordinate of the signature keeps its earliest dart. Signatures agree in a coordinate with the probability of the similarity. Equal multisets are one node. Nodes that share a band of the signature are linked to one leader of the band's bucket, an exact check of the similarity follows, and classes are the connected components of the links that hold.
+A document is the multiset of its five-word shingles, weighted by their counts; similarity is the weighted Jaccard of two such multisets. Each unit of weight is a region into which hashed darts fall, a Poisson number to each unit of rank; every coordinate of the signature keeps its earliest dart. Signatures agree in a coordinate with the probability of the similarity. Equal multisets are one node. Nodes that share a band of the signature are compared with one leader of the band's bucket by their exact similarity; members that are then still of different classes are all compared with each other. Classes are the connected components of the links that hold.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .quality import SPACE, Ranges, mixed, spans
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
+#: Members of a bucket that are compared in one piece of work: a block with itself or with another block.
+BLOCK = 512
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -134,15 +136,110 @@ def unit_arrays(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, units array<int>")
 
 
-def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text: str, doc_id: str, similarity: float, size: int) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, whose exact similarity is at least ``similarity``.
-
-    Candidates: in each bucket of a band, and of two neighbouring bands together, all nodes with one leader. The leader is the least node of an order of the bucket's own, so the members of a group meet many leaders, and a bucket of n nodes gives n - 1 candidates.
-    """
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, node, leader and single (whether the bucket is of one band) of all nodes but the leader in each bucket of a band, and of two neighbouring bands together. The leader is the least node of an order of the bucket's own, so the members of a group meet many leaders."""
     pairs_of_bands = F.transform(F.sequence(F.lit(1), F.size("bands")), lambda i: F.xxhash64(F.element_at("bands", i), F.element_at("bands", i % F.size("bands") + 1)))
-    keys = nodes.filter(F.size("bands") > 0).select("node", F.explode(F.concat("bands", pairs_of_bands)).alias("key"))
+    keys = nodes.filter(F.size("bands") > 0).select("node", F.size("bands").alias("n_bands"), F.posexplode(F.concat("bands", pairs_of_bands)).alias("pos", "key"))
     leaders = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select("key", F.col("m").bitwiseXOR(F.col("key")).alias("leader"))
-    found = keys.join(leaders, "key").filter("node <> leader")
+    return keys.join(leaders, "key").filter("node <> leader").select("key", "node", "leader", (F.col("pos") < F.col("n_bands")).alias("single"))
+
+
+def cells(found: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """key, lo, hi, block, node and label: the members of each bucket of one band that holds several classes, dealt into cells, so that every two members of different classes meet in a cell (lo, hi), as members of the blocks lo and hi.
+
+    Members of the bucket's largest class do not meet each other: n members, m of them of other classes, make about n * m / block rows.
+    """
+    labelled = found.filter("single").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    several = per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).filter("m.c < n").select("key", "n", F.col("m.c").alias("most"), F.col("m.label").alias("large"))
+    whole, large = F.col("n") <= block, F.col("label") == F.col("large")
+    n_large = F.when(whole, 0).otherwise(F.ceil(F.col("most") / block)).cast("int")
+    n_other = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
+    dealt = labelled.join(several, "key").select("key", "node", "label", (large & ~whole).alias("large"), n_large.alias("nl"), n_other.alias("no"))
+    own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("no"))).cast("int") + F.when(F.col("large"), F.col("no")).otherwise(0)
+    met = F.sequence(F.lit(0), F.when(F.col("large"), F.col("no")).otherwise(F.col("no") + F.col("nl")) - 1)
+    met = dealt.withColumn("block", own).select("key", "node", "label", "block", F.explode(met).alias("other"))
+    return met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
+
+
+def alike_in_cell(node, label, block, bands, units, sizes, cell: tuple[int, int, int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of one cell whose exact similarity is at least ``similarity``. A pair is compared in the first band it shares only. ``units`` are those of all members one after the other, ``sizes`` their numbers."""
+    key, lo, hi = cell
+    differ = label[:, None] != label[None, :]
+    differ = np.triu(differ) if lo == hi else differ & (block == lo)[:, None] & (block == hi)[None, :]
+    differ &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])
+    if not differ.any():
+        return []
+    i, j = np.nonzero(differ)
+    for column in bands.T:
+        here = column == key
+        first = here[i] & here[j]
+        if first.any():
+            i, j = i[first], j[first]
+            break
+        later = column[i] != column[j]
+        i, j = i[later], j[later]
+    if not len(i):
+        return []
+    kinds, code = np.unique(units, return_inverse=True)
+    of = np.repeat(np.arange(len(node)), sizes)
+    mark, out = np.zeros(len(kinds), bool), []
+    pairs = np.unique(of * len(kinds) + code)
+    of, code = np.divmod(pairs, len(kinds))
+    ends = np.searchsorted(of, np.arange(len(node) + 1))
+    for a in np.unique(i):
+        own = code[ends[a] : ends[a + 1]]
+        mark[own] = True
+        common = np.bincount(of, weights=mark[code], minlength=len(node))
+        mark[own] = False
+        for b in j[i == a]:
+            if common[b] >= similarity * (sizes[a] + sizes[b] - common[b]):
+                out.append((int(min(node[a], node[b])), int(max(node[a], node[b]))))
+    return out
+
+
+def links_of_cells(placed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of the cells ``placed`` (key, lo, hi, block, node, label, bands, units), each cell in one piece as its rows come in order."""
+
+    def whole(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not held.num_rows:
+                continue
+            place = [held.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            starts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in place])) + 1
+            for a, b in zip([0, *starts[:-1]], starts):
+                yield held.slice(a, b - a)
+            held = held.slice(starts[-1]) if len(starts) else held
+        if held is not None and held.num_rows:
+            yield held
+
+    def run(batches):
+        out = []
+        for part in whole(batches):
+            if part.num_rows > 1:
+                column = lambda c: part.column(c).combine_chunks()  # noqa: E731, B023
+                node, label, block = (column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "block"))
+                bands = column("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+                units = column("units")
+                sizes = units.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                out += alike_in_cell(node, label, block, bands, units.flatten().to_numpy(zero_copy_only=False), sizes, tuple(part.column(c)[0].as_py() for c in ("key", "lo", "hi")), similarity)
+            if len(out) >= 10000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, similarity: float, size: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes, a < b, whose exact similarity is at least ``similarity``, and the label of each such node's class.
+
+    First, in each bucket, all nodes are compared with its leader, which gives n - 1 candidates for n nodes. Then all pairs of different classes that share a bucket are compared. A pair that shares a bucket and is like each other is so of one class.
+    """
+    found = checkpoint(buckets(nodes))
     candidates = checkpoint(found.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
 
     needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep.x").alias("_x"))
@@ -151,7 +248,19 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text: str, doc_i
     units = checkpoint(unit_arrays(texts, size).groupBy("node").agg(F.min("units").alias("units")))
     both = candidates.join(units.select(F.col("node").alias("a"), F.col("units").alias("ua")), "a").join(units.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b")
     common = F.size(F.array_intersect("ua", "ub"))
-    return both.filter(common >= similarity * (F.size("ua") + F.size("ub") - common)).select("a", "b")
+    held = checkpoint(both.filter(common >= similarity * (F.size("ua") + F.size("ub") - common)).select("a", "b"))
+    labels = components(held)
+
+    placed = checkpoint(cells(found, labels, block))
+    own = units.join(placed.select("node").distinct(), "node").join(nodes.select("node", "bands"), "node")
+    more = checkpoint(links_of_cells(placed.join(own, "node").select("key", "lo", "hi", "block", "node", "label", "bands", "units"), similarity))
+    if more.isEmpty():
+        return held, labels
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    above = components(joined).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    known = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return checkpoint(held.union(more)), checkpoint(known.join(above, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,8 +285,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     signed = checkpoint(signatures(docs, text, doc_id, bands, rows, size))
     nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
-    held = checkpoint(links(docs, signed, nodes, text, doc_id, similarity, size))
-    labels = components(held)
+    held, labels = links(docs, nodes, text, doc_id, similarity, size)
     degree = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = nodes.select("node", "least").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
