@@ -18,9 +18,9 @@ def _center(size: int) -> tuple[Column, Column, Column]:
     return tuple(F.col(c) + size / 2 for c in ("bx", "by", "bz"))
 
 
-def seen_from(bricks: DataFrame, cameras: DataFrame, size: int) -> DataFrame:
-    """``bricks`` (with bx, by, bz) and cameras (frame, px, py, pz, dx, dy, dz) with the distance of the centre. Cameras are few rows, of the frames at hand, and every brick meets each."""
-    out = bricks.crossJoin(F.broadcast(cameras))
+def seen_from(bricks: DataFrame, cameras: DataFrame, size: int, many: bool = False) -> DataFrame:
+    """``bricks`` (with bx, by, bz) and cameras (frame, px, py, pz, dx, dy, dz) with the distance of the centre. Every brick meets each camera. Cameras are few rows, of the frames at hand, or ``many``, which are dealt by frame and meet the bricks where they are."""
+    out = cameras.repartition("frame").crossJoin(F.broadcast(bricks)) if many else bricks.crossJoin(F.broadcast(cameras))
     to = [c - F.col(p) for c, p in zip(_center(size), ("px", "py", "pz"), strict=True)]
     return out.withColumn("distance", S.norm(*to)).withColumn("along", S.dot(to, [F.col(c) for c in ("dx", "dy", "dz")]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,9 +29,10 @@ def seg_palettes(spark, d):
     return V.positions(V.palettes(seg_bricks(spark, d)), V.SEG_BRICK)
 
 
-def cameras(spark, d):
-    """Twelve cameras around the volume, from the first events."""
-    e = V.read(spark, d, "events").filter("event_id < 12").select(F.col("event_id").alias("frame"))
+def cameras(spark, d, every=False):
+    """Cameras around the volume: twelve from the first events, as in the oracles, or one of each event."""
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"))
+    e = e if every else e.filter("frame < 12")
     at = [(F.col("frame") * a % 64 - b).cast("double") for a, b in ((7, 20), (11, 10), (13, 30))]
     e = e.select("frame", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
     to = [16.0 - F.col(c) for c in ("px", "py", "pz")]
@@ -41,16 +43,16 @@ def hidden(spark, d):
     return V.read(spark, d, "nation").filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 1).cast("long").alias("label"))
 
 
-def seen(spark, d):
-    return view.seen_from(seg_palettes(spark, d), cameras(spark, d), V.SEG_BRICK)
+def seen(spark, d, every=False):
+    return view.seen_from(seg_palettes(spark, d), cameras(spark, d, every), V.SEG_BRICK, many=every)
 
 
-def lods(spark, d):
-    return seen(spark, d).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+def lods(spark, d, every=False):
+    return seen(spark, d, every).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
-def wanted(spark, d):
-    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+def wanted(spark, d, every=False):
+    return seen(spark, d, every).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
 def before(df):
@@ -58,9 +60,9 @@ def before(df):
     return df.withColumn("frame", F.col("frame") + 1)
 
 
-def frames(spark, d):
+def frames(spark, d, every=False):
     hide = hidden(spark, d).agg(F.collect_list("label").alias("hidden"))
-    s = seen(spark, d).crossJoin(F.broadcast(hide)).withColumn("visible", view.in_frustum(V.SEG_BRICK) & view.palette_visible(F.col("hidden")))
+    s = seen(spark, d, every).crossJoin(F.broadcast(hide)).withColumn("visible", view.in_frustum(V.SEG_BRICK) & view.palette_visible(F.col("hidden")))
     return s.select(F.lit(1).cast("long").alias("session"), "frame", "px", "py", "pz", "dx", "dy", "dz", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "visible")
 
 
@@ -169,34 +171,34 @@ def palette_visible_bricks(spark, d):
     return V.palettes(seg_bricks(spark, d)).crossJoin(F.broadcast(hide)).filter(view.palette_visible(F.col("hidden"))).select("brick_id")
 
 
-def frustum_bricks(spark, d):
-    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
+def frustum_bricks(spark, d, every=False):
+    return seen(spark, d, every).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
 
 
-def brick_lod(spark, d):
-    return lods(spark, d)
+def brick_lod(spark, d, every=False):
+    return lods(spark, d, every)
 
 
-def lod_histogram(spark, d):
-    return view.lod_histogram(lods(spark, d)).withColumn("pct", F.round("pct", 6))
+def lod_histogram(spark, d, every=False):
+    return view.lod_histogram(lods(spark, d, every)).withColumn("pct", F.round("pct", 6))
 
 
-def offset_prefix_sum(spark, d):
-    return view.with_offsets(lods(spark, d))
+def offset_prefix_sum(spark, d, every=False):
+    return view.with_offsets(lods(spark, d, every))
 
 
-def work_queue(spark, d):
-    w = wanted(spark, d)
+def work_queue(spark, d, every=False):
+    w = wanted(spark, d, every)
     return view.work_queue(w, before(w))
 
 
-def evicted_bricks(spark, d):
-    w = wanted(spark, d)
+def evicted_bricks(spark, d, every=False):
+    w = wanted(spark, d, every)
     return view.evicted(before(w), w)
 
 
-def requested_bricks(spark, d):
-    w = wanted(spark, d)
+def requested_bricks(spark, d, every=False):
+    w = wanted(spark, d, every)
     return view.requested(w, before(w))
 
 
@@ -205,8 +207,8 @@ def residency_left_join(spark, d):
     return view.residency(seg_palettes(spark, d).select("brick_id"), first)
 
 
-def cache_replay(spark, d):
-    return cache.replay(frames(spark, d), CAPACITY)
+def cache_replay(spark, d, every=False):
+    return cache.replay(frames(spark, d, every), CAPACITY)
 
 
 def rolling60(spark, d):
@@ -315,8 +317,8 @@ def first_mismatches(spark, d):
     return V.first_mismatches(nodes.filter("lod = 3"), above, ["brick_id", "m"])
 
 
-def distance_lod(spark, d):
-    return seen(spark, d).select("frame", "brick_id", view.distance_lod(V.SEG_BRICK).cast("int").alias("lod"))
+def distance_lod(spark, d, every=False):
+    return seen(spark, d, every).select("frame", "brick_id", view.distance_lod(V.SEG_BRICK).cast("int").alias("lod"))
 
 
 def orbit_path(spark, d):
@@ -512,6 +514,8 @@ QUERIES = {
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
 }
+#: Over the cameras of all events; without oracles, as those have the first twelve.
+QUERIES |= {f"{f.__name__}_all": partial(f, every=True) for f in (frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, cache_replay, distance_lod)}
 
 
 def queries() -> dict:
