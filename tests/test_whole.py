@@ -1,7 +1,10 @@
+import math
 import os
 
 import pytest
 
+from voxelspark.functions import scalars as S
+from voxelspark.operators import rays
 from voxelspark.operators import volume as V
 from voxelspark.plans import registry
 
@@ -31,3 +34,35 @@ def test_first_frames_are_those_of_the_oracles(spark, name):
     rows = lambda df, cols: sorted(map(tuple, df.select(cols).collect()))
     some = registry.queries()[name](spark, SF)
     assert rows(registry.queries()[f"{name}_all"](spark, SF).filter("frame < 12"), some.columns) == rows(some, some.columns)
+
+
+def walk(alphas, at, light, through=1.0, side=32):
+    """The shadow of one point, step by step until the ray leaves the volume."""
+    if through < 0.1:
+        return 1.0
+    n, total = math.sqrt(sum(c * c for c in light)), 0.0
+    for k in range(max(24, int(64 * through))):
+        cell = tuple(math.floor(p + 0.5 + (k + 1.1) * (c / n)) for p, c in zip(at, light, strict=True))
+        if not all(0 <= c < side for c in cell):
+            break
+        total += alphas.get(cell, 0.0)
+        if total > 0.8:
+            return 0.0
+    return 1 + (math.exp(-1.5 * total) - 1) * through
+
+
+def test_all_shadows(spark):
+    alphas = {(r.x, r.y, r.z): r.label % 8 / 8 for r in V.segmentation(spark, SF).collect()}
+    want = {x + 32 * y + 1024 * z: walk(alphas, (x, y, z), S.light_direction(25)) for (x, y, z), a in alphas.items() if a > 0.4}
+    got = {r.id: r.shadow for r in registry.queries()["shadow_rays_all"](spark, SF).collect()}
+    assert len(want) > 64 and got == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("through", [1.0, 0.6, 0.3, 0.05])
+def test_occluders_beyond_the_least_number_of_steps(spark, through):
+    light, occluders = (1.0, 0.0, 0.0), {(28, 0, 0): 0.3, (29, 0, 0): 0.2}
+    points = spark.createDataFrame([(1, 0, 0, 0, through)], "id long, x long, y long, z long, through double")
+    voxels = spark.createDataFrame([(*c, a) for c, a in occluders.items()], "x long, y long, z long, alpha double")
+    (row,) = rays.shadows(points, voxels, light, most=64).collect()
+    assert row.shadow == pytest.approx(walk(occluders, (0, 0, 0), light, through))
+    assert (row.shadow < 1) == (through > 0.5)

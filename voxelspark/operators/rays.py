@@ -173,14 +173,22 @@ def shade(g, light: tuple, ambient: float = 0.5, diffuse: float = 0.8, shadow: C
     return F.least(F.greatest(ambient + F.greatest(along, F.lit(0.0)) * diffuse * shadow, low), F.lit(1.0))
 
 
-def shadows(points: DataFrame, alphas: DataFrame, light: tuple, steps: int = 24, full: float = 0.8) -> DataFrame:
-    """shadow of each point (id, x, y, z): unit steps towards the light, an equi-join to voxels, 0 behind a summed alpha over ``full``, else exp(-1.5 sum)."""
+def shadows(points: DataFrame, alphas: DataFrame, light: tuple, steps: int = 24, full: float = 0.8, most: int | None = None) -> DataFrame:
+    """shadow of each point (id, x, y, z): unit steps towards the light, an equi-join to voxels, 0 behind a summed alpha over ``full``, else exp(-1.5 sum).
+
+    With ``most``, a point of transmittance T (a column ``through``, 1 if there is none) takes max(steps, most * T) steps, which with 64 reach the edge of a volume of 32^3, and its shadow is mixed with 1 by T; one of T under 0.1 is lit.
+    """
     n = math.sqrt(sum(c * c for c in light))
-    at = points.select("id", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"))
+    through = F.col("through").cast("double") if "through" in points.columns else F.lit(1.0)
+    count = F.lit(steps) if most is None else F.greatest(F.lit(steps), F.floor(F.lit(float(most)) * through)).cast("int")
+    at = points.select("id", "x", "y", "z", through.alias("through"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     cell = {f"s{c}": F.floor(F.col(c) + 0.5 + (F.col("k") + 1.1) * (d / n)) for c, d in zip("xyz", light, strict=True)}
     found = at.withColumns(cell).join(alphas.select(*(F.col(c).alias(f"s{c}") for c in "xyz"), "alpha"), ["sx", "sy", "sz"], "left")
     total = F.coalesce(F.sum("alpha"), F.lit(0.0))
-    return found.groupBy("id").agg(F.when(total > full, 0.0).otherwise(F.exp(-1.5 * total)).alias("shadow"))
+    if most is None:
+        return found.groupBy("id").agg(F.when(total > full, 0.0).otherwise(F.exp(-1.5 * total)).alias("shadow"))
+    t = F.first("through")
+    return found.groupBy("id").agg(F.when(t < 0.1, 1.0).when(total > full, 0.0).otherwise(1 + (F.exp(-1.5 * total) - 1) * t).alias("shadow"))
 
 
 def over_black(rgba: Column) -> Column:

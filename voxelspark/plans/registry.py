@@ -265,6 +265,13 @@ def shadow_rays(spark, d):
     return rays.shadows(points, a, S.light_direction(25)).withColumn("shadow", F.round("shadow", 6))
 
 
+def shadow_rays_all(spark, d):
+    """The shadows of all voxels of an alpha over 0.4, by rays that reach the volume's edge."""
+    a = V.segmentation(spark, d).withColumn("alpha", (F.col("label") % 8) / 8.0).drop("label")
+    points = a.filter("alpha > 0.4").select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")).alias("id"), "x", "y", "z")
+    return rays.shadows(points, a, S.light_direction(25), most=64).withColumn("shadow", F.round("shadow", 6))
+
+
 def encoded(spark, d):
     return codec.encode(seg_bricks(spark, d), V.SEG_BRICK)
 
@@ -510,7 +517,7 @@ QUERIES = {
     for f in (
         label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds,
         transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, cache_replay, rolling60,
-        ray_generate, ray_slab_hits, ray_bricks, ray_render, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
+        ray_generate, ray_slab_hits, ray_bricks, ray_render, composite_window, first_hits, gradient, shading, shadow_rays, shadow_rays_all, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
 }
