@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from voxelspark.llm.media import media_columns, pad, probe, samples, store, tree
+from voxelspark.llm.media import media_columns, media_tracks, pad, probe, samples, store, tree
 
 
 @pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 192 * 16, 192 * 16 + 1, 192 * 48, 192 * 100 + 5])
@@ -45,3 +45,20 @@ def test_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
     assert by[None][1:] == by[6][1:] and by[0][1:] == by[1][1:]
     assert media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_keyframes_are_stored(spark):
+    texts = {1: "word " * 6000, 2: "short", 3: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stored = {i: store(pad(t.encode())) for i, t in texts.items()}
+    files = spark.createDataFrame([*((i, bytearray(f)) for i, f in stored.items()), (4, None)], "doc_id long, media binary")
+    got, tracks = {r.doc_id: r for r in media_columns(docs).collect()}, media_tracks(files).collect()
+    assert sorted((r.doc_id, r.track) for r in tracks) == [(1, 0), (2, 0), (3, 0)]
+    for r in tracks:
+        (track,) = probe(stored[r.doc_id])
+        assert [tuple(k) for k in r.keyframes] == [tuple(k) for k in got[r.doc_id].keyframes] == track.keyframes()
+        assert got[r.doc_id].feature.split("ranges=")[1] == ",".join(f"{a}-{b}" for _, a, b in track.keyframes())
+        assert (r.codec, r.duration) == (got[r.doc_id].codec, got[r.doc_id].duration) == ("raw ", track.duration)
+        for time, a, b in r.keyframes:
+            assert stored[r.doc_id][a:b] == pad(texts[r.doc_id].encode())[time : time + 192]
+    assert len(got[1].keyframes) == 20

@@ -22,7 +22,6 @@ FRAME = 192
 RATE = 8000
 #: Frames in a chunk, and between keyframes.
 CHUNK, KEY = 16, 8
-FEATURE_RANGES = 4
 
 
 def boxes(data, start: int = 0, end: int | None = None):
@@ -171,15 +170,41 @@ def store(payload: bytes) -> bytes:
 
 
 def feature(track: Track) -> str:
-    """Codec, duration and keyframes of a track in one line: the number of keyframes, a checksum over all their byte ranges, and the first few ranges."""
+    """Codec, duration and keyframes of a track in one line: the number of keyframes, a checksum over their times and byte ranges, and all byte ranges."""
     keys = track.keyframes()
     check = zlib.crc32(b"".join(struct.pack("<QQQ", *k) for k in keys))
-    shown = ",".join(f"{a}-{b}" for _, a, b in keys[:FEATURE_RANGES])
+    shown = ",".join(f"{a}-{b}" for _, a, b in keys)
     return f"{track.handler}/{track.codec} scale={track.timescale} duration={track.duration} samples={len(track.sizes)} keyframes={len(keys)} crc={check} ranges={shown}"
 
 
+_KEYFRAME = pa.struct([("time", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+_TRACK = [("codec", pa.string()), ("duration", pa.int64()), ("keyframes", pa.list_(_KEYFRAME))]
+_TRACK_DDL = "codec string, duration long, keyframes array<struct<time: bigint, begin: bigint, end: bigint>>"
+
+
+def _track(track: Track) -> tuple:
+    return track.codec, track.duration, [{"time": t, "begin": a, "end": b} for t, a, b in track.keyframes()]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def media_tracks(files: DataFrame, media: str = "media", doc_id: str = "doc_id") -> DataFrame:
+    """A row for each track of each file in the binary column ``media``: the file's id, the track's number from 0, codec, duration and the time and byte range of every keyframe. Null files have no rows; a file that is no media file raises ValueError."""
+
+    def run(batches):
+        for part in slices(batches, column="media"):
+            rows = [(i, k, *_track(t)) for i, data in zip(part.column("i").to_pylist(), part.column("media").to_pylist(), strict=True) if data is not None for k, t in enumerate(probe(data))]
+            if rows:
+                yield _batch(rows, schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("track", pa.int64()), *_TRACK])
+    return files.selectExpr(f"cast(`{doc_id}` as long) as i", f"`{media}` as media").mapInArrow(run, f"doc_id long, track long, {_TRACK_DDL}")
+
+
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each row of ``docs``: its id and the digests of its text stored as media and read back.
+    """A row for each row of ``docs``: its id, the digests of its text stored as media and read back, and the track's codec, duration and keyframes (time, begin, end).
 
     Null and empty texts become one frame of spaces. Equal texts give equal values; repeated rows give repeated rows; an empty table gives an empty result; other columns are left out, and null ids stay null.
     """
@@ -192,11 +217,11 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                 stored = store(pad(raw))
                 (track,) = probe(stored)
                 back = samples(stored, track)
-                rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track), *_track(track)))
+            yield _batch(rows, schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), *_TRACK])
+    ddl = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, {_TRACK_DDL}"
     return docs.selectExpr(f"`{doc_id}` as i", f"`{text}` as text").mapInArrow(run, ddl)
 
 
