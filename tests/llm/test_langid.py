@@ -53,3 +53,16 @@ def test_without_labels_or_rows(spark):
     assert [(r.lang_pred, r.rejected) for r in predict(docs, None).collect()] == [("und", True)]
     empty = docs.limit(0)
     assert fit(empty) is None and predict(empty, None).count() == 0
+
+
+def test_small_languages_keep_their_rows(spark, monkeypatch):
+    """Large languages are drawn with a reserve, which is cut from themselves."""
+    from collections import Counter
+
+    from voxelspark.llm import langid
+
+    sizes, seen = {"aa": 3000, "bb": 3000, "cc": 3000, "dd": 90}, []
+    monkeypatch.setattr(langid, "train", lambda counts, labels: seen.append(Counter(labels)))
+    rows = [(i, f"{k} word{i}", k) for i, k in enumerate(k for k, n in sizes.items() for _ in range(n))]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert seen[0]["dd"] == 90 and max(seen[0].values()) <= 100 and min(seen[0].values()) > 70

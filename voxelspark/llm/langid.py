@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shielded, slices, table, text_buffer, unshielded
@@ -157,7 +158,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
             rows = [(np.flatnonzero(c).astype("<u2"), c) for c in counts]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([c[i].astype("<f4").tobytes() for i, c in rows], pa.binary())], names=["lang", "draw", "i", "c"])
 
-    rows = drawn.mapInArrow(run, "lang string, draw long, i binary, c binary").orderBy("draw", "lang", "i", "c").limit(sample * len(sizes)).collect()
+    first = F.row_number().over(W.partitionBy("lang").orderBy("draw", "i", "c"))
+    rows = drawn.mapInArrow(run, "lang string, draw long, i binary, c binary").withColumn("first", first).filter(F.col("first") <= sample).orderBy("draw", "lang", "i", "c").collect()
     if not rows:
         return None
     return train(Rows([(bytes(r["i"]), bytes(r["c"])) for r in rows]), [r["lang"] for r in rows])
