@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -66,3 +67,16 @@ def test_small_languages_keep_their_rows(spark, monkeypatch):
     rows = [(i, f"{k} word{i}", k) for i, k in enumerate(k for k, n in sizes.items() for _ in range(n))]
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
     assert seen[0]["dd"] == 90 and max(seen[0].values()) <= 100 and min(seen[0].values()) > 70
+
+
+@pytest.mark.parametrize("wrong", [0.0, 0.03])
+def test_wrong_labels_do_not_reject_clean_rows(wrong):
+    from voxelspark.llm.langid import FLOOR, Model, calibrate
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 2000)
+    logits = np.where(np.arange(2) == y[:, None], rng.uniform(4, 9, (2000, 1)), 0.0)
+    y = np.where(rng.random(2000) < wrong, 1 - y, y)
+    model = Model(["aa", "bb"], np.zeros((4, 2), np.float32), np.zeros((2, 2), np.float32), np.zeros(2, np.float32))
+    calibrate(model, logits, y)
+    assert model.threshold == FLOOR

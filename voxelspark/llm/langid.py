@@ -21,6 +21,8 @@ NGRAMS = (2, 3, 4)
 SAMPLE = 1000
 #: Share of the accepted rows that should be right, and the least probability that is accepted.
 TARGET, FLOOR = 0.99, 0.5
+#: Share of the rows of a probability from FLOOR on that a higher threshold must still accept; where labels are wrong at all scores, it stays at FLOOR.
+ACCEPTED = 0.5
 UNKNOWN = "und"
 
 LETTERS = np.full(256, 32, np.uint8)
@@ -129,15 +131,18 @@ def train(counts: Rows, labels: list[str], epochs: int = 12, batch: int = 32, ra
 
 
 def calibrate(model: Model, logits: np.ndarray, y: np.ndarray, target: float = TARGET, floor: float = FLOOR) -> None:
-    """The temperature of least log loss, and the least threshold from ``floor`` on above which a share of ``target`` is right."""
+    """The temperature of least log loss, and the least threshold from ``floor`` on above which a share of ``target`` is right, or ``floor`` if no threshold reaches that and accepts a share of ``ACCEPTED`` of the rows from ``floor`` on."""
     loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
     model.temperature = float(min(np.exp(np.linspace(-1.5, 2.5, 41)), key=loss))
     p = softmax(logits / model.temperature)
     score, right = p.max(1), p.argmax(1) == y
     model.threshold = floor
     for t in [floor, *np.sort(score[score > floor])]:
-        model.threshold = float(t)
-        if right[score >= t].mean() >= target:
+        above = score >= t
+        if above.sum() < ACCEPTED * (score >= floor).sum():
+            break
+        if above.any() and right[above].mean() >= target:
+            model.threshold = float(t)
             break
 
 
