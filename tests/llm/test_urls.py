@@ -45,3 +45,13 @@ def test_tree_rejects_pure_templates_and_merges_like_branches(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_branches_that_differ_deep_down_are_told_apart(spark):
+    deep = "a/b/c/d/e/f/g/h/i/j"
+    rows = [(f"https://h.com/{deep}/{kind}/x/{i}", bad) for kind, bad in (("good", 0), ("bad", 1)) for i in range(30)]
+    rows += [(f"https://pure.com/{deep}/{kind}/{i}", 1) for kind in ("s", "t") for i in range(30)]
+    got = judge_urls(spark.createDataFrame(rows, "url string, label int"), rules=(), label="label").collect()
+    assert {(r.label, r._verdict) for r in got if r._host == "h.com"} == {(0, "allow"), (1, "block")}
+    assert len({r._template for r in got if r._host == "h.com"}) == 2
+    assert {r._template.split("/")[-1] for r in got if r._host == "pure.com"} == {"**"}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shielded, table, unshielded
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Levels of the tree; deeper segments are the one wildcard "**".
+#: Levels of the tree that every shape has; from there on, only nodes that hold labelled pages of both kinds are split, and segments below others are the one wildcard "**".
 DEPTH = 8
 #: Weight, in labelled pages, of what the template above says.
 PRIOR = 2.0
@@ -57,7 +57,7 @@ def _score(b: Column, m: Column, rb: Column, rm: Column) -> Column:
 def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR, z: float = Z) -> DataFrame:
     """Templates of all (host, shape): columns host, shape, template, purity.
 
-    ``labelled`` has host, shape and bad (1, 0, or null for unlabelled pages). The tree works on the distinct shapes with their counts, so a host with any share of the pages is a few rows here. A branch whose rate of bad pages does not differ from that of its siblings by a two-proportion z score of at least ``z`` shares "*". Of the others, those above and those below their siblings are compared among themselves: the ones alike share "*+" or "*-", the rest keep their own names. Purity is (bad + prior * purity above) / (labelled + prior), one half above the root.
+    ``labelled`` has host, shape and bad (1, 0, or null for unlabelled pages). The tree works on the distinct shapes with their counts, so a host with any share of the pages is a few rows here. A branch whose rate of bad pages does not differ from that of its siblings by a two-proportion z score of at least ``z`` shares "*". Of the others, those above and those below their siblings are compared among themselves: the ones alike share "*+" or "*-", the rest keep their own names. From level ``depth`` on, only nodes with pages of both labels are split. Purity is (bad + prior * purity above) / (labelled + prior), one half above the root.
     """
     known = labelled.groupBy("host", "shape").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("_b"), F.count("bad").cast("double").alias("_m"))
     cur = checkpoint(known.withColumns({"_s": F.filter(F.split("shape", "/"), lambda s: s != ""), "template": F.lit("")}))
@@ -65,11 +65,14 @@ def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR,
     roots = cur.groupBy("host").agg(F.sum("_b").alias("_B"), F.sum("_m").alias("_M"))
     roots = roots.select("host", ((F.col("_B") + prior * 0.5) / (F.col("_M") + prior)).alias("purity"))
     cur = cur.join(roots, "host")
-    for d in range(min(depth, deepest)):
-        tail = F.when(F.size("_s") > d + 1, F.lit("**")) if d == depth - 1 else None
-        name = F.get("_s", F.lit(d))
-        name = F.coalesce(tail, name) if tail is not None else name
-        here = cur.withColumn("_c", name)
+    d = 0
+    while d < deepest:
+        if d >= depth - 1:
+            both = cur.filter(F.size("_s") > d).groupBy("host", "template").agg(((F.sum("_b") > 0) & (F.sum("_b") < F.sum("_m"))).alias("_both"))
+            folded = F.when((F.size("_s") > d + 1) & ~F.col("_both"), F.concat(F.slice("_s", 1, d), F.array(F.lit("**")))).otherwise(F.col("_s"))
+            cur = cur.join(both, ["host", "template"], "left").withColumn("_s", folded).drop("_both")
+            deepest = cur.agg(F.max(F.size("_s"))).first()[0]
+        here = cur.withColumn("_c", F.get("_s", F.lit(d)))
         children = here.filter("_c is not null").groupBy("host", "template", "_c").agg(F.sum("_b").alias("_cb"), F.sum("_m").alias("_cm"))
         nodes = children.groupBy("host", "template").agg(F.sum("_cb").alias("_nb"), F.sum("_cm").alias("_nm"))
         b, m, rb, rm = F.col("_cb"), F.col("_cm"), F.col("_nb") - F.col("_cb"), F.col("_nm") - F.col("_cm")
@@ -86,6 +89,7 @@ def template_tree(labelled: DataFrame, depth: int = DEPTH, prior: float = PRIOR,
         deeper = F.col("_t").isNotNull()
         purity = F.when(deeper, (F.col("_tb") + prior * F.col("purity")) / (F.col("_tm") + prior)).otherwise(F.col("purity"))
         cur = checkpoint(here.select("host", "shape", "_b", "_m", "_s", F.when(deeper, F.col("_t")).otherwise(F.col("template")).alias("template"), purity.alias("purity")))
+        d += 1
     return cur.select("host", "shape", "template", "purity")
 
 
