@@ -13,7 +13,7 @@ from voxelspark.llm.langid import fit, predict
 from voxelspark.llm.minhash import keep_one
 from voxelspark.llm.mixing import take
 from voxelspark.llm.packing import pack_documents
-from voxelspark.llm.suffix_dedup import remove_repeats
+from voxelspark.llm.suffix_dedup import PASSAGE, remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings of 400 bytes that repeat."""
+    """All documents without the strings of 256 bytes that repeat: passages of 50 words of five letters and a space have 300."""
     docs, old, _ = shielded(docs)
-    left = remove_repeats(docs)
+    left = remove_repeats(docs, length=PASSAGE)
     text = F.when(F.col("_n_spans") > 0, F.col("_kept")).otherwise(F.col("text"))
     counted = F.when(F.col("_n_spans") > 0, F.length("_kept")).otherwise(F.col("n_chars"))
     return unshielded(left.withColumns({"text": text, "n_chars": counted.cast("long")}).select(*docs.columns), old)

@@ -57,7 +57,7 @@ def told(text, model):
     return model.languages[p.argmax()], p.max()
 
 
-def without_repeats(texts, length=400):
+def without_repeats(texts, length=256):
     raws = [(t or "").encode() for t in texts]
     times = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     for text, raw in zip(texts, raws):

@@ -57,19 +57,37 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,shard", [(0, 1 << 20), (1, 1 << 20), (2, 6000), (3, 2000)])
-def test_matches_brute_force(spark, monkeypatch, seed, shard):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # small ones deal one core to several shards
-    texts = corpus(seed)
-    rows = [(i if i != 5 else None, t, "found", i) for i, t in enumerate(texts)] + [(3, texts[3], "found", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, found string, t1 int").repartition(3)
-    got = remove_repeats(docs).collect()
+def check(docs, rows, passage=None):
+    got = remove_repeats(docs, passage=passage).collect()
     want = brute([r[1] for r in rows])
     assert Counter((r.doc_id, r.t1, r["_n_bytes"], r["_n_removed"], r["_n_spans"], r["_kept_sha256"]) for r in got) == Counter((r[0], r[3], *w) for r, w in zip(rows, want))
+    if passage:
+        shorter = brute([r[1] for r in rows], passage)
+        assert Counter((r.doc_id, r.t1, r["_passage_bytes"], r["_n_passages"]) for r in got) == Counter((r[0], r[3], w[1], w[2]) for r, w in zip(rows, shorter))
     for r in got:
         if r["_n_spans"] == 0:
             assert r["_kept"] == r.text
 
 
+@pytest.mark.parametrize("seed,shard,small,passage", [(0, 1 << 20, 10**6, None), (1, 1 << 20, 0, 256), (2, 6000, 10**6, 256), (3, 2000, 0, None), (4, 2000, 0, 120), (5, 1, 10**6, 256)])
+def test_matches_brute_force(spark, monkeypatch, seed, shard, small, passage):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # small ones deal one core to several shards
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)  # 0: the texts that lose something are joined by a shuffle
+    texts = corpus(seed)
+    rows = [(i if i != 5 else None, t, "found", i) for i, t in enumerate(texts)] + [(3, texts[3], "found", 3)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, found string, t1 int").repartition(3), rows, passage)
+
+
+def test_texts_over_a_slice_and_ties_across_buffers(spark, monkeypatch):
+    """Texts longer than a slice, and equal strings of one repeated unit, whose anchors tie, in buffers of different lengths."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
+    rng = random.Random(9)
+    free = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    unit, base = free(37), free(9000)
+    texts = [base, free(10) + base[2000:7000] + free(900), "xyz" * 1500, free(700) + "xyz" * 900, free(3) + unit * 60, unit * 40 + free(50), (unit * 30)[5:] + free(2000), free(400)]
+    rows = [(i, t, "found", i) for i, t in enumerate(texts)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, found string, t1 int").repartition(2), rows, 256)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

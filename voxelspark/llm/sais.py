@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .quality import Ranges
-
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of a uint8 array; the end of the text counts as the smallest character."""
@@ -27,10 +25,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     index[lms] = np.arange(len(lms))
     ends = np.append(lms[1:] + 1, n)
     place = index[ordered]
-    length, hashes = ends - lms, Ranges(text).hash(lms, ends)
+    length = ends - lms
     last = place == len(lms) - 1  # its substring ends with the text, so it has no equal
     a, b = place[1:], place[:-1]
-    new = (length[a] != length[b]) | (hashes[a] != hashes[b]) | last[1:] | last[:-1]
+    new = (length[a] != length[b]) | last[1:] | last[:-1]
+    alike = np.flatnonzero(~new)  # of one length: compared byte by byte
+    if len(alike):
+        sizes = length[a[alike]]
+        begin = np.cumsum(sizes) - sizes
+        step = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+        differs = text[np.repeat(lms[a[alike]], sizes) + step] != text[np.repeat(lms[b[alike]], sizes) + step]
+        new[alike] = np.logical_or.reduceat(differs, begin)
     names = np.zeros(len(lms), np.int64)
     names[place] = np.concatenate([[0], np.cumsum(new)])
     if names.max() + 1 == len(lms):

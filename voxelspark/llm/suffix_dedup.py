@@ -1,8 +1,10 @@
 """Removal of repeated strings with suffix arrays of shards.
 
-A string of 400 bytes is owned by its least hashed 48-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, and every string of a block holds a fixed core around the anchor. A block whose core is found once holds no repeated string; if all blocks of a core are equal, all their strings repeat. The other blocks' bytes go to shards by core, equal ones once; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Equal strings have equal anchors and cores, so they meet in one shard.
+A string of ``length`` bytes is owned by its least hashed 96-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, so every string of a block holds the anchor. A block whose anchor is found once holds no repeated string. The other blocks' bytes go to shards by anchor, equal blocks in two copies at most; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Equal strings have equal anchors, so they meet in one shard.
 
-A core with more bytes than a shard is dealt to several. Each then hands on digests of its different strings, and those that two shards have repeat as well.
+Several lengths are judged at once: blocks are those of the least length, their bytes reach as far as the greatest one, and a longer string is owned by the block of its beginning.
+
+An anchor with more bytes than a shard is dealt to several. Each then hands on digests of its different strings, and those that two shards have repeat as well.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from .quality import Ranges, mixed
 from .sais import permuted_common_prefixes, suffix_array
 
 LENGTH = 400
-GRAM = 48
+#: Bytes of a passage: less than 50 words of five letters and a space.
+PASSAGE = 256
+GRAM = 96
 #: Bytes of a shard, about, and of the texts that are hashed at a time.
 SHARD = 1 << 20
 SLICE = 1 << 19
@@ -30,13 +34,13 @@ SEPARATOR = 0xFF  # no byte of UTF-8
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Blocks of all texts of a buffer: core hash, document, and first and last start of the block's strings."""
+    """Blocks of all texts of a buffer: anchor hash, document, and first and last start of the block's strings."""
     n, empty = len(data), np.zeros(0, np.int64)
     if n < length:
         return empty, empty, empty, empty
-    ranges = Ranges(data)
+    gram = min(gram, length)
     width = length - gram + 1
-    grams = ranges.hash(np.arange(n - gram + 1), np.arange(gram, n + 1))
+    grams = Ranges(data).hash(np.arange(n - gram + 1), np.arange(gram, n + 1))
     bits = np.uint64(max(32, int(n).bit_length()))  # the same for all buffers, so that equal strings break ties alike
     packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     rows = -(-len(packed) // width)
@@ -49,26 +53,19 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     least = np.minimum(back[:count], ahead[width - 1 : width - 1 + count])
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    start = np.arange(count)
     inside = doc[:count] == doc[length - 1 :]
-    half = (length - gram) // 2
-    right = anchor - start < half
     new = np.ones(count, bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (right[1:] != right[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:count] != doc[: count - 1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:count] != doc[: count - 1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], count) - 1
     keep = inside[first]
     first, last = first[keep], last[keep]
-    at, side = anchor[first], right[first]
-    begin = np.where(side, at, at - half)
-    end = np.where(side, at + length - half + 1, at + gram)
-    core = mixed(ranges.hash(begin, end) + side.astype(np.uint64))
     base = offsets[doc[first]]
-    return core.view(np.int64), doc[first].astype(np.int64), first - base, last - base
+    return grams[anchor[first]].view(np.int64), doc[first].astype(np.int64), first - base, last - base
 
 
 def find_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks of ``texts`` (t1, t2, text): core, t1, t2, first, last."""
+    """Blocks of ``texts`` (t1, t2, text): core (the anchor's hash), t1, t2, first, last."""
 
     def run(batches):
         for part in slices(batches, size=SLICE):
@@ -79,8 +76,8 @@ def find_blocks(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("t1", "t2", "text").mapInArrow(run, "core long, t1 long, t2 long, first long, last long")
 
 
-def cut_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found): core, t1, t2, first, digest (d1, d2), size, bytes."""
+def cut_blocks(texts: DataFrame, reach: int) -> DataFrame:
+    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found), up to ``reach`` from their last starts: core, t1, t2, first, digest (d1, d2) of the bytes and the number of starts, starts, size, bytes."""
 
     def run(batches):
         for part in slices(batches, rows=256, size=SLICE):
@@ -88,114 +85,156 @@ def cut_blocks(texts: DataFrame, length: int) -> DataFrame:
             for t1, t2, text, found in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "text", "found")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for b in found:
-                    piece = raw[b["first"] : b["last"] + length]
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(piece), "<i8")
-                    rows.append((b["core"], t1, t2, b["first"], digest[0], digest[1], len(piece), piece))
+                    starts = b["last"] - b["first"] + 1
+                    piece = raw[b["first"] : b["last"] + reach]
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(piece, starts), "<i8")
+                    rows.append((b["core"], t1, t2, b["first"], digest[0], digest[1], starts, len(piece), piece))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([(c, pa.int64()) for c in ("core", "t1", "t2", "first", "d1", "d2", "size")] + [("bytes", pa.binary())])
-    return texts.mapInArrow(run, "core long, t1 long, t2 long, first long, d1 long, d2 long, size long, bytes binary")
-
-
-def shard_repeats(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All strings of ``length`` bytes of some pieces: their pieces, their places in these, whether they repeat, whether they are the first of their kind, and their hashes."""
-    sizes = np.array([len(p) for p in pieces])
-    text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    strings = sizes - length + 1
-    piece = np.repeat(np.arange(len(pieces)), strings)
-    place = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = begins[piece] + place
-    order = suffix_array(text)
-    shared = permuted_common_prefixes(text, order) >= length
-    first = ~shared[at]
-    follows = np.zeros(len(text) + 1, bool)
-    follows[order[:-1]] = shared[order[1:]]
-    return piece, place, shared[at] | follows[at], first, Ranges(text).hash(at, at + length)
-
-
-def runs_of(places: np.ndarray, length: int) -> list[int]:
-    """Byte ranges [start, end, ...] covered by strings that start at ``places``, in order."""
+    schema = pa.schema([(c, pa.int64()) for c in ("core", "t1", "t2", "first", "d1", "d2", "starts", "size")] + [("bytes", pa.binary())])
+    return texts.mapInArrow(run, "core long, t1 long, t2 long, first long, d1 long, d2 long, starts long, size long, bytes binary")
+
+
+class Shard:
+    """The strings that begin in the first ``starts`` bytes of some pieces, by the suffix array of all their bytes: piece, place in it, and place in the buffer."""
+
+    def __init__(self, pieces: list[bytes], starts: np.ndarray):
+        sizes = np.array([len(p) for p in pieces])
+        self.text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        self.piece = np.repeat(np.arange(len(pieces)), starts)
+        self.place = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+        self.at = begins[self.piece] + self.place
+        self.left = sizes[self.piece] - self.place
+        order = suffix_array(self.text)
+        shared = permuted_common_prefixes(self.text, order)[order]
+        own = np.zeros(len(self.text), bool)
+        own[self.at] = True
+        ranks = np.flatnonzero(own[order])
+        before = np.minimum.reduceat(shared[: ranks[-1] + 1], np.append(0, ranks[:-1] + 1))
+        before[0] = 0
+        #: What the string at each place shares with the one before it and the one after it in the array, of those that begin in a piece.
+        self.before, self.after = np.zeros((2, len(self.text)), np.int64)
+        self.before[order[ranks]] = before
+        self.after[order[ranks]] = np.append(before[1:], 0)
+
+    def strings(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each string, whether it has ``length`` bytes, whether it repeats then, and whether it is the first of its kind."""
+        whole = self.left >= length
+        return whole, whole & ((self.before[self.at] >= length) | (self.after[self.at] >= length)), whole & (self.before[self.at] < length)
+
+
+def runs_of(places: np.ndarray, length: int) -> list[list[int]]:
+    """Byte ranges [start, end] covered by strings that start at ``places``, in order."""
     if not len(places):
         return []
     breaks = np.flatnonzero(np.diff(places) > length)
     starts, ends = places[np.append(0, breaks + 1)], places[np.append(breaks, len(places) - 1)] + length
-    return np.stack([starts, ends], 1).reshape(-1).tolist()
+    return np.stack([starts, ends], 1).tolist()
 
 
-def shard_arrays(dealt: DataFrame, length: int, tasks: int) -> DataFrame:
-    """For each piece of ``dealt`` (core, salt, shards, d1, d2, copies, bytes) its repeated ranges, and for cores of several shards the hashes of strings to compare across them, with their places (-1 for strings known to repeat)."""
+def shard_arrays(dealt: DataFrame, lengths: list[int], tasks: int) -> DataFrame:
+    """For each piece of ``dealt`` (core, salt, shards, d1, d2, copies, starts, bytes) its repeated ranges by length (three numbers each: length, begin, end), and for cores of several shards the hashes of strings to compare across them, with their lengths and places (-1 for strings known to repeat). A piece with copies has two places in the array."""
 
     def run(batches):
         rows, size, group = [], 0, None
 
         def flush():
-            out = []
-            piece, place, repeats, first, hashes = shard_repeats([r[6] for r in rows], length)
-            edges = np.searchsorted(piece, np.arange(len(rows) + 1))
-            for k, (core, _, shards, d1, d2, copies, raw) in enumerate(rows):
-                a, b = edges[k], edges[k + 1]
-                known = np.ones(b - a, bool) if copies > 1 else repeats[a:b]
-                across = first[a:b] if shards > 1 else np.zeros(b - a, bool)
-                out.append((core, d1, d2, [0, len(raw)] if copies > 1 else runs_of(place[a:b][known], length), hashes[a:b][across].view(np.int64), np.where(known, -1, place[a:b])[across]))
+            pieces, starts, index = [], [], []
+            for r in rows:
+                index.append(len(pieces))
+                for _ in range(min(r[5], 2)):
+                    pieces.append(r[7])
+                    starts.append(r[6])
+            shard = Shard(pieces, np.array(starts))
+            edges = np.searchsorted(shard.piece, np.append(index, len(pieces)))
+            found = [[] for _ in rows]
+            told = [([], [], []) for _ in rows]
+            hashes = Ranges(shard.text) if any(r[2] > 1 for r in rows) else None
+            for length in lengths:
+                whole, repeats, first = shard.strings(length)
+                for k, r in enumerate(rows):
+                    a = edges[k]
+                    b = a + r[6]  # of a piece's two copies, the ranges of one
+                    places = shard.place[a:b][repeats[a:b]]
+                    for begin, end in runs_of(places, length):
+                        found[k] += (length, begin, end)
+                    if r[2] > 1:
+                        kinds = np.flatnonzero(first[a : edges[k + 1]]) + a
+                        at = shard.at[kinds]
+                        told[k][0].extend(hashes.hash(at, at + length).view(np.int64).tolist())
+                        told[k][1].extend([length] * len(kinds))
+                        told[k][2].extend(np.where(repeats[kinds], -1, shard.place[kinds]).tolist())
+            out = [(*r[:1], *r[3:5], found[k], *told[k]) for k, r in enumerate(rows)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "salt", "shards", "d1", "d2", "copies", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "salt", "shards", "d1", "d2", "copies", "starts", "bytes")), strict=True):
                 if row[:2] != group and size >= SHARD:
                     yield flush()
                     rows, size = [], 0
                 group = row[:2]
                 rows.append(row)
-                size += len(row[6])
+                size += len(row[7]) * min(row[5], 2)
         if rows:
             yield flush()
 
-    schema = pa.schema([("core", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ranges", pa.list_(pa.int64())), ("strings", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
-    return dealt.repartition(tasks, "core", "salt").sortWithinPartitions("core", "salt", "d1", "d2").mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, places array<long>")
+    schema = pa.schema([(c, pa.int64()) for c in ("core", "d1", "d2")] + [(c, pa.list_(pa.int64())) for c in ("ranges", "strings", "lengths", "places")])
+    dealt = dealt.repartition(tasks, "core", "salt").sortWithinPartitions("core", "salt", "d1", "d2")
+    return dealt.mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, lengths array<long>, places array<long>")
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2 and the byte ranges (a, b) of each text that lie in repeated strings, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
-    found = stored(find_blocks(texts, length), "blocks")
+def repeated_ranges(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """t1, t2, length and the byte ranges (a, b) of each text that lie in repeated strings of that length, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
+    found = stored(find_blocks(texts, min(lengths)), "blocks")
     shared = checkpoint(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
     listed = found.join(shared, "core", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("core", "first", "last")).alias("found"))
     listed = checkpoint(listed)
     keys = listed.select("t1", "t2")
     near = texts.join(F.broadcast(keys), ["t1", "t2"], "left_semi") if listed.count() <= SMALL else texts
-    cut = stored(cut_blocks(near.join(listed, ["t1", "t2"]).select("t1", "t2", "text", "found"), length), "pieces")
+    cut = stored(cut_blocks(near.join(listed, ["t1", "t2"]).select("t1", "t2", "text", "found"), max(lengths)), "pieces")
 
-    kinds = checkpoint(cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.max("size").alias("size")))
-    cores = checkpoint(kinds.groupBy("core").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("copies").alias("most"), F.max("d1").alias("d1"), F.max("d2").alias("d2")))
-    alike = cores.filter("n = 1 and most > 1").select("core", "d1", "d2", F.lit(0).cast("long").alias("a"), F.col("b"))
-    several = cores.filter("n > 1").select("core", F.ceil(F.col("b") / SHARD).alias("shards"), "b")
+    kinds = checkpoint(cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.max("starts").alias("starts"), F.max("size").alias("size")))
+    cores = kinds.groupBy("core").agg(F.sum(F.least("copies", F.lit(2)) * F.col("size")).alias("b"))
     # Bytes are dealt by core and digest, as a core may be in most texts; only the short rows of kinds meet by core.
-    dealt = checkpoint(kinds.join(several.drop("b"), "core").select("core", "d1", "d2", "copies", "shards"))
+    dealt = checkpoint(kinds.join(cores.select("core", "b", F.ceil(F.col("b") / SHARD).alias("shards")), "core").select("core", "d1", "d2", "copies", "starts", "size", "shards"))
     pieces = cut.groupBy("core", "d1", "d2").agg(F.first("bytes").alias("bytes")).join(dealt, ["core", "d1", "d2"])
-    tasks = -(-(several.agg(F.sum("b")).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
-    told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), length, max(parts(texts.sparkSession), tasks)))
+    tasks = -(-(dealt.agg(F.sum(F.least("copies", F.lit(2)) * F.col("size"))).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
+    told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), lengths, max(parts(texts.sparkSession), tasks)))
 
-    strings = told.filter(F.size("strings") > 0).select("core", "d1", "d2", F.explode(F.arrays_zip("strings", "places")).alias("s")).select("core", "d1", "d2", F.col("s.strings").alias("string"), F.col("s.places").alias("place"))
+    strings = told.filter(F.size("strings") > 0).select("core", "d1", "d2", F.explode(F.arrays_zip("strings", "lengths", "places")).alias("s")).select("core", "d1", "d2", F.col("s.strings").alias("string"), F.col("s.lengths").alias("length"), F.col("s.places").alias("place"))
     twice = strings.groupBy("core", "string").agg(F.count("*").alias("n")).filter("n > 1").select("core", "string")
-    across = strings.filter("place >= 0").join(twice, ["core", "string"], "left_semi").select("core", "d1", "d2", F.col("place").alias("a"), (F.col("place") + length).alias("b"))
-    ranges = told.select("core", "d1", "d2", F.explode(F.expr("transform(sequence(0, size(ranges) div 2), i -> struct(get(ranges, 2 * i) as a, get(ranges, 2 * i + 1) as b))")).alias("r")).select("core", "d1", "d2", "r.a", "r.b").filter("a is not null")
-    placed = cut.select("core", "t1", "t2", "first", "d1", "d2").join(ranges.union(across).union(alike), ["core", "d1", "d2"])
-    return placed.select("t1", "t2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    across = strings.filter("place >= 0").join(twice, ["core", "string"], "left_semi").select("core", "d1", "d2", "length", F.col("place").alias("a"), (F.col("place") + F.col("length")).alias("b"))
+    ranges = told.select("core", "d1", "d2", F.explode(F.expr("transform(sequence(0, size(ranges) div 3), i -> struct(get(ranges, 3 * i) as length, get(ranges, 3 * i + 1) as a, get(ranges, 3 * i + 2) as b))")).alias("r")).select("core", "d1", "d2", "r.*").filter("a is not null")
+    placed = cut.select("core", "t1", "t2", "first", "d1", "d2").join(ranges.union(across), ["core", "d1", "d2"])
+    return placed.select("t1", "t2", "length", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+
 
+def merged(ranges) -> list[list[int]]:
+    """Sorted byte ranges (a, b) without overlaps; those that touch are one."""
+    out: list[list[int]] = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """All rows and columns of ``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept.
 
-    Texts are UTF-8 bytes, null as none. Bytes covered by a string of ``length`` bytes that starts anywhere else too, in the same text or another, are removed; all strings are judged on the input. _kept is what is left as text; a character that loses some of its bytes only is left out of it, but not of _kept_sha256. Repeated rows are two places, so both lose all strings; texts shorter than ``length`` lose nothing; an empty table gives an empty result. Other columns are kept, whatever their names; those with the names of the five are replaced.
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept, and with ``passage`` also _n_passages and _passage_bytes.
 
-    Texts meet by 128 bits of their hash. Matches of whole pieces go by a 128-bit digest and anchors by 64 bits; a collision of the latter only brings strangers to one shard.
+    Texts are UTF-8 bytes, null as none. Bytes covered by a string of ``length`` bytes that starts anywhere else too, in the same text or another, are removed; all strings are judged on the input. _kept is what is left as text; a character that loses some of its bytes only is left out of it, but not of _kept_sha256. _n_passages counts the maximal runs of bytes covered by repeated strings of ``passage`` bytes, and _passage_bytes their bytes; these are told, not removed. Repeated rows are two places, so both lose all strings; texts shorter than ``length`` lose nothing; an empty table gives an empty result. A very long text is hashed by one task in one piece, which takes about 50 bytes of memory for each of its bytes. Other columns are kept, whatever their names; those with the names of the operator's own are replaced. Jobs run while the result is being made.
+
+    Texts meet by 128 bits of their hash, and equal blocks by a 128-bit digest; anchors go by 64 bits, whose collisions only bring strangers to one shard. That strings repeat is read off the suffix arrays, but for strings whose anchors have more bytes than a shard, which meet by 64 bits of their hash below one anchor.
     """
+    lengths = sorted({length, passage or length})
     docs, old, (text,) = shielded(docs, text)
     keyed = docs.withColumns({"_t1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_t2": F.xxhash64(F.lit(5), F.coalesce(F.col(text), F.lit("")))})
-    texts = keyed.filter(F.octet_length(text) >= length).select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(text).alias("text"))
-    ranges = repeated_ranges(texts, length).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
-    ranges = checkpoint(ranges.agg(F.sort_array(F.collect_set(F.array("a", "b"))).alias("_ranges")))
+    texts = keyed.filter(F.octet_length(text) >= lengths[0]).select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col(text).alias("text"))
+    ranges = repeated_ranges(texts, lengths).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    ranges = checkpoint(ranges.agg(F.sort_array(F.collect_set(F.array("length", "a", "b"))).alias("_ranges")))
     if ranges.count() <= SMALL:  # only the texts that lose something are dealt anew
         keys = F.broadcast(ranges.select("_t1", "_t2"))
         whole = keyed.join(keys, ["_t1", "_t2"], "left_anti").withColumn("_ranges", F.lit(None).cast("array<array<bigint>>"))
@@ -203,31 +242,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     else:
         joined = keyed.join(ranges, ["_t1", "_t2"], "left").drop("_t1", "_t2")
     names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    own = {"_n_bytes": "long", "_n_removed": "long", "_n_spans": "long", "_kept_sha256": "string", "_kept": "string"} | ({"_n_passages": "long", "_passage_bytes": "long"} if passage else {})
+    types = [pa.int64() if t == "long" else pa.string() for t in own.values()]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{n} {t}" for n, t in own.items())])
 
     def run(batches):
         for part in slices(batches, column=text):
             out = []
             for value, found in zip(part.column(text).to_pylist(), part.column("_ranges").to_pylist(), strict=True):
                 raw = (value or "").encode("utf-8", "surrogatepass")
-                kept, at, spans, removed = [], 0, 0, 0
-                for a, b in found or ():
-                    if a > at or not spans:
-                        kept.append(raw[at:a])
-                        spans += 1
-                        removed += b - a
-                        at = b
-                    elif b > at:
-                        removed += b - at
-                        at = b
-                left = b"".join([*kept, raw[at:]])
-                out.append((len(raw), removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if spans else value))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept"])
-
-    return unshielded(joined.mapInArrow(run, f"{kinds}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept string"), old)
+                gone = merged(r[1:] for r in found or () if r[0] == length)
+                left = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(raw)], strict=True))
+                row = (len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if gone else value)
+                told = merged(r[1:] for r in found or () if r[0] == passage) if passage else ()
+                out.append((*row, len(told), sum(b - a for a, b in told))[: len(own)])
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, *own])
+
+    return unshielded(joined.mapInArrow(run, kinds), old)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return told.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+    """The contract's columns at 400 bytes, and the passages of 256 bytes or more that repeat, which it leaves in the text."""
+    told = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return told.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")))
