@@ -1,6 +1,6 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-``suffix_array`` sorts bytes: suffixes are classified as larger or smaller than the next, the leftmost-smaller (LMS) substrings are sorted by inducing and named, their order is found by recursion, and two passes over the buckets induce the rest. On bytes the passes work on whole buckets with numpy; the recursion, whose alphabet is as large as its string, is the plain linear algorithm.
+``suffix_array`` sorts bytes: suffixes are classified as larger or smaller than the next, the leftmost-smaller (LMS) substrings are sorted by inducing and named, their order is found by recursion, and two passes over the buckets induce the rest. On bytes the passes work on whole buckets with numpy. The recursion, whose alphabets are as large as their strings, ranks substrings and induces suffixes by sorting numbers (``sort_suffixes``), as a pass over so many buckets is slow in numpy.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     names[place] = np.concatenate([[0], np.cumsum(new)])
     if names.max() + 1 == len(lms):
         return induce(text, small, ordered)
-    return induce(text, small, lms[np.array(sort_names(names.tolist(), int(names.max()) + 1))])
+    return induce(text, small, lms[sort_suffixes(names)])
 
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
@@ -116,69 +116,55 @@ def _split(values: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
     return np.split(values[order], np.cumsum(np.bincount(keys, minlength=256))[:-1])
 
 
-def sort_names(s: list[int], alphabet: int) -> list[int]:
-    """The suffix array of names 0 to alphabet - 1, in linear time."""
+def sort_suffixes(s: np.ndarray) -> np.ndarray:
+    """The suffix array of integers from 0 on, of an alphabet as large as it likes; the end counts as the smallest.
+
+    One level of the recursion: places are classified as in ``suffix_array``, and the LMS substrings are ranked and named. If names repeat, their string is sorted by recursion. A suffix then follows from what stands before its next LMS suffix and from the rank of that one, which is one sort of numbers. Where types are part of the symbols, an LMS symbol never meets an equal one that is not LMS, so what stands before it decides as far as it differs.
+    """
     n = len(s)
-    if n < 2:
-        return list(range(n))
-    sizes = [0] * alphabet
-    for c in s:
-        sizes[c] += 1
-    if alphabet == n:  # all names differ
-        out = [0] * n
-        for i, c in enumerate(s):
-            out[c] = i
-        return out
-    small = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    heads, total = [0] * alphabet, 0
-    for c in range(alphabet):
-        heads[c] = total
-        total += sizes[c]
-    tails = [h + k for h, k in zip(heads, sizes, strict=True)]
-
-    def run(seeds: list[int]) -> list[int]:
-        out, end = [-1] * n, tails.copy()
-        for i in reversed(seeds):
-            c = s[i]
-            end[c] -= 1
-            out[end[c]] = i
-        head = heads.copy()
-        c = s[n - 1]
-        out[head[c]] = n - 1
-        head[c] += 1
-        for i in out:  # the list grows ahead of the loop
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                out[head[c]] = i - 1
-                head[c] += 1
-        end = tails.copy()
-        for k in range(n - 1, -1, -1):
-            i = out[k]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                end[c] -= 1
-                out[end[c]] = i - 1
-        return out
+    order = np.argsort(s, kind="stable")
+    if n < 2 or (np.diff(s[order]) > 0).all():
+        return order
+    text = np.append(s + 1, 0)  # the end is the last LMS suffix
+    small = smaller_types(text)
+    small[n] = True
+    stop = np.append(False, small[1:] & ~small[:-1])
+    lms = np.flatnonzero(stop)
+    symbol = text * 2 + small
+    places = np.arange(n + 1)
+    nearest = np.minimum.accumulate(np.where(stop, places, n)[::-1])[::-1]
+    after = np.append(nearest[1:], n)
+    follow = ranks_to(symbol, nearest - places)
+    own = dense(symbol[:n] * (follow.max() + 1) + follow[1:])
+    names = dense(own[lms[:-1]])
+    ranks = np.zeros(n + 1, np.int64)
+    ranks[lms[:-1][sort_suffixes(names)]] = np.arange(1, len(lms))
+    return np.argsort(own * len(lms) + ranks[after[:n]], kind="stable")
+
+
+def dense(keys: np.ndarray) -> np.ndarray:
+    """The ranks of numbers, equal ones alike, from 0 on."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))[: len(keys)]
+    return out
+
 
-    if not lms:
-        return run([])
-    mark = bytearray(n)
-    for i in lms:
-        mark[i] = 1
-    ends = {i: j + 1 for i, j in zip(lms, [*lms[1:], n], strict=False)}
-    ordered = [i for i in run(lms) if i >= 0 and mark[i]]
-    names, name, before = {}, -1, None
-    for i in ordered:
-        here = s[i : ends[i]] if i != lms[-1] else None
-        if here is None or here != before:
-            name += 1
-        names[i], before = name, here
-    if name + 1 == len(lms):
-        return run(ordered)
-    return run([lms[k] for k in sort_names([names[i] for i in lms], name + 1)])
+def ranks_to(symbol: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Ranks of the strings of symbols from each place to the one at its ``distance``; prefixes of two or three times the length at a time."""
+    ranks, length, longest = symbol, 1, int(distance.max()) + 1 if len(distance) else 0
+    while length < longest:
+        base = int(ranks.max()) + 2
+        key = ranks
+        steps = 3 if base**3 < 1 << 62 else 2
+        for k in range(1, steps):
+            more = np.zeros(len(ranks), np.int64)
+            at = np.flatnonzero(distance >= k * length)
+            more[at] = ranks[at + k * length] + 1
+            key = key * base + more
+        ranks, length = dense(key), length * steps
+    return ranks
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -1,10 +1,10 @@
 """Removal of repeated strings with suffix arrays of shards.
 
-A string of ``length`` bytes is owned by its least hashed 96-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, so every string of a block holds the anchor. A block whose anchor is found once holds no repeated string. The other blocks' bytes go to shards by anchor, equal blocks in two copies at most; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Equal strings have equal anchors, so they meet in one shard.
+A string of ``length`` bytes is owned by its least hashed 96-gram, its anchor, wherever it stands. Runs of strings with one anchor form a block, so every string of a block holds the anchor. A block whose anchor is found once holds no repeated string. Each other anchor has a home, the least text that holds it, or itself where that text's anchors have too many bytes; neighbouring blocks of one home are cut out together, in pieces that begin at anchors chosen by hash, so that copies are cut alike. Pieces go to shards by home; a shard's suffix array is induced, and the permuted common prefixes tell which of its strings repeat. Of equal pieces two stand in the array at most, and as the suffixes of the second would follow those of the first, each right behind its twin, only one is sorted. Equal strings have equal anchors, and so one home, so they meet in one shard.
 
 Several lengths are judged at once: blocks are those of the least length, their bytes reach as far as the greatest one, and a longer string is owned by the block of its beginning.
 
-An anchor with more bytes than a shard is dealt to several. Each then hands on digests of its different strings, and those that two shards have repeat as well.
+A home with more bytes than two shards is dealt to several. Each then hands on digests of its different strings, and those that two shards have repeat as well.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ GRAM = 96
 #: Bytes of a shard, about, and of the texts that are hashed at a time.
 SHARD = 1 << 20
 SLICE = 1 << 19
+#: Blocks of a piece, on average.
+MERGE = 32
 #: Rows of a table of keys that is broadcast, at most; larger ones are joined by a shuffle.
 SMALL = 200_000
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -77,29 +79,34 @@ def find_blocks(texts: DataFrame, length: int) -> DataFrame:
 
 
 def cut_blocks(texts: DataFrame, reach: int) -> DataFrame:
-    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found), up to ``reach`` from their last starts: core, t1, t2, first, digest (d1, d2) of the bytes and the number of starts, starts, size, bytes."""
+    """The bytes of the blocks listed in ``texts`` (t1, t2, text, found), up to ``reach`` from their last starts, neighbours of one home together: home, t1, t2, first, digest (d1, d2) of the bytes and the number of starts, starts, size, bytes."""
 
     def run(batches):
         for part in slices(batches, rows=256, size=SLICE):
             rows = []
             for t1, t2, text, found in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "text", "found")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                for b in found:
-                    starts = b["last"] - b["first"] + 1
-                    piece = raw[b["first"] : b["last"] + reach]
+                merged: list[list[int]] = []
+                for first, last, core, home in sorted((b["first"], b["last"], b["core"], b["home"]) for b in found):
+                    if merged and core % MERGE and merged[-1][2] == home and merged[-1][1] + 1 == first:
+                        merged[-1][1] = last
+                    else:
+                        merged.append([first, last, home])
+                for first, last, home in merged:
+                    starts, piece = last - first + 1, raw[first : last + reach]
                     digest = np.frombuffer(xxhash.xxh3_128_digest(piece, starts), "<i8")
-                    rows.append((b["core"], t1, t2, b["first"], digest[0], digest[1], starts, len(piece), piece))
+                    rows.append((home, t1, t2, first, digest[0], digest[1], starts, len(piece), piece))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([(c, pa.int64()) for c in ("core", "t1", "t2", "first", "d1", "d2", "starts", "size")] + [("bytes", pa.binary())])
-    return texts.mapInArrow(run, "core long, t1 long, t2 long, first long, d1 long, d2 long, starts long, size long, bytes binary")
+    schema = pa.schema([(c, pa.int64()) for c in ("home", "t1", "t2", "first", "d1", "d2", "starts", "size")] + [("bytes", pa.binary())])
+    return texts.mapInArrow(run, "home long, t1 long, t2 long, first long, d1 long, d2 long, starts long, size long, bytes binary")
 
 
 class Shard:
-    """The strings that begin in the first ``starts`` bytes of some pieces, by the suffix array of all their bytes: piece, place in it, and place in the buffer."""
+    """The strings that begin in the first ``starts`` bytes of some pieces, by the suffix array of all their bytes: piece, place in it, and place in the buffer. Pieces with a copy are ``twice`` in the array, each suffix of the copy next to its twin."""
 
-    def __init__(self, pieces: list[bytes], starts: np.ndarray):
+    def __init__(self, pieces: list[bytes], starts: np.ndarray, twice: np.ndarray):
         sizes = np.array([len(p) for p in pieces])
         self.text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
         begins = np.cumsum(sizes + 1) - sizes - 1
@@ -107,6 +114,7 @@ class Shard:
         self.place = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
         self.at = begins[self.piece] + self.place
         self.left = sizes[self.piece] - self.place
+        self.twin = twice[self.piece]
         order = suffix_array(self.text)
         shared = permuted_common_prefixes(self.text, order)[order]
         own = np.zeros(len(self.text), bool)
@@ -115,14 +123,14 @@ class Shard:
         before = np.minimum.reduceat(shared[: ranks[-1] + 1], np.append(0, ranks[:-1] + 1))
         before[0] = 0
         #: What the string at each place shares with the one before it and the one after it in the array, of those that begin in a piece.
-        self.before, self.after = np.zeros((2, len(self.text)), np.int64)
+        self.before, self.after = np.zeros((2, len(self.text)), np.int32)
         self.before[order[ranks]] = before
         self.after[order[ranks]] = np.append(before[1:], 0)
 
     def strings(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each string, whether it has ``length`` bytes, whether it repeats then, and whether it is the first of its kind."""
         whole = self.left >= length
-        return whole, whole & ((self.before[self.at] >= length) | (self.after[self.at] >= length)), whole & (self.before[self.at] < length)
+        return whole, whole & (self.twin | (self.before[self.at] >= length) | (self.after[self.at] >= length)), whole & (self.before[self.at] < length)
 
 
 def runs_of(places: np.ndarray, length: int) -> list[list[int]]:
@@ -135,33 +143,27 @@ def runs_of(places: np.ndarray, length: int) -> list[list[int]]:
 
 
 def shard_arrays(dealt: DataFrame, lengths: list[int], tasks: int) -> DataFrame:
-    """For each piece of ``dealt`` (core, salt, shards, d1, d2, copies, starts, bytes) its repeated ranges by length (three numbers each: length, begin, end), and for cores of several shards the hashes of strings to compare across them, with their lengths and places (-1 for strings known to repeat). A piece with copies has two places in the array."""
+    """For each piece of ``dealt`` (home, salt, shards, d1, d2, copies, starts, bytes) its repeated ranges by length (three numbers each: length, begin, end), and for homes of several shards the hashes of strings to compare across them, with their lengths and places (-1 for strings known to repeat)."""
 
     def run(batches):
         rows, size, group = [], 0, None
 
         def flush():
-            pieces, starts, index = [], [], []
-            for r in rows:
-                index.append(len(pieces))
-                for _ in range(min(r[5], 2)):
-                    pieces.append(r[7])
-                    starts.append(r[6])
-            shard = Shard(pieces, np.array(starts))
-            edges = np.searchsorted(shard.piece, np.append(index, len(pieces)))
+            starts = np.array([r[6] for r in rows])
+            shard = Shard([r[7] for r in rows], starts, np.array([r[5] > 1 for r in rows]))
+            edges = np.append(0, np.cumsum(starts))
             found = [[] for _ in rows]
             told = [([], [], []) for _ in rows]
             hashes = Ranges(shard.text) if any(r[2] > 1 for r in rows) else None
             for length in lengths:
                 whole, repeats, first = shard.strings(length)
                 for k, r in enumerate(rows):
-                    a = edges[k]
-                    b = a + r[6]  # of a piece's two copies, the ranges of one
+                    a, b = edges[k], edges[k + 1]
                     places = shard.place[a:b][repeats[a:b]]
                     for begin, end in runs_of(places, length):
                         found[k] += (length, begin, end)
                     if r[2] > 1:
-                        kinds = np.flatnonzero(first[a : edges[k + 1]]) + a
+                        kinds = np.flatnonzero(first[a:b]) + a
                         at = shard.at[kinds]
                         told[k][0].extend(hashes.hash(at, at + length).view(np.int64).tolist())
                         told[k][1].extend([length] * len(kinds))
@@ -170,44 +172,47 @@ def shard_arrays(dealt: DataFrame, lengths: list[int], tasks: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "salt", "shards", "d1", "d2", "copies", "starts", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "shards", "d1", "d2", "copies", "starts", "bytes")), strict=True):
                 if row[:2] != group and size >= SHARD:
                     yield flush()
                     rows, size = [], 0
                 group = row[:2]
                 rows.append(row)
-                size += len(row[7]) * min(row[5], 2)
+                size += len(row[7])
         if rows:
             yield flush()
 
-    schema = pa.schema([(c, pa.int64()) for c in ("core", "d1", "d2")] + [(c, pa.list_(pa.int64())) for c in ("ranges", "strings", "lengths", "places")])
-    dealt = dealt.repartition(tasks, "core", "salt").sortWithinPartitions("core", "salt", "d1", "d2")
-    return dealt.mapInArrow(run, "core long, d1 long, d2 long, ranges array<long>, strings array<long>, lengths array<long>, places array<long>")
+    schema = pa.schema([(c, pa.int64()) for c in ("home", "d1", "d2")] + [(c, pa.list_(pa.int64())) for c in ("ranges", "strings", "lengths", "places")])
+    dealt = dealt.repartition(tasks, "home", "salt").sortWithinPartitions("home", "salt", "d1", "d2")
+    return dealt.mapInArrow(run, "home long, d1 long, d2 long, ranges array<long>, strings array<long>, lengths array<long>, places array<long>")
 
 
 def repeated_ranges(texts: DataFrame, lengths: list[int]) -> DataFrame:
     """t1, t2, length and the byte ranges (a, b) of each text that lie in repeated strings of that length, in no order and overlapping; ``texts`` has t1, t2 and text for each row."""
     found = stored(find_blocks(texts, min(lengths)), "blocks")
-    shared = checkpoint(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
-    listed = found.join(shared, "core", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("core", "first", "last")).alias("found"))
-    listed = checkpoint(listed)
+    cores = found.groupBy("core").agg(F.count("*").alias("n"), F.min("t1").alias("home"), F.sum(F.col("last") - F.col("first") + 1).alias("b")).filter("n > 1")
+    cores = checkpoint(cores.select("core", "home", "b"))
+    small = cores.groupBy("home").agg(F.sum("b").alias("b")).filter(F.col("b") <= SHARD // 2).select("home", F.lit(True).alias("small"))
+    homes = checkpoint(cores.join(small, "home", "left").select("core", F.when(F.col("small"), F.col("home")).otherwise(F.col("core")).alias("home")))
+    listed = checkpoint(found.join(homes, "core").groupBy("t1", "t2").agg(F.collect_set(F.struct("home", "core", "first", "last")).alias("found")))
     keys = listed.select("t1", "t2")
     near = texts.join(F.broadcast(keys), ["t1", "t2"], "left_semi") if listed.count() <= SMALL else texts
     cut = stored(cut_blocks(near.join(listed, ["t1", "t2"]).select("t1", "t2", "text", "found"), max(lengths)), "pieces")
 
-    kinds = checkpoint(cut.groupBy("core", "d1", "d2").agg(F.count("*").alias("copies"), F.max("starts").alias("starts"), F.max("size").alias("size")))
-    cores = kinds.groupBy("core").agg(F.sum(F.least("copies", F.lit(2)) * F.col("size")).alias("b"))
-    # Bytes are dealt by core and digest, as a core may be in most texts; only the short rows of kinds meet by core.
-    dealt = checkpoint(kinds.join(cores.select("core", "b", F.ceil(F.col("b") / SHARD).alias("shards")), "core").select("core", "d1", "d2", "copies", "starts", "size", "shards"))
-    pieces = cut.groupBy("core", "d1", "d2").agg(F.first("bytes").alias("bytes")).join(dealt, ["core", "d1", "d2"])
-    tasks = -(-(dealt.agg(F.sum(F.least("copies", F.lit(2)) * F.col("size"))).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
+    piece = ["home", "d1", "d2"]
+    kinds = checkpoint(cut.groupBy(*piece).agg(F.count("*").alias("copies"), F.max("starts").alias("starts"), F.max("size").alias("size")))
+    sizes = kinds.groupBy("home").agg(F.sum("size").alias("b"))
+    # Bytes are dealt by home and digest, as a home may be in most texts; only the short rows of kinds meet by home.
+    dealt = checkpoint(kinds.join(sizes.select("home", F.ceil(F.col("b") / (2 * SHARD)).alias("shards")), "home").select(*piece, "copies", "starts", "size", "shards"))
+    pieces = cut.groupBy(*piece).agg(F.first("bytes").alias("bytes")).join(dealt, piece)
+    tasks = -(-(dealt.agg(F.sum("size")).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
     told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), lengths, max(parts(texts.sparkSession), tasks)))
 
-    strings = told.filter(F.size("strings") > 0).select("core", "d1", "d2", F.explode(F.arrays_zip("strings", "lengths", "places")).alias("s")).select("core", "d1", "d2", F.col("s.strings").alias("string"), F.col("s.lengths").alias("length"), F.col("s.places").alias("place"))
-    twice = strings.groupBy("core", "string").agg(F.count("*").alias("n")).filter("n > 1").select("core", "string")
-    across = strings.filter("place >= 0").join(twice, ["core", "string"], "left_semi").select("core", "d1", "d2", "length", F.col("place").alias("a"), (F.col("place") + F.col("length")).alias("b"))
-    ranges = told.select("core", "d1", "d2", F.explode(F.expr("transform(sequence(0, size(ranges) div 3), i -> struct(get(ranges, 3 * i) as length, get(ranges, 3 * i + 1) as a, get(ranges, 3 * i + 2) as b))")).alias("r")).select("core", "d1", "d2", "r.*").filter("a is not null")
-    placed = cut.select("core", "t1", "t2", "first", "d1", "d2").join(ranges.union(across), ["core", "d1", "d2"])
+    strings = told.filter(F.size("strings") > 0).select(*piece, F.explode(F.arrays_zip("strings", "lengths", "places")).alias("s")).select(*piece, F.col("s.strings").alias("string"), F.col("s.lengths").alias("length"), F.col("s.places").alias("place"))
+    twice = strings.groupBy("home", "string").agg(F.count("*").alias("n")).filter("n > 1").select("home", "string")
+    across = strings.filter("place >= 0").join(twice, ["home", "string"], "left_semi").select(*piece, "length", F.col("place").alias("a"), (F.col("place") + F.col("length")).alias("b"))
+    ranges = told.select(*piece, F.explode(F.expr("transform(sequence(0, size(ranges) div 3), i -> struct(get(ranges, 3 * i) as length, get(ranges, 3 * i + 1) as a, get(ranges, 3 * i + 2) as b))")).alias("r")).select(*piece, "r.*").filter("a is not null")
+    placed = cut.select("t1", "t2", "first", *piece).join(ranges.union(across), piece)
     return placed.select("t1", "t2", "length", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
