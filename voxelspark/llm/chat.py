@@ -1,6 +1,6 @@
 """Chat formatting with collapse of cumulative snapshots.
 
-Logged conversations often repeat an earlier log and add turns. A rolling hash of each prefix of turns finds the conversations that begin longer ones; an anti-join keeps the maximal conversations, one of each group of equal ones, and these are rendered. DataFrame functions only.
+Logged conversations often repeat an earlier log and add turns. A rolling hash of each prefix of turns finds the conversations that begin longer ones; an anti-join keeps the maximal conversations, one of each group of equal ones; then the turns of these alone are rendered. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -21,24 +21,25 @@ def maximal_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "
 
     The hash of a prefix is the sum, modulo nothing, of 128 hashed bits of (place, role, text) of its turns, in four sums of 32 bits that cannot overflow; so a window computes it in one pass, and equal prefixes have equal hashes wherever they stand. A conversation is one row of the result, so it must fit a task; groups of equal conversations or of equal prefixes are counted, never gathered.
     """
-    mark = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-"))
+    mark = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    ordered = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("k", F.row_number().over(ordered))
+    rows = rows.withColumn("key", mark("conv_id")).repartition(parts(turns.sparkSession), "key")  # the one shuffle of the texts serves all that follows
+    ordered = W.partitionBy("key").orderBy("turn", "role", "text")
+    hashed = rows.withColumn("k", F.row_number().over(ordered))
     hashes = {"h1": F.xxhash64("k", mark("role"), mark("text")), "h2": F.xxhash64(mark("text"), F.lit(7), mark("role"), "k")}
-    running = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    running = W.partitionBy("key").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
     half = lambda h, high: F.shiftrightunsigned(h, 32) if high else F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))
     sums = [F.sum(half(h, high)).over(running).cast("string") for h in hashes for high in (True, False)]
-    rows = rows.withColumns(hashes).withColumns({"prefix": F.concat_ws(":", "k", *sums), "last": F.lead("k").over(ordered).isNull()})
+    hashed = hashed.withColumns(hashes).withColumns({"prefix": F.concat_ws(":", "k", *sums), "last": F.lead("k").over(ordered).isNull()})
 
-    prefixes = rows.filter(~F.col("last")).select("prefix").distinct()
-    whole = rows.filter("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.max("k").cast("long").alias("n_turns"), F.count("*").alias("n_copies"))
-    kept = whole.join(prefixes, "prefix", "left_anti").drop("prefix")
+    prefixes = hashed.filter(~F.col("last")).select("prefix").distinct()
+    whole = hashed.filter("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.max("k").cast("long").alias("n_turns"), F.count("*").alias("n_copies"))
+    kept = whole.join(prefixes, "prefix", "left_anti").select(mark("conv_id").alias("key"), "conv_id", "n_turns", "n_copies")
 
-    said = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    rendered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", said.alias("s")))).alias("turns"))
-    rendered = rendered.select(F.col("conv_id").alias("id"), F.array_join(F.transform("turns", lambda t: t["s"]), "").alias("text"))
-    return kept.join(rendered, F.col("conv_id").eqNullSafe(F.col("id"))).select("conv_id", "n_turns", "n_copies", "text")
+    said = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"].cast("string"), F.lit("unknown")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE))
+    told = rows.join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rendered = told.select("key", F.array_join(F.transform("turns", said), "").alias("text"))
+    return kept.join(rendered, "key").select("conv_id", "n_turns", "n_copies", "text")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
