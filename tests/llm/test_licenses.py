@@ -1,5 +1,4 @@
-from voxelspark.llm.licenses import LICENSES, scan_licenses
-
+from voxelspark.llm.licenses import LICENSES, read_licenses, scan_licenses
 
 
 def test_variants_are_found_and_others_not(spark):
@@ -17,5 +16,19 @@ def test_variants_are_found_and_others_not(spark):
     assert digests[7] is None and digests[8] == digests[9]
 
 
+def test_every_known_text_is_found(spark):
+    got = scan_licenses(spark.createDataFrame([(i, "Copyright (c) 2001 A. Person\n" + t.upper()) for i, (_, t) in enumerate(LICENSES)], "doc_id long, text string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {i: name for i, (name, _) in enumerate(LICENSES)}
+
+
+def test_licenses_of_a_folder(spark, tmp_path):
+    long = "\n".join(f"{i}. You must honour clause {i} of this licence." for i in range(3000))
+    (tmp_path / "Long-1.0.txt").write_text("The Long License\n" + long)
+    (tmp_path / "Short 2").write_text("Do what you like.")
+    rows = [(1, "THE LONG LICENCE\nCopyright 1999 B\n" + long.replace("honour", "honor")), (2, "do what you like"), (3, long)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), read_licenses(spark, str(tmp_path)))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {1: "Long-1.0", 2: "Short 2", 3: None}
+
+
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -5,8 +5,6 @@ A text's canonical form has no copyright lines, lower case, one spelling of word
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +18,25 @@ EQUIVALENT = (
     ("recognis", "recogniz"), ("serialis", "serializ"), ("unauthoris", "unauthoriz"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("https://", "http://"),
 )
 COPYRIGHT = r"(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TYPOGRAPHIC = "‘’“”„«»–—…•·©®™   ﻿"
+#: What a copyright line has.
+MARKS = ("copyright", "(c)", "©", "all rights reserved")
+#: ASCII but letters and digits, and typographic marks, spaces and signs.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”„«»–—…•·©®™\x{A0}\x{2028}\x{2029}\x{FEFF}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT_0 = _MIT.replace("do so, subject to the following conditions:", "do so.").split("\n")
+_MIT_0 = _MIT_0[0] + "\n" + _MIT_0[2]
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
 _ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_1 = "\n".join(_BSD.split("\n")[:2])
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain.
@@ -43,15 +49,18 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-#: Public licence texts, each with its usual title and without.
+# Public licence texts, each with its usual titles and without.
 LICENSES = tuple(
     (name, lead + text)
     for name, titles, text in (
         ("0BSD", ("Zero-Clause BSD", "BSD Zero Clause License"), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_END),
+        ("BSD-1-Clause", ("BSD 1-Clause License",), _BSD_1 + "\n" + _BSD_END),
         ("BSD-2-Clause", ("BSD 2-Clause License", "The 2-Clause BSD License"), _BSD + "\n" + _BSD_END),
         ("BSD-3-Clause", ("BSD 3-Clause License", "The 3-Clause BSD License"), _BSD + "\n" + _BSD_THIRD + "\n" + _BSD_END),
+        ("BSL-1.0", ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"), _BOOST),
         ("ISC", ("ISC License", "The ISC License"), _ISC + "\n" + _ISC_END),
         ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)"), _MIT),
+        ("MIT-0", ("MIT No Attribution", "MIT-0 License"), _MIT_0),
         ("Unlicense", ("The Unlicense",), _UNLICENSE),
         ("Zlib", ("zlib License", "The zlib License"), _ZLIB),
     )
@@ -62,26 +71,37 @@ SMALL = 100_000
 
 
 def canonical(text: Column) -> Column:
-    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    out = F.regexp_replace(low, COPYRIGHT, "\n")
-    for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.translate(F.regexp_replace(out, PUNCTUATION, ""), TYPOGRAPHIC, "")
+    """The text that is hashed. Copyright lines are sought only where a text has one of their ``MARKS``, and a spelling is replaced only where it occurs, as both checks are cheaper."""
+    low = F.lower(text)
+    marked = F.lit(False)
+    for mark in MARKS:
+        marked = marked | low.contains(mark)
+    out = F.when(marked, F.regexp_replace(low, COPYRIGHT, "\n")).otherwise(low)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EQUIVALENT))
+    out = F.aggregate(pairs, out, lambda t, p: F.when(t.contains(p["a"]), F.replace(t, p["a"], p["b"])).otherwise(t))
+    return F.regexp_replace(out, PUNCTUATION, "")
+
+
+def read_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """license_id and text of the files of a folder, one text a file, named by its license_id with or without ".txt"."""
+    files = spark.read.text(folder, wholetext=True)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]*?)(\.txt)?$", 1)
+    return files.select(name.alias("license_id"), F.col("value").alias("text"))
 
 
 def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
-    """license_id and digest of each known text; of several with one digest, the least license_id."""
-    texts = spark.createDataFrame(list(licenses), "license_id string, text string")
+    """license_id and digest of each known text; of several with one digest, the least license_id. ``licenses`` is a sequence of (license_id, text) or a DataFrame of them."""
+    texts = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(list(licenses), "license_id string, text string")
     return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, licenses=LICENSES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, digest of the canonical text, and license_id (null if the text is no known licence).
+    """A row for each row of ``docs``: doc_id, digest of the canonical text, and license_id (null if the text is no known licence). ``licenses`` is as in ``known_digests``; a DataFrame (``read_licenses``) is joined as its size asks.
 
-    Null text: null digest and license_id. Empty texts, and those of punctuation and copyright lines only, have the digest of nothing, which no licence has. Repeated rows and null ids stay as they are; an empty table gives an empty result; other columns are left out.
+    Null text: null digest and license_id. Empty texts, and those of punctuation and copyright lines only, have the digest of nothing, which no licence has. Texts of any length are taken whole, a text in one task. Repeated rows and null ids stay as they are; an empty table gives an empty result; other columns are left out.
     """
     known = known_digests(docs.sparkSession, licenses)
-    known = F.broadcast(known) if len(licenses) <= SMALL else known
+    known = known if isinstance(licenses, DataFrame) or len(licenses) > SMALL else F.broadcast(known)
     told = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(canonical(F.col(text)), 256).alias("digest"))
     return told.join(known, "digest", "left").select("doc_id", "digest", "license_id")
 
@@ -92,10 +112,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), {quote(COPYRIGHT)}, chr(10), 'g')"
+    out = f"regexp_replace(lower({text}), {quote(COPYRIGHT)}, chr(10), 'g')"
     for a, b in EQUIVALENT:
         out = f"replace({out}, {quote(a)}, {quote(b)})"
-    return f"sha256(translate(regexp_replace({out}, {quote(PUNCTUATION)}, '', 'g'), {quote(TYPOGRAPHIC)}, ''))"
+    return f"sha256(regexp_replace({out}, {quote(PUNCTUATION)}, '', 'g'))"
 
 
 def _values() -> str:
