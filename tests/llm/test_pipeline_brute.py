@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from test_minhash import brute as classes
+from test_mixing import nearest
 from test_packing import plain_best_fit
 from tokenizers import Tokenizer
 
@@ -79,10 +80,8 @@ def copies(rows):
         sizes[s] += words(t)
     targets, out = source_targets(sizes), {}
     for s in sizes:
-        at = 0
-        for _, i, n in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, words(t)) for i, t, _, x, _ in rows if x == s):
-            out[i] = sum(at + k * sizes[s] + n / 2 < targets[s] for k in range(3))
-            at += n
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, words(t)) for i, t, _, x, _ in rows if x == s)
+        out |= {i: k for (_, i, _), (_, k) in zip(mine, nearest([n for _, _, n in mine], sizes[s], targets[s]))}
     return out
 
 
