@@ -7,7 +7,7 @@ import pytest
 
 from voxelspark.llm import minhash
 from voxelspark.llm.common import text_buffer
-from voxelspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, shingle_units
+from voxelspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, shingle_counts
 
 
 def multiset(text):
@@ -70,13 +70,24 @@ def test_signatures_estimate_weighted_similarity():
     b = " ".join(f"w{i}" for i in range(60, 300)) + " " + "again " * 40
     import pyarrow as pa
 
-    units, doc = shingle_units(*text_buffer(pa.array([a, b, "", "short"])))
-    s = dart_signatures(units, doc, 4, 4000)
+    s = dart_signatures(*shingle_counts(*text_buffer(pa.array([a, b, "", "short"]))), 4, 4000)
     assert (s[0] == s[1]).mean() == pytest.approx(similarity(multiset(a), multiset(b)), abs=0.03)
     assert not s[2].any() and s[3].all()
     assert len(np.unique(s[3])) == 4000
 
 
+def test_signatures_of_any_weights():
+    """Weights that are no counts, from a fraction of one region to several regions."""
+    rng = np.random.default_rng(4)
+    a, b = rng.uniform(0.05, 9, (2, 200))
+    b[:120] = a[:120] * rng.uniform(0.7, 1.3, 120)
+    elements = rng.integers(1, 1 << 63, 200).astype(np.uint64)
+    s = dart_signatures(np.tile(elements, 2), np.repeat([0, 1], 200), np.concatenate([a, b]), 2, 6000)
+    assert (s[0] == s[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.025)
+    alone = dart_signatures(elements, np.zeros(200, int), a, 1, 6000)
+    assert (alone[0] == s[0]).all()
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60) if i != 30] + [(100, 101), (101, 102), (100, 102)]
     random.Random(1).shuffle(edges)

@@ -1,10 +1,12 @@
 """MinHash near-deduplication with DartMinHash signatures.
 
-A document is the multiset of its five-word shingles, weighted by their counts; similarity is the weighted Jaccard of two such multisets. Each unit of weight is a region into which hashed darts fall, a Poisson number to each unit of rank; every coordinate of the signature keeps its earliest dart. Signatures agree in a coordinate with the probability of the similarity. Equal multisets are one node. Nodes that share a band of the signature are compared with one leader of the band's bucket by their exact similarity; members that are then still of different classes are all compared with each other. Classes are the connected components of the links that hold.
+A document is the multiset of its five-word shingles, weighted by their counts; similarity is the weighted Jaccard of two such multisets. Hashed darts fall on each element's plane of weight and rank, a Poisson number into each of its cells; those below the element's weight are its own, and every coordinate of the signature keeps the one of least rank. Signatures agree in a coordinate with the probability of the similarity. Equal multisets are one node. Nodes that share a band of the signature are compared with one leader of the band's bucket by their exact similarity; members that are then still of different classes are all compared with each other. Classes are the connected components of the links that hold.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +24,14 @@ _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 def _poisson() -> np.ndarray:
-    share, total, out = np.exp(-1.0), 0.0, []
-    for n in range(1, 12):
-        total += share
-        out.append(min(int(total * 2.0**64), 2**64 - 1))
-        share /= n
+    """64-bit numbers below which a cell holds at most 0, 1, ... darts of one expected; what lies above the last is less than one in 2^64."""
+    with localcontext() as exact:
+        exact.prec = 40
+        share, total, out = Decimal(-1).exp(), Decimal(0), []
+        for n in range(1, 24):
+            total += share
+            out.append(min(int(total * 2**64), 2**64 - 1))
+            share /= n
     return np.array(out, np.uint64)
 
 
@@ -38,12 +43,12 @@ def within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def shingle_units(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Units of weight and their documents: a hash for each occurrence of a shingle, numbered within its document. A document of fewer words is one shingle of all its words; without words it has none."""
+def shingle_counts(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each document, their documents and their counts. A document of fewer words is one shingle of all its words; without words it has none."""
     n = len(offsets) - 1
     starts, ends, doc = spans(~SPACE[data], offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = Ranges(data).hash(starts, ends)
     total = np.bincount(doc, minlength=n)
     first = np.cumsum(total) - total
@@ -59,33 +64,44 @@ def shingle_units(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     order = np.lexsort((shingles, of))
     shingles = shingles[order]
     new = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (of[1:] != of[:-1])])
-    runs = np.diff(np.concatenate([np.flatnonzero(new), [len(new)]]))
-    return mixed(shingles + within(runs).astype(np.uint64) * _C[0]), of
+    at = np.flatnonzero(new)
+    return shingles[at], of[at], np.diff(np.append(at, len(new)))
+
+
+def units_of(shingles: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each occurrence of a shingle, numbered within its document, and their documents: sets of these have the weighted similarity of the multisets."""
+    return mixed(np.repeat(shingles, counts) + within(counts).astype(np.uint64) * _C[0]), np.repeat(doc, counts)
+
 
+def dart_signatures(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """k coordinates for each of n documents of weighted elements (hash, document, weight): the dart of least rank in each, 0 for documents without elements.
 
-def dart_signatures(units: np.ndarray, doc: np.ndarray, n: int, k: int) -> np.ndarray:
-    """k coordinates for each of n documents: the earliest dart in each, 0 for documents without units.
+    The plane of an element is cut into regions that double: region v holds the weights from 2^v - 1 to 2^(v+1) - 1, in cells as wide as the region and 2^-v high, so each cell has the area 1 and one dart is expected in it. The cells are the same for all documents; an element visits the regions up to its weight, and in each the cells up to the rank that is wanted, so heavy elements cost about their weight times that rank and not their weight. Darts beyond the weight or the rank do not count.
 
-    Darts up to a rank of t / weight, t = k ln k + 2 k, fill nearly all coordinates; documents that miss one look up to twice that rank, and so on. Earlier ranks come first either way, so the bound does not change what a coordinate holds.
+    Darts up to a rank of t / (a document's weight), t = k ln k + 2 k, fill nearly all coordinates; documents that miss one look up to twice that rank, and so on. Lower ranks come first either way, so the bound does not change what a coordinate holds.
     """
     out = np.zeros((n, k), np.uint64)
-    weight = np.bincount(doc, minlength=n)
-    bound = (k * np.log(k) + 2 * k) / np.maximum(weight, 1)
-    open_ = weight > 0
+    total = np.bincount(doc, weights=weight, minlength=n)
+    bound = (k * np.log(k) + 2 * k) / np.where(total > 0, total, 1)
+    open_ = total > 0
     while open_.any():
-        at = np.flatnonzero(open_[doc])
-        cells = np.ceil(bound[doc[at]]).astype(np.int64)
-        cell_unit, rank = np.repeat(at, cells), within(cells)
-        cell = mixed(units[cell_unit] + rank.astype(np.uint64) * _C[1])
-        darts = np.searchsorted(POISSON, cell, "right")
-        which = np.repeat(np.arange(len(cell)), darts)
-        dart = mixed(cell[which] + (within(darts).astype(np.uint64) + np.uint64(1)) * _C[2])
-        when = rank[which] + (dart >> np.uint64(11)) * 2.0**-53
-        of = doc[cell_unit[which]]
-        early = when <= bound[of]
-        dart, when, of = mixed(dart[early] ^ _C[3]), when[early], of[early]
+        found = []
+        for v in range(int(np.log2(weight.max() + 1)) + 1):
+            at = np.flatnonzero(open_[doc] & (weight > 2**v - 1))
+            cells = np.ceil(bound[doc[at]] * 2**v).astype(np.int64)
+            place, row = np.repeat(at, cells), within(cells)
+            cell = mixed(elements[place] + row.astype(np.uint64) * _C[1] + np.uint64(v * int(_C[0]) & (1 << 64) - 1))
+            darts = np.searchsorted(POISSON, cell, "right")
+            which = np.repeat(np.arange(len(cell)), darts)
+            dart = mixed(cell[which] + (within(darts).astype(np.uint64) + np.uint64(1)) * _C[2])
+            rank = (row[which] + (dart >> np.uint64(11)) * 2.0**-53) * 2.0**-v
+            high = 2**v - 1 + (mixed(dart ^ _C[4]) >> np.uint64(11)) * 2.0 ** (v - 53)
+            of = doc[place[which]]
+            hit = (rank <= bound[of]) & (high < weight[place[which]])
+            found.append((mixed(dart[hit] ^ _C[3]), rank[hit], of[hit]))
+        dart, rank, of = (np.concatenate(c) for c in zip(*found, strict=True))
         key = of * k + ((dart >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((when, key))
+        order = np.lexsort((rank, key))
         key = key[order]
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         out.reshape(-1)[key[first]] = dart[order[first]]
@@ -108,12 +124,13 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int, s
 
     def run(batches):
         for part in slices(batches, size=2 << 20):
-            units, doc = shingle_units(*text_buffer(part.column("text")), size)
+            elements, of, counts = shingle_counts(*text_buffer(part.column("text")), size)
+            units, doc = units_of(elements, of, counts)
             n = part.num_rows
             node = np.zeros(n, np.uint64)
             np.add.at(node, doc, mixed(units ^ _C[4]))
             bare = np.bincount(doc, minlength=n) == 0
-            hashes = band_hashes(dart_signatures(units, doc, n, bands * rows), bands, rows).view(np.int64)
+            hashes = band_hashes(dart_signatures(elements, of, counts, n, bands * rows), bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(bare, 0, bands))]).astype(np.int32)), pa.array(hashes[~bare].reshape(-1)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("x"), pa.array(mixed(node).view(np.int64)), lists], names=["doc_id", "x", "node", "bands"])
 
@@ -121,11 +138,11 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int, s
 
 
 def unit_arrays(docs: DataFrame, size: int) -> DataFrame:
-    """node and its units as sorted 32-bit hashes, of ``docs`` with doc_id, text and x."""
+    """node and its units as sorted 32-bit hashes, of ``docs`` with doc_id, text and x. Two different units of a pair are taken for one with odds of one in 2^32 each, which moves a similarity by one part of their number."""
 
     def run(batches):
         for part in slices(batches, size=2 << 20):
-            units, doc = shingle_units(*text_buffer(part.column("text")), size)
+            units, doc = units_of(*shingle_counts(*text_buffer(part.column("text")), size))
             n = part.num_rows
             node = np.zeros(n, np.uint64)
             np.add.at(node, doc, mixed(units ^ _C[4]))
