@@ -201,9 +201,11 @@ def repeated_ranges(texts: DataFrame, lengths: list[int]) -> DataFrame:
 
     piece = ["home", "d1", "d2"]
     kinds = checkpoint(cut.groupBy(*piece).agg(F.count("*").alias("copies"), F.max("starts").alias("starts"), F.max("size").alias("size")))
-    sizes = kinds.groupBy("home").agg(F.sum("size").alias("b"))
-    # Bytes are dealt by home and digest, as a home may be in most texts; only the short rows of kinds meet by home.
-    dealt = checkpoint(kinds.join(sizes.select("home", F.ceil(F.col("b") / (2 * SHARD)).alias("shards")), "home").select(*piece, "copies", "starts", "size", "shards"))
+    large = kinds.groupBy("home").agg(F.ceil(F.sum("size") / (2 * SHARD)).alias("shards")).filter("shards > 1")
+    # Bytes are dealt by home and digest, as a home may be in most texts; large homes, at most one for the bytes of two shards, are few.
+    large = checkpoint(large)
+    large = F.broadcast(large) if large.count() <= SMALL else large
+    dealt = checkpoint(kinds.join(large, "home", "left").select(*piece, "copies", "starts", "size", F.coalesce("shards", F.lit(1).cast("long")).alias("shards")))
     pieces = cut.groupBy(*piece).agg(F.first("bytes").alias("bytes")).join(dealt, piece)
     tasks = -(-(dealt.agg(F.sum("size")).first()[0] or 0) // (2 * SHARD))  # small next to what a task does with them
     told = checkpoint(shard_arrays(pieces.withColumn("salt", F.pmod("d1", "shards")), lengths, max(parts(texts.sparkSession), tasks)))
