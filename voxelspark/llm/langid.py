@@ -19,6 +19,8 @@ BUCKETS, DIMENSIONS = 4096, 16
 NGRAMS = (2, 3, 4)
 #: Rows of a language that the classifier is fitted on, at most. Each sends its n-gram counts, at most BUCKETS, to the driver.
 SAMPLE = 1000
+#: Languages that the classifier is fitted on, at most: those of the most rows, by name among equals.
+LANGUAGES = 512
 #: Share of the accepted rows that should be right, and the least probability that is accepted.
 TARGET, FLOOR = 0.99, 0.5
 #: Share of the rows of a probability from FLOOR on that a higher threshold must still accept; where labels are wrong at all scores, it stays at FLOOR.
@@ -147,9 +149,12 @@ def calibrate(model: Model, logits: np.ndarray, y: np.ndarray, target: float = T
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` rows a language of the labelled rows of ``docs``, drawn by a hash of ``order``; None without any."""
+    """A model of at most ``sample`` rows a language, of at most ``LANGUAGES`` languages, of the labelled rows of ``docs``; None without any.
+
+    Rows are drawn by a hash of ``order``, ties in order of their n-gram counts. Rows of null label, and texts that are null or have no letter, are left out; repeated rows are drawn together and count as often as they come. A text is counted whole, in one task. Jobs run here.
+    """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     draw = F.xxhash64(F.coalesce(F.col(order).cast("string"), F.lit("")), F.lit(11))
@@ -173,7 +178,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
 def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """All rows and columns of ``docs`` with the predicted language, its calibrated probability, and whether it is rejected.
 
-    Null texts and texts without a letter are "und" with score 0, and rejected. Without a model, so is every text. Columns of ``docs`` with the names of ``out`` are replaced.
+    Null texts and texts without a letter are "und" with score 0, and rejected. Without a model, so is every text. A text is judged whole, in one task, and alone, so repeated rows are judged alike and stay repeated; an empty table gives an empty result. Of languages of equal probability, the first by name is told. Columns of ``docs`` with the names of ``out`` are replaced.
     """
     docs, old, (text,) = shielded(docs, text)
     own = {c.lower() for c in out}
