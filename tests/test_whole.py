@@ -2,9 +2,10 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxelspark.functions import scalars as S
-from voxelspark.operators import rays
+from voxelspark.operators import order, rays, view
 from voxelspark.operators import volume as V
 from voxelspark.plans import registry
 
@@ -12,57 +13,198 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
 
 
-def test_every_event_has_a_frame(spark):
-    q, ids = registry.queries(), {r.event_id for r in V.read(spark, SF, "events").select("event_id").collect()}
+def test_every_event_has_a_frame_and_every_supplier_a_cell(spark):
+    ids = {r.event_id for r in V.read(spark, SF, "events").select("event_id").collect()}
     bricks = registry.seg_palettes(spark, SF).count()
-    assert len(ids) > 12
-    for name in ("brick_lod_all", "distance_lod_all", "offset_prefix_sum_all"):
-        assert {r.frame: r["count"] for r in q[name](spark, SF).groupBy("frame").count().collect()} == {i: bricks for i in ids}
-    assert {r.frame: r.n for r in q["lod_histogram_all"](spark, SF).groupBy("frame").agg({"bricks": "sum"}).toDF("frame", "n").collect()} == {i: bricks for i in ids}
-    seen = {(r.frame, r.brick_id) for r in q["frustum_bricks_all"](spark, SF).collect()}
-    lod = {(r.frame, r.brick_id): r.lod for r in q["brick_lod_all"](spark, SF).collect()}
-    key = lambda rows: {(r.frame, r.brick_id) for r in rows.collect()}
-    before = {(f + 1, b) for f, b in seen}
-    assert key(q["requested_bricks_all"](spark, SF)) == seen & before
-    assert key(q["evicted_bricks_all"](spark, SF)) == before - seen
-    assert key(q["work_queue_all"](spark, SF)) == {(f, b) for f, b in seen if (f, b) not in before or lod[f, b] != lod[f - 1, b]}
-    assert max(r.frame for r in q["cache_replay_all"](spark, SF).select("frame").distinct().collect()) > 900
-
-
-@pytest.mark.parametrize("name", ["frustum_bricks", "brick_lod", "distance_lod", "offset_prefix_sum"])
-def test_first_frames_are_those_of_the_oracles(spark, name):
-    rows = lambda df, cols: sorted(map(tuple, df.select(cols).collect()))
-    some = registry.queries()[name](spark, SF)
-    assert rows(registry.queries()[f"{name}_all"](spark, SF).filter("frame < 12"), some.columns) == rows(some, some.columns)
-
-
-def walk(alphas, at, light, through=1.0, side=32):
+    q = registry.queries()
+    assert {r.frame: r.n for r in q["lod_histogram"](spark, SF).groupBy("frame").agg(F.sum("bricks").alias("n")).collect()} == {i: bricks for i in ids}
+    known = {r.s_suppkey + 1 for r in V.read(spark, SF, "supplier").collect()}
+    assert {r.label for r in V.segmentation(spark, SF).select("label").distinct().collect()} == known | {0}
+
+
+def test_volumes_grow_with_the_seeds(spark, tmp_path):
+    rows = [(k,) for k in range(600)]
+    spark.createDataFrame(rows, "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert V.side(spark, str(tmp_path)) == 64
+    got = V.segmentation(spark, str(tmp_path))
+    assert got.count() == 64**3 and got.filter("label > 512").count() > 0
+    place = lambda k: ((7 * k + 3) % 64, (11 * k + 5 + k // 64) % 64, (13 * k + 1 + k // 64) % 64)
+    seeds = [(place(k), k) for (k,) in rows]
+    for r in got.filter("x % 13 = 0 and y % 17 = 0 and z % 19 = 0").collect():
+        d, k = min((sum((a - b) ** 2 for a, b in zip(p, (r.x, r.y, r.z))), k) for p, k in seeds)
+        assert r.label == (k + 1 if d <= 100 else 0)
+
+
+def test_codes_of_21_bits(spark):
+    rows = [(0, 0, 0), (1023, 1024, 1025), (2**21 - 1, 2**20, 5), (2**21 - 1,) * 3]
+    df = spark.createDataFrame(rows, "x long, y long, z long").withColumn("m", S.morton(F.col("x"), F.col("y"), F.col("z")))
+    plain = lambda p: sum((c >> b & 1) << 3 * b + i for i, c in enumerate(p) for b in range(21))
+    for r in df.select("x", "y", "z", "m", *(c.alias(n) for c, n in zip(S.demorton(F.col("m")), "abc"))).collect():
+        assert r.m == plain((r.x, r.y, r.z)) and (r.a, r.b, r.c) == (r.x, r.y, r.z)
+
+
+def test_orders_without_one_task(spark):
+    rows = [(k * k % 997 * 3, float(k % 31)) for k in range(900)]
+    rows = list({k: (k, v) for k, v in rows}.values())
+    df = spark.createDataFrame(rows, "frame long, ms double").repartition(5)
+    want, at = {}, sorted(rows)
+    for i, (k, _) in enumerate(at):
+        last = at[max(0, i - 59) : i + 1]
+        want[k] = (len(last), sum(v for _, v in last))
+    assert {r.frame: (r.samples, r.sum_ms) for r in order.last_rows(df, "frame", 60, fan=128, sum_ms="ms").collect()} == want
+    df = df.withColumn("one", F.lit(1))
+    total, sums = 0.0, {}
+    for k, v in at:
+        sums[k], total = total, total + v
+    assert {r.frame: r.s for r in order.sums_before(df, "one", "frame", "ms", "s", fan=64).collect()} == sums
+
+
+def walk(alphas, at, normal, light, through, side=32):
     """The shadow of one point, step by step until the ray leaves the volume."""
-    if through < 0.1:
+    if through < 0.1 or 1 - through < 0.2:
         return 1.0
     n, total = math.sqrt(sum(c * c for c in light)), 0.0
     for k in range(max(24, int(64 * through))):
-        cell = tuple(math.floor(p + 0.5 + (k + 1.1) * (c / n)) for p, c in zip(at, light, strict=True))
-        if not all(0 <= c < side for c in cell):
+        place = [p + 0.5 + 0.6 * m + (0.5 + k) * c / n for p, m, c in zip(at, normal, light, strict=True)]
+        if not all(0 <= c < side for c in place):
             break
-        total += alphas.get(cell, 0.0)
+        total += alphas.get(tuple(math.floor(c) for c in place), 0.0)
         if total > 0.8:
             return 0.0
     return 1 + (math.exp(-1.5 * total) - 1) * through
 
 
-def test_all_shadows(spark):
-    alphas = {(r.x, r.y, r.z): r.label % 8 / 8 for r in V.segmentation(spark, SF).collect()}
-    want = {x + 32 * y + 1024 * z: walk(alphas, (x, y, z), S.light_direction(25)) for (x, y, z), a in alphas.items() if a > 0.4}
-    got = {r.id: r.shadow for r in registry.queries()["shadow_rays_all"](spark, SF).collect()}
-    assert len(want) > 64 and got == pytest.approx(want, abs=2e-6)
+@pytest.mark.parametrize("through", [1.0, 0.7, 0.6, 0.3, 0.05])
+def test_shadow_rays(spark, through):
+    light = (0.8, 0.4, -0.2)
+    occluders = {(x, y, z): 0.1 + (x * 7 + y * 3 + z) % 5 / 20 for x in range(32) for y in range(32) for z in range(32) if (x * x + 3 * y + 5 * z) % 53 == 0} | {(28, 0, 0): 0.3}
+    places = [((x, x % 7, 9 + x % 11), n) for x in range(0, 31, 3) for n in ((0.0, 0.0, 0.0), (0.6, 0.0, -0.8))]
+    points = spark.createDataFrame([(i, *p, *n, through) for i, (p, n) in enumerate(places)], "id long, x long, y long, z long, nx double, ny double, nz double, through double")
+    voxels = spark.createDataFrame([(*c, a) for c, a in occluders.items()], "x long, y long, z long, alpha double")
+    got = {r.id: r.shadow for r in rays.shadows(points, voxels, light, 32).collect()}
+    assert got == pytest.approx({i: walk(occluders, p, n, light, through) for i, (p, n) in enumerate(places)})
 
 
-@pytest.mark.parametrize("through", [1.0, 0.6, 0.3, 0.05])
-def test_occluders_beyond_the_least_number_of_steps(spark, through):
-    light, occluders = (1.0, 0.0, 0.0), {(28, 0, 0): 0.3, (29, 0, 0): 0.2}
-    points = spark.createDataFrame([(1, 0, 0, 0, through)], "id long, x long, y long, z long, through double")
-    voxels = spark.createDataFrame([(*c, a) for c, a in occluders.items()], "x long, y long, z long, alpha double")
-    (row,) = rays.shadows(points, voxels, light, most=64).collect()
-    assert row.shadow == pytest.approx(walk(occluders, (0, 0, 0), light, through))
-    assert (row.shadow < 1) == (through > 0.5)
+def test_shading_by_hand(spark):
+    light = (0.0, 3.0, 4.0)  # of length 5: its direction is (0, 0.6, 0.8)
+    rows = [(0.0, -0.5, 0.0, 0.5 + 0.6 * 0.8), (0.0, 0.0, -2.0, 1.0), (0.0, 0.25, 0.0, 0.5), (0.0, 0.0, 0.0, 0.5), (0.0, -0.3, -0.4, 1.0)]
+    df = spark.createDataFrame(rows, "gx double, gy double, gz double, want double")
+    for r in df.select("want", rays.shade([F.col(c) for c in ("gx", "gy", "gz")], light).alias("got")).collect():
+        assert r.got == pytest.approx(r.want)
+    dark = df.limit(1).select(rays.shade([F.col(c) for c in ("gx", "gy", "gz")], light, ambient=0.0, shadow=0.0).alias("a"), *(c.alias(n) for c, n in zip(rays.shadowed([F.lit(1.0), F.lit(0.0), F.lit(0.0)], F.lit(0.0)), "rgb"))).first()
+    assert dark.a == 0.3 and (dark.r, dark.g, dark.b) == pytest.approx((0.5 + 0.5 * (0.299 * 0.8 + 0.2), 0.5 * 0.299 * 0.8, 0.5 * 0.299 * 0.8))
+
+
+def plain_image(nodes, lods, empty, tones, cam, side, brick, width, height, light):
+    """The render loop pixel by pixel."""
+    code = lambda p: sum((c >> b & 1) << 3 * b + i for i, c in enumerate(p) for b in range(8))
+    norm = lambda v: [c / (math.sqrt(sum(x * x for x in v)) or 1.0) for c in v]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    o, f = cam[:3], norm(cam[3:])
+    r = norm(cross(f, [1.0, 0.0, 0.0] if abs(f[1]) > 0.999 else [0.0, 1.0, 0.0]))
+    u, t = cross(r, f), math.tan(math.pi / 6)
+
+    def tone(brick_id, cell):
+        lod = lods[brick_id]
+        if empty[brick_id] or not all(0 <= c < 1 << lod for c in cell):
+            return None
+        return tones.get(nodes[brick_id, lod, code(cell)])
+
+    def alpha(v):
+        if not all(0 <= c < side for c in v):
+            return 0.0
+        b = code([c // brick for c in v])
+        stride = brick >> lods[b]
+        found = tone(b, [c % brick // stride for c in v])
+        return found[3] if found else 0.0
+
+    def cells(o, d, size, limit, t0, t1):
+        at = [min(max(math.floor((o[i] + d[i] * (t0 + max(t0 * 1e-6, 1e-5))) / size), 0), limit - 1) for i in range(3)]
+        inv = [(1 if d[i] >= 0 else -1) / max(abs(d[i]), 1e-6) for i in range(3)]
+        nxt, begin = [((at[i] + (d[i] >= 0)) * size - o[i]) * inv[i] for i in range(3)], t0
+        while begin < t1 and all(0 <= c < limit for c in at):
+            axis = 0 if nxt[0] < nxt[1] and nxt[0] < nxt[2] else 1 if nxt[1] < nxt[2] else 2
+            end = min(nxt[axis], t1)
+            if end > begin:
+                yield tuple(at), begin, end
+            begin = max(begin, end)
+            at[axis] += 1 if d[axis] >= 0 else -1
+            nxt[axis] += abs(inv[axis]) * size
+
+    out = {}
+    for py in range(height):
+        for px in range(width):
+            nx, ny = ((px + 0.5) / width * 2 - 1) * width / height * t, (1 - (py + 0.5) / height * 2) * t
+            d = norm([f[i] + r[i] * nx + u[i] * ny for i in range(3)])
+            inv = [(d[i] > 0) - (d[i] < 0) for i in range(3)]
+            inv = [s / max(abs(c), 1e-6) for s, c in zip(inv, d)]
+            ends = [sorted((-o[i] * inv[i], (side - o[i]) * inv[i])) for i in range(3)]
+            t0, t1 = max(0.0, *(e[0] for e in ends)), min(e[1] for e in ends)
+            colour, a = [0.0] * 3, 0.0
+            if t0 <= t1:
+                for at, b0, b1 in cells(o, d, float(brick), side // brick, t0, t1):
+                    b = code(at)
+                    low, stride = [c * brick for c in at], brick >> lods[b]
+                    for cell, _, _ in cells([x - y for x, y in zip(o, low)], d, float(stride), 1 << lods[b], b0, b1) if not empty[b] else ():
+                        found = tone(b, cell)
+                        if not found or found[3] <= 0.05 or a > 0.95:
+                            continue
+                        rgb, own = list(found[:3]), found[3]
+                        if own > 0.35:
+                            around = [[tone(b, [c + s * (i == j) for j, c in enumerate(cell)]) for s in (1, -1)] for i in range(3)]
+                            g = [(p - m) / 2 for p, m in ([x[3] if x and x[3] > 0.05 else own for x in pair] for pair in around)]
+                            n = max(math.sqrt(sum(c * c for c in g)), 0.001)
+                            normal, shadow, to = [-c / n for c in g], 1.0, norm(light)
+                            if own > 0.4:
+                                shadow = walk_at(alpha, [x + stride * c for x, c in zip(low, cell)], normal, to, 1 - a, side)
+                            along = max(0.0, sum(x * y for x, y in zip(normal, to)))
+                            factor = min(1.0, max(0.5 + along * 0.8 * shadow, 0.3 if along > 0.01 else 0.1))
+                            grey = sum(c * w for c, w in zip(rgb, (0.299, 0.587, 0.114)))
+                            mixed = min(max(1 - shadow, 0.0), 1.0) * 0.5
+                            rgb = [(c * (1 - mixed) + (grey * 0.8 + c * 0.2) * mixed) * factor for c in rgb]
+                        source = min(max(1 - (1 - own) ** stride, 0.0), 1.0) * (1 - a)
+                        colour, a = [c + x * source for c, x in zip(colour, rgb)], a + source
+            out[px, py] = [min(c, 1.0) * 255 for c in (*colour, a)]
+    return out
+
+
+def walk_at(alpha, at, normal, to, through, side):
+    if through < 0.1 or 1 - through < 0.2:
+        return 1.0
+    total = 0.0
+    for k in range(max(24, int(64 * through))):
+        place = [p + 0.5 + 0.6 * m + (0.5 + k) * c for p, m, c in zip(at, normal, to)]
+        if not all(0 <= c < side for c in place):
+            break
+        total += alpha([math.floor(c) for c in place])
+        if total > 0.8:
+            return 0.0
+    return 1 + (math.exp(-1.5 * total) - 1) * through
+
+
+def test_images_equal_the_plain_loop(spark):
+    camera = registry.one_camera(spark, SF)
+    bricks = registry.seg_palettes(spark, SF).cache()
+    nodes = registry.seg_nodes(spark, SF).cache()
+    lods = {r.brick_id: (r.brick_id * 5 + 1) % 4 for r in bricks.collect()}
+    levels = bricks.select("brick_id", ((F.col("brick_id") * 5 + 1) % 4).cast("int").alias("lod"), "is_empty")
+    colors = registry.colors(spark, SF).withColumn("rgba", F.col("rgba") % 16777216 + F.when(F.col("label") % 3 == 0, 160).when(F.col("label") % 3 == 1, 110).otherwise(40) * F.lit(16777216).cast("long")).cache()
+    c = camera.first()
+    tones = {r.label: [(r.rgba >> 8 * i & 255) / 255 for i in range(4)] for r in colors.collect()}
+    want = plain_image({(r.brick_id, r.lod, r.m): r.label for r in nodes.collect()}, lods, {r.brick_id: r.is_empty for r in bricks.collect()}, tones, [c.px, c.py, c.pz, c.dx, c.dy, c.dz], 32, 8, 12, 9, S.light_direction(25))
+    got = {(r.px, r.py): [r.rgba >> 8 * i & 255 for i in range(4)] for r in rays.render(spark, nodes, levels, colors, camera.drop("session"), 32, 8, 12, 9).collect()}
+    assert got.keys() == want.keys() and sum(v[3] > 20 for v in got.values()) > 15
+    for k, v in want.items():
+        assert all(abs(a - math.floor(b)) <= 1 for a, b in zip(got[k], v)), (k, got[k], v)
+
+
+def test_residents_are_decoded_anew(spark):
+    resident = spark.createDataFrame([(f, b, 2) for f in range(4) for b in (5, 3)], "frame long, brick_id long, lod int")
+    got = [(r.frame, r.brick_id) for r in view.redecode(resident, spark.createDataFrame([(2,), (9,)], "frame long")).collect()]
+    assert got == [(2, 3), (2, 5)]
+
+
+def test_bricks_meet_cameras_beyond_the_broadcast(spark, monkeypatch):
+    few = sorted(map(tuple, registry.brick_lod(spark, SF).filter("frame < 20").collect()))
+    monkeypatch.setattr(view, "SMALL", 1)
+    assert sorted(map(tuple, registry.brick_lod(spark, SF).filter("frame < 20").collect())) == few

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Masks that leave one bit of three, after shifts by 16, 8, 4 and 2, and their inverses.
-SPREAD = ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249))
+# The 21 bits of a coordinate, and the masks that leave one bit of three after shifts by 32, 16, 8, 4 and 2.
+AXIS = 0x1FFFFF
+SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 MASK32 = 0xFFFFFFFF
 
 
@@ -22,20 +23,20 @@ def let(value: Column, body) -> Column:
 
 
 def spread(v: Column) -> Column:
-    v = _band(v.cast("long"), 1023)
+    v = _band(v.cast("long"), AXIS)
     for shift, mask in SPREAD:
         v = _band(v.bitwiseOR(F.shiftleft(v, shift)), mask)
     return v
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
-    """30-bit Morton code, x lowest."""
+    """63-bit Morton code of coordinates below 2^21, x lowest."""
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
 
 
 def compact(v: Column) -> Column:
-    v = _band(v.cast("long"), 0x09249249)
-    for (shift, _), mask in zip(reversed(SPREAD), (0x030C30C3, 0x0300F00F, 0x030000FF, 0x3FF), strict=True):
+    v = _band(v.cast("long"), SPREAD[-1][1])
+    for (shift, _), mask in zip(reversed(SPREAD), (*(m for _, m in reversed(SPREAD[:-1])), AXIS), strict=True):
         v = _band(v.bitwiseXOR(F.shiftright(v, shift)), mask)
     return v
 

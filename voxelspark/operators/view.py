@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .order import sums_before
 
 FOV = math.pi / 3
 MOVED, TURNED = 0.5, 0.05
@@ -18,9 +19,13 @@ def _center(size: int) -> tuple[Column, Column, Column]:
     return tuple(F.col(c) + size / 2 for c in ("bx", "by", "bz"))
 
 
-def seen_from(bricks: DataFrame, cameras: DataFrame, size: int, many: bool = False) -> DataFrame:
-    """``bricks`` (with bx, by, bz) and cameras (frame, px, py, pz, dx, dy, dz) with the distance of the centre. Every brick meets each camera. Cameras are few rows, of the frames at hand, or ``many``, which are dealt by frame and meet the bricks where they are."""
-    out = cameras.repartition("frame").crossJoin(F.broadcast(bricks)) if many else bricks.crossJoin(F.broadcast(cameras))
+#: Bricks that are broadcast to the cameras, at most.
+SMALL = 100_000
+
+
+def seen_from(bricks: DataFrame, cameras: DataFrame, size: int) -> DataFrame:
+    """``bricks`` (with bx, by, bz) and cameras (frame, px, py, pz, dx, dy, dz) with the distance of the centre. Every brick meets each camera, as each has a level and a place in every frame. Cameras are dealt by frame and meet the bricks where they are if these are at most ``SMALL``; else blocks of both meet."""
+    out = cameras.repartition("frame").crossJoin(F.broadcast(bricks) if bricks.count() <= SMALL else bricks)
     to = [c - F.col(p) for c, p in zip(_center(size), ("px", "py", "pz"), strict=True)]
     return out.withColumn("distance", S.norm(*to)).withColumn("along", S.dot(to, [F.col(c) for c in ("dx", "dy", "dz")]))
 
@@ -36,6 +41,12 @@ def palette_visible(hidden: Column) -> Column:
     return F.exists("palette", lambda p: (p != 0) & ~F.array_contains(hidden, p))
 
 
+def visible_bricks(palettes: DataFrame, hidden: DataFrame) -> DataFrame:
+    """brick_id of the bricks that have a label other than 0 and the hidden ones; the table of hidden labels may be of any size."""
+    labels = palettes.select("brick_id", F.explode("palette").alias("label")).filter("label <> 0")
+    return labels.join(hidden.select("label"), "label", "left_anti").select("brick_id").distinct()
+
+
 def brick_lod(size: int, fov: float = FOV, width: int = 1080) -> Column:
     """The largest level whose voxels are a pixel or more: 0 is the coarsest. The levels that qualify are counted, as they are the first ones."""
     f = width / 2 / math.tan(fov / 2)
@@ -59,9 +70,7 @@ def orbit(inputs: DataFrame, center: tuple[float, float, float], radius: float,
 
 def with_offsets(lods: DataFrame) -> DataFrame:
     """voxels (8^lod) and offset of each brick of a frame, in order of brick_id."""
-    w = W.partitionBy("frame").orderBy("brick_id").rowsBetween(W.unboundedPreceding, -1)
-    sized = lods.withColumn("voxels", F.pow(F.lit(8.0), F.col("lod")).cast("long"))
-    return sized.withColumn("offset", F.coalesce(F.sum("voxels").over(w), F.lit(0)))
+    return sums_before(lods.withColumn("voxels", F.pow(F.lit(8.0), F.col("lod")).cast("long")), "frame", "brick_id", "voxels", "offset")
 
 
 def lod_histogram(lods: DataFrame) -> DataFrame:
@@ -88,6 +97,11 @@ def work_queue(wanted: DataFrame, resident: DataFrame) -> DataFrame:
     return wanted.join(old, ["frame", "brick_id"], "left").filter(F.col("_old").isNull() | (F.col("_old") != F.col("lod"))).drop("_old").orderBy("frame", "brick_id")
 
 
+def redecode(resident: DataFrame, changes: DataFrame) -> DataFrame:
+    """Bricks to decode anew since their colours changed: all that are resident in a frame of ``changes`` (frame), in order."""
+    return resident.join(changes.select("frame"), "frame", "left_semi").orderBy("frame", "brick_id")
+
+
 def moved(a, b) -> bool:
     """Whether camera ``b`` (px, py, pz, dx, dy, dz) differs enough from the last accepted one ``a``; the first one does."""
     if a is None:

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import codec
+from .order import ranked
 
-SEG, SEG_BRICK, PTS, PTS_BRICK = 32, 8, 64, 16
+SEG_BRICK, PTS, PTS_BRICK = 8, 64, 16
+#: Side of the least volume of cells, and its seeds; eight times the seeds have twice the side. Cells reach as far as REACH.
+SEG, SEEDS, REACH = 32, 64, 10
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Side of ``segmentation``, which grows with ``supplier``."""
+    n, out = read(spark, sf_dir, "supplier").count(), SEG
+    while n >= 8 * SEEDS:
+        n, out = n / 8, 2 * out
+    return out
+
+
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cell-like volume: each voxel takes the nearest of at most 24 seeds from ``supplier`` within a distance of 10, else 0. One task a slab; the seeds are one row."""
-    seeds = read(spark, sf_dir, "supplier").filter("s_suppkey < 24").agg(F.collect_list(F.col("s_suppkey")).alias("seeds"))
-    grid = spark.range(SEG**3).select((F.col("id") % SEG).alias("x"), (F.floor(F.col("id") / SEG) % SEG).alias("y"), F.floor(F.col("id") / SEG**2).alias("z"))
-    near = F.expr("array_min(transform(seeds, k -> ((x - (7 * k + 3) % 32) * (x - (7 * k + 3) % 32) + (y - (11 * k + 5) % 32) * (y - (11 * k + 5) % 32) + (z - (13 * k + 1) % 32) * (z - (13 * k + 1) % 32)) * 32 + k))")
-    found = grid.crossJoin(F.broadcast(seeds)).withColumn("near", near)
-    return found.select("x", "y", "z", F.when(F.col("near") < 101 * 32, F.col("near") % 32 + 1).otherwise(0).cast("long").alias("label"))
+    """A cell-like volume: each voxel takes the nearest of the seeds, one of each row of ``supplier``, within a distance of 10, else 0. Seeds give the voxels they reach, and each voxel keeps the nearest one, so the work is in proportion to the seeds and the voxels."""
+    g = side(spark, sf_dir)
+    k, turn = F.col("s_suppkey").cast("long"), F.floor(F.col("s_suppkey") / g)
+    seeds = read(spark, sf_dir, "supplier").select(k.alias("k"), ((7 * k + 3) % g).alias("sx"), ((11 * k + 5 + turn) % g).alias("sy"), ((13 * k + 1 + turn) % g).alias("sz"))
+    span = F.explode(F.sequence(F.lit(-REACH), F.lit(REACH)))
+    near = seeds.withColumn("i", span).filter(f"sx + i between 0 and {g - 1}").withColumn("j", span).filter(f"i * i + j * j <= {REACH**2} and sy + j between 0 and {g - 1}")
+    near = near.withColumn("l", span).withColumn("d", F.expr("i * i + j * j + l * l")).filter(f"d <= {REACH**2} and sz + l between 0 and {g - 1}")
+    near = near.select((F.col("sx") + F.col("i") + g * (F.col("sy") + F.col("j")) + g * g * (F.col("sz") + F.col("l"))).alias("id"), (F.col("d").cast("long") * (1 << 40) + F.col("k")).alias("d"))
+    near = near.groupBy("id").agg(F.min("d").alias("d"))
+    grid = spark.range(g**3).join(near, "id", "left")
+    label = F.coalesce(F.col("d") % (1 << 40) + 1, F.lit(0)).cast("long").alias("label")
+    return grid.select((F.col("id") % g).alias("x"), (F.floor(F.col("id") / g) % g).alias("y"), F.floor(F.col("id") / g**2).alias("z"), label)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,55 +58,54 @@ def to_bricks(voxels: DataFrame, size: int) -> DataFrame:
 
 def padded(bricks: DataFrame, size: int) -> DataFrame:
     """``bricks`` with every voxel of each brick that has one; missing ones are 0."""
-    full = bricks.select("brick_id").distinct().select("brick_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size**3 - 1).cast("long"))).alias("m"))
-    return full.join(bricks, ["brick_id", "m"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    arrays = codec.brick_rows(bricks).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), size**3).cast(pa.list_(pa.int64()))], names=["brick_id", "labels"]) for ids, rows in codec.dense(batches, size)), "brick_id long, labels array<long>")
+    return arrays.select("brick_id", F.posexplode("labels").alias("m", "label")).withColumn("m", F.col("m").cast("long"))
 
 
-def next_level(nodes: DataFrame) -> DataFrame:
-    """The level above: of eight children the most frequent label (the least among equals), constant if all are alike and constant."""
-    up = nodes.groupBy("brick_id", S.parent(F.col("m")).alias("m"))
-    return up.agg(F.mode("label", True).alias("label"), ((F.min("label") == F.max("label")) & F.bool_and("is_const")).alias("is_const"))
+def fill_counts(bricks: DataFrame, size: int) -> DataFrame:
+    """voxels, empty ones and a checksum of each brick as ``padded`` gives it, by counting what is there."""
+    there = bricks.groupBy("brick_id").agg(F.count(F.when(F.col("label") != 0, 1)).alias("_n"), F.sum(F.col("label") * (F.col("m") + 1)).alias("checksum"))
+    return there.select("brick_id", F.lit(size**3).cast("long").alias("voxels"), (F.lit(size**3) - F.col("_n")).alias("empty"), "checksum")
 
 
 def pyramid(bricks: DataFrame, size: int) -> DataFrame:
-    """Nodes of all levels: brick_id, lod (0 is one voxel), m, label, is_const. One shuffle by brick serves all levels."""
-    level = bricks.repartition("brick_id").select("brick_id", "m", "label", F.lit(True).alias("is_const"))
-    top = size.bit_length() - 1
-    out = level.withColumn("lod", F.lit(top))
-    for lod in range(top - 1, -1, -1):
-        level = next_level(level)
-        out = out.unionByName(level.withColumn("lod", F.lit(lod)))
-    return out.select("brick_id", "lod", "m", "label", "is_const")
+    """Nodes of all levels: brick_id, lod (0 is one voxel), m, label, is_const; absent voxels are 0. A node has the most frequent label of its eight children, the least among equals, and is constant if they are alike and constant. Bricks meet in one shuffle, and a batch of them is reduced level by level."""
+    levels = size.bit_length() - 1
 
+    def run(batches):
+        for ids, finest in codec.dense(batches, size):
+            for lod, (labels, const) in enumerate(zip(*codec.pyramid(finest.reshape(-1), levels), strict=True)):
+                per = 1 << 3 * lod
+                columns = [np.repeat(ids, per), np.full(len(labels), lod, np.int32), np.tile(np.arange(per), len(ids)), labels, const]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["brick_id", "lod", "m", "label", "is_const"])
 
-def predicted(nodes: DataFrame) -> DataFrame:
-    """Visited nodes with the first predictor that gives their label: brick_id, lod, m, op, sign, stop.
+    return codec.brick_rows(bricks).mapInArrow(run, "brick_id long, lod int, m long, label long, is_const boolean")
 
-    Parent, then the neighbours out of the 2 x 2 x 2 block along x, y and z (one level up if they come later), then the palette. Equi self-joins on (brick, level, code).
+
+def predicted(bricks: DataFrame, size: int) -> DataFrame:
+    """Visited nodes of each brick with the first predictor that gives their label: brick_id, lod, m, op, sign, stop and seq, the place in the brick's stream (the root is 0).
+
+    Parent, then the neighbours out of the 2 x 2 x 2 block along x, y and z (one level up if they come later), then the palette. One shuffle by brick, as in ``pyramid``.
     """
-    above = nodes.select("brick_id", (F.col("lod") + 1).alias("lod"), F.col("m").alias("pm"), F.col("label").alias("above"), F.col("is_const").alias("above_const"))
-    here = nodes.filter("lod > 0").withColumn("pm", S.parent(F.col("m"))).join(above, ["brick_id", "lod", "pm"]).filter(~F.col("above_const"))
-    axes = S.demorton(F.col("m"))
-    here = here.withColumns({f"c{i}": a for i, a in enumerate(axes)})
-    same = nodes.select("brick_id", F.col("lod"), F.col("m"), F.col("label"))
-    for i in range(3):
-        bit = F.col(f"c{i}").bitwiseAND(F.lit(1).cast("long"))
-        moved = [F.col(f"c{j}") + (F.when(bit == 0, -1).otherwise(1) if j == i else 0) for j in range(3)]
-        inside = (moved[i] >= 0) & (moved[i] < F.pow(F.lit(2.0), F.col("lod")).cast("long"))
-        code = F.when(inside, S.morton(*moved))
-        here = here.withColumns({f"l{i}": F.when(bit == 0, F.col("lod")).otherwise(F.col("lod") - 1), f"n{i}": F.when(bit == 0, code).otherwise(S.parent(code)), f"s{i}": F.when(bit == 0, -1).otherwise(1)})
-        side = same.select(F.col("brick_id").alias(f"b{i}"), F.col("lod").alias(f"k{i}"), F.col("m").alias(f"q{i}"), F.col("label").alias(f"v{i}"))
-        here = here.join(side, (F.col("brick_id") == F.col(f"b{i}")) & (F.col(f"l{i}") == F.col(f"k{i}")) & (F.col(f"n{i}") == F.col(f"q{i}")), "left").drop(f"b{i}", f"k{i}", f"q{i}")
-    op = F.when(F.col("above") == F.col("label"), "parent")
-    sign = F.when(F.col("above") == F.col("label"), 0)
-    for i, name in enumerate("xyz"):
-        op, sign = op.when(F.col(f"v{i}") == F.col("label"), name), sign.when(F.col(f"v{i}") == F.col("label"), F.col(f"s{i}"))
-    return here.select("brick_id", "lod", "m", op.otherwise("palette").alias("op"), sign.otherwise(0).alias("sign"), F.col("is_const").alias("stop"))
-
-
-def in_stream_order(ops: DataFrame) -> DataFrame:
-    """``ops`` with seq, the place in the brick's stream; the root is 0."""
-    return ops.withColumn("seq", F.row_number().over(W.partitionBy("brick_id").orderBy("lod", "m")).cast("long"))
+    levels, names = size.bit_length() - 1, pa.array(["parent", "x", "y", "z", "palette"])
+
+    def run(batches):
+        for ids, finest in codec.dense(batches, size):
+            before = np.ones(len(ids), np.int64)
+            for lod, brick, m, op, sign, stop, _ in codec.visited(*codec.pyramid(finest.reshape(-1), levels)):
+                count = np.bincount(brick, minlength=len(ids))
+                seq = before[brick] + np.arange(len(brick)) - np.repeat(np.cumsum(count) - count, count)
+                before += count
+                columns = [pa.array(ids[brick]), pa.array(np.full(len(m), lod, np.int32)), pa.array(m), names.take(pa.array(op)), pa.array(sign), pa.array(stop), pa.array(seq)]
+                yield pa.RecordBatch.from_arrays(columns, names=["brick_id", "lod", "m", "op", "sign", "stop", "seq"])
+
+    return codec.brick_rows(bricks).mapInArrow(run, "brick_id long, lod int, m long, op string, sign int, stop boolean, seq long")
+
+
+def grid_codes(spark: SparkSession, side: int) -> DataFrame:
+    """The cells of a grid in Morton order: x, y, z, code."""
+    cells = spark.range(side**3).select((F.col("id") % side).alias("x"), (F.floor(F.col("id") / side) % side).alias("y"), F.floor(F.col("id") / side**2).alias("z"))
+    return cells.withColumn("code", S.morton(F.col("x"), F.col("y"), F.col("z"))).orderBy("code")
 
 
 def label_counts(voxels: DataFrame) -> DataFrame:
@@ -114,16 +132,6 @@ def positions(bricks: DataFrame, size: int) -> DataFrame:
     return bricks.withColumns({"bx": x * size, "by": y * size, "bz": z * size})
 
 
-def ranked(rows: DataFrame, order: str, out: str, buckets: int = 256) -> DataFrame:
-    """``rows`` with the place of each, from 0, in the order of a column of different numbers. Approximate percentiles deal the rows to buckets that are numbered on their own, so no task takes all rows; places are exact whatever the bounds."""
-    cuts = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], F.lit(10_000)).alias("_cuts"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most ``buckets`` rows
-    base = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    placed = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1).join(F.broadcast(base), "_bucket")
-    return placed.withColumn(out, (F.col("_base") + F.col("_k")).cast("long")).drop("_bucket", "_k", "_base")
-
-
 def transfer_function(labels: DataFrame) -> DataFrame:
     """idx and rgba of each distinct label but 0, by golden-angle hues in unsigned order of the labels."""
     known = labels.select("label").filter("label <> 0").distinct().withColumn("_order", F.col("label").bitwiseXOR(F.lit(-(1 << 63))))

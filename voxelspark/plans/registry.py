@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cache, codec, rays, view
+from ..operators import cache, codec, order, rays, view
 from ..operators import volume as V
+from ..streaming.windows import event_counts
 
 WIDTH, HEIGHT = 32, 24
 CAPACITY = 4096
@@ -29,30 +28,34 @@ def seg_palettes(spark, d):
     return V.positions(V.palettes(seg_bricks(spark, d)), V.SEG_BRICK)
 
 
-def cameras(spark, d, every=False):
-    """Cameras around the volume: twelve from the first events, as in the oracles, or one of each event."""
-    e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"))
-    e = e if every else e.filter("frame < 12")
-    at = [(F.col("frame") * a % 64 - b).cast("double") for a, b in ((7, 20), (11, 10), (13, 30))]
-    e = e.select("frame", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
-    to = [16.0 - F.col(c) for c in ("px", "py", "pz")]
-    return e.select("frame", "px", "py", "pz", *(c.alias(n) for c, n in zip(S.normalized(*to), ("dx", "dy", "dz"), strict=True)))
+def seg_ops(spark, d):
+    return V.predicted(seg_bricks(spark, d), V.SEG_BRICK)
+
+
+def cameras(spark, d):
+    """A camera around the volume for each event; a user's events are a session."""
+    g = V.side(spark, d)
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"), F.col("user_id").cast("long").alias("session"))
+    at = [(F.col("frame") * a % (2 * g) - b * g // 32).cast("double") for a, b in ((7, 20), (11, 10), (13, 30))]
+    e = e.select("session", "frame", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
+    to = [g / 2 - F.col(c) for c in ("px", "py", "pz")]
+    return e.select("session", "frame", "px", "py", "pz", *(c.alias(n) for c, n in zip(S.normalized(*to), ("dx", "dy", "dz"), strict=True)))
 
 
 def hidden(spark, d):
     return V.read(spark, d, "nation").filter("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 1).cast("long").alias("label"))
 
 
-def seen(spark, d, every=False):
-    return view.seen_from(seg_palettes(spark, d), cameras(spark, d, every), V.SEG_BRICK, many=every)
+def seen(spark, d):
+    return view.seen_from(seg_palettes(spark, d), cameras(spark, d), V.SEG_BRICK)
 
 
-def lods(spark, d, every=False):
-    return seen(spark, d, every).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+def lods(spark, d):
+    return seen(spark, d).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
-def wanted(spark, d, every=False):
-    return seen(spark, d, every).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+def wanted(spark, d):
+    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
 def before(df):
@@ -60,10 +63,11 @@ def before(df):
     return df.withColumn("frame", F.col("frame") + 1)
 
 
-def frames(spark, d, every=False):
-    hide = hidden(spark, d).agg(F.collect_list("label").alias("hidden"))
-    s = seen(spark, d, every).crossJoin(F.broadcast(hide)).withColumn("visible", view.in_frustum(V.SEG_BRICK) & view.palette_visible(F.col("hidden")))
-    return s.select(F.lit(1).cast("long").alias("session"), "frame", "px", "py", "pz", "dx", "dy", "dz", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "visible")
+def frames(spark, d):
+    palettes = seg_palettes(spark, d)
+    shown = view.visible_bricks(palettes, hidden(spark, d)).withColumn("_shown", F.lit(True))
+    s = view.seen_from(palettes.join(shown, "brick_id", "left"), cameras(spark, d), V.SEG_BRICK)
+    return s.select("session", "frame", "px", "py", "pz", "dx", "dy", "dz", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), (view.in_frustum(V.SEG_BRICK) & F.coalesce("_shown", F.lit(False))).alias("visible"))
 
 
 def colors(spark, d):
@@ -105,8 +109,7 @@ def brick_split(spark, d):
 
 
 def brick_padding(spark, d):
-    b = V.padded(brick_split(spark, d), V.PTS_BRICK)
-    return b.groupBy("brick_id").agg(F.count("*").alias("voxels"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("empty"), F.sum(F.col("label") * (F.col("m") + 1)).alias("checksum"))
+    return V.fill_counts(brick_split(spark, d), V.PTS_BRICK)
 
 
 def pyramid_nodes(spark, d):
@@ -114,7 +117,7 @@ def pyramid_nodes(spark, d):
 
 
 def pyramid_points(spark, d):
-    n = V.pyramid(V.padded(brick_split(spark, d), V.PTS_BRICK), V.PTS_BRICK)
+    n = V.pyramid(brick_split(spark, d), V.PTS_BRICK)
     return n.groupBy("brick_id", "lod").agg(F.sum(F.col("label") * (F.col("m") + 1)).alias("checksum"), F.sum(F.when(F.col("is_const"), 1).otherwise(0)).alias("const"))
 
 
@@ -123,15 +126,15 @@ def const_nodes_by_level(spark, d):
 
 
 def visited_nodes(spark, d):
-    return V.in_stream_order(V.predicted(seg_nodes(spark, d))).select("brick_id", "lod", "m", "seq")
+    return seg_ops(spark, d).select("brick_id", "lod", "m", "seq")
 
 
 def op_predictors(spark, d):
-    return V.predicted(seg_nodes(spark, d))
+    return seg_ops(spark, d).drop("seq")
 
 
 def op_rollup_sign(spark, d):
-    return V.predicted(seg_nodes(spark, d)).rollup("op", "sign").agg(F.count("*").alias("n"))
+    return seg_ops(spark, d).rollup("op", "sign").agg(F.count("*").alias("n"))
 
 
 def brick_flags(spark, d):
@@ -167,38 +170,37 @@ def highlight_color(spark, d):
 
 
 def palette_visible_bricks(spark, d):
-    hide = hidden(spark, d).agg(F.collect_list("label").alias("hidden"))
-    return V.palettes(seg_bricks(spark, d)).crossJoin(F.broadcast(hide)).filter(view.palette_visible(F.col("hidden"))).select("brick_id")
+    return view.visible_bricks(V.palettes(seg_bricks(spark, d)), hidden(spark, d))
 
 
-def frustum_bricks(spark, d, every=False):
-    return seen(spark, d, every).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
+def frustum_bricks(spark, d):
+    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
 
 
-def brick_lod(spark, d, every=False):
-    return lods(spark, d, every)
+def brick_lod(spark, d):
+    return lods(spark, d)
 
 
-def lod_histogram(spark, d, every=False):
-    return view.lod_histogram(lods(spark, d, every)).withColumn("pct", F.round("pct", 6))
+def lod_histogram(spark, d):
+    return view.lod_histogram(lods(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
-def offset_prefix_sum(spark, d, every=False):
-    return view.with_offsets(lods(spark, d, every))
+def offset_prefix_sum(spark, d):
+    return view.with_offsets(lods(spark, d))
 
 
-def work_queue(spark, d, every=False):
-    w = wanted(spark, d, every)
+def work_queue(spark, d):
+    w = wanted(spark, d)
     return view.work_queue(w, before(w))
 
 
-def evicted_bricks(spark, d, every=False):
-    w = wanted(spark, d, every)
+def evicted_bricks(spark, d):
+    w = wanted(spark, d)
     return view.evicted(before(w), w)
 
 
-def requested_bricks(spark, d, every=False):
-    w = wanted(spark, d, every)
+def requested_bricks(spark, d):
+    w = wanted(spark, d)
     return view.requested(w, before(w))
 
 
@@ -207,14 +209,24 @@ def residency_left_join(spark, d):
     return view.residency(seg_palettes(spark, d).select("brick_id"), first)
 
 
-def cache_replay(spark, d, every=False):
-    return cache.replay(frames(spark, d, every), CAPACITY)
+def cache_replay(spark, d):
+    return cache.replay(frames(spark, d), CAPACITY)
+
+
+def redecoded_bricks(spark, d):
+    """What is decoded anew in the frames of clicks, which change the colours."""
+    clicks = V.read(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").alias("frame"))
+    return view.redecode(before(wanted(spark, d)), clicks)
 
 
 def rolling60(spark, d):
-    e = V.read(spark, d, "events").select(F.lit(1).alias("session"), F.col("event_id").alias("frame"), (F.col("event_id") * 7 % 31).cast("double").alias("ms"))
-    w = W.partitionBy("session").orderBy("frame").rowsBetween(-59, 0)
-    return e.select("frame", F.sum("ms").over(w).alias("sum_ms"), F.count("*").over(w).alias("samples")).filter("frame % 10 = 0")
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"), (F.col("event_id") * 7 % 31).cast("double").alias("ms"))
+    return order.last_rows(e, "frame", 60, sum_ms="ms").filter("frame % 10 = 0").select("frame", "sum_ms", "samples")
+
+
+def event_windows(spark, d):
+    """Events by hour and kind; ``streaming.windows`` is the same over a stream."""
+    return event_counts(V.read(spark, d, "events"), "1 hour")
 
 
 def ray_generate(spark, d):
@@ -223,16 +235,23 @@ def ray_generate(spark, d):
 
 
 def ray_slab_hits(spark, d):
-    r = rays.slab(rays.rays(spark, one_camera(spark, d), WIDTH, HEIGHT), (0.0,) * 3, (32.0,) * 3)
+    r = rays.slab(rays.rays(spark, one_camera(spark, d), WIDTH, HEIGHT), (0.0,) * 3, (float(V.side(spark, d)),) * 3)
     return r.filter("hit").select("px", "py", F.round("t_in", 5).alias("t_in"), F.round("t_out", 5).alias("t_out"))
 
 
 def ray_bricks(spark, d):
-    return rays.bricks_hit(spark, one_camera(spark, d), V.SEG, V.SEG_BRICK, WIDTH, HEIGHT)
+    return rays.bricks_hit(spark, one_camera(spark, d), V.side(spark, d), V.SEG_BRICK, WIDTH, HEIGHT)
 
 
 def ray_render(spark, d):
-    return rays.render(spark, V.segmentation(spark, d), colors(spark, d), one_camera(spark, d), V.SEG, WIDTH, HEIGHT)
+    """The image of one camera, each brick at the level of detail that it has there."""
+    camera, palettes = one_camera(spark, d), seg_palettes(spark, d)
+    levels = view.seen_from(palettes, camera, V.SEG_BRICK).select("brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "is_empty")
+    return rays.render(spark, seg_nodes(spark, d), levels, colors(spark, d), camera.drop("session"), V.side(spark, d), V.SEG_BRICK, WIDTH, HEIGHT)
+
+
+def display_pixels(spark, d):
+    return colors(spark, d).select("label", rays.over_black(F.col("rgba")).alias("rgba"))
 
 
 def samples(spark, d):
@@ -260,16 +279,12 @@ def shading(spark, d):
 
 
 def shadow_rays(spark, d):
+    """The shadows of all voxels of an alpha over 0.4 with their surface's normal, where half of the light is left."""
+    g = V.side(spark, d)
     a = V.segmentation(spark, d).withColumn("alpha", (F.col("label") % 8) / 8.0).drop("label")
-    points = a.filter("alpha > 0.4 and x % 8 = 0 and y % 8 = 0 and z % 8 = 0").select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")).alias("id"), "x", "y", "z")
-    return rays.shadows(points, a, S.light_direction(25)).withColumn("shadow", F.round("shadow", 6))
-
-
-def shadow_rays_all(spark, d):
-    """The shadows of all voxels of an alpha over 0.4, by rays that reach the volume's edge."""
-    a = V.segmentation(spark, d).withColumn("alpha", (F.col("label") % 8) / 8.0).drop("label")
-    points = a.filter("alpha > 0.4").select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z")).alias("id"), "x", "y", "z")
-    return rays.shadows(points, a, S.light_direction(25), most=64).withColumn("shadow", F.round("shadow", 6))
+    n = F.greatest(S.norm(F.col("gx"), F.col("gy"), F.col("gz")), F.lit(0.001))
+    points = rays.gradients(a, 0.05).filter("alpha > 0.4").select((F.col("x") + g * F.col("y") + g * g * F.col("z")).alias("id"), "x", "y", "z", *((-F.col(f"g{c}") / n).alias(f"n{c}") for c in "xyz"), F.lit(0.5).alias("through"))
+    return rays.shadows(points, a, S.light_direction(25), g).withColumn("shadow", F.round("shadow", 6))
 
 
 def encoded(spark, d):
@@ -303,6 +318,16 @@ def decode_lod2(spark, d):
     return codec.decode(encoded(spark, d), V.SEG_BRICK, 2)
 
 
+def node_offsets(spark, d):
+    """Where the nodes of each level begin among those of the finest, and how many these are."""
+    nodes, top = seg_nodes(spark, d), V.SEG_BRICK.bit_length() - 1
+    return nodes.groupBy("lod").agg(F.max(S.output_index(F.col("m"), F.col("lod"), F.lit(top))).alias("last")).withColumn("nodes", F.lit(S.nodes_at(top)).cast("long"))
+
+
+def grid_traversal(spark, d):
+    return V.grid_codes(spark, V.side(spark, d) // V.SEG_BRICK)
+
+
 def decode_lod0(spark, d):
     return codec.decode(encoded(spark, d), V.SEG_BRICK, 0).select("brick_id", "label")
 
@@ -324,8 +349,8 @@ def first_mismatches(spark, d):
     return V.first_mismatches(nodes.filter("lod = 3"), above, ["brick_id", "m"])
 
 
-def distance_lod(spark, d, every=False):
-    return seen(spark, d, every).select("frame", "brick_id", view.distance_lod(V.SEG_BRICK).cast("int").alias("lod"))
+def distance_lod(spark, d):
+    return seen(spark, d).select("frame", "brick_id", view.distance_lod(V.SEG_BRICK).cast("int").alias("lod"))
 
 
 def orbit_path(spark, d):
@@ -342,7 +367,7 @@ def gradient_lod(spark, d):
 
 
 def trilinear_alpha(spark, d):
-    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *((F.col("o_orderkey") * k % 256 / 8.0).alias(f"p{c}") for k, c in ((7, "x"), (11, "y"), (13, "z"))))
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), *((F.col("o_orderkey") * k % (8 * V.side(spark, d)) / 8.0).alias(f"p{c}") for k, c in ((7, "x"), (11, "y"), (13, "z"))))
     brick = S.morton(*(F.floor(F.col(f"p{c}") / V.SEG_BRICK).cast("long") for c in "xyz"))
     at = [((F.col(f"p{c}") - F.floor(F.col(f"p{c}") / V.SEG_BRICK) * V.SEG_BRICK) * S.lod_scale(F.lit(2), V.SEG_BRICK)).alias(f"c{c}") for c in "xyz"]
     return rays.trilinear(o.select("id", brick.alias("brick_id"), F.lit(2).alias("lod"), *at), lod_alphas(spark, d), ("alpha",)).withColumn("alpha", F.round("alpha", 6))
@@ -357,10 +382,11 @@ def axis_sql(code: str, axis: int, bits: int = 7) -> str:
     return "(" + " | ".join(f"((({code}) >> {3 * i + axis} & 1) << {i})" for i in range(bits)) + ")"
 
 
-SEG_CTE = """seeds AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier WHERE s_suppkey < 24),
-grid AS (SELECT i % 32 AS x, i // 32 % 32 AS y, i // 1024 AS z FROM range(32768) t(i)),
-near AS (SELECT x, y, z, min(((x-(7*k+3)%32)*(x-(7*k+3)%32)+(y-(11*k+5)%32)*(y-(11*k+5)%32)+(z-(13*k+1)%32)*(z-(13*k+1)%32))*32+k) AS d FROM grid, seeds GROUP BY ALL),
-vox AS (SELECT x, y, z, CAST(CASE WHEN d < 101*32 THEN d % 32 + 1 ELSE 0 END AS BIGINT) AS label FROM near)"""
+SEG_CTE = """dim AS (SELECT CAST(32 * pow(2, greatest(0, floor(log2(count(*) / 64.0::DOUBLE) / 3))) AS BIGINT) AS g FROM supplier),
+seeds AS (SELECT CAST(s_suppkey AS BIGINT) AS k, (7*s_suppkey+3)%g AS sx, (11*s_suppkey+5+s_suppkey//g)%g AS sy, (13*s_suppkey+1+s_suppkey//g)%g AS sz, g FROM supplier, dim),
+grid AS (SELECT i % g AS x, i // g % g AS y, i // (g * g) AS z FROM (SELECT g, unnest(range(g * g * g)) AS i FROM dim)),
+near AS (SELECT x, y, z, min(CASE WHEN d <= 100 THEN d * 1099511627776 + k END) AS d FROM (SELECT x, y, z, k, (x-sx)*(x-sx)+(y-sy)*(y-sy)+(z-sz)*(z-sz) AS d FROM grid, seeds) GROUP BY ALL),
+vox AS (SELECT x, y, z, CAST(coalesce(d % 1099511627776 + 1, 0) AS BIGINT) AS label FROM near)"""
 PTS_CTE = "vox AS (SELECT l_orderkey % 64 AS x, l_partkey % 64 AS y, l_suppkey % 64 AS z, CAST(min(l_linenumber) AS BIGINT) AS label FROM lineitem GROUP BY ALL)"
 
 
@@ -396,8 +422,8 @@ ops AS (SELECT h.brick_id, h.lod, h.m, h.is_const AS stop,
   CAST(CASE WHEN p.label = h.label THEN 0 WHEN n0.label = h.label THEN ((h.m & 1) * 2 - 1) WHEN n1.label = h.label THEN ((h.m >> 1 & 1) * 2 - 1) WHEN n2.label = h.label THEN ((h.m >> 2 & 1) * 2 - 1) ELSE 0 END AS INTEGER) AS sign
   FROM nodes h JOIN nodes p ON p.brick_id = h.brick_id AND p.lod = h.lod - 1 AND p.m = h.m >> 3 AND NOT p.is_const {_neighbour(0)} {_neighbour(1)} {_neighbour(2)})"""
 PALETTES = f"{NODES},\npal AS (SELECT brick_id, min(label) AS label_min, max(label) AS label_max, count(DISTINCT label) AS n_labels, bool_and(label = 0) AS is_empty, {axis_sql('brick_id', 0)} * 8 AS bx, {axis_sql('brick_id', 1)} * 8 AS by_, {axis_sql('brick_id', 2)} * 8 AS bz FROM bricks GROUP BY brick_id)"
-CAMERAS = """cam0 AS (SELECT event_id AS frame, CAST(event_id * 7 % 64 - 20 AS DOUBLE) AS px, CAST(event_id * 11 % 64 - 10 AS DOUBLE) AS py, CAST(event_id * 13 % 64 - 30 AS DOUBLE) AS pz FROM events WHERE event_id < 12),
-cam AS (SELECT *, (16.0 - px) / n AS dx, (16.0 - py) / n AS dy, (16.0 - pz) / n AS dz FROM (SELECT *, sqrt((16.0-px)*(16.0-px)+(16.0-py)*(16.0-py)+(16.0-pz)*(16.0-pz)) AS n FROM cam0))"""
+CAMERAS = """cam0 AS (SELECT event_id AS frame, CAST(event_id * 7 % (2*g) - 20*g//32 AS DOUBLE) AS px, CAST(event_id * 11 % (2*g) - 10*g//32 AS DOUBLE) AS py, CAST(event_id * 13 % (2*g) - 30*g//32 AS DOUBLE) AS pz, CAST(g AS DOUBLE) / 2 AS h FROM events, dim),
+cam AS (SELECT *, (h - px) / n AS dx, (h - py) / n AS dy, (h - pz) / n AS dz FROM (SELECT *, sqrt((h-px)*(h-px)+(h-py)*(h-py)+(h-pz)*(h-pz)) AS n FROM cam0))"""
 _f = 256 / 2 / math.tan(math.pi / 6)
 _r = math.sqrt(3) * 4
 SEEN = f"""{PALETTES},
@@ -429,7 +455,7 @@ def times_sql(v: str, k: int) -> str:
     return f"((((({v}) * {k >> 16}) & 65535) << 16) + ({v}) * {k & 0xFFFF}) & 4294967295"
 
 
-RAYS = f"""WITH {CAMERAS},
+RAYS = f"""WITH {SEG_CTE.split("seeds AS")[0].rstrip().rstrip(",")}, {CAMERAS},
 b AS (SELECT *, CASE WHEN abs(dy) > 0.999 THEN 1.0 ELSE 0.0 END AS ux, CASE WHEN abs(dy) > 0.999 THEN 0.0 ELSE 1.0 END AS uy FROM cam WHERE frame = 3),
 b1 AS (SELECT *, -dz * uy AS sx, dz * ux AS sy, dx * uy - dy * ux AS sz FROM b),
 b2 AS (SELECT *, sx / n1 AS r0, sy / n1 AS r1, sz / n1 AS r2 FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS n1 FROM b1)),
@@ -437,9 +463,9 @@ b3 AS (SELECT *, r1*dz - r2*dy AS u0, r2*dx - r0*dz AS u1, r0*dy - r1*dx AS u2 F
 px AS (SELECT i % {WIDTH} AS qx, i // {WIDTH} AS qy FROM range({WIDTH * HEIGHT}) t(i)),
 nd AS (SELECT *, ((qx + 0.5) / {WIDTH}.0 * 2 - 1) * {WIDTH / HEIGHT * math.tan(math.pi / 6)!r}::DOUBLE AS nx, (1 - (qy + 0.5) / {HEIGHT}.0 * 2) * {math.tan(math.pi / 6)!r}::DOUBLE AS ny FROM px, b3),
 d AS (SELECT *, dx + r0*nx + u0*ny AS ex, dy + r1*nx + u1*ny AS ey, dz + r2*nx + u2*ny AS ez FROM nd),
-rays AS (SELECT qx, qy, px AS ox, py AS oy, pz AS oz, ex/n2 AS rx, ey/n2 AS ry, ez/n2 AS rz FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS n2 FROM d))"""
+rays AS (SELECT qx, qy, px AS ox, py AS oy, pz AS oz, h, ex/n2 AS rx, ey/n2 AS ry, ez/n2 AS rz FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS n2 FROM d))"""
 _inv = lambda c: f"((CASE WHEN {c} < 0 THEN -1.0 WHEN {c} > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE / greatest(abs({c}), 1e-6))"
-_t = lambda f: ", ".join(f"{f}((0.0 - {o}) * {_inv(r)}, (32.0 - {o}) * {_inv(r)})" for o, r in (("ox", "rx"), ("oy", "ry"), ("oz", "rz")))
+_t = lambda f: ", ".join(f"{f}((0.0 - {o}) * {_inv(r)}, (2 * h - {o}) * {_inv(r)})" for o, r in (("ox", "rx"), ("oy", "ry"), ("oz", "rz")))
 SAMPLES = "s AS (SELECT l_orderkey % 500 AS px, l_orderkey % 7 AS py, l_orderkey * 10 + l_linenumber AS seq, max((l_partkey % 11)::DOUBLE / 11) AS r, max((l_partkey % 13)::DOUBLE / 13) AS g, max((l_partkey % 17)::DOUBLE / 17) AS b, max((l_suppkey % 9)::DOUBLE / 9) AS alpha FROM lineitem GROUP BY 1, 2, 3)"
 GRADIENT = f"""WITH {SEG_CTE}, al AS (SELECT x, y, z, (label % 8) / 8.0::DOUBLE AS a FROM vox),
 g AS (SELECT c.x, c.y, c.z, (coalesce(xp.a, 0) - coalesce(xm.a, 0)) / 2 AS gx, (coalesce(yp.a, 0) - coalesce(ym.a, 0)) / 2 AS gy, (coalesce(zp.a, 0) - coalesce(zm.a, 0)) / 2 AS gz FROM al c
@@ -448,10 +474,15 @@ grad AS (SELECT * FROM g WHERE gx <> 0 OR gy <> 0 OR gz <> 0)"""
 _l = S.light_direction(25)
 _ln = math.sqrt(sum(c * c for c in _l))
 
+_own = lambda n: f"(CASE WHEN {n}.a > 0.05 THEN {n}.a ELSE c.a END)"
+SHADOWED = GRADIENT.replace(", (coalesce(xp.a, 0)", ", c.a AS alpha, (coalesce(xp.a, 0)", 1) + f""",
+slope AS (SELECT c.x, c.y, c.z, {", ".join(f"({_own(j + 'p')} - {_own(j + 'm')}) / 2 AS g{j}" for j in "xyz")} FROM al c
+{" ".join(f"LEFT JOIN al {k}{n} ON {' AND '.join(f'{k}{n}.{j} = c.{j}' + (f' {s} 1' if j == k else '') for j in 'xyz')}" for k in "xyz" for n, s in (("p", "+"), ("m", "-")))} WHERE c.a > 0.4),
+p AS (SELECT x + g * y + g * g * z AS id, x, y, z, {", ".join(f"-g{c} / greatest(sqrt(gx*gx+gy*gy+gz*gz), 0.001) AS n{c}" for c in "xyz")} FROM slope, dim)"""
 _steps = [(c, n, "".join(f" AND {n}.c{j} = h.c{j}{s if j == i else ''}" for j in range(3))) for i, c in enumerate("xyz") for n, s in ((f"{c}p", " + 1"), (f"{c}m", " - 1"))]
 _safe = lambda n: f"(CASE WHEN {n}.a > 0.05 THEN {n}.a ELSE h.a END)"
 LOD_ALPHAS = f"{NODES}, la AS (SELECT brick_id, m, {', '.join(f'{axis_sql('m', i, 2)} AS c{i}' for i in range(3))}, (label % 8) / 8.0::DOUBLE AS a FROM nodes WHERE lod = 2)"
-_place = ", ".join(f"CAST(o_orderkey * {k} % 256 AS DOUBLE) / 8 AS p{i}" for i, k in enumerate((7, 11, 13)))
+_place = ", ".join(f"CAST(o_orderkey * {k} % (8 * g) AS DOUBLE) / 8 AS p{i}" for i, k in enumerate((7, 11, 13)))
 _cell = ", ".join(f"(p{i} - floor(p{i} / 8) * 8) * 0.5::DOUBLE AS q{i}" for i in range(3))
 _corner = " AND ".join(f"la.c{i} = least(CAST(floor(q{i}) AS BIGINT) + (k >> {i} & 1), 3)" for i in range(3))
 _near = " * ".join(f"(CASE WHEN k >> {i} & 1 = 1 THEN q{i} - floor(q{i}) ELSE 1 - (q{i} - floor(q{i})) END)" for i in range(3))
@@ -491,6 +522,11 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
     "requested_bricks": f"{SEEN} SELECT * FROM wanted r WHERE EXISTS (SELECT 1 FROM resident w WHERE w.frame = r.frame AND w.brick_id = r.brick_id)",
     "residency_left_join": f"{SEEN}, f AS (SELECT brick_id, lod, CAST(coalesce(sum(1 << (3 * lod)) OVER (ORDER BY brick_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM wanted WHERE frame = 3) SELECT p.brick_id, f.lod, f.\"offset\" FROM pal p LEFT JOIN f USING (brick_id)",
     "rolling60": "SELECT * FROM (SELECT event_id AS frame, sum((event_id * 7 % 31)::DOUBLE) OVER w AS sum_ms, count(*) OVER w AS samples FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE frame % 10 = 0",
+    "redecoded_bricks": f"{SEEN} SELECT * FROM resident WHERE frame IN (SELECT event_id FROM events WHERE event_type = 'click')",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
+    "display_pixels": f"{COLORS} SELECT label, {' + '.join(f'CAST(floor((rgba >> {8 * i} & 255) * (rgba >> 24 & 255) / 255.0::DOUBLE) AS BIGINT) * {256**i}' for i in range(3))} + CAST(4278190080 AS BIGINT) AS rgba FROM colors",
+    "node_offsets": "SELECT CAST(k AS INTEGER) AS lod, CAST(((1 << 3 * k) - 1) * (1 << 3 * (3 - k)) AS BIGINT) AS last, CAST(512 AS BIGINT) AS nodes FROM range(4) t(k)",
+    "grid_traversal": f"WITH {SEG_CTE.split('seeds AS')[0].rstrip().rstrip(',')}, c AS (SELECT i % n AS x, i // n % n AS y, i // (n * n) AS z FROM (SELECT n, unnest(range(n * n * n)) AS i FROM (SELECT g // 8 AS n FROM dim))) SELECT x, y, z, {morton_sql('x', 'y', 'z')} AS code FROM c",
     "ray_generate": f"{RAYS} SELECT qx AS px, qy AS py, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM rays",
     "ray_slab_hits": f"{RAYS}, t AS (SELECT qx, qy, greatest({_t('least')}, 0.0) AS t_in, least({_t('greatest')}) AS t_out FROM rays) SELECT qx AS px, qy AS py, round(t_in, 5) AS t_in, round(t_out, 5) AS t_out FROM t WHERE t_in <= t_out",
     "first_mismatches": f"{NODES} SELECT h.brick_id, h.m, h.label, p.label AS other FROM nodes h JOIN nodes p ON p.brick_id = h.brick_id AND p.lod = 2 AND h.lod = 3 AND p.m = h.m >> 3 WHERE h.label <> p.label ORDER BY 1, 2 LIMIT 10",
@@ -500,12 +536,14 @@ FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY event_id ROWS UNBOUN
 o AS (SELECT session, frame, yaw, greatest(-pi() / 3, least(pi() / 3, pitch)) AS pitch, greatest(20.0::DOUBLE, least(200.0::DOUBLE, 48.0::DOUBLE * exp(zoom * 0.0015::DOUBLE))) AS radius FROM i)
 SELECT session, frame, round(radius, 6) AS radius, round(16 + radius * cos(pitch) * sin(yaw), 6) AS px, round(16 + radius * sin(pitch), 6) AS py, round(16 + radius * cos(pitch) * cos(yaw), 6) AS pz FROM o""",
     "gradient_lod": f"{LOD_ALPHAS} SELECT h.brick_id, h.m, {', '.join(f'({_safe(c + 'p')} - {_safe(c + 'm')}) / 2 AS g{c}' for c in 'xyz')} FROM la h {' '.join(f'LEFT JOIN la {n} ON {n}.brick_id = h.brick_id{on}' for _, n, on in _steps)} WHERE h.a > 0.35",
-    "trilinear_alpha": f"{LOD_ALPHAS}, pt AS (SELECT o_orderkey AS id, {_place} FROM orders), pq AS (SELECT id, {morton_sql('floor(p0 / 8)', 'floor(p1 / 8)', 'floor(p2 / 8)')} AS brick_id, {_cell} FROM pt), w AS (SELECT id, {_near} AS w, la.a FROM pq CROSS JOIN range(8) t(k) JOIN la ON la.brick_id = pq.brick_id AND {_corner}) SELECT id, round(sum(w * a) / sum(w), 6) AS alpha FROM w GROUP BY id",
+    "trilinear_alpha": f"{LOD_ALPHAS}, pt AS (SELECT o_orderkey AS id, {_place} FROM orders, dim), pq AS (SELECT id, {morton_sql('floor(p0 / 8)', 'floor(p1 / 8)', 'floor(p2 / 8)')} AS brick_id, {_cell} FROM pt), w AS (SELECT id, {_near} AS w, la.a FROM pq CROSS JOIN range(8) t(k) JOIN la ON la.brick_id = pq.brick_id AND {_corner}) SELECT id, round(sum(w * a) / sum(w), 6) AS alpha FROM w GROUP BY id",
     "composite_window": f"WITH {SAMPLES}, k AS (SELECT *, exp(coalesce(sum(ln(greatest(1 - alpha, 1e-12))) OVER (PARTITION BY px, py ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM s WHERE alpha > 0.05) SELECT px, py, round(sum(r * alpha * t), 6) AS r, round(sum(g * alpha * t), 6) AS g, round(sum(b * alpha * t), 6) AS b, round(sum(alpha * t), 6) AS a FROM k WHERE 1 - t <= 0.95 GROUP BY 1, 2",
     "first_hits": f"WITH {SAMPLES} SELECT px, py, min(seq) AS seq, arg_min(alpha, seq) AS alpha FROM s GROUP BY 1, 2",
     "gradient": f"{GRADIENT} SELECT x, y, z, gx, gy, gz FROM grad",
-    "shading": f"{GRADIENT}, n AS (SELECT x, y, z, -(gx * {_l[0]!r}::DOUBLE + gy * {_l[1]!r}::DOUBLE + gz * ({_l[2]!r})::DOUBLE) / greatest(sqrt(gx*gx+gy*gy+gz*gz), 0.001) AS a FROM grad) SELECT x, y, z, round(least(greatest(0.5 + greatest(a, 0.0) * 0.8, CASE WHEN a > 0.01 THEN 0.3 ELSE 0.1 END), 1.0), 6) AS light FROM n",
-    "shadow_rays": f"WITH {SEG_CTE}, al AS (SELECT x, y, z, (label % 8) / 8.0::DOUBLE AS a FROM vox), p AS (SELECT x + 32 * y + 1024 * z AS id, x, y, z FROM al WHERE a > 0.4 AND x % 8 = 0 AND y % 8 = 0 AND z % 8 = 0), q AS (SELECT id, {', '.join(f'CAST(floor({c} + 0.5 + (k + 1.1::DOUBLE) * ({d / _ln!r})::DOUBLE) AS BIGINT) AS s{c}' for c, d in zip('xyz', _l, strict=True))} FROM p, range(24) t(k)) SELECT id, round(CASE WHEN coalesce(sum(a), 0) > 0.8 THEN 0.0 ELSE exp(-1.5 * coalesce(sum(a), 0)) END, 6) AS shadow FROM q LEFT JOIN al ON al.x = sx AND al.y = sy AND al.z = sz GROUP BY id",
+    "shading": f"{GRADIENT}, n AS (SELECT x, y, z, -(gx * ({_l[0]!r}::DOUBLE / {_ln!r}::DOUBLE) + gy * ({_l[1]!r}::DOUBLE / {_ln!r}::DOUBLE) + gz * (({_l[2]!r})::DOUBLE / {_ln!r}::DOUBLE)) / greatest(sqrt(gx*gx+gy*gy+gz*gz), 0.001) AS a FROM grad) SELECT x, y, z, round(least(greatest(0.5 + greatest(a, 0.0) * 0.8, CASE WHEN a > 0.01 THEN 0.3 ELSE 0.1 END), 1.0), 6) AS light FROM n",
+    "shadow_rays": f"""{SHADOWED}, q AS (SELECT id, {', '.join(f'CAST(floor({c} + 0.5 + n{c} * 0.6 + (k + 0.5) * ({d / _ln!r})::DOUBLE) AS BIGINT) AS s{c}' for c, d in zip('xyz', _l, strict=True))} FROM p, range(32) t(k)),
+t AS (SELECT id, sum(al.a) AS a FROM q JOIN al ON al.x = sx AND al.y = sy AND al.z = sz GROUP BY id)
+SELECT p.id, round(CASE WHEN coalesce(t.a, 0) > 0.8 THEN 0.0 ELSE 1 + (exp(-1.5 * coalesce(t.a, 0)) - 1) * 0.5 END, 6) AS shadow FROM p LEFT JOIN t USING (id)""",
     "codec_roundtrip": f"WITH {SEG_CTE} SELECT x, y, z, label FROM vox",
     "decode_lod2": f"{NODES} SELECT brick_id, m, label FROM nodes WHERE lod = 2",
     "decode_lod0": f"{NODES} SELECT brick_id, label FROM nodes WHERE lod = 0",
@@ -515,14 +553,12 @@ SELECT session, frame, round(radius, 6) AS radius, round(16 + radius * cos(pitch
 QUERIES = {
     f.__name__: f
     for f in (
-        label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds,
-        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, cache_replay, rolling60,
-        ray_generate, ray_slab_hits, ray_bricks, ray_render, composite_window, first_hits, gradient, shading, shadow_rays, shadow_rays_all, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
+        label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds, node_offsets, grid_traversal,
+        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, cache_replay, rolling60, event_windows,
+        ray_generate, ray_slab_hits, ray_bricks, ray_render, display_pixels, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
 }
-#: Over the cameras of all events; without oracles, as those have the first twelve.
-QUERIES |= {f"{f.__name__}_all": partial(f, every=True) for f in (frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, cache_replay, distance_lod)}
 
 
 def queries() -> dict:
