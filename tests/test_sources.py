@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from voxelspark.operators import codec
-from voxelspark.sources.files import csbd_header, register
+from voxelspark.sources import files
+from voxelspark.sources.files import csbd_header, csbd_positions, register
 
 
 def test_npy_and_npz_round_trip(spark, tmp_path):
@@ -45,3 +46,63 @@ def test_csbd_layout_and_round_trip(spark, tmp_path):
     loaded = spark.read.format("csbd").option("bricks", 2).load(path)
     back = codec.decode(codec.decompress(loaded, freq), 4)
     assert sorted((r.brick_id, r.m, r.label) for r in back.collect()) == sorted(rows)
+
+
+def test_npy_grows_along_its_first_axis(spark, tmp_path):
+    register(spark)
+    rng = np.random.default_rng(3)
+    path, parts = str(tmp_path / "v.npy"), [rng.integers(0, 99, (n, 3, 2)).astype("<u8") for n in (4, 2, 5)]
+    for k, a in enumerate(parts):
+        flat = a.reshape(-1).tolist()
+        rows = [(i % len(a), i // len(a) % 3, i // (3 * len(a)), v) for i, v in enumerate(flat)]
+        spark.createDataFrame(rows, "x int, y int, z int, label long").write.format("npy").mode("append" if k else "overwrite").save(path)
+    assert (np.load(path) == np.concatenate(parts)).all()
+    with pytest.raises(Exception, match="does not lengthen"):
+        spark.createDataFrame([(0, 0, 0, 1)], "x int, y int, z int, label long").write.format("npy").mode("append").save(path)
+
+
+def test_parts_are_read_by_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 7)
+    register(spark)
+    rows = [(i % 4, i // 4 % 5, i // 20, i * i) for i in range(60)]
+    spark.createDataFrame(rows, "x int, y int, z int, label long").repartition(3).write.format("npy").mode("overwrite").save(str(tmp_path / "p.npy"))
+    assert np.load(tmp_path / "p.npy").reshape(-1).tolist() == [r[3] for r in rows]
+
+
+def coded(spark, path, **options):
+    rng = np.random.default_rng(5)
+    rows = [(b, m, int(v)) for b in (7, 2, 4) for m, v in enumerate(rng.integers(0, 3, 64))]
+    encoded = codec.encode(spark.createDataFrame(rows, "brick_id long, m long, label long"), 4).cache()
+    freq = codec.rans_model(encoded)
+    codec.compress(encoded, freq).write.format("csbd").options(freq=",".join(map(str, freq)), brickSize=4, **options).mode("overwrite").save(path)
+    return rows, freq
+
+
+def test_damaged_bricks_are_found(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "d.csbd")
+    rows, freq = coded(spark, path, checksum="true")
+    load = lambda: codec.decode(codec.decompress(spark.read.format("csbd").option("checksum", "true").option("bricks", 2).load(path), freq), 4)
+    assert sorted((r.brick_id, r.m, r.label) for r in load().collect()) == sorted(rows)
+    raw = bytearray(open(path, "rb").read())
+    raw[-12] ^= 1  # the last encoded byte before n_symbols and the checksum is four further
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="damaged"):
+        load().collect()
+
+
+def test_dumps_go_back_to_their_bricks(spark, tmp_path):
+    register(spark)
+    path, dump = str(tmp_path / "d.csbd"), str(tmp_path / "labels.bin")
+    rows, _ = coded(spark, path)
+    places = csbd_positions(spark, path)
+    assert [tuple(r) for r in places.collect()] == [(2, 0), (4, 1), (7, 2)]
+    arrays = {}
+    for b, _, v in rows:
+        arrays.setdefault(b, []).append(v)
+    spark.createDataFrame(list(arrays.items()), "brick_id long, labels array<long>").join(places, "brick_id").select("position", "labels").repartition(2).write.format("labels").mode("overwrite").save(dump)
+    assert np.fromfile(dump, "<u8").tolist() == [v for b in (2, 4, 7) for v in arrays[b]]
+    back = spark.read.format("labels").option("brick_size", 4).option("bricks", 2).load(dump).join(places, "position")
+    assert {r.brick_id: r.labels for r in back.collect()} == arrays
+    with pytest.raises(Exception, match="whole bricks"):
+        spark.read.format("labels").option("brick_size", 8).load(dump).collect()

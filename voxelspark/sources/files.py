@@ -1,4 +1,4 @@
-"""File formats: NPY volumes (read by slabs, written by parts), NPZ archives and compressed datasets (csbd).
+"""File formats: NPY volumes (read by slabs, written by parts), NPZ archives, compressed datasets (csbd) and dumps of labels.
 
 Readers and writers are Python data sources, so ``spark.read.format("npy")`` and ``df.write.format("csbd")`` work after ``register(spark)``.
 """
@@ -9,6 +9,7 @@ import io
 import os
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -99,27 +100,62 @@ class GatheringWriter(DataSourceWriter):
             os.path.exists(file) and os.remove(file)
 
 
+#: Records of a part that are held at a time.
+CHUNK = 1 << 20
+VOXEL = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("label", "<i8")])
+
+
+def append_planes(path: str, planes: np.ndarray | np.memmap, shape: tuple[int, ...]) -> None:
+    """Lengthens a volume's first axis by the flat ``planes`` of an array of ``shape``; the other axes must agree."""
+    with open(path, "r+b") as file:
+        old, dtype, start = npy_header(file)
+        if old[1:] != shape[1:] or dtype != np.dtype("<u8"):
+            raise ValueError(f"{shape} does not lengthen {old} of {dtype}")
+        header = io.BytesIO()
+        np.lib.format.write_array_header_1_0(header, {"descr": "<u8", "fortran_order": False, "shape": (old[0] + shape[0], *old[1:])})
+        if len(header.getvalue()) != start:
+            raise ValueError("the header has no room for the new shape")
+        file.seek(0)
+        file.write(header.getvalue())
+        file.seek(0, 2)
+        for at in range(0, len(planes), CHUNK):
+            file.write(planes[at : at + CHUNK].tobytes())
+
+
 class NpyWriter(GatheringWriter):
-    """Voxels (x, y, z, label) as a volume of u64, absent ones 0; a zip of one array if the path ends in .npz. Writes into a mapped file, so no task holds the volume."""
+    """Voxels (x, y, z, label) as a volume of u64, absent ones 0; a zip of one array if the path ends in .npz. Parts are read by pieces and written into a mapped file, so neither a task nor the driver holds the volume. In append mode the rows are a volume of their own that lengthens the first axis of the file."""
 
     FORM = "<iiiq"
 
     def record(self, row):
         return struct.pack(self.FORM, row["x"], row["y"], row["z"], row["label"])
 
+    def pieces(self, messages):
+        for file in self.parts(messages):
+            if os.path.getsize(file):
+                part = np.memmap(file, VOXEL, "r")
+                for at in range(0, len(part), CHUNK):
+                    yield part[at : at + CHUNK]
+
     def commit(self, messages):
-        parts = [np.fromfile(f, [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("label", "<i8")]) for f in self.parts(messages) if os.path.getsize(f)]
-        shape = tuple(max((int(p[c].max()) + 1 for p in parts), default=0) for c in "xyz")
-        target = self.path.removesuffix(".npz") + ".tmp.npy" if self.path.endswith(".npz") else self.path
+        shape = (0, 0, 0)
+        for p in self.pieces(messages):
+            shape = tuple(max(n, int(p[c].max()) + 1) for n, c in zip(shape, "xyz", strict=True))
+        append = not self.overwrite and os.path.exists(self.path) and not self.path.endswith(".npz")
+        target = self.path.removesuffix(".npz") + ".tmp.npy" if append or self.path.endswith(".npz") else self.path
         volume = np.lib.format.open_memmap(target, "w+", "<u8", shape) if min(shape) else np.zeros(shape, "<u8")
         flat = volume.reshape(-1)
-        for p in parts:
-            flat[p["x"].astype(np.int64) + shape[0] * (p["y"].astype(np.int64) + shape[1] * p["z"].astype(np.int64))] = p["label"].view(np.uint64)
+        for p in self.pieces(messages):
+            flat[p["x"].astype(np.int64) + shape[0] * (p["y"].astype(np.int64) + shape[1] * p["z"].astype(np.int64))] = p["label"].view(np.uint64) if p["label"].flags.c_contiguous else p["label"].astype("<i8").view(np.uint64)
         if min(shape):
             volume.flush()
         else:
             np.save(target, volume)
-        if target != self.path:
+        if append:
+            if min(shape):
+                append_planes(self.path, flat, shape)
+            os.remove(target)
+        elif target != self.path:
             with zipfile.ZipFile(self.path, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.write(target, self.options.get("array", "arr_0") + ".npy")
             os.remove(target)
@@ -127,10 +163,12 @@ class NpyWriter(GatheringWriter):
 
 
 class CsbdWriter(GatheringWriter):
-    """Rows (brick_id, palette, encoded, n_symbols) and the option ``freq``, 16 comma-separated frequencies. Records go in order of brick_id."""
+    """Rows (brick_id, palette, encoded, n_symbols) and the option ``freq``, 16 comma-separated frequencies. Records go in order of brick_id; the driver copies them, one at a time, as a record's place follows from the sizes of all before it. With the option ``checksum``, a record ends with the CRC-32 of its encoded bytes."""
 
     def record(self, row):
         body = struct.pack(f"<II{len(row['palette'])}qI", row["brick_id"], len(row["palette"]), *row["palette"], len(row["encoded"])) + bytes(row["encoded"]) + struct.pack("<I", row["n_symbols"])
+        if checked(self.options):
+            body += struct.pack("<I", zlib.crc32(row["encoded"]))
         return struct.pack("<qI", row["brick_id"], len(body)) + body
 
     def commit(self, messages):
@@ -152,6 +190,29 @@ class CsbdWriter(GatheringWriter):
         self.abort(messages)
 
 
+def checked(options) -> bool:
+    return str(options.get("checksum", "false")).lower() == "true"
+
+
+def csbd_records(file, n: int, crc: bool):
+    """(brick_id, place in the file) of each of ``n`` records, by their lengths."""
+    at = HEAD
+    for _ in range(n):
+        file.seek(at)
+        brick, p = struct.unpack("<II", file.read(8))
+        file.seek(at + 8 + 8 * p)
+        (e,) = struct.unpack("<I", file.read(4))
+        yield brick, at
+        at += 16 + 8 * p + e + 4 * crc
+
+
+def csbd_positions(spark: SparkSession, path: str, checksum: bool = False):
+    """brick_id and position, from 0, of the bricks of a compressed dataset in order of its file: what puts a dump's bricks back in their places."""
+    with open(path, "rb") as file:
+        rows = [(brick, k) for k, (brick, _) in enumerate(csbd_records(file, csbd_header(file)["bricks"], checksum))]
+    return spark.createDataFrame(rows, "brick_id long, position long")
+
+
 def csbd_header(file) -> dict:
     """Brick count and size, and the model with its cumulative sums rebuilt, so that what is read can be written again."""
     magic, version, n, size = struct.unpack("<4I", file.read(16))
@@ -167,21 +228,12 @@ class CsbdReader(DataSourceReader):
     """Bricks of a file. Records have no index, so one pass over their lengths plans byte ranges, which are then read in parallel."""
 
     def __init__(self, options):
-        self.path, self.per = options["path"], int(options.get("bricks", 256))
+        self.path, self.per, self.crc = options["path"], int(options.get("bricks", 256)), checked(options)
 
     def partitions(self):
         with open(self.path, "rb") as file:
             n = csbd_header(file)["bricks"]
-            starts, at = [], HEAD
-            for i in range(n):
-                if i % self.per == 0:
-                    starts.append((at, min(self.per, n - i)))
-                file.seek(at + 4)
-                (p,) = struct.unpack("<I", file.read(4))
-                file.seek(at + 8 + 8 * p)
-                (e,) = struct.unpack("<I", file.read(4))
-                at += 16 + 8 * p + e
-        return [Part(*s) for s in starts]
+            return [Part(at, min(self.per, n - i)) for i, (_, at) in enumerate(csbd_records(file, n, self.crc)) if i % self.per == 0]
 
     def read(self, part):
         at, n = part.what
@@ -191,7 +243,46 @@ class CsbdReader(DataSourceReader):
                 brick, p = struct.unpack("<II", file.read(8))
                 palette = list(struct.unpack(f"<{p}q", file.read(8 * p)))
                 (e,) = struct.unpack("<I", file.read(4))
-                yield brick, palette, file.read(e), struct.unpack("<I", file.read(4))[0]
+                encoded, (symbols,) = file.read(e), struct.unpack("<I", file.read(4))
+                if self.crc and struct.unpack("<I", file.read(4))[0] != zlib.crc32(encoded):
+                    raise ValueError(f"brick {brick} is damaged")
+                yield brick, palette, encoded, symbols
+
+
+class DumpReader(DataSourceReader):
+    """Labels of whole bricks, u64 one brick after the other, in Morton order within each; ``brick_size`` is an option."""
+
+    def __init__(self, options):
+        self.path, self.voxels, self.per = options["path"], int(options.get("brick_size", 64)) ** 3, int(options.get("bricks", 64))
+
+    def partitions(self):
+        n, rest = divmod(os.path.getsize(self.path), 8 * self.voxels)
+        if rest:
+            raise ValueError("the dump does not hold whole bricks")
+        return [Part(k, min(self.per, n - k)) for k in range(0, n, self.per)]
+
+    def read(self, part):
+        first, n = part.what
+        with open(self.path, "rb") as file:
+            file.seek(8 * self.voxels * first)
+            for k in range(n):
+                yield first + k, np.frombuffer(file.read(8 * self.voxels), "<i8").tolist()
+
+
+class DumpWriter(DataSourceWriter):
+    """Rows (position, labels) as a dump; each task writes its bricks at their places, on a path that all executors share."""
+
+    def __init__(self, options, overwrite):
+        self.path = options["path"]
+        if overwrite or not os.path.exists(self.path):
+            open(self.path, "wb").close()
+
+    def write(self, rows):
+        with open(self.path, "r+b") as out:
+            for row in rows:
+                out.seek(8 * len(row["labels"]) * row["position"])
+                out.write(np.array(row["labels"], "<i8").tobytes())
+        return Written(self.path)
 
 
 class NpySource(DataSource):
@@ -224,9 +315,25 @@ class CsbdSource(DataSource):
         return CsbdWriter(self.options, overwrite)
 
 
+class DumpSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "labels"
+
+    def schema(self):
+        return "position bigint, labels array<bigint>"
+
+    def reader(self, schema):
+        return DumpReader(self.options)
+
+    def writer(self, schema, overwrite):
+        return DumpWriter(self.options, overwrite)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(NpySource)
     spark.dataSource.register(CsbdSource)
+    spark.dataSource.register(DumpSource)
 
 
 def write_ppm(pixels, path: str, width: int, height: int) -> None:
