@@ -44,6 +44,9 @@ def test_stream_equals_replay(spark, tmp_path):
     files = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     query = stream_residency(files, 200).writeStream.outputMode("append").format("memory").queryName("residency").option("checkpointLocation", str(tmp_path / "state")).start()
     query.processAllAvailable()
+    from voxelspark.streaming.windows import phase_timings
+
+    assert {"addBatch", "triggerExecution"} <= {phase for _, phase, ms in phase_timings(query) if ms >= 0}
     query.stop()
     got = pd.DataFrame(spark.sql("select * from residency").collect())
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, whole.values.tolist())) and len(got)
@@ -54,3 +57,27 @@ def test_moving_average(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(100)], "session long, frame long, ms double")
     last = moving_average(df).filter("frame = 99").first()
     assert last.samples == 60 and last.mean_ms == sum(range(40, 100)) / 60
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    from voxelspark.streaming.windows import event_counts
+
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", "click", h * 7 + m) for h in range(4) for m in range(0, 60, 9)]
+    events = spark.createDataFrame(rows, "at string, event_type string, user_id long").selectExpr("cast(at as timestamp) as ts", "event_type", "user_id")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = event_counts(stream, "1 hour", late="10 minutes").writeStream.outputMode("append").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    whole = {(r.start, r.n, r.users) for r in event_counts(events, "1 hour").collect()}
+    got = {(r.start, r.n, r.users) for r in spark.sql("select * from hours").collect()}
+    assert len(whole) == 4 and got < whole and len(got) == 3  # the last window may still get late events
+
+
+def test_display_and_growth(spark, tmp_path):
+    from voxelspark.functions.scalars import grown
+    from voxelspark.sources.files import write_ppm
+
+    assert [grown(0, 10, 4), grown(16, 10, 4), grown(10, 40, 4)] == [14, 16, 53]
+    write_ppm(spark.createDataFrame([(0, 0, 1), (1, 0, 255 * 256), (1, 1, 255 * 65536 + 7)], "px int, py int, rgba long"), str(tmp_path / "i.ppm"), 2, 2)
+    assert (tmp_path / "i.ppm").read_bytes() == b"P6 2 2 255\n" + bytes([1, 0, 0, 0, 255, 0, 0, 0, 0, 7, 0, 255])
