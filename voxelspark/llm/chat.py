@@ -22,8 +22,11 @@ def maximal_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "
     The hash of a prefix is the sum, modulo nothing, of 128 hashed bits of (place, role, text) of its turns, in four sums of 32 bits that cannot overflow; so a window computes it in one pass, and equal prefixes have equal hashes wherever they stand. A conversation is one row of the result, so it must fit a task; groups of equal conversations or of equal prefixes are counted, never gathered.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.withColumn("key", mark("conv_id")).repartition(parts(turns.sparkSession), "key")  # the one shuffle of the texts serves all that follows
+    kind = turns.select(F.col(conv)).schema[0].dataType
+    rows = turns.select(mark(conv).alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    # The one shuffle of the texts serves all that follows, as every branch asks for the same four columns.
+    rows = rows.repartition(parts(turns.sparkSession), "key")
+    named = F.when(F.col("key") != "-", F.substr("key", F.lit(2))).cast(kind)
     ordered = W.partitionBy("key").orderBy("turn", "role", "text")
     hashed = rows.withColumn("k", F.row_number().over(ordered))
     hashes = {"h1": F.xxhash64("k", mark("role"), mark("text")), "h2": F.xxhash64(mark("text"), F.lit(7), mark("role"), "k")}
@@ -33,7 +36,7 @@ def maximal_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "
     hashed = hashed.withColumns(hashes).withColumns({"prefix": F.concat_ws(":", "k", *sums), "last": F.lead("k").over(ordered).isNull()})
 
     prefixes = hashed.filter(~F.col("last")).select("prefix").distinct()
-    whole = hashed.filter("last").groupBy("prefix").agg(F.min("conv_id").alias("conv_id"), F.max("k").cast("long").alias("n_turns"), F.count("*").alias("n_copies"))
+    whole = hashed.filter("last").groupBy("prefix").agg(F.min(named).alias("conv_id"), F.max("k").cast("long").alias("n_turns"), F.count("*").alias("n_copies"))
     kept = whole.join(prefixes, "prefix", "left_anti").select(mark("conv_id").alias("key"), "conv_id", "n_turns", "n_copies")
 
     said = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"].cast("string"), F.lit("unknown")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE))
