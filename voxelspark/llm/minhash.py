@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Members of a bucket that are compared in one piece of work: a block with itself or with another block.
 BLOCK = 512
+#: Rows of a table of buckets that is broadcast, at most; larger ones are joined by a shuffle.
+SMALL = 200_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -168,7 +170,8 @@ def cells(found: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """
     labelled = found.filter("single").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    several = per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).filter("m.c < n").select("key", "n", F.col("m.c").alias("most"), F.col("m.label").alias("large"))
+    several = checkpoint(per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).filter("m.c < n").select("key", "n", F.col("m.c").alias("most"), F.col("m.label").alias("large")))
+    several = F.broadcast(several) if several.count() <= SMALL else several
     whole, large = F.col("n") <= block, F.col("label") == F.col("large")
     n_large = F.when(whole, 0).otherwise(F.ceil(F.col("most") / block)).cast("int")
     n_other = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
