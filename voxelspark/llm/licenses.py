@@ -20,8 +20,9 @@ EQUIVALENT = (
 COPYRIGHT = r"(^|\n)[ \t>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: What a copyright line has.
 MARKS = ("copyright", "(c)", "©", "all rights reserved")
-#: ASCII but letters and digits, and typographic marks, spaces and signs.
-PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”„«»–—…•·©®™\x{A0}\x{2028}\x{2029}\x{FEFF}]+"
+#: ASCII but letters and digits, Latin-1 signs, the block of general punctuation, and two more marks. Single characters below 256 are one look-up in the JVM's regular expressions; ranges are compared one by one.
+_SIGNS = [c for c in range(128) if not chr(c).isalnum()] + [0xA0, 0xA9, 0xAB, 0xAE, 0xB7, 0xBB]
+PUNCTUATION = "[" + "".join(f"\\x{c:02X}" for c in _SIGNS) + r"\x{2000}-\x{206F}\x{2122}\x{FEFF}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -72,14 +73,17 @@ SMALL = 100_000
 
 def canonical(text: Column) -> Column:
     """The text that is hashed. Copyright lines are sought only where a text has one of their ``MARKS``, and a spelling is replaced only where it occurs, as both checks are cheaper."""
-    low = F.lower(text)
-    marked = F.lit(False)
-    for mark in MARKS:
-        marked = marked | low.contains(mark)
-    out = F.when(marked, F.regexp_replace(low, COPYRIGHT, "\n")).otherwise(low)
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EQUIVALENT))
-    out = F.aggregate(pairs, out, lambda t, p: F.when(t.contains(p["a"]), F.replace(t, p["a"], p["b"])).otherwise(t))
-    return F.regexp_replace(out, PUNCTUATION, "")
+
+    def body(low: Column) -> Column:
+        marked = F.lit(False)
+        for mark in MARKS:
+            marked = marked | low.contains(mark)
+        out = F.when(marked, F.regexp_replace(low, COPYRIGHT, "\n")).otherwise(low)
+        return F.aggregate(pairs, out, lambda t, p: F.when(t.contains(p["a"]), F.replace(t, p["a"], p["b"])).otherwise(t))
+
+    once = F.get(F.transform(F.array(F.lower(text)), body), F.lit(0))  # the body names its argument several times
+    return F.regexp_replace(once, PUNCTUATION, "")
 
 
 def read_licenses(spark: SparkSession, folder: str) -> DataFrame:
