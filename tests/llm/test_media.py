@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from voxelspark.llm.media import media_columns, media_tracks, pad, probe, samples, store, tree
+from voxelspark.llm.media import feature, media_columns, media_tracks, pad, probe, samples, store, tree
 
 
 @pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 192 * 16, 192 * 16 + 1, 192 * 48, 192 * 100 + 5])
@@ -62,3 +62,27 @@ def test_all_keyframes_are_stored(spark):
         for time, a, b in r.keyframes:
             assert stored[r.doc_id][a:b] == pad(texts[r.doc_id].encode())[time : time + 192]
     assert len(got[1].keyframes) == 20
+
+
+@pytest.mark.parametrize("frames", [1, 7, 16, 17, 40])
+def test_feature_equals_what_the_bytes_say(frames):
+    """The tables found by their tags in the bytes, without walking boxes."""
+    data = store(os.urandom(192 * frames))
+    at = {tag: data.index(tag) + 4 for tag in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"mdat")}
+    u32 = lambda tag, k, n=1: struct.unpack_from(f">{n}I", data, at[tag] + 4 + 4 * k)
+    scale, duration = u32(b"mdhd", 2, 2)
+    size, count = u32(b"stsz", 0, 2)
+    assert u32(b"stts", 0, 3) == (1, frames, 192) and (size, count) == (192, frames)
+    keys = u32(b"stss", 1, *u32(b"stss", 0))
+    firsts = [u32(b"stsc", 1 + 3 * i, 3) for i in range(*u32(b"stsc", 0))]
+    places = u32(b"stco", 1, *u32(b"stco", 0))
+    offsets = []
+    for chunk, place in enumerate(places, 1):
+        per = [n for first, n, _ in firsts if first <= chunk][-1]
+        offsets += [place + 192 * i for i in range(per)]
+    assert offsets == [at[b"mdat"] + 192 * i for i in range(frames)]
+    shown = [(192 * (k - 1), offsets[k - 1], offsets[k - 1] + 192) for k in keys]
+    crc = zlib.crc32(b"".join(struct.pack("<QQQ", *k) for k in shown))
+    kind = data[at[b"hdlr"] + 8 : at[b"hdlr"] + 12].decode() + "/" + data[at[b"stsd"] + 12 : at[b"stsd"] + 16].decode()
+    want = f"{kind} scale={scale} duration={duration} samples={count} keyframes={len(keys)} crc={crc} ranges={','.join(f'{a}-{b}' for _, a, b in shown)}"
+    assert feature(probe(data)[0]) == want

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from voxelspark.llm.packing import CapacityTree, best_fit_decreasing, pack_documents
+from voxelspark.llm.packing import CapacityTree, Encoder, best_fit_decreasing, pack_documents
 
 
 def plain_best_fit(lengths, size):
@@ -79,3 +79,13 @@ def test_pack_documents(spark):
         assert at <= 2048
     assert len(fill) == sum(plain_best_fit([r.length for r in got], 2048).values())
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_are_those_of_tokenizers():
+    file = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    fast, slow, rng = Encoder(file), Tokenizer.from_str(file), random.Random(12)
+    ranges = [(32, 127), (9, 14), (160, 592), (0x300, 0x370), (0x400, 0x530), (0x600, 0x700), (0x900, 0xA00), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFE00, 0xFFFE), (0x1F300, 0x1FAFF), (0x10000, 0x110000)]
+    for _ in range(4000):
+        some = [rng.choice(ranges) for _ in range(rng.randint(1, 3))]
+        text = "".join(chr(rng.randrange(*rng.choice(some))) if rng.random() < 0.8 else rng.choice(" \n'stld0") for _ in range(rng.randint(0, 40)))
+        assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids

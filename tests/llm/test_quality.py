@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -64,3 +66,43 @@ def test_junk_goes_and_prose_stays(spark):
     docs = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
     kept = {r.doc_id for r in judge_quality(docs).filter("kept").collect()}
     assert kept == set(range(300))
+
+
+def plain_posterior(rows, rounds, prior=0.85, start=(0.2, 0.999), weight=20.0, doubt=0.005):
+    """Expectation-maximisation document by document."""
+    right, p = [[share] * len(rows[0]) for share in start], prior
+    good = lambda row: 1 / (1 + math.exp(-odds(row)))
+
+    def odds(row):
+        out = math.log(p / (1 - p))
+        for j, v in enumerate(row):
+            if v == 1:
+                out += math.log(right[1][j] / (1 - right[0][j]))
+            elif v == 0:
+                out += math.log((1 - right[1][j]) / right[0][j])
+        return out
+
+    for _ in range(rounds):
+        share = [good(r) for r in rows]
+        step = [[0.0] * len(rows[0]) for _ in range(2)]
+        for y, mass in ((1, share), (0, [1 - g for g in share])):
+            for j in range(len(rows[0])):
+                agree = sum(m for m, r in zip(mass, rows) if r[j] == y)
+                spoke = sum(m for m, r in zip(mass, rows) if r[j] != 2)
+                step[y][j] = (agree + weight * start[y]) / (spoke + weight)
+        step[1] = [max(x, 1 - doubt) for x in step[1]]
+        right, p = step, (sum(share) + weight * prior) / (len(rows) + weight)
+    return [good(r) for r in rows]
+
+
+def test_posterior_equals_document_by_document():
+    rng = random.Random(2)
+    rows = []
+    for _ in range(250):
+        bad = rng.random() < 0.2
+        rows.append([rng.choice([0, 2]) if rng.random() < (0.4 if bad else 0.02) else rng.choice([1, 1, 2]) for _ in range(10)])
+    seen = sorted(Counter(map(tuple, rows)).items())
+    found = accuracies(np.array([k for k, _ in seen]), np.array([n for _, n in seen], float), rounds=30)["posterior"]
+    told = {k: x for (k, _), x in zip(seen, found)}
+    assert [told[tuple(r)] for r in rows] == pytest.approx(plain_posterior(rows, 30), abs=1e-9)
+    assert min(found) < 0.5 < max(found)

@@ -1,6 +1,11 @@
+import math
+import random
 import re
+from collections import defaultdict
 
-from voxelspark.llm.urls import RULES, judge_urls
+import pytest
+
+from voxelspark.llm.urls import RULES, judge_urls, template_tree
 
 
 def brute(url):
@@ -55,3 +60,58 @@ def test_branches_that_differ_deep_down_are_told_apart(spark):
     assert {(r.label, r._verdict) for r in got if r._host == "h.com"} == {(0, "allow"), (1, "block")}
     assert len({r._template for r in got if r._host == "h.com"}) == 2
     assert {r._template.split("/")[-1] for r in got if r._host == "pure.com"} == {"**"}
+
+
+def plain_tree(pages, prior=2.0, z=2.0):
+    """Templates and purities of (host, shape), level by level and branch by branch."""
+
+    def score(b, m, rb, rm):
+        pooled = (b + rb + 1) / (m + rm + 2)
+        return abs((b + 1) / (m + 2) - (rb + 1) / (rm + 2)) / math.sqrt(pooled * (1 - pooled) * (1 / (m + 2) + 1 / (rm + 2)))
+
+    counts = defaultdict(lambda: [0, 0])
+    for host, shape, bad in pages:
+        counts[host, shape][0] += bad or 0
+        counts[host, shape][1] += bad is not None
+    total = lambda keys: [sum(counts[k][i] for k in keys) for i in (0, 1)]
+    state = {}
+    for k in counts:
+        b, m = total([q for q in counts if q[0] == k[0]])
+        state[k] = ("", (b + prior / 2) / (m + prior))
+    for d in range(max(len(k[1].split("/")) for k in counts)):
+        segment = lambda k: (k[1].split("/") if k[1] else [])[d : d + 1]  # noqa: B023, E731
+        nodes, after = defaultdict(lambda: defaultdict(list)), dict(state)
+        for k in counts:
+            if segment(k):
+                nodes[k[0], state[k][0]][segment(k)[0]].append(k)
+        for (host, above), branches in nodes.items():
+            nb, nm = total([k for ks in branches.values() for k in ks])
+            at = {c: total(ks) for c, ks in branches.items()}
+            own = {c for c, (b, m) in at.items() if score(b, m, nb - b, nm - m) >= z}
+            side = {c: "+" if (b + 1) / (m + 2) > (nb - b + 1) / (nm - m + 2) else "-" for c, (b, m) in at.items()}
+            named = {}
+            for c, (b, m) in at.items():
+                like = [at[x] for x in own if side[x] == side[c]]
+                sb, sm = (sum(x[i] for x in like) for i in (0, 1))
+                named[c] = "*" if c not in own else "*" + side[c] if len(like) > 1 and score(b, m, sb - b, sm - m) < z else c
+            for name in set(named.values()):
+                keys = [k for c, ks in branches.items() if named[c] == name for k in ks]
+                b, m = total(keys)
+                after |= {k: (f"{above}/{name}", (b + prior * state[k][1]) / (m + prior)) for k in keys}
+        state = after
+    return state
+
+
+def test_tree_matches_branch_by_branch(spark):
+    rng = random.Random(6)
+    pages = [("h.org", "", 1), ("h.org", "", None), ("only.org", "x", None)]
+    for _ in range(900):
+        host = rng.choice(["a.com", "b.com"])
+        path = [rng.choice(["news", "shop", "tag", "spam", "ads"]), rng.choice(["#", "old", "x#"]), rng.choice(["p", "q", "r", "s"])][: rng.randint(1, 3)]
+        bad = rng.random() < (0.95 if path[0] in ("spam", "ads") else 0.5 if path[-1] == "q" else 0.05)
+        pages.append((host, "/".join(path), int(bad) if rng.random() < 0.8 else None))
+    got = template_tree(spark.createDataFrame(pages, "host string, shape string, bad int").repartition(3))
+    want = plain_tree(pages)
+    assert {(r.host, r.shape): r.template for r in got.collect()} == {k: t for k, (t, _) in want.items()}
+    assert {(r.host, r.shape): r.purity for r in got.collect()} == pytest.approx({k: x for k, (_, x) in want.items()})
+    assert len({t for t, _ in want.values()}) > 6 and any("*+" in t or "*-" in t for t, _ in want.values())
