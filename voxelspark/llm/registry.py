@@ -10,6 +10,7 @@ from .minhash import op6_minhash
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op5_quality
+from .repair import OP12_SQL, op12_repair
 from .suffix_dedup import op3_suffix_dedup
 from .urls import op1_urls
 
@@ -24,11 +25,13 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
+    "op12_repair": op12_repair,
 }
 ORACLES = {
     "op7_chat": OP7_SQL,
     "op8_licenses": OP8_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_repair": OP12_SQL,
 }
 
 
