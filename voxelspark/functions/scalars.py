@@ -7,9 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 21 bits of a coordinate, and the masks that leave one bit of three after shifts by 32, 16, 8, 4 and 2.
+#: The 21 bits of a coordinate.
 AXIS = 0x1FFFFF
-SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+#: Bits of a coordinate that a look-up takes together: 7 to spread them, 3 of each axis to gather them.
+_WIDE, _NARROW = 7, 3
+_SPREAD = [sum((v >> i & 1) << 3 * i for i in range(_WIDE)) for v in range(1 << _WIDE)]
+_GATHER = [sum((c >> 3 * i + axis & 1) << i + 21 * axis for i in range(_NARROW) for axis in range(3)) for c in range(1 << 3 * _NARROW)]
 MASK32 = 0xFFFFFFFF
 
 
@@ -22,11 +25,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _table(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
 def spread(v: Column) -> Column:
-    v = _band(v.cast("long"), AXIS)
-    for shift, mask in SPREAD:
-        v = _band(v.bitwiseOR(F.shiftleft(v, shift)), mask)
-    return v
+    """The 21 low bits of a coordinate, each at three times its place: three look-ups, so that a code of codes stays small."""
+    v, known = v.cast("long"), _table(_SPREAD)
+    parts = [F.shiftleft(F.get(known, _band(F.shiftright(v, _WIDE * i), (1 << _WIDE) - 1).cast("int")), 3 * _WIDE * i) for i in range(3)]
+    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
@@ -34,15 +41,14 @@ def morton(x: Column, y: Column, z: Column) -> Column:
     return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
 
 
-def compact(v: Column) -> Column:
-    v = _band(v.cast("long"), SPREAD[-1][1])
-    for (shift, _), mask in zip(reversed(SPREAD), (*(m for _, m in reversed(SPREAD[:-1])), AXIS), strict=True):
-        v = _band(v.bitwiseXOR(F.shiftright(v, shift)), mask)
-    return v
-
-
 def demorton(code: Column) -> tuple[Column, Column, Column]:
-    return compact(code), compact(F.shiftright(code, 1)), compact(F.shiftright(code, 2))
+    """The coordinates of a code: seven look-ups gather the three side by side in one number, from which each is cut."""
+    code, known = code.cast("long"), _table(_GATHER)
+    packed = None
+    for i in range(7):
+        part = F.shiftleft(F.get(known, _band(F.shiftright(code, 9 * i), 511).cast("int")), _NARROW * i)
+        packed = part if packed is None else packed.bitwiseOR(part)
+    return _band(packed, AXIS), _band(F.shiftright(packed, 21), AXIS), _band(F.shiftright(packed, 42), AXIS)
 
 
 def children(code: Column) -> Column:

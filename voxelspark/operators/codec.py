@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.scalars import AXIS, SPREAD, nibbles
+from ..functions.scalars import AXIS, nibbles
 from .order import ranked
 
 # Operation codes, and the entropy coder's limits.
@@ -19,6 +19,8 @@ PARENT, X, Y, Z, ADVANCE, LAST, BACK = range(7)
 LIMIT, BITS = 1 << 23, 12
 TOTAL = 1 << BITS
 REACH = 15
+# The masks that leave one bit of three after shifts by 32, 16, 8, 4 and 2.
+SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
 
 def pyramid(finest: np.ndarray, levels: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
