@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from voxelspark.llm import chat, langid, licenses, media, minhash, mixing, packing, quality, repair, suffix_dedup, urls
+from voxelspark.llm import chat, langid, licenses, media, minhash, mixing, packing, quality, repair, spotsigs, suffix_dedup, urls
 
 HERE = os.path.dirname(os.path.abspath(chat.__file__))
 COLUMNS = {"doc_id", "text", "lang", "source", "n_chars", "url", "page_id", "conv_id", "turn", "role"}
@@ -42,7 +42,7 @@ def turns(spark):
 RUNS = {
     "urls": (pages, urls.judge_urls), "langid": (documents, lambda d: langid.predict(d, langid.fit(d))), "langid_own": (documents, lambda d: langid.predict(d, langid.fit(d), out=("_lang", "_score", "_rejected"))), "suffix_dedup": (documents, suffix_dedup.remove_repeats),
     "packing": (documents, packing.pack_documents), "pack": (documents, lambda d: packing.pack(d.selectExpr("*", "doc_id % 1 as at", "n_chars % 90 + 1 as len", "0L as crc").drop("piece", "length").withColumnsRenamed({"at": "piece", "len": "length", "crc": "ids_crc32"}))),
-    "quality": (documents, quality.judge_quality), "minhash": (documents, minhash.near_duplicates), "keep_one": (documents, minhash.keep_one), "chat": (turns, chat.maximal_conversations), "repair": (turns, lambda d: repair.repair_conversations(d)[0]), "repaired": (turns, lambda d: repair.repair_conversations(d)[1]), "licenses": (documents, licenses.scan_licenses), "media": (documents, media.media_columns), "mix": (documents, mixing.mix), "take": (documents, mixing.take),
+    "quality": (documents, quality.judge_quality), "minhash": (documents, minhash.near_duplicates), "keep_one": (documents, minhash.keep_one), "chat": (turns, chat.maximal_conversations), "fingerprints": (documents, spotsigs.fingerprints), "spot_duplicates": (documents, spotsigs.near_duplicates), "repair": (turns, lambda d: repair.repair_conversations(d)[0]), "repaired": (turns, lambda d: repair.repair_conversations(d)[1]), "licenses": (documents, licenses.scan_licenses), "media": (documents, media.media_columns), "mix": (documents, mixing.mix), "take": (documents, mixing.take),
     **{f"stage_{name}": (documents, lambda d, f=f: f(d.sparkSession, d, None)) for name, f in corpus_pipeline.STAGES},
 }
 

@@ -1,0 +1,111 @@
+"""Signatures against a plain form, rows that are odd, and the join against all pairs."""
+
+import hashlib
+import random
+
+import pytest
+import xxhash
+
+from voxelspark.llm import spotsigs as s
+
+SCHEMA = "doc_id long, text string"
+LISTED = {w for line in s.ANCHORS for w in line.split()}
+
+
+def plain_sets(text, chain=3):
+    """Signatures as tuples of words (no sparse anchors)."""
+    words = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in text.lower()).split()
+    out = set()
+    for i, w in enumerate(words):
+        if w in LISTED:
+            told = [v for v in words[i + 1 :] if v not in LISTED][:chain]
+            if len(told) == chain:
+                out.add((w, *told))
+    return out or ({("all", *words)} if words else {("raw", text.lower())})
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "la", "und", "que"]) if rng.random() < 0.3 else f"w{rng.randrange(400)}{rng.choice(['', '', ',', '.', '!'])}" for _ in range(n))
+
+
+def test_signatures_equal_a_plain_form():
+    rng = random.Random(1)
+    texts = ["", "...", "one", "The END", "the a b", "the a b c", "Für Élan, die Straße und der Bär", *(prose(rng, rng.randrange(1, 200)) for _ in range(60))]
+    got, want = s.spot_sets(texts, sparse=0), [plain_sets(t) for t in texts]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert s.likeness(got[i], got[j]) == pytest.approx(len(want[i] & want[j]) / len(want[i] | want[j]))
+
+
+def test_sets_do_not_depend_on_the_batch():
+    rng = random.Random(2)
+    texts = [prose(rng, 80) for _ in range(20)] + ["", "x"]
+    assert all((a == s.spot_sets([t])[0]).all() for a, t in zip(s.spot_sets(texts), texts, strict=True))
+    assert all((s.read(s.spelled(a)) == a).all() for a in s.spot_sets(texts))
+
+
+def test_length_classes_keep_likely_pairs_together():
+    for n in range(1, 400):
+        for m in range(n, int(n / s.SIMILARITY + 1e-9) + 1):
+            assert s.length_class(m) - s.length_class(n) in (0, 1)
+
+
+def rows_of(rng):
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(40)] + ["", None, "only", "  ", "the the the", "é" * 5000 + " the a b c d"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return rows + [(7, rows[7][1]), (7, "of other text for seven here"), (None, "the null id has some words"), (None, None)]
+
+
+def expected(rows):
+    key = lambda r: (r[0] is None, -(r[0] or 0), (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + (1 << 63)) % (1 << 64))
+    rows = sorted(rows, key=key)
+    out = []
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, u = t or "", u or ""
+        edited = t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+        a, b, c = s.spot_sets([t, edited, u])
+        out.append((i if i is not None else -1, len(t), hashlib.sha256(edited.encode()).hexdigest(), s.spelled(a), s.spelled(b), s.likeness(a, b), s.likeness(a, c), s.length_class(len(a))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_fingerprints_equal_a_plain_loop(spark, parts):
+    rows = rows_of(random.Random(3))
+    got = s.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+    assert sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in got) == expected(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "the only one of its kind here")], [(1, None)], [(3, "same text the a b c")] * 30])
+def test_few_rows(spark, rows):
+    got = s.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == expected(rows)
+    assert all(r.near_next == 1.0 for r in got)
+
+
+def test_join_equals_all_pairs(spark):
+    rng, rows = random.Random(4), []
+    for g in range(12):
+        words = prose(rng, 120).split()
+        for _ in range(rng.randrange(1, 6)):
+            mine = list(words)
+            for _ in range(rng.choice([0, 1, 2, 6, 30])):
+                mine[rng.randrange(len(mine))] = f"z{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(mine)))
+    rows += [(100, None), (101, ""), (102, "x"), (102, "x")]
+    got = {(r.doc_id, r.class_id): r.n_links for r in s.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    sets = [frozenset(a.tolist()) for a in s.spot_sets([t or "" for _, t in rows])]
+    kinds = sorted(set(sets), key=sorted)
+    alike = {a: {b for b in kinds if a != b and len(a & b) >= s.SIMILARITY * len(a | b)} for a in kinds}
+    least = {a: min(i for (i, _), c in zip(rows, sets, strict=True) if c == a) for a in kinds}
+    for _ in kinds:
+        least = {a: min(least[b] for b in {a, *alike[a]}) for a in kinds}
+    assert set(got) == {(i, least[c]) for (i, _), c in zip(rows, sets, strict=True)}
+    for (i, _), c in zip(rows, sets, strict=True):
+        assert 0 < got[i, least[c]] <= len(alike[c]) if alike[c] else got[i, least[c]] == 0
+
+
+def test_edited_texts_are_nearer_than_next_ones(spark):
+    rng = random.Random(6)
+    got = s.fingerprints(spark.createDataFrame([(i, prose(rng, 300)) for i in range(60)], SCHEMA)).collect()
+    assert min(r.near_edited for r in got) > 0.35 and max(r.near_next for r in got) < 0.05

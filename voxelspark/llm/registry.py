@@ -11,6 +11,7 @@ from .mixing import OP10_SQL, op10_mixing
 from .packing import op4_packing
 from .quality import op5_quality
 from .repair import OP12_SQL, op12_repair
+from .spotsigs import op11_spotsigs
 from .suffix_dedup import op3_suffix_dedup
 from .urls import op1_urls
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
+    "op11_spotsigs": op11_spotsigs,
     "op12_repair": op12_repair,
 }
 ORACLES = {
