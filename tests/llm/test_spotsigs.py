@@ -58,7 +58,7 @@ def rows_of(rng):
 
 
 def expected(rows):
-    key = lambda r: (r[0] is None, -(r[0] or 0), (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + (1 << 63)) % (1 << 64))
+    key = lambda r: (r[0] is None, -(r[0] or 0), -(xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 1))
     rows = sorted(rows, key=key)
     out = []
     for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, stored, table
+from .common import checkpoint, parts, slices, table
 from .minhash import BLOCK, cells, components, within
 from .quality import Ranges, mixed, spans
 
@@ -116,55 +116,46 @@ def _judged(ids: list, texts: list[str], nexts: list[str]) -> list[tuple]:
 DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_class int"
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
 _NAMES = [c.split()[0] for c in DDL.split(", ")]
-DONE, HEAD, OPEN = range(3)
-
-
-def _columns(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
-
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a partition in order, each judged with the one after it. The first one's text is told too, and the last one stays open, as what follows it is elsewhere."""
-    kinds, names = [pa.int32(), pa.int32(), *_KINDS, pa.string()], ["part", "kind", *_NAMES, "text"]
-    none, held, part = (None,) * (len(_NAMES) - 1), None, None
+    """The rows of whole ranges in order, each judged with the one after it. The last row of a range is the text that follows it, and is not told itself."""
+    held: list[tuple] = []
     for batch in slices(batches, rows=2048, size=2 << 20):
-        ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-        if held is None:
-            part = batch.column("part")[0].as_py()
-            yield _columns([(part, HEAD, ids[0], *none, texts[0])], kinds, names)
-        else:
-            ids, texts = [held[0], *ids], [held[1], *texts]
-        held = ids[-1], texts[-1]
-        if len(ids) > 1:
-            yield _columns([(part, DONE, *r, None) for r in _judged(ids[:-1], texts[:-1], texts[1:])], kinds, names)
-    if held is not None:
-        yield _columns([(part, OPEN, held[0], *none, held[1])], kinds, names)
+        rows = held + list(zip(batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], batch.column("last").to_pylist(), strict=True))
+        held = rows[-1:]
+        at = [i for i, r in enumerate(rows[:-1]) if not r[2]]
+        if at:
+            told = _judged([rows[i][0] for i in at], [rows[i][1] for i in at], [rows[i + 1][1] for i in at])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*told), _KINDS, strict=True)], names=_NAMES)
 
 
-def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, size=2 << 20):
-        ids, texts, nexts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "next"))
-        yield _columns(_judged(ids, texts, nexts), _KINDS, _NAMES)
+def ranges(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, x) with ``at``, their range by ascending (doc_id, x), nulls first. About n ranges, by approximate percentiles of doc_id; an id that takes several is dealt by the hash x. The bounds, n numbers, are fixed here, so every use has the same ranges."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = F.lit(rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], F.lit(10 * n)).alias("b")).first()["b"] or [0])
+    equal = F.size(F.filter(bounds, lambda b: b == key))
+    within_id = F.least(equal, F.floor(F.col("x") / float(1 << 63) * (equal + 1)))
+    return rows.withColumn("at", (F.size(F.filter(bounds, lambda b: b < key)) + within_id).cast("int"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_edited, near_next and length_class of each row.
 
-    The next row is that of the next smaller doc_id, nulls last, then of the next greater hash of the text, and the first one after the last. The edited text has its last third of code points replaced by the first ones of the next text. Null and empty texts are alike and have the fingerprint of the empty text; rows alike in id and text are each other's next in any order; one row alone is its own next; an empty table gives an empty result; other columns are left out. A text is one task's work, with about 60 bytes of memory for each of its bytes.
+    The next row is that of the next smaller doc_id, nulls last, then of the next smaller hash of the text, and the first one after the last. The edited text has its last third of code points replaced by the first ones of the next text. Null and empty texts are alike and have the fingerprint of the empty text; rows alike in id and text are each other's next in any order; one row alone is its own next; an empty table gives an empty result; other columns are left out. A text is one task's work, with about 60 bytes of memory for each of its bytes; rows alike in id and text pass through one task, which holds two of them.
 
-    Texts are shuffled once, into ranges of the order, so a doc_id of any share of the rows is split; the last row of each range meets the first of the next one in a join of as many rows as there are ranges.
+    Texts are shuffled once, into ranges of the order. The first row of each range is found beforehand, a row a range, and goes to the range before as the text that follows its last row.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.monotonically_increasing_id().alias("copy"))
-    order = [F.desc_nulls_last("doc_id"), F.col("x"), F.col("copy")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
-    # Ranges depend on a sample, so what is read twice is written once.
-    found = stored(dealt.mapInArrow(_walk, f"part int, kind int, {DDL}, text string"), "fingerprints")
-    heads = found.filter(F.col("kind") == HEAD).select("part", "text")
-    least = heads.agg(F.min("part").alias("least"))
-    after = heads.select("part", F.lead("part").over(W.orderBy("part")).alias("then")).crossJoin(F.broadcast(least)).select("part", F.coalesce("then", "least").alias("then"))
-    last = found.filter(F.col("kind") == OPEN).select("part", "doc_id", "text").join(after, "part")
-    met = last.join(heads.select(F.col("part").alias("then"), F.col("text").alias("next")), "then").select("doc_id", "text", "next")
-    return found.filter(F.col("kind") == DONE).select(*_NAMES).unionByName(met.mapInArrow(_closed, DDL))
+    x = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1)
+    rows = ranges(docs.select(F.col(doc_id).cast("long").alias("doc_id"), x.alias("x"), F.col(text).alias("text")), 4 * parts(docs.sparkSession))
+    first = rows.groupBy("at").agg(F.max(F.struct("doc_id", "x")).alias("f"))
+    order = W.orderBy(F.desc("at"))
+    before = first.select("f", F.coalesce(F.lag("at").over(order), F.min("at").over(W.partitionBy())).alias("before"))
+    before = checkpoint(before.select("before", F.col("f.doc_id").alias("_id"), F.col("f.x").alias("_x")))
+    heads = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x"))).dropDuplicates(["before"])
+    heads = heads.select(F.col("before").alias("at"), F.lit(True).alias("last"), "doc_id", "x", "text")
+    dealt = rows.select("at", F.lit(False).alias("last"), "doc_id", "x", "text").unionAll(heads)
+    ordered = dealt.repartition("at").sortWithinPartitions("at", "last", F.desc_nulls_last("doc_id"), F.desc("x"))
+    return ordered.select("doc_id", "text", "last").mapInArrow(_walk, DDL)
 
 
 def signature_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
