@@ -23,9 +23,14 @@ def _center(size: int) -> tuple[Column, Column, Column]:
 SMALL = 100_000
 
 
+def dealt(cameras: DataFrame) -> DataFrame:
+    """``cameras`` by frame in as many parts as shuffles have, a number that is named, as they are small before they unfold and would be put together again."""
+    return cameras.repartition(int(cameras.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame")
+
+
 def seen_from(bricks: DataFrame, cameras: DataFrame, size: int) -> DataFrame:
     """``bricks`` (with bx, by, bz) and cameras (frame, px, py, pz, dx, dy, dz) with the distance of the centre. Every brick meets each camera, as each has a level and a place in every frame. Cameras are dealt by frame and meet the bricks where they are if these are at most ``SMALL``; else blocks of both meet."""
-    out = cameras.repartition("frame").crossJoin(F.broadcast(bricks) if bricks.count() <= SMALL else bricks)
+    out = dealt(cameras).crossJoin(F.broadcast(bricks) if bricks.count() <= SMALL else bricks)
     to = [c - F.col(p) for c, p in zip(_center(size), ("px", "py", "pz"), strict=True)]
     return out.withColumn("distance", S.norm(*to)).withColumn("along", S.dot(to, [F.col(c) for c in ("dx", "dy", "dz")]))
 
@@ -47,13 +52,17 @@ def visible_bricks(palettes: DataFrame, hidden: DataFrame) -> DataFrame:
     return labels.join(hidden.select("label"), "label", "left_anti").select("brick_id").distinct()
 
 
-def brick_lod(size: int, fov: float = FOV, width: int = 1080) -> Column:
-    """The largest level whose voxels are a pixel or more: 0 is the coarsest. The levels that qualify are counted, as they are the first ones."""
+def lod_at(distance: Column, size: int, fov: float = FOV, width: int = 1080) -> Column:
+    """The largest level whose voxels are a pixel or more at a distance: 0 is the coarsest. The levels that qualify are counted, as they are the first ones."""
     f = width / 2 / math.tan(fov / 2)
-    d = F.greatest(F.col("distance"), F.lit(0.1))
+    d = F.greatest(distance, F.lit(0.1))
     return sum((F.when(f * (size / 2**k) / d >= 1, 1).otherwise(0) for k in range(1, size.bit_length())), F.lit(0))
 
 
+def brick_lod(size: int, fov: float = FOV, width: int = 1080) -> Column:
+    return lod_at(F.col("distance"), size, fov, width)
+
+
 def distance_lod(size: int) -> Column:
     """The level by distance alone: the finest within a brick's size, one less for each doubling, 0 at the least."""
     top = size.bit_length() - 1
@@ -68,13 +77,18 @@ def orbit(inputs: DataFrame, center: tuple[float, float, float], radius: float,
     return turned.select("session", "frame", "radius", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
 
 
-def with_offsets(lods: DataFrame) -> DataFrame:
-    """voxels (8^lod) and offset of each brick of a frame, in order of brick_id."""
-    return sums_before(lods.withColumn("voxels", F.pow(F.lit(8.0), F.col("lod")).cast("long")), "frame", "brick_id", "voxels", "offset")
+def with_offsets(lods: DataFrame, bricks: int | None = None, most: int = 1 << 20) -> DataFrame:
+    """voxels (8^lod) and offset of each brick of a frame, in order of brick_id. Where ``bricks``, the number of bricks, is told and at most ``most``, a frame's rows are one window, which needs no other shuffle than that of the frames; else sums go by runs of bricks."""
+    sized = lods.withColumn("voxels", F.pow(F.lit(8.0), F.col("lod")).cast("long"))
+    if bricks is None or bricks > most:
+        return sums_before(sized, "frame", "brick_id", "voxels", "offset")
+    w = W.partitionBy("frame").orderBy("brick_id").rowsBetween(W.unboundedPreceding, -1)
+    return sized.withColumn("offset", F.coalesce(F.sum("voxels").over(w), F.lit(0)))
 
 
-def lod_histogram(lods: DataFrame) -> DataFrame:
-    n = lods.groupBy("frame", "lod").agg(F.count("*").alias("bricks"), F.sum(F.pow(F.lit(8.0), F.col("lod")).cast("long")).alias("voxels"))
+def lod_histogram(counts: DataFrame) -> DataFrame:
+    """``counts`` (frame, lod, bricks) with their voxels and shares of the frame."""
+    n = counts.withColumn("voxels", F.pow(F.lit(8.0), F.col("lod")).cast("long") * F.col("bricks"))
     return n.withColumn("pct", 100.0 * F.col("bricks") / F.sum("bricks").over(W.partitionBy("frame")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cache, codec, order, rays, view
+from ..operators import cache, codec, octree, order, rays, view
 from ..operators import volume as V
 from ..streaming.windows import event_counts
 
@@ -34,8 +34,13 @@ def seg_ops(spark, d):
 
 def cameras(spark, d):
     """A camera around the volume for each event; a user's events are a session."""
+    return cameras_of(spark, d, V.read(spark, d, "events"))
+
+
+def cameras_of(spark, d, events):
+    """The cameras of ``events``, a table or a stream of them."""
     g = V.side(spark, d)
-    e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"), F.col("user_id").cast("long").alias("session"))
+    e = events.select(F.col("event_id").alias("frame"), F.col("user_id").cast("long").alias("session"))
     at = [(F.col("frame") * a % (2 * g) - b * g // 32).cast("double") for a, b in ((7, 20), (11, 10), (13, 30))]
     e = e.select("session", "frame", *(c.alias(n) for c, n in zip(at, ("px", "py", "pz"), strict=True)))
     to = [g / 2 - F.col(c) for c in ("px", "py", "pz")]
@@ -50,12 +55,17 @@ def seen(spark, d):
     return view.seen_from(seg_palettes(spark, d), cameras(spark, d), V.SEG_BRICK)
 
 
+def in_view(spark, d):
+    """Cameras with the bricks that they see."""
+    return octree.in_view(V.palettes(seg_bricks(spark, d)).select("brick_id"), cameras(spark, d), V.side(spark, d), V.SEG_BRICK)
+
+
 def lods(spark, d):
     return seen(spark, d).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
 def wanted(spark, d):
-    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
+    return in_view(spark, d).select("frame", "brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"))
 
 
 def before(df):
@@ -174,7 +184,7 @@ def palette_visible_bricks(spark, d):
 
 
 def frustum_bricks(spark, d):
-    return seen(spark, d).filter(view.in_frustum(V.SEG_BRICK)).select("frame", "brick_id")
+    return in_view(spark, d).select("frame", "brick_id")
 
 
 def brick_lod(spark, d):
@@ -182,11 +192,12 @@ def brick_lod(spark, d):
 
 
 def lod_histogram(spark, d):
-    return view.lod_histogram(lods(spark, d)).withColumn("pct", F.round("pct", 6))
+    counts = octree.lod_counts(V.palettes(seg_bricks(spark, d)).select("brick_id"), cameras(spark, d), V.side(spark, d), V.SEG_BRICK, width=256)
+    return view.lod_histogram(counts).withColumn("pct", F.round("pct", 6))
 
 
 def offset_prefix_sum(spark, d):
-    return view.with_offsets(lods(spark, d))
+    return view.with_offsets(lods(spark, d), (V.side(spark, d) // V.SEG_BRICK) ** 3)
 
 
 def work_queue(spark, d):
