@@ -151,8 +151,8 @@ def plain_image(nodes, lods, empty, tones, cam, side, brick, width, height, ligh
                             continue
                         rgb, own = list(found[:3]), found[3]
                         if own > 0.35:
-                            around = [[tone(b, [c + s * (i == j) for j, c in enumerate(cell)]) for s in (1, -1)] for i in range(3)]
-                            g = [(p - m) / 2 for p, m in ([x[3] if x and x[3] > 0.05 else own for x in pair] for pair in around)]
+                            around = [[alpha([x + stride * (c + s * (i == j)) for j, (x, c) in enumerate(zip(low, cell))]) for s in (1, -1)] for i in range(3)]
+                            g = [(p - m) / 2 for p, m in ([x if x > 0.05 else own for x in pair] for pair in around)]
                             n = max(math.sqrt(sum(c * c for c in g)), 0.001)
                             normal, shadow, to = [-c / n for c in g], 1.0, norm(light)
                             if own > 0.4:
@@ -198,6 +198,48 @@ def test_images_equal_the_plain_loop(spark):
         assert all(abs(a - math.floor(b)) <= 1 for a, b in zip(got[k], v)), (k, got[k], v)
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_gradients_look_across_faces(spark, mixed):
+    """At one level, the central differences of the whole volume; at mixed ones, a plain look-up of every neighbour."""
+    code = lambda p: sum((c >> b & 1) << 3 * b + i for i, c in enumerate(p) for b in range(8))
+    lods = {(x, y, z): (x + 2 * y + z) % 4 if mixed else 2 for x in range(2) for y in range(2) for z in range(2)}
+    alphas = {(b, c): (code(b) * 7 + code(c) * code(c) * 3 + sum(c)) % 21 / 20 for b, k in lods.items() for c in [(x, y, z) for x in range(1 << k) for y in range(1 << k) for z in range(1 << k)] if (code(b) + code(c)) % 11}
+
+    def at(v):
+        if not all(0 <= c < 16 for c in v):
+            return 0.0
+        b = tuple(c // 8 for c in v)
+        return alphas.get((b, tuple(c % 8 // (8 >> lods[b]) for c in v)), 0.0)
+
+    want = {}
+    for (b, c), own in alphas.items():
+        stride = 8 >> lods[b]
+        sides = [[at([8 * x + stride * (y + s * (i == j)) for j, (x, y) in enumerate(zip(b, c))]) for s in (1, -1)] for i in range(3)]
+        want[code(b), code(c)] = tuple((p - m) / 2 for p, m in ([a if a > 0.05 else own for a in pair] for pair in sides))
+    nodes = spark.createDataFrame([(code(b), lods[b], code(c), a) for (b, c), a in alphas.items()], "brick_id long, lod int, m long, alpha double")
+    levels = spark.createDataFrame([(code(b), k) for b, k in lods.items()], "brick_id long, lod int")
+    got = {(r.brick_id, r.m): (r.gx, r.gy, r.gz) for r in rays.lod_gradients(nodes, levels, 8, 16).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    some = nodes.filter("m % 3 = 0")
+    few = {(r.brick_id, r.m): (r.gx, r.gy, r.gz) for r in rays.lod_gradients(nodes, levels, 8, 16, only=some).collect()}
+    assert few == {k: v for k, v in got.items() if k[1] % 3 == 0}
+
+
+def test_rays_stop_where_they_are_opaque(spark):
+    """A ray through 16 bricks of one cell each: samples by slab fall with opacity, and are those of one pass over all."""
+    path = spark.createDataFrame([(p, 0, k, k, 0, 8.0, 1, 8 * k, 0, 0, 4.0, 4.0, -4.0, 0.001, 0.001, 1.0, 0.0, 0.0) for p in range(2) for k in range(1)], "px long, py long, bseq long, brick_id long, lod int, stride double, cells long, bx long, by long, bz long, ox double, oy double, oz double, rx double, ry double, rz double, t_in double, t_out double").limit(0)
+    assert rays.until_opaque(path, spark.createDataFrame([], "brick_id long, lod int, m long, r double, g double, b double, own double"))[0] is None
+    rows = [(p, 0, k, 2 * k + p, 0, 8.0, 1, 8 * k, 0, 0, -1.0, 4.0, 4.0, 1.0, 1e-7, 1e-7, 8.0 * k + 1, 8.0 * k + 9) for p in range(2) for k in range(16)]
+    path = spark.createDataFrame(rows, path.schema)
+    cells = spark.createDataFrame([(2 * k + p, 0, 0, 0.1, 0.2, 0.3, (0.5, 0.08)[p]) for p in range(2) for k in range(16)], "brick_id long, lod int, m long, r double, g double, b double, own double")
+    seen, counts = rays.until_opaque(path, cells)
+    got = {(r.px, r.bseq): r.through for r in seen.collect()}
+    alpha = {p: 1 - (1 - (0.5, 0.08)[p]) ** 8 for p in range(2)}
+    want = {(p, k): (1 - alpha[p]) ** k for p in range(2) for k in range(16) if 1 - (1 - alpha[p]) ** k <= 0.95}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert counts == [3, 3, 0, 0] or sum(counts) == len(want) and counts[-1] == 0
+
+
 def test_residents_are_decoded_anew(spark):
     resident = spark.createDataFrame([(f, b, 2) for f in range(4) for b in (5, 3)], "frame long, brick_id long, lod int")
     got = [(r.frame, r.brick_id) for r in view.redecode(resident, spark.createDataFrame([(2,), (9,)], "frame long")).collect()]

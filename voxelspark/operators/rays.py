@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import written
 
 EPS = 1e-6
 
@@ -119,32 +120,70 @@ def composite(samples: DataFrame, least: float = 0.05, full: float = 0.95) -> Da
     return transmitted(samples, least, full).groupBy("px", "py").agg(*(F.sum(F.col(c) * share).alias(c) for c in "rgb"), F.sum(share).alias("a"))
 
 
-def render(spark: SparkSession, nodes: DataFrame, levels: DataFrame, colors: DataFrame, camera: DataFrame, side: int, brick: int, width: int, height: int, light: tuple = S.light_direction(25)) -> DataFrame:
-    """Packed rgba of every pixel, 0 where nothing is hit.
+def until_opaque(path: DataFrame, tinted: DataFrame, least: float = 0.05, full: float = 0.95, first: int = 2) -> tuple[DataFrame | None, list[int]]:
+    """The samples that rays take in, with ``through``, what is left of the light before each, and their number in each slab.
 
-    Rays cross bricks; in each that is not empty they cross the cells of its level of detail, of ``levels`` (brick_id, lod, is_empty), whose labels are those of ``nodes`` (brick_id, lod, m, label). A sample counts as its cell is wide (``opacity``). Samples of a cell's alpha over 0.35 are shaded by the gradient, and over 0.4 shadowed by what stands towards the light, before they are composited. Equi-joins by brick, level and code; rays unfold where they are.
+    Rays advance by slabs of the bricks on their ``path`` (px, py, bseq, brick_id, lod, stride, cells, the brick's corner, the ray and its part in the brick), ``first`` bricks and then twice as many each time. A ray whose opacity is over ``full`` is left out of the next slab, and only bricks that the others meet are looked up among ``tinted`` (brick_id, lod, m, r, g, b, own). What a slab found is written, as the next one starts from it.
     """
-    path = crossed(slab(rays(spark, camera, width, height), (0.0,) * 3, (float(side),) * 3), float(brick), (side // brick,) * 3)
+    far = path.agg(F.max("bseq")).first()[0]
+    through, out, counts, at, width = None, [], [], 0, first
+    w = W.partitionBy("px", "py").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    while far is not None and at <= far:
+        part = path.filter((F.col("bseq") >= at) & (F.col("bseq") < at + width))
+        part = part.withColumn("start", F.lit(1.0)) if through is None else part.join(through, ["px", "py"], "left").withColumn("start", F.coalesce("through", F.lit(1.0))).drop("through").filter(1 - F.col("start") <= full)
+        steps = _marched(part, "px long, py long, bseq long, brick_id long, lod int, stride double, bx long, by long, bz long, start double", "stride", "cells", ["bx", "by", "bz"])
+        placed = steps.withColumn("m", S.morton(F.col("cx"), F.col("cy"), F.col("cz")))
+        near = tinted.join(part.select("brick_id").distinct(), "brick_id", "left_semi")
+        met = placed.join(near, ["brick_id", "lod", "m"]).withColumns({"seq": F.col("bseq") * 1_000_000 + F.col("seq"), "alpha": opacity(F.col("own"), F.col("stride"))})
+        met = met.filter((F.col("own") > least) & (F.col("alpha") > least))
+        left = F.exp(F.coalesce(F.sum(F.ln(F.greatest(1 - F.col("alpha"), F.lit(1e-12)))).over(w), F.lit(0.0)))
+        seen = written(met.withColumn("through", F.col("start") * left).filter(1 - F.col("through") <= full).drop("start"), "ray-samples")
+        after = seen.groupBy("px", "py").agg(F.min(F.col("through") * (1 - F.col("alpha"))).alias("through"))
+        through = written((after if through is None else after.unionByName(through)).groupBy("px", "py").agg(F.min("through").alias("through")), "ray-light")
+        counts.append(seen.count())
+        out.append(seen)
+        at, width = at + width, 2 * width
+    whole = None
+    for seen in out:
+        whole = seen if whole is None else whole.unionByName(seen)
+    return whole, counts
+
+
+def tints(nodes: DataFrame, levels: DataFrame, colors: DataFrame) -> DataFrame:
+    """The nodes of each brick's level in ``levels`` (brick_id, lod) that have a label other than 0, with r, g, b and own, their alpha, in 0 to 1."""
+    known = nodes.select("brick_id", F.col("lod").cast("int").alias("lod"), "m", "label").join(levels, ["brick_id", "lod"]).filter("label <> 0").join(colors.select("label", "rgba"), "label")
+    r, g, b, a = (c / 255.0 for c in S.unpack(F.col("rgba")))
+    return known.select("brick_id", "lod", "m", r.alias("r"), g.alias("g"), b.alias("b"), a.alias("own"))
+
+
+def paths(spark: SparkSession, levels: DataFrame, camera: DataFrame, side: int, brick: int, width: int, height: int) -> DataFrame:
+    """The bricks of ``levels`` that the rays of a camera cross, in order of bseq, with what marching through one needs."""
+    ray = rays(spark, camera, width, height)
+    path = crossed(slab(ray, (0.0,) * 3, (float(side),) * 3), float(brick), (side // brick,) * 3)
     corner = [(F.col(f"c{c}") * brick).alias(f"b{c}") for c in "xyz"]
     path = path.select("px", "py", F.col("seq").alias("bseq"), S.morton(F.col("cx"), F.col("cy"), F.col("cz")).alias("brick_id"), *corner, F.col("t0").alias("t_in"), F.col("t1").alias("t_out"))
-    shown = levels.filter(~F.col("is_empty")).select("brick_id", F.col("lod").cast("int").alias("lod"))
-    directed = path.join(shown, "brick_id").join(rays(spark, camera, width, height), ["px", "py"])
-    sized = directed.withColumns({"stride": F.lit(float(brick)) / F.pow(F.lit(2.0), F.col("lod")), "cells": F.pow(F.lit(2.0), F.col("lod")).cast("long")})
-    steps = _marched(sized, "px long, py long, bseq long, brick_id long, lod int, stride double, bx long, by long, bz long", "stride", "cells", ["bx", "by", "bz"])
-    placed = steps.withColumn("m", S.morton(F.col("cx"), F.col("cy"), F.col("cz")))
+    directed = path.join(levels, "brick_id").join(ray, ["px", "py"])
+    return directed.withColumns({"stride": F.lit(float(brick)) / F.pow(F.lit(2.0), F.col("lod")), "cells": F.pow(F.lit(2.0), F.col("lod")).cast("long")})
 
-    tinted = nodes.select("brick_id", F.col("lod").cast("int").alias("lod"), "m", "label").join(shown, ["brick_id", "lod"]).filter("label <> 0").join(colors.select("label", "rgba"), "label")
-    r, g, b, a = (c / 255.0 for c in S.unpack(F.col("rgba")))
-    tinted = tinted.select("brick_id", "lod", "m", r.alias("r"), g.alias("g"), b.alias("b"), a.alias("own"))
-    seen = placed.join(tinted, ["brick_id", "lod", "m"]).withColumns({"seq": F.col("bseq") * 1_000_000 + F.col("seq"), "alpha": opacity(F.col("own"), F.col("stride"))})
-    seen = transmitted(seen.filter("own > 0.05"))
+
+def render(spark: SparkSession, nodes: DataFrame, levels: DataFrame, colors: DataFrame, camera: DataFrame, side: int, brick: int, width: int, height: int, light: tuple = S.light_direction(25)) -> DataFrame:
+    """Packed rgba of every pixel, 0 where nothing is hit.
+
+    Rays cross bricks; in each that is not empty they cross the cells of its level of detail, of ``levels`` (brick_id, lod, is_empty), whose labels are those of ``nodes`` (brick_id, lod, m, label). A sample counts as its cell is wide (``opacity``), and rays stop where they are opaque (``until_opaque``). Samples of a cell's alpha over 0.35 are shaded by the gradient, and over 0.4 shadowed by what stands towards the light, before they are composited. Equi-joins by brick, level and code; rays unfold where they are. Levels, tints and paths are written once, as several steps read them.
+    """
+    shown = written(levels.filter(~F.col("is_empty")).select("brick_id", F.col("lod").cast("int").alias("lod")), "ray-levels")
+    tinted = written(tints(nodes, shown, colors), "ray-tints")
+    pixels = spark.range(width * height).select((F.col("id") % width).alias("px"), F.floor(F.col("id") / width).alias("py"))
+    seen, _ = until_opaque(written(paths(spark, shown, camera, side, brick, width, height), "ray-paths"), tinted)
+    if seen is None:
+        return pixels.withColumn("rgba", F.lit(0).cast("long"))
 
     alphas = tinted.select("brick_id", "lod", "m", F.col("own").alias("alpha"))
-    slopes = lod_gradients(alphas).filter("alpha > 0.35").select("brick_id", "lod", "m", "gx", "gy", "gz")
+    slopes = lod_gradients(alphas, shown, brick, side, only=seen.filter("own > 0.35")).select("brick_id", "lod", "m", "gx", "gy", "gz")
     lit = seen.filter("own > 0.35").join(slopes, ["brick_id", "lod", "m"])
     world = {c: F.col(f"b{c}") + F.col(f"c{c}") * F.col("stride") for c in "xyz"}
     n = F.greatest(S.norm(F.col("gx"), F.col("gy"), F.col("gz")), F.lit(0.001))
-    lit = lit.select("px", "py", "seq", "own", "through", "gx", "gy", "gz", *(v.cast("long").alias(c) for c, v in world.items()), *((-F.col(f"g{c}") / n).alias(f"n{c}") for c in "xyz"))
+    lit = written(lit.select("px", "py", "seq", "own", "through", "gx", "gy", "gz", *(v.cast("long").alias(c) for c, v in world.items()), *((-F.col(f"g{c}") / n).alias(f"n{c}") for c in "xyz")), "ray-slopes")
     points = lit.filter("own > 0.4").select(F.struct("px", "py", "seq").alias("id"), "x", "y", "z", "nx", "ny", "nz", "through")
     found = shadows(points, alphas, light, side, brick=brick, levels=shown).select("id.*", "shadow")
     factor = lit.join(found, ["px", "py", "seq"], "left").select("px", "py", "seq", F.coalesce("shadow", F.lit(1.0)).alias("shadow"), shade([F.col(f"g{c}") for c in "xyz"], light, shadow=F.coalesce("shadow", F.lit(1.0))).alias("light"))
@@ -154,7 +193,6 @@ def render(spark: SparkSession, nodes: DataFrame, levels: DataFrame, colors: Dat
     share = F.col("alpha") * F.col("through")
     image = toned.groupBy("px", "py").agg(*(F.sum(F.col(c) * share).alias(c) for c in "rgb"), F.sum(share).alias("a"))
     byte = lambda c: F.floor(F.coalesce(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) * 255)
-    pixels = spark.range(width * height).select((F.col("id") % width).alias("px"), F.floor(F.col("id") / width).alias("py"))
     return pixels.join(image, ["px", "py"], "left").select("px", "py", S.pack(byte("r"), byte("g"), byte("b"), byte("a")).alias("rgba"))
 
 
@@ -184,18 +222,58 @@ def gradients(alphas: DataFrame, least: float | None = None) -> DataFrame:
     return out.select("x", "y", "z", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
 
 
-def lod_gradients(nodes: DataFrame, least: float = 0.05) -> DataFrame:
-    """brick_id, lod, m, alpha, gx, gy, gz of the nodes of a level (brick_id, lod, m, alpha), in steps of that level's cells. A neighbour out of the brick, absent or of an alpha up to ``least`` counts as the node's own, so that gradients do not point at what is not seen."""
-    side = F.pow(F.lit(2.0), F.col("lod")).cast("long")
-    placed = nodes.select("brick_id", "lod", *(a.alias(f"c{c}") for c, a in zip("xyz", S.demorton(F.col("m")), strict=True)), "alpha")
-    moves = {}
+def _beside(cells: DataFrame, brick: int, side: int, faces: bool) -> DataFrame:
+    """For each of the ``cells`` (brick_id, lod, cx, cy, cz in cells of its level) and each of its six sides the voxel (wx, wy, wz) of its corner, moved by a cell, that lies in the volume; with ``faces`` only those out of the brick."""
+    n, stride = F.expr("shiftleft(1L, lod)"), F.expr(f"shiftright({brick}L, lod)")
+    low = dict(zip("xyz", (c * brick for c in S.demorton(F.col("brick_id"))), strict=True))
+    placed = cells.select("brick_id", "lod", "cx", "cy", "cz", n.alias("n"), stride.alias("stride"), *(v.alias(f"b{c}") for c, v in low.items()))
+    moved = []
     for c in "xyz":
-        for name, step in (("up", -1), ("down", 1)):
+        for name, step in (("up", 1), ("down", -1)):
             to = F.col(f"c{c}") + step
-            moves[f"{c}_{name}"] = [F.col("brick_id"), F.col("lod"), *(F.when((to >= 0) & (to < side), to) if k == c else F.col(f"c{k}") for k in "xyz")]
-    out = gathered(placed, ["brick_id", "lod", "cx", "cy", "cz"], moves).withColumn("m", S.morton(F.col("cx"), F.col("cy"), F.col("cz")))
-    at = lambda c: F.when(F.col(c) > least, F.col(c)).otherwise(F.col("alpha"))
-    return out.select("brick_id", F.col("lod").cast("int").alias("lod"), "m", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
+            at = F.struct(F.lit(f"{c}_{name}").alias("as"), *((F.col(f"b{k}") + (to if k == c else F.col(f"c{k}")) * F.col("stride")).alias(f"w{k}") for k in "xyz"))
+            moved.append(F.when((to < 0) | (to >= F.col("n")), at) if faces else at)
+    out = placed.select("brick_id", "lod", "cx", "cy", "cz", F.explode(F.array_compact(F.array(*moved))).alias("q")).select("brick_id", "lod", "cx", "cy", "cz", "q.*")
+    return out.filter(inside(F.col("wx"), F.col("wy"), F.col("wz"), side))
+
+
+def _answered(asked: DataFrame, nodes: DataFrame, levels: DataFrame, brick: int) -> DataFrame:
+    """``asked`` (any columns, and a voxel wx, wy, wz) with a, the alpha of the node there: that of the voxel's brick, at the brick's own level. Voxels without a node drop out. The brick is found by its code, the node by brick, level and code."""
+    k = brick.bit_length() - 1
+    home = S.morton(*(F.shiftright(f"w{c}", k) for c in "xyz"))
+    there = asked.withColumn("home", home).join(levels.select(F.col("brick_id").alias("home"), F.col("lod").alias("home_lod")), "home")
+    cell = S.morton(*(F.expr(f"shiftright(w{c} & {brick - 1}, {k} - home_lod)") for c in "xyz"))
+    found = nodes.select(F.col("brick_id").alias("home"), F.col("lod").alias("home_lod"), F.col("m").alias("home_m"), F.coalesce("alpha", F.lit(0.0)).alias("a"))
+    return there.withColumn("home_m", cell).join(found, ["home", "home_lod", "home_m"]).drop("home", "home_lod", "home_m", "wx", "wy", "wz")
+
+
+def lod_gradients(nodes: DataFrame, levels: DataFrame, brick: int, side: int, least: float = 0.05, only: DataFrame | None = None) -> DataFrame:
+    """brick_id, lod, m, alpha, gx, gy, gz of ``nodes`` (brick_id, lod, m, alpha), each brick at its own level of ``levels`` (brick_id, lod), in steps of that level's cells; or of the cells of ``only`` (brick_id, lod, m) alone.
+
+    A neighbour in another brick is what that brick has, at its level, where the cell's corner lies when moved by a cell. A neighbour out of the volume, absent or of an alpha up to ``least`` counts as the node's own, so that gradients do not point at what is not seen. Cells within a brick send their alphas to each other in one shuffle; only those at its faces ask other bricks.
+    """
+    keys = ["brick_id", "lod", "cx", "cy", "cz"]
+    at = [a.alias(f"c{c}") for c, a in zip("xyz", S.demorton(F.col("m")), strict=True)]
+    nodes, levels = (df.withColumn("lod", F.col("lod").cast("int")) for df in (nodes, levels))
+    placed = nodes.select("brick_id", "lod", *at, F.coalesce("alpha", F.lit(0.0)).alias("a"))
+    if only is None:
+        cells, inner = placed, []
+        n = F.expr("shiftleft(1L, lod)")
+        for c in "xyz":
+            for name, step in (("up", -1), ("down", 1)):
+                to = F.col(f"c{c}") + step
+                sent = F.struct("brick_id", "lod", *((to if k == c else F.col(f"c{k}")).alias(f"c{k}") for k in "xyz"), F.lit(f"{c}_{name}").alias("as"), "a")
+                inner.append(F.when((to >= 0) & (to < n), sent))
+        own = F.struct(*keys, F.lit("alpha").alias("as"), "a")
+        told = placed.select(F.explode(F.array_compact(F.array(own, *inner))).alias("s")).select("s.*")
+    else:
+        cells = only.select("brick_id", F.col("lod").cast("int").alias("lod"), "m").distinct().select("brick_id", "lod", *at)
+        told = placed.join(cells, keys, "left_semi").select(*keys, F.lit("alpha").alias("as"), "a")
+    told = told.unionByName(_answered(_beside(cells, brick, side, only is None), nodes, levels, brick))
+    names = ["alpha", *(f"{c}_{n}" for c in "xyz" for n in ("up", "down"))]
+    out = told.groupBy(*keys).agg(*(F.max(F.when(F.col("as") == n, F.col("a"))).alias(n) for n in names)).filter("alpha is not null")
+    safe = lambda c: F.when(F.col(c) > least, F.col(c)).otherwise(F.col("alpha"))
+    return out.select("brick_id", "lod", S.morton(*(F.col(f"c{c}") for c in "xyz")).alias("m"), "alpha", *(((safe(f"{c}_up") - safe(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
 
 
 def trilinear(points: DataFrame, nodes: DataFrame, values: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import cache, codec, octree, order, rays, view
 from ..operators import volume as V
+from ..sources.shared import written
 from ..streaming.windows import event_counts
 
 WIDTH, HEIGHT = 32, 24
@@ -255,10 +256,11 @@ def ray_bricks(spark, d):
 
 
 def ray_render(spark, d):
-    """The image of one camera, each brick at the level of detail that it has there."""
-    camera, palettes = one_camera(spark, d), seg_palettes(spark, d)
-    levels = view.seen_from(palettes, camera, V.SEG_BRICK).select("brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "is_empty")
-    return rays.render(spark, seg_nodes(spark, d), levels, colors(spark, d), camera.drop("session"), V.side(spark, d), V.SEG_BRICK, WIDTH, HEIGHT)
+    """The image of one camera, each brick at the level of detail that it has there. The volume is derived once and written, as its levels, labels and colours are all read from it."""
+    camera, bricks = one_camera(spark, d), written(seg_bricks(spark, d), "ray-volume")
+    palettes = V.positions(V.palettes(bricks), V.SEG_BRICK)
+    levels = view.seen_from(palettes.drop("palette"), camera, V.SEG_BRICK).select("brick_id", view.brick_lod(V.SEG_BRICK, width=256).cast("int").alias("lod"), "is_empty")
+    return rays.render(spark, V.pyramid(bricks, V.SEG_BRICK), levels, V.transfer_function(bricks), camera.drop("session"), V.side(spark, d), V.SEG_BRICK, WIDTH, HEIGHT)
 
 
 def display_pixels(spark, d):
@@ -374,7 +376,9 @@ def lod_alphas(spark, d):
 
 
 def gradient_lod(spark, d):
-    return rays.lod_gradients(lod_alphas(spark, d)).filter("alpha > 0.35").select("brick_id", "m", "gx", "gy", "gz")
+    nodes = lod_alphas(spark, d)
+    levels = nodes.select("brick_id", "lod").distinct()
+    return rays.lod_gradients(nodes, levels, V.SEG_BRICK, V.side(spark, d)).filter("alpha > 0.35").select("brick_id", "m", "gx", "gy", "gz")
 
 
 def trilinear_alpha(spark, d):
@@ -490,9 +494,9 @@ SHADOWED = GRADIENT.replace(", (coalesce(xp.a, 0)", ", c.a AS alpha, (coalesce(x
 slope AS (SELECT c.x, c.y, c.z, {", ".join(f"({_own(j + 'p')} - {_own(j + 'm')}) / 2 AS g{j}" for j in "xyz")} FROM al c
 {" ".join(f"LEFT JOIN al {k}{n} ON {' AND '.join(f'{k}{n}.{j} = c.{j}' + (f' {s} 1' if j == k else '') for j in 'xyz')}" for k in "xyz" for n, s in (("p", "+"), ("m", "-")))} WHERE c.a > 0.4),
 p AS (SELECT x + g * y + g * g * z AS id, x, y, z, {", ".join(f"-g{c} / greatest(sqrt(gx*gx+gy*gy+gz*gz), 0.001) AS n{c}" for c in "xyz")} FROM slope, dim)"""
-_steps = [(c, n, "".join(f" AND {n}.c{j} = h.c{j}{s if j == i else ''}" for j in range(3))) for i, c in enumerate("xyz") for n, s in ((f"{c}p", " + 1"), (f"{c}m", " - 1"))]
+_steps = [(c, n, " AND ".join(f"{n}.w{j} = h.w{j}{s if j == i else ''}" for j in range(3))) for i, c in enumerate("xyz") for n, s in ((f"{c}p", " + 1"), (f"{c}m", " - 1"))]
 _safe = lambda n: f"(CASE WHEN {n}.a > 0.05 THEN {n}.a ELSE h.a END)"
-LOD_ALPHAS = f"{NODES}, la AS (SELECT brick_id, m, {', '.join(f'{axis_sql('m', i, 2)} AS c{i}' for i in range(3))}, (label % 8) / 8.0::DOUBLE AS a FROM nodes WHERE lod = 2)"
+LOD_ALPHAS = f"{NODES}, la AS (SELECT brick_id, m, {', '.join(f'{axis_sql('m', i, 2)} AS c{i}, {axis_sql('brick_id', i)} * 4 + {axis_sql('m', i, 2)} AS w{i}' for i in range(3))}, (label % 8) / 8.0::DOUBLE AS a FROM nodes WHERE lod = 2)"
 _place = ", ".join(f"CAST(o_orderkey * {k} % (8 * g) AS DOUBLE) / 8 AS p{i}" for i, k in enumerate((7, 11, 13)))
 _cell = ", ".join(f"(p{i} - floor(p{i} / 8) * 8) * 0.5::DOUBLE AS q{i}" for i in range(3))
 _corner = " AND ".join(f"la.c{i} = least(CAST(floor(q{i}) AS BIGINT) + (k >> {i} & 1), 3)" for i in range(3))
@@ -546,7 +550,7 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
 FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
 o AS (SELECT session, frame, yaw, greatest(-pi() / 3, least(pi() / 3, pitch)) AS pitch, greatest(20.0::DOUBLE, least(200.0::DOUBLE, 48.0::DOUBLE * exp(zoom * 0.0015::DOUBLE))) AS radius FROM i)
 SELECT session, frame, round(radius, 6) AS radius, round(16 + radius * cos(pitch) * sin(yaw), 6) AS px, round(16 + radius * sin(pitch), 6) AS py, round(16 + radius * cos(pitch) * cos(yaw), 6) AS pz FROM o""",
-    "gradient_lod": f"{LOD_ALPHAS} SELECT h.brick_id, h.m, {', '.join(f'({_safe(c + 'p')} - {_safe(c + 'm')}) / 2 AS g{c}' for c in 'xyz')} FROM la h {' '.join(f'LEFT JOIN la {n} ON {n}.brick_id = h.brick_id{on}' for _, n, on in _steps)} WHERE h.a > 0.35",
+    "gradient_lod": f"{LOD_ALPHAS} SELECT h.brick_id, h.m, {', '.join(f'({_safe(c + 'p')} - {_safe(c + 'm')}) / 2 AS g{c}' for c in 'xyz')} FROM la h {' '.join(f'LEFT JOIN la {n} ON {on}' for _, n, on in _steps)} WHERE h.a > 0.35",
     "trilinear_alpha": f"{LOD_ALPHAS}, pt AS (SELECT o_orderkey AS id, {_place} FROM orders, dim), pq AS (SELECT id, {morton_sql('floor(p0 / 8)', 'floor(p1 / 8)', 'floor(p2 / 8)')} AS brick_id, {_cell} FROM pt), w AS (SELECT id, {_near} AS w, la.a FROM pq CROSS JOIN range(8) t(k) JOIN la ON la.brick_id = pq.brick_id AND {_corner}) SELECT id, round(sum(w * a) / sum(w), 6) AS alpha FROM w GROUP BY id",
     "composite_window": f"WITH {SAMPLES}, k AS (SELECT *, exp(coalesce(sum(ln(greatest(1 - alpha, 1e-12))) OVER (PARTITION BY px, py ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS t FROM s WHERE alpha > 0.05) SELECT px, py, round(sum(r * alpha * t), 6) AS r, round(sum(g * alpha * t), 6) AS g, round(sum(b * alpha * t), 6) AS b, round(sum(alpha * t), 6) AS a FROM k WHERE 1 - t <= 0.95 GROUP BY 1, 2",
     "first_hits": f"WITH {SAMPLES} SELECT px, py, min(seq) AS seq, arg_min(alpha, seq) AS alpha FROM s GROUP BY 1, 2",
