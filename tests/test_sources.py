@@ -106,3 +106,22 @@ def test_dumps_go_back_to_their_bricks(spark, tmp_path):
     assert {r.brick_id: r.labels for r in back.collect()} == arrays
     with pytest.raises(Exception, match="whole bricks"):
         spark.read.format("labels").option("brick_size", 8).load(dump).collect()
+
+
+@pytest.mark.parametrize("kind", ["csbd", "npz"])
+def test_appending_to_a_whole_file_is_refused(spark, tmp_path, kind):
+    from voxelspark.sources import files
+
+    files.register(spark)
+    if kind == "csbd":
+        df, path, name = spark.createDataFrame([(k, [0, k], b"12", 2) for k in range(5)], "brick_id long, palette array<long>, encoded binary, n_symbols int"), str(tmp_path / "a.csbd"), "csbd"
+    else:
+        df, path, name = spark.createDataFrame([(x, 0, 0, x + 1) for x in range(5)], "x int, y int, z int, label long"), str(tmp_path / "a.npz"), "npy"
+    write = lambda d, mode: d.write.format(name).option("freq", ",".join(["256"] * 16)).mode(mode).save(path)
+    write(df, "append")
+    assert spark.read.format(name).load(path).count() == 5
+    with pytest.raises(Exception, match="cannot be added to"):
+        write(df.limit(1), "append")
+    assert spark.read.format(name).load(path).count() == 5
+    write(df.limit(1), "overwrite")
+    assert spark.read.format(name).load(path).count() == 1

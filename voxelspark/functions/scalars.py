@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: The 21 bits of a coordinate.
 AXIS = 0x1FFFFF
-#: Bits of a coordinate that a look-up takes together: 7 to spread them, 3 of each axis to gather them.
-_WIDE, _NARROW = 7, 3
+#: Bits of a coordinate that a look-up takes together: 6 to spread them, 2 of each axis to gather them.
+_WIDE, _NARROW = 6, 2
 _SPREAD = [sum((v >> i & 1) << 3 * i for i in range(_WIDE)) for v in range(1 << _WIDE)]
 _GATHER = [sum((c >> 3 * i + axis & 1) << i + 21 * axis for i in range(_NARROW) for axis in range(3)) for c in range(1 << 3 * _NARROW)]
 MASK32 = 0xFFFFFFFF
@@ -26,14 +26,17 @@ def let(value: Column, body) -> Column:
 
 
 def _table(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
 
 
 def spread(v: Column) -> Column:
-    """The 21 low bits of a coordinate, each at three times its place: three look-ups, so that a code of codes stays small."""
+    """The 21 low bits of a coordinate, each at three times its place: four look-ups, so that a code of codes stays small."""
     v, known = v.cast("long"), _table(_SPREAD)
-    parts = [F.shiftleft(F.get(known, _band(F.shiftright(v, _WIDE * i), (1 << _WIDE) - 1).cast("int")), 3 * _WIDE * i) for i in range(3)]
-    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
+    out = None
+    for at in range(0, 21, _WIDE):
+        part = F.shiftleft(F.get(known, _band(F.shiftright(v, at), (1 << min(_WIDE, 21 - at)) - 1).cast("int")), 3 * at)
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:
@@ -42,11 +45,11 @@ def morton(x: Column, y: Column, z: Column) -> Column:
 
 
 def demorton(code: Column) -> tuple[Column, Column, Column]:
-    """The coordinates of a code: seven look-ups gather the three side by side in one number, from which each is cut."""
+    """The coordinates of a code: look-ups gather the three side by side in one number, from which each is cut."""
     code, known = code.cast("long"), _table(_GATHER)
     packed = None
-    for i in range(7):
-        part = F.shiftleft(F.get(known, _band(F.shiftright(code, 9 * i), 511).cast("int")), _NARROW * i)
+    for at in range(0, 21, _NARROW):
+        part = F.shiftleft(F.get(known, _band(F.shiftright(code, 3 * at), (1 << 3 * min(_NARROW, 21 - at)) - 1).cast("int")), at)
         packed = part if packed is None else packed.bitwiseOR(part)
     return _band(packed, AXIS), _band(F.shiftright(packed, 21), AXIS), _band(F.shiftright(packed, 42), AXIS)
 

@@ -132,7 +132,7 @@ def until_opaque(path: DataFrame, tinted: DataFrame, least: float = 0.05, full:
         part = path.filter((F.col("bseq") >= at) & (F.col("bseq") < at + width))
         part = part.withColumn("start", F.lit(1.0)) if through is None else part.join(through, ["px", "py"], "left").withColumn("start", F.coalesce("through", F.lit(1.0))).drop("through").filter(1 - F.col("start") <= full)
         steps = _marched(part, "px long, py long, bseq long, brick_id long, lod int, stride double, bx long, by long, bz long, start double", "stride", "cells", ["bx", "by", "bz"])
-        placed = steps.withColumn("m", S.morton(F.col("cx"), F.col("cy"), F.col("cz")))
+        placed = steps.withColumn("m", _code(F.col("cx"), F.col("cy"), F.col("cz")))
         near = tinted.join(part.select("brick_id").distinct(), "brick_id", "left_semi")
         met = placed.join(near, ["brick_id", "lod", "m"]).withColumns({"seq": F.col("bseq") * 1_000_000 + F.col("seq"), "alpha": opacity(F.col("own"), F.col("stride"))})
         met = met.filter((F.col("own") > least) & (F.col("alpha") > least))
@@ -161,7 +161,7 @@ def paths(spark: SparkSession, levels: DataFrame, camera: DataFrame, side: int,
     ray = rays(spark, camera, width, height)
     path = crossed(slab(ray, (0.0,) * 3, (float(side),) * 3), float(brick), (side // brick,) * 3)
     corner = [(F.col(f"c{c}") * brick).alias(f"b{c}") for c in "xyz"]
-    path = path.select("px", "py", F.col("seq").alias("bseq"), S.morton(F.col("cx"), F.col("cy"), F.col("cz")).alias("brick_id"), *corner, F.col("t0").alias("t_in"), F.col("t1").alias("t_out"))
+    path = path.select("px", "py", F.col("seq").alias("bseq"), _code(F.col("cx"), F.col("cy"), F.col("cz")).alias("brick_id"), *corner, F.col("t0").alias("t_in"), F.col("t1").alias("t_out"))
     directed = path.join(levels, "brick_id").join(ray, ["px", "py"])
     return directed.withColumns({"stride": F.lit(float(brick)) / F.pow(F.lit(2.0), F.col("lod")), "cells": F.pow(F.lit(2.0), F.col("lod")).cast("long")})
 
@@ -222,6 +222,11 @@ def gradients(alphas: DataFrame, least: float | None = None) -> DataFrame:
     return out.select("x", "y", "z", "alpha", *(((at(f"{c}_up") - at(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
 
 
+def _code(*at: Column) -> Column:
+    """A Morton code to join by, -1 of null places: a key that cannot be null is not tested for it, and that test would repeat the whole expression in the plan."""
+    return F.coalesce(S.morton(*at), F.lit(-1).cast("long"))
+
+
 def _beside(cells: DataFrame, brick: int, side: int, faces: bool) -> DataFrame:
     """For each of the ``cells`` (brick_id, lod, cx, cy, cz in cells of its level) and each of its six sides the voxel (wx, wy, wz) of its corner, moved by a cell, that lies in the volume; with ``faces`` only those out of the brick."""
     n, stride = F.expr("shiftleft(1L, lod)"), F.expr(f"shiftright({brick}L, lod)")
@@ -240,9 +245,9 @@ def _beside(cells: DataFrame, brick: int, side: int, faces: bool) -> DataFrame:
 def _answered(asked: DataFrame, nodes: DataFrame, levels: DataFrame, brick: int) -> DataFrame:
     """``asked`` (any columns, and a voxel wx, wy, wz) with a, the alpha of the node there: that of the voxel's brick, at the brick's own level. Voxels without a node drop out. The brick is found by its code, the node by brick, level and code."""
     k = brick.bit_length() - 1
-    home = S.morton(*(F.shiftright(f"w{c}", k) for c in "xyz"))
+    home = _code(*(F.shiftright(f"w{c}", k) for c in "xyz"))
     there = asked.withColumn("home", home).join(levels.select(F.col("brick_id").alias("home"), F.col("lod").alias("home_lod")), "home")
-    cell = S.morton(*(F.expr(f"shiftright(w{c} & {brick - 1}, {k} - home_lod)") for c in "xyz"))
+    cell = _code(*(F.expr(f"shiftright(w{c} & {brick - 1}, {k} - home_lod)") for c in "xyz"))
     found = nodes.select(F.col("brick_id").alias("home"), F.col("lod").alias("home_lod"), F.col("m").alias("home_m"), F.coalesce("alpha", F.lit(0.0)).alias("a"))
     return there.withColumn("home_m", cell).join(found, ["home", "home_lod", "home_m"]).drop("home", "home_lod", "home_m", "wx", "wy", "wz")
 
@@ -273,7 +278,7 @@ def lod_gradients(nodes: DataFrame, levels: DataFrame, brick: int, side: int, le
     names = ["alpha", *(f"{c}_{n}" for c in "xyz" for n in ("up", "down"))]
     out = told.groupBy(*keys).agg(*(F.max(F.when(F.col("as") == n, F.col("a"))).alias(n) for n in names)).filter("alpha is not null")
     safe = lambda c: F.when(F.col(c) > least, F.col(c)).otherwise(F.col("alpha"))
-    return out.select("brick_id", "lod", S.morton(*(F.col(f"c{c}") for c in "xyz")).alias("m"), "alpha", *(((safe(f"{c}_up") - safe(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
+    return out.select("brick_id", "lod", _code(*(F.col(f"c{c}") for c in "xyz")).alias("m"), "alpha", *(((safe(f"{c}_up") - safe(f"{c}_down")) / 2).alias(f"g{c}") for c in "xyz"))
 
 
 def trilinear(points: DataFrame, nodes: DataFrame, values: tuple[str, ...] = ("r", "g", "b", "a")) -> DataFrame:
@@ -323,10 +328,10 @@ def shadows(points: DataFrame, alphas: DataFrame, light: tuple, side: int, least
     if levels is None:
         met = at.join(alphas.select("x", "y", "z", "alpha"), ["x", "y", "z"])
     else:
-        home = S.morton(*(F.floor(F.col(c) / brick) for c in "xyz"))
+        home = _code(*(F.floor(F.col(c) / brick) for c in "xyz"))
         within = at.withColumn("brick_id", home).join(levels.select("brick_id", "lod"), "brick_id")
         stride = F.lit(float(brick)) / F.pow(F.lit(2.0), F.col("lod"))
-        met = within.withColumn("m", S.morton(*(F.floor((F.col(c) % brick) / stride) for c in "xyz"))).join(alphas.select("brick_id", "lod", "m", "alpha"), ["brick_id", "lod", "m"])
+        met = within.withColumn("m", _code(*(F.floor((F.col(c) % brick) / stride) for c in "xyz"))).join(alphas.select("brick_id", "lod", "m", "alpha"), ["brick_id", "lod", "m"])
     summed = met.groupBy("id").agg(F.sum("alpha").alias("_sum"))
     total = F.coalesce("_sum", F.lit(0.0))
     asks = (F.col("through") >= 0.1) & (1 - F.col("through") >= 0.2)

@@ -72,6 +72,12 @@ class NpyReader(DataSourceReader):
             yield slab(file.read(min(self.planes, shape[2] - z) * plane), dtype, shape, z)
 
 
+def refuse_append(path: str, overwrite: bool) -> None:
+    """An archive or a compressed dataset has one header for all it holds, so it is written whole: adding to one that exists would drop what is there."""
+    if not overwrite and os.path.exists(path):
+        raise ValueError(f"{path} exists and cannot be added to: use the mode overwrite, with all rows")
+
+
 class Written(WriterCommitMessage):
     def __init__(self, file):
         self.file = file
@@ -106,20 +112,19 @@ VOXEL = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("label", "<i8")])
 
 
 def append_planes(path: str, planes: np.ndarray | np.memmap, shape: tuple[int, ...]) -> None:
-    """Lengthens a volume's first axis by the flat ``planes`` of an array of ``shape``; the other axes must agree."""
-    with open(path, "r+b") as file:
-        old, dtype, start = npy_header(file)
+    """Lengthens a volume's first axis by the flat ``planes`` of an array of ``shape``; the other axes must agree. The longer volume is written beside the old one and then takes its place, so a failure leaves the old one whole."""
+    aside = path + ".longer"
+    with open(path, "rb") as file:
+        old, dtype, _ = npy_header(file)
         if old[1:] != shape[1:] or dtype != np.dtype("<u8"):
             raise ValueError(f"{shape} does not lengthen {old} of {dtype}")
-        header = io.BytesIO()
-        np.lib.format.write_array_header_1_0(header, {"descr": "<u8", "fortran_order": False, "shape": (old[0] + shape[0], *old[1:])})
-        if len(header.getvalue()) != start:
-            raise ValueError("the header has no room for the new shape")
-        file.seek(0)
-        file.write(header.getvalue())
-        file.seek(0, 2)
-        for at in range(0, len(planes), CHUNK):
-            file.write(planes[at : at + CHUNK].tobytes())
+        with open(aside, "wb") as out:
+            np.lib.format.write_array_header_1_0(out, {"descr": "<u8", "fortran_order": False, "shape": (old[0] + shape[0], *old[1:])})
+            while piece := file.read(8 * CHUNK):
+                out.write(piece)
+            for at in range(0, len(planes), CHUNK):
+                out.write(planes[at : at + CHUNK].tobytes())
+    os.replace(aside, path)
 
 
 class NpyWriter(GatheringWriter):
@@ -127,6 +132,11 @@ class NpyWriter(GatheringWriter):
 
     FORM = "<iiiq"
 
+    def __init__(self, options, overwrite):
+        super().__init__(options, overwrite)
+        if self.path.endswith(".npz"):
+            refuse_append(self.path, overwrite)
+
     def record(self, row):
         return struct.pack(self.FORM, row["x"], row["y"], row["z"], row["label"])
 
@@ -165,6 +175,10 @@ class NpyWriter(GatheringWriter):
 class CsbdWriter(GatheringWriter):
     """Rows (brick_id, palette, encoded, n_symbols) and the option ``freq``, 16 comma-separated frequencies. Records go in order of brick_id; the driver copies them, one at a time, as a record's place follows from the sizes of all before it. With the option ``checksum``, a record ends with the CRC-32 of its encoded bytes."""
 
+    def __init__(self, options, overwrite):
+        super().__init__(options, overwrite)
+        refuse_append(self.path, overwrite)
+
     def record(self, row):
         body = struct.pack(f"<II{len(row['palette'])}qI", row["brick_id"], len(row["palette"]), *row["palette"], len(row["encoded"])) + bytes(row["encoded"]) + struct.pack("<I", row["n_symbols"])
         if checked(self.options):
