@@ -250,3 +250,15 @@ def test_bricks_meet_cameras_beyond_the_broadcast(spark, monkeypatch):
     few = sorted(map(tuple, registry.brick_lod(spark, SF).filter("frame < 20").collect()))
     monkeypatch.setattr(view, "SMALL", 1)
     assert sorted(map(tuple, registry.brick_lod(spark, SF).filter("frame < 20").collect())) == few
+
+
+def test_recolouring_touches_only_what_holds_the_label(spark):
+    bricks = registry.seg_bricks(spark, SF).cache()
+    decoded = V.colored(bricks, V.transfer_function(bricks)).cache()
+    changes = spark.createDataFrame([(5, 77), (9, None), (10_000, 1)], "label long, rgba long")
+    told = V.recolored(decoded, V.label_index(bricks), changes).cache()
+    holds = {r.brick_id for r in bricks.filter("label in (5, 9)").select("brick_id").distinct().collect()}
+    assert {r.brick_id for r in told.select("brick_id").distinct().collect()} == holds and 0 < len(holds) < 64
+    whole = {(r.brick_id, r.m): r.rgba for r in V.with_changes(decoded, V.label_index(bricks), changes).collect()}
+    new = {5: 77, 9: None}
+    assert whole == {(r.brick_id, r.m): new.get(r.label, r.rgba) for r in decoded.collect()}

@@ -154,6 +154,26 @@ def colored(voxels: DataFrame, colors: DataFrame, hidden: DataFrame | None = Non
     return out
 
 
+def label_index(bricks: DataFrame) -> DataFrame:
+    """label and brick_id: which bricks hold a label."""
+    return bricks.select("label", "brick_id").distinct()
+
+
+def recolored(decoded: DataFrame, index: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of ``decoded`` (brick_id, m, label, rgba), bricks that are kept decoded, whose bricks a change of colours touches, with their new colours. ``changes`` has label and rgba (one row a label); the bricks that hold one of its labels are found by ``index`` (label, brick_id), and no other brick is read further than its code."""
+    touched = index.join(changes.select("label"), "label", "left_semi").select("brick_id").distinct()
+    new = changes.select("label", F.col("rgba").alias("_new"), F.lit(True).alias("_changed"))
+    out = decoded.join(touched, "brick_id", "left_semi").join(new, "label", "left")
+    return out.select("brick_id", "m", "label", F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("rgba")).alias("rgba"))
+
+
+def with_changes(decoded: DataFrame, index: DataFrame, changes: DataFrame) -> DataFrame:
+    """All of ``decoded`` after the changes: bricks that none of them touches are taken as they are."""
+    told = recolored(decoded, index, changes)
+    touched = index.join(changes.select("label"), "label", "left_semi").select("brick_id").distinct()
+    return decoded.select(*told.columns).join(touched, "brick_id", "left_anti").unionByName(told)
+
+
 def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Matches and mismatches of label by brick, rows of one side only counted as mismatches."""
     both = a.withColumnRenamed("label", "_a").join(b.withColumnRenamed("label", "_b"), keys, "full")

@@ -231,6 +231,13 @@ def redecoded_bricks(spark, d):
     return view.redecode(before(wanted(spark, d)), clicks)
 
 
+def recolored_bricks(spark, d):
+    """The voxels of the bricks that a change of colours touches: labels that are hidden lose theirs, after all bricks had been decoded and coloured."""
+    bricks = written(seg_bricks(spark, d), "recoloured-volume")
+    decoded = V.colored(bricks, V.transfer_function(bricks))
+    return V.recolored(decoded, V.label_index(bricks), hidden(spark, d).withColumn("rgba", F.lit(0).cast("long")))
+
+
 def rolling60(spark, d):
     e = V.read(spark, d, "events").select(F.col("event_id").alias("frame"), (F.col("event_id") * 7 % 31).cast("double").alias("ms"))
     return order.last_rows(e, "frame", 60, sum_ms="ms").filter("frame % 10 = 0").select("frame", "sum_ms", "samples")
@@ -538,6 +545,7 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
     "residency_left_join": f"{SEEN}, f AS (SELECT brick_id, lod, CAST(coalesce(sum(1 << (3 * lod)) OVER (ORDER BY brick_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM wanted WHERE frame = 3) SELECT p.brick_id, f.lod, f.\"offset\" FROM pal p LEFT JOIN f USING (brick_id)",
     "rolling60": "SELECT * FROM (SELECT event_id AS frame, sum((event_id * 7 % 31)::DOUBLE) OVER w AS sum_ms, count(*) OVER w AS samples FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE frame % 10 = 0",
     "redecoded_bricks": f"{SEEN} SELECT * FROM resident WHERE frame IN (SELECT event_id FROM events WHERE event_type = 'click')",
+    "recolored_bricks": f"{COLORS}, {HIDDEN}, touched AS (SELECT DISTINCT brick_id FROM bricks WHERE label IN (SELECT label FROM hidden)) SELECT b.brick_id, b.m, b.label, CASE WHEN b.label IN (SELECT label FROM hidden) THEN 0 ELSE coalesce(c.rgba, 0) END AS rgba FROM bricks b JOIN touched USING (brick_id) LEFT JOIN colors c ON c.label = b.label",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     "display_pixels": f"{COLORS} SELECT label, {' + '.join(f'CAST(floor((rgba >> {8 * i} & 255) * (rgba >> 24 & 255) / 255.0::DOUBLE) AS BIGINT) * {256**i}' for i in range(3))} + CAST(4278190080 AS BIGINT) AS rgba FROM colors",
     "node_offsets": "SELECT CAST(k AS INTEGER) AS lod, CAST(((1 << 3 * k) - 1) * (1 << 3 * (3 - k)) AS BIGINT) AS last, CAST(512 AS BIGINT) AS nodes FROM range(4) t(k)",
@@ -569,7 +577,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds, node_offsets, grid_traversal,
-        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, cache_replay, rolling60, event_windows,
+        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, recolored_bricks, cache_replay, rolling60, event_windows,
         ray_generate, ray_slab_hits, ray_bricks, ray_render, display_pixels, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
