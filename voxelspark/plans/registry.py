@@ -488,6 +488,7 @@ d AS (SELECT *, dx + r0*nx + u0*ny AS ex, dy + r1*nx + u1*ny AS ey, dz + r2*nx +
 rays AS (SELECT qx, qy, px AS ox, py AS oy, pz AS oz, h, ex/n2 AS rx, ey/n2 AS ry, ez/n2 AS rz FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS n2 FROM d))"""
 _inv = lambda c: f"((CASE WHEN {c} < 0 THEN -1.0 WHEN {c} > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE / greatest(abs({c}), 1e-6))"
 _t = lambda f: ", ".join(f"{f}((0.0 - {o}) * {_inv(r)}, (2 * h - {o}) * {_inv(r)})" for o, r in (("ox", "rx"), ("oy", "ry"), ("oz", "rz")))
+_box = lambda f: ", ".join(f"{f}((k{c} - o{c}) * {_inv(f'r{c}')}, (k{c} + 8 - o{c}) * {_inv(f'r{c}')})" for c in "xyz")
 SAMPLES = "s AS (SELECT l_orderkey % 500 AS px, l_orderkey % 7 AS py, l_orderkey * 10 + l_linenumber AS seq, max((l_partkey % 11)::DOUBLE / 11) AS r, max((l_partkey % 13)::DOUBLE / 13) AS g, max((l_partkey % 17)::DOUBLE / 17) AS b, max((l_suppkey % 9)::DOUBLE / 9) AS alpha FROM lineitem GROUP BY 1, 2, 3)"
 GRADIENT = f"""WITH {SEG_CTE}, al AS (SELECT x, y, z, (label % 8) / 8.0::DOUBLE AS a FROM vox),
 g AS (SELECT c.x, c.y, c.z, (coalesce(xp.a, 0) - coalesce(xm.a, 0)) / 2 AS gx, (coalesce(yp.a, 0) - coalesce(ym.a, 0)) / 2 AS gy, (coalesce(zp.a, 0) - coalesce(zm.a, 0)) / 2 AS gz FROM al c
@@ -552,6 +553,7 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
     "grid_traversal": f"WITH {SEG_CTE.split('seeds AS')[0].rstrip().rstrip(',')}, c AS (SELECT i % n AS x, i // n % n AS y, i // (n * n) AS z FROM (SELECT n, unnest(range(n * n * n)) AS i FROM (SELECT g // 8 AS n FROM dim))) SELECT x, y, z, {morton_sql('x', 'y', 'z')} AS code FROM c",
     "ray_generate": f"{RAYS} SELECT qx AS px, qy AS py, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM rays",
     "ray_slab_hits": f"{RAYS}, t AS (SELECT qx, qy, greatest({_t('least')}, 0.0) AS t_in, least({_t('greatest')}) AS t_out FROM rays) SELECT qx AS px, qy AS py, round(t_in, 5) AS t_in, round(t_out, 5) AS t_out FROM t WHERE t_in <= t_out",
+    "ray_bricks": f"{RAYS}, n AS (SELECT g // 8 AS n FROM dim), cell AS (SELECT (i % n) * 8 AS kx, (i // n % n) * 8 AS ky, (i // (n * n)) * 8 AS kz FROM (SELECT n, unnest(range(n * n * n)) AS i FROM n)), x AS (SELECT kx, ky, kz, greatest({_box('least')}, 0.0) AS t_in, least({_box('greatest')}) AS t_out FROM rays, cell) SELECT DISTINCT {morton_sql('kx >> 3', 'ky >> 3', 'kz >> 3')} AS brick_id FROM x WHERE t_in < t_out",
     "first_mismatches": f"{NODES} SELECT h.brick_id, h.m, h.label, p.label AS other FROM nodes h JOIN nodes p ON p.brick_id = h.brick_id AND p.lod = 2 AND h.lod = 3 AND p.m = h.m >> 3 WHERE h.label <> p.label ORDER BY 1, 2 LIMIT 10",
     "distance_lod": f"{SEEN} SELECT frame, brick_id, CAST({' + '.join(f'(CASE WHEN distance / 8 <= {2.0 ** (3 - k)!r} THEN 1 ELSE 0 END)' for k in (1, 2, 3))} AS INTEGER) AS lod FROM seen",
     "orbit_path": """WITH i AS (SELECT user_id % 16 AS session, event_id AS frame, sum(CAST(event_id % 9 - 3 AS DOUBLE) / 64) OVER w AS yaw, sum(CAST(event_id % 7 - 3 AS DOUBLE) / 64) OVER w AS pitch, sum(CAST(event_id * 7 % 41 - 20 AS DOUBLE)) OVER w AS zoom
