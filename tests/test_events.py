@@ -1,0 +1,37 @@
+"""Toggles as of a frame, and sessions over late events, against plain loops."""
+
+import datetime as dt
+import random
+
+from voxelspark.operators import view
+from voxelspark.streaming.windows import session_counts
+
+EVENTS = "ts timestamp, user_id long, event_type string"
+
+
+def test_labels_hidden_at_each_frame(spark):
+    rng = random.Random(8)
+    frames = [(s, f) for s in range(3) for f in range(0, 60, 1 + s)] + [(5, 3)]
+    toggles = [(s, rng.randrange(70), rng.randrange(4)) for s in range(4) for _ in range(25)] + [(0, 10, 9), (0, 10, 9), (5, 3, 1), (5, 4, 2)]
+    want = {(s, f, k) for s, f in frames for k in {t[2] for t in toggles} if sum(t[0] == s and t[1] <= f and t[2] == k for t in toggles) % 2}
+    for block in (4, 1024):
+        got = view.hidden_at(spark.createDataFrame(frames, "session long, frame long"), spark.createDataFrame(toggles, "session long, frame long, label long"), block).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert view.hidden_at(spark.createDataFrame([], "session long, frame long"), spark.createDataFrame(toggles, "session long, frame long, label long")).count() == 0
+
+
+def test_sessions_merge_late_events_up_to_the_watermark(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [
+        [(at(12, 0), 1, "view"), (at(12, 20), 1, "view")],
+        [(at(12, 9), 1, "click"), (at(14, 0), 2, "view")],  # 20 minutes behind the latest: in time
+        [(at(12, 5), 1, "click"), (dt.datetime(2024, 1, 3), 9, "view")],  # behind the watermark: left out
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        stream = session_counts(spark.readStream.schema(EVENTS).parquet(source), "10 minutes", "30 minutes")
+        query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.user_id, r.start, r.end, r.n, r.clicks) for r in spark.read.parquet(target).collect())
+    assert got == [(1, at(12, 0), at(12, 19), 2, 1), (1, at(12, 20), at(12, 30), 1, 0), (2, at(14, 0), at(14, 10), 1, 0)]

@@ -46,6 +46,18 @@ def palette_visible(hidden: Column) -> Column:
     return F.exists("palette", lambda p: (p != 0) & ~F.array_contains(hidden, p))
 
 
+def hidden_at(frames: DataFrame, toggles: DataFrame, block: int = 1024) -> DataFrame:
+    """session, frame and label of the labels that are hidden in each frame (session, frame): those that the toggles (session, frame, label) up to it switched an odd number of times. An as-of join: each toggle holds until the label's next one, and meets the frames by blocks of frames that it reaches into, so neither a window nor a join holds a session's frames together."""
+    w = W.partitionBy("session", "label").orderBy("frame")
+    until = frames.groupBy("session").agg((F.max("frame") + 1).alias("_last"))
+    held = toggles.groupBy("session", "label", "frame").agg(F.count("*").alias("_n"))
+    held = held.select("session", "label", F.col("frame").alias("_from"), F.lead("frame").over(w).alias("_to"), (F.sum("_n").over(w) % 2).alias("_odd")).filter("_odd = 1")
+    held = held.join(until, "session").withColumn("_to", F.least("_to", "_last")).filter("_from < _to")
+    dealt = held.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_to - 1) div {block}"))))
+    met = frames.withColumn("_block", F.expr(f"frame div {block}")).join(dealt, ["session", "_block"])
+    return met.filter("frame >= _from and frame < _to").select("session", "frame", "label")
+
+
 def visible_bricks(palettes: DataFrame, hidden: DataFrame) -> DataFrame:
     """brick_id of the bricks that have a label other than 0 and the hidden ones; the table of hidden labels may be of any size."""
     labels = palettes.select("brick_id", F.explode("palette").alias("label")).filter("label <> 0")

@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..operators import cache, codec, octree, order, rays, view
 from ..operators import volume as V
 from ..sources.shared import written
-from ..streaming.windows import event_counts
+from ..streaming.windows import event_counts, session_counts
 
 WIDTH, HEIGHT = 32, 24
 CAPACITY = 4096
@@ -248,6 +248,19 @@ def event_windows(spark, d):
     return event_counts(V.read(spark, d, "events"), "1 hour")
 
 
+def session_windows(spark, d):
+    """Events of each user without a pause of six hours; ``streaming.windows`` is the same over a stream."""
+    s = session_counts(V.read(spark, d, "events"), "6 hours")
+    return s.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")), "user_id", "n", "clicks")
+
+
+def hidden_by_frame(spark, d):
+    """The labels that a user has hidden in each frame: clicks switch a label, views are frames."""
+    e = V.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("frame"), "event_type")
+    toggles = e.filter("event_type = 'click'").select("session", "frame", (F.col("frame") % 7 + 1).alias("label"))
+    return view.hidden_at(e.filter("event_type = 'view'").select("session", "frame"), toggles)
+
+
 def ray_generate(spark, d):
     r = rays.rays(spark, one_camera(spark, d), WIDTH, HEIGHT)
     return r.select("px", "py", *(F.round(c, 6).alias(c) for c in ("rx", "ry", "rz")))
@@ -547,6 +560,10 @@ SELECT label, CASE WHEN label = 0 THEN 0 ELSE (lo & 255) + (lo >> 8 & 255) * 256
     "rolling60": "SELECT * FROM (SELECT event_id AS frame, sum((event_id * 7 % 31)::DOUBLE) OVER w AS sum_ms, count(*) OVER w AS samples FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE frame % 10 = 0",
     "redecoded_bricks": f"{SEEN} SELECT * FROM resident WHERE frame IN (SELECT event_id FROM events WHERE event_type = 'click')",
     "recolored_bricks": f"{COLORS}, {HIDDEN}, touched AS (SELECT DISTINCT brick_id FROM bricks WHERE label IN (SELECT label FROM hidden)) SELECT b.brick_id, b.m, b.label, CASE WHEN b.label IN (SELECT label FROM hidden) THEN 0 ELSE coalesce(c.rgba, 0) END AS rgba FROM bricks b JOIN touched USING (brick_id) LEFT JOIN colors c ON c.label = b.label",
+    "session_windows": """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM s GROUP BY user_id, k""",
+    "hidden_by_frame": "SELECT f.user_id AS session, f.event_id AS frame, t.event_id % 7 + 1 AS label FROM events f JOIN events t ON f.user_id = t.user_id AND t.event_id <= f.event_id WHERE f.event_type = 'view' AND t.event_type = 'click' GROUP BY ALL HAVING count(*) % 2 = 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     "display_pixels": f"{COLORS} SELECT label, {' + '.join(f'CAST(floor((rgba >> {8 * i} & 255) * (rgba >> 24 & 255) / 255.0::DOUBLE) AS BIGINT) * {256**i}' for i in range(3))} + CAST(4278190080 AS BIGINT) AS rgba FROM colors",
     "node_offsets": "SELECT CAST(k AS INTEGER) AS lod, CAST(((1 << 3 * k) - 1) * (1 << 3 * (3 - k)) AS BIGINT) AS last, CAST(512 AS BIGINT) AS nodes FROM range(4) t(k)",
@@ -579,7 +596,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds, node_offsets, grid_traversal,
-        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, recolored_bricks, cache_replay, rolling60, event_windows,
+        transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, recolored_bricks, cache_replay, rolling60, event_windows, session_windows, hidden_by_frame,
         ray_generate, ray_slab_hits, ray_bricks, ray_render, display_pixels, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,
     )
