@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from voxelspark.llm import minhash
-from voxelspark.llm.common import text_buffer
+from voxelspark.llm.common import spread_join, spread_limit, text_buffer
 from voxelspark.llm.minhash import components, dart_signatures, keep_one, near_duplicates, shingle_counts
 
 
@@ -160,3 +160,31 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, block):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     got = near_duplicates(docs, bands=3, rows=1)
     assert {r.doc_id: r.class_id for r in got.collect()} == {a: root(a) for a in range(len(rows))}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_keys_are_dealt(spark, how):
+    """A third of the rows have one key; with and without a partner, and with null keys, the join is the plain one."""
+    rows = [(7 if i % 3 == 0 else 8 if i % 3 == 1 else i, i) for i in range(3000)] + [(None, 1), (None, 2)]
+    many = spark.createDataFrame(rows, "k long, v long")
+    one = spark.createDataFrame([(k, -k) for k in range(3000) if k != 8], "k long, w long")
+    counts = many.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "n")
+    limit = spread_limit(3002)
+    joined = spread_join(many, one, "k", "v", counts, limit, how)
+    plain = many.join(one, "k", how)
+    key = lambda r: (r.k is None, r.k or 0, r.v)
+    assert sorted(joined.collect(), key=key) == sorted(plain.select(*joined.columns).collect(), key=key)
+
+
+def test_component_of_a_hub(spark):
+    """A node that thousands are linked to, and a chain beside it."""
+    edges = [(5000, i) for i in range(4000)] + [(i, i + 1) for i in range(6000, 6040)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(4000), 5000]}, **{i: 6000 for i in range(6000, 6041)}}
+
+
+def test_many_copies_of_one_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text if i % 3 == 0 else text + f" tail{i % 2}" if i % 3 == 1 else f"alone {i} of its kind {i + 1} here {i}") for i in range(600)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i % 3 < 2 else i for i in range(600)}

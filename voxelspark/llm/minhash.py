@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shielded, slices, table, text_buffer, unshielded
+from .common import checkpoint, shielded, slices, spread_join, spread_limit, table, text_buffer, unshielded
 from .quality import SPACE, Ranges, mixed, spans
 
 SHINGLE = 5
@@ -156,11 +156,12 @@ def unit_arrays(docs: DataFrame, size: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """key, node, leader and single (whether the bucket is of one band) of all nodes but the leader in each bucket of a band, and of two neighbouring bands together. The leader is the least node of an order of the bucket's own, so the members of a group meet many leaders."""
+    """key, node, leader and single (whether the bucket is of one band) of all nodes but the leader in each bucket of a band, and of two neighbouring bands together. A bucket of over a thousandth of the nodes, of which there are fewer than 1000 for each band and pair of bands, meets its leader in several tasks. The leader is the least node of an order of the bucket's own, so the members of a group meet many leaders."""
     pairs_of_bands = F.transform(F.sequence(F.lit(1), F.size("bands")), lambda i: F.xxhash64(F.element_at("bands", i), F.element_at("bands", i % F.size("bands") + 1)))
     keys = nodes.filter(F.size("bands") > 0).select("node", F.size("bands").alias("n_bands"), F.posexplode(F.concat("bands", pairs_of_bands)).alias("pos", "key"))
-    leaders = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select("key", F.col("m").bitwiseXOR(F.col("key")).alias("leader"))
-    return keys.join(leaders, "key").filter("node <> leader").select("key", "node", "leader", (F.col("pos") < F.col("n_bands")).alias("single"))
+    least = F.min(F.col("node").bitwiseXOR(F.col("key"))).bitwiseXOR(F.col("key"))
+    leaders = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), least.alias("leader")).filter("n > 1"))
+    return spread_join(keys, leaders.drop("n"), "key", "node", leaders, spread_limit(nodes.count())).filter("node <> leader").select("key", "node", "leader", (F.col("pos") < F.col("n_bands")).alias("single"))
 
 
 def cells(found: DataFrame, labels: DataFrame, block: int) -> DataFrame:
@@ -171,11 +172,12 @@ def cells(found: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     labelled = found.filter("single").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     several = checkpoint(per.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("m")).filter("m.c < n").select("key", "n", F.col("m.c").alias("most"), F.col("m.label").alias("large")))
-    several = F.broadcast(several) if several.count() <= SMALL else several
+    small = several.count() <= SMALL
     whole, large = F.col("n") <= block, F.col("label") == F.col("large")
     n_large = F.when(whole, 0).otherwise(F.ceil(F.col("most") / block)).cast("int")
     n_other = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / block)).cast("int")
-    dealt = labelled.join(several, "key").select("key", "node", "label", (large & ~whole).alias("large"), n_large.alias("nl"), n_other.alias("no"))
+    dealt = labelled.join(F.broadcast(several), "key") if small else spread_join(labelled, several, "key", "node", several.select("key", "n"), spread_limit(labelled.count()))
+    dealt = dealt.select("key", "node", "label", (large & ~whole).alias("large"), n_large.alias("nl"), n_other.alias("no"))
     own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("no"))).cast("int") + F.when(F.col("large"), F.col("no")).otherwise(0)
     met = F.sequence(F.lit(0), F.when(F.col("large"), F.col("no")).otherwise(F.col("no") + F.col("nl")) - 1)
     met = dealt.withColumn("block", own).select("key", "node", "label", "block", F.explode(met).alias("other"))
@@ -260,15 +262,17 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, similarity:
     First, in each bucket, all nodes are compared with its leader, which gives n - 1 candidates for n nodes. Then all pairs of different classes that share a bucket are compared. A pair that shares a bucket and is like each other is so of one class.
     """
     found = checkpoint(buckets(nodes))
-    candidates = checkpoint(found.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    candidates = checkpoint(found.select("node", "leader").distinct())
 
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep.x").alias("_x"))
+    needed = candidates.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("_id"), F.col("rep.x").alias("_x"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("x"))
     texts = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x")), "left_semi")
     units = checkpoint(unit_arrays(texts, size).groupBy("node").agg(F.min("units").alias("units")))
-    both = candidates.join(units.select(F.col("node").alias("a"), F.col("units").alias("ua")), "a").join(units.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b")
+    followers = candidates.groupBy("leader").agg(F.count("*").alias("n"))
+    own = candidates.join(units.select("node", F.col("units").alias("ua")), "node")
+    both = spread_join(own, units.select(F.col("node").alias("leader"), F.col("units").alias("ub")), "leader", "node", followers, spread_limit(candidates.count()))
     common = F.size(F.array_intersect("ua", "ub"))
-    held = checkpoint(both.filter(common >= similarity * (F.size("ua") + F.size("ub") - common)).select("a", "b"))
+    held = checkpoint(both.filter(common >= similarity * (F.size("ua") + F.size("ub") - common)).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     labels = components(held)
 
     placed = checkpoint(cells(found, labels, block))
@@ -276,23 +280,31 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, similarity:
     more = checkpoint(links_of_cells(placed.join(own, "node").select("key", "lo", "hi", "block", "node", "label", "bands", "units"), similarity))
     if more.isEmpty():
         return held, labels
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    limit = spread_limit(more.count())
+
+    def labelled(links: DataFrame, c: str, other: str) -> DataFrame:
+        return spread_join(links, labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, other, more.groupBy(c).agg(F.count("*").alias("n")), limit, "left")
+
+    joined = labelled(labelled(more, "a", "b"), "b", "a").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
     above = components(joined).select(F.col("node").alias("label"), F.col("label").alias("least"))
     known = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return checkpoint(held.union(more)), checkpoint(known.join(above, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+    raised = spread_join(known, above, "label", "node", known.groupBy("label").agg(F.count("*").alias("n")), spread_limit(nodes.count()), "left")
+    return checkpoint(held.union(more)), checkpoint(raised.select("node", F.coalesce("least", "label").alias("label")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and the least node of its connected component, for all nodes of ``edges`` (a, b): neighbours' least labels and pointer jumping, until nothing changes."""
+    """node and the least node of its connected component, for all nodes of ``edges`` (a, b): neighbours' least labels and pointer jumping, until nothing changes. Arcs to a node of many and nodes of a frequent label are dealt over several tasks."""
     arcs = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    labels = checkpoint(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"), F.count("*").alias("n")).select("node", F.least("node", "label").alias("label"), "n"))
+    of_arcs, of_nodes = spread_limit(arcs.count()), spread_limit(labels.count())
+    degrees = labels.filter(F.col("n") > of_arcs).select(F.col("node").alias("b"), "n")
     while True:
-        near = arcs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        near = spread_join(arcs, labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b", "a", degrees, of_arcs).groupBy("a").agg(F.min("other").alias("other"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         step = checkpoint(step)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = checkpoint(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        jumped = spread_join(step, jump, "label", "node", step.groupBy("label").agg(F.count("*").alias("n")), of_nodes)
+        after = checkpoint(jumped.select("node", "old", F.least("label", "further").alias("label")))
         labels = after.select("node", "label")
         if after.filter("label <> old").isEmpty():
             return labels
@@ -304,13 +316,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     class_id is the least doc_id of the class, or, where all its ids are null, a hash. n_links counts the links that were found and hold between the document's multiset and others. Null, empty and white texts have no shingles and are one class. Repeated rows are of one class and stay repeated; an empty table gives an empty result; other columns are left out. Nodes are 64-bit hashes; of 10^10 different multisets, three pairs are expected to share one.
     """
     signed = checkpoint(signatures(docs, text, doc_id, bands, rows, size))
-    nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
+    nodes = checkpoint(signed.groupBy("node").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.count("*").alias("n")))
     held, labels = links(docs, nodes, text, doc_id, similarity, size)
     degree = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.select("node", "least").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    of_node = known.join(classes, "label").select("node", F.coalesce("class_id", "label").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "x", "node").join(of_node, "node").select("doc_id", "x", "class_id", "n_links")
+    known = checkpoint(nodes.select("node", "least").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    classes = checkpoint(known.groupBy("label").agg(F.min("least").alias("class_id"), F.count("*").alias("n")))
+    of_node = spread_join(known, classes.drop("n"), "label", "node", classes.select("label", "n"), spread_limit(nodes.count())).select("node", F.coalesce("class_id", "label").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return spread_join(signed.select("doc_id", "x", "node"), of_node, "node", "doc_id", nodes.select("node", "n"), spread_limit(signed.count())).select("doc_id", "x", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
