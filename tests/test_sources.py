@@ -125,3 +125,33 @@ def test_appending_to_a_whole_file_is_refused(spark, tmp_path, kind):
     assert spark.read.format(name).load(path).count() == 5
     write(df.limit(1), "overwrite")
     assert spark.read.format(name).load(path).count() == 1
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_archives_are_read_by_planes(spark, tmp_path, save):
+    """Arrays of an archive split into planes, deflated or not, beside other arrays."""
+    register(spark)
+    rng = np.random.default_rng(5)
+    volumes = {"a": rng.integers(0, 2**64, (5, 3, 23), dtype=np.uint64), "b": rng.integers(0, 9, (2, 2, 1), dtype=np.uint32)}
+    path = str(tmp_path / "v.npz")
+    save(path, **volumes)
+    for name, volume in volumes.items():
+        df = spark.read.format("npy").option("planes", 3).option("array", name).load(path)
+        flat = volume.reshape(-1)
+        w, h, d = volume.shape
+        rows = df.collect()
+        assert len({(r.x, r.y, r.z) for r in rows}) == len(rows) == volume.size
+        assert all(r.label & (2**64 - 1) == int(flat[r.x + w * (r.y + h * r.z)]) for r in rows)
+        assert df.rdd.getNumPartitions() == (1 if name == "b" else 8 if save is np.savez else 4)
+    assert spark.read.format("npy").load(path).count() == 5 * 3 * 23 + 4
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "v.npz")
+    np.savez_compressed(path, a=np.random.default_rng(6).integers(0, 2**64, (8, 8, 32), dtype=np.uint64))
+    raw = bytearray(open(path, "rb").read())
+    raw[len(raw) // 2] ^= 255
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="CRC|inflate|zlib|decompress"):
+        spark.read.format("npy").load(path).collect()

@@ -262,3 +262,18 @@ def test_recolouring_touches_only_what_holds_the_label(spark):
     whole = {(r.brick_id, r.m): r.rgba for r in V.with_changes(decoded, V.label_index(bricks), changes).collect()}
     new = {5: 77, 9: None}
     assert whole == {(r.brick_id, r.m): new.get(r.label, r.rgba) for r in decoded.collect()}
+
+
+def test_sketches_of_labels_up_the_tree(spark):
+    """Estimates of every node against exact counts: as they are for few labels, within four standard errors for many, and alike however the bricks were dealt."""
+    bricks = spark.range(512 * 400).select((F.col("id") % 512).alias("brick_id"), F.when(F.col("id") % 512 < 8, F.col("id") % 3).otherwise(F.col("id")).alias("label"))
+    got = {(r.level, r.code): r.n_labels for r in V.distinct_by_level(V.label_sketches(bricks), 3).collect()}
+    exact = {}
+    for k in range(4):
+        for r in bricks.groupBy(F.expr(f"shiftright(brick_id, {3 * k})").alias("code")).agg(F.countDistinct("label").alias("n")).collect():
+            exact[k, r.code] = r.n
+    assert got.keys() == exact.keys() and len(got) == 512 + 64 + 8 + 1
+    assert all(abs(got[k] - n) <= (0 if n <= 400 else 4 * 1.04 / 256 * n) for k, n in exact.items())
+    coarse = V.distinct_by_level(V.label_sketches(bricks.repartition(13), 12), 3).filter("level = 3").first().n_labels
+    assert abs(coarse - exact[3, 0]) <= 4 * 1.04 / 64 * exact[3, 0]
+    assert V.distinct_by_level(V.label_sketches(bricks.limit(0)), 3).count() == 0

@@ -101,6 +101,12 @@ def distinct_labels(spark, d):
     return V.segmentation(spark, d).select("label").distinct()
 
 
+def label_sketch_tree(spark, d):
+    """SQL counts exactly; sketches of up to some thousand labels do as well."""
+    levels = (V.side(spark, d) // V.SEG_BRICK).bit_length() - 1
+    return V.distinct_by_level(V.label_sketches(seg_bricks(spark, d)), levels)
+
+
 def zero_fraction(spark, d):
     return V.segmentation(spark, d).agg(F.round(F.avg(F.when(F.col("label") == 0, 1.0).otherwise(0.0)), 6).alias("zeros"))
 
@@ -527,6 +533,7 @@ ORACLES = {
     "label_top10": f"WITH {SEG_CTE} SELECT label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM (SELECT label, count(*) AS n FROM vox GROUP BY label) ORDER BY n DESC, label LIMIT 10",
     "label_stats": f"WITH {SEG_CTE} SELECT count(*) AS voxels, count(DISTINCT label) AS labels, min(label) AS least, max(label) AS most, CAST(count(*) FILTER (label = 0) AS BIGINT) AS zeros, max(x) + 1 AS size_x, max(y) + 1 AS size_y, max(z) + 1 AS size_z FROM vox",
     "distinct_labels": f"WITH {SEG_CTE} SELECT DISTINCT label FROM vox",
+    "label_sketch_tree": f"WITH {SEG_CTE}, {bricks_cte(3)}, levels AS (SELECT CAST(unnest(range(CAST(log2(g / 8) AS BIGINT) + 1)) AS INTEGER) AS level FROM dim) SELECT level, brick_id >> (3 * level) AS code, count(DISTINCT label) AS n_labels FROM bricks, levels GROUP BY 1, 2",
     "zero_fraction": f"WITH {SEG_CTE} SELECT round(avg(CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zeros FROM vox",
     "morton_roundtrip": f"WITH {PTS_CTE}, c AS (SELECT {morton_sql('x', 'y', 'z')} AS code, * FROM vox) SELECT code, x, y, z, code >> 3 AS above FROM c",
     "child_codes": "SELECT i AS code, i * 8 + c AS child FROM range(64) t(i), range(8) u(c)",
@@ -595,7 +602,7 @@ SELECT p.id, round(CASE WHEN coalesce(t.a, 0) > 0.8 THEN 0.0 ELSE 1 + (exp(-1.5
 QUERIES = {
     f.__name__: f
     for f in (
-        label_top10, label_stats, distinct_labels, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds, node_offsets, grid_traversal,
+        label_top10, label_stats, distinct_labels, label_sketch_tree, zero_fraction, morton_roundtrip, child_codes, brick_split, brick_padding, pyramid_nodes, pyramid_points, const_nodes_by_level, visited_nodes, op_predictors, op_rollup_sign, brick_flags, grid_dims, bounds, node_offsets, grid_traversal,
         transfer_function, label_hash_color, hidden_labels_anti, highlight_color, palette_visible_bricks, frustum_bricks, brick_lod, lod_histogram, offset_prefix_sum, work_queue, evicted_bricks, requested_bricks, residency_left_join, redecoded_bricks, recolored_bricks, cache_replay, rolling60, event_windows, session_windows, hidden_by_frame,
         ray_generate, ray_slab_hits, ray_bricks, ray_render, display_pixels, composite_window, first_hits, gradient, shading, shadow_rays, palette_ops, freq_table_normalise, rans_bytes, codec_roundtrip, decode_lod2, decode_lod0, points_roundtrip, validate_match_rate,
         first_mismatches, distance_lod, orbit_path, gradient_lod, trilinear_alpha,

@@ -5,7 +5,6 @@ Readers and writers are Python data sources, so ``spark.read.format("npy")`` and
 
 from __future__ import annotations
 
-import io
 import os
 import struct
 import zipfile
@@ -43,26 +42,45 @@ class Part(InputPartition):
 
 
 class NpyReader(DataSourceReader):
+    """Parts of ``planes`` planes. An array that an archive stores as it is is read like a file of its own, each part from its place (the archive's checksum is then not compared). A deflated one has no places to start at, so each of its at most ``tasks`` parts inflates what comes before it, plane by plane, and gives the rows of its own planes alone; the last compares the checksum. A task holds ``planes`` planes at a time."""
+
     def __init__(self, options):
-        self.path, self.planes, self.name = options["path"], int(options.get("planes", 16)), options.get("array")
+        self.path, self.planes, self.name, self.tasks = options["path"], int(options.get("planes", 16)), options.get("array"), int(options.get("tasks", 4))
 
     def partitions(self):
         if self.path.endswith(".npz"):
             with zipfile.ZipFile(self.path) as archive:
-                names = [n for n in archive.namelist() if n.endswith(".npy") and self.name in (None, n[:-4])]
-            if not names:
-                raise ValueError(f"no array {self.name} in {self.path}")
-            return [Part("npz", n) for n in names]
+                arrays = [i for i in archive.infolist() if i.filename.endswith(".npy") and self.name in (None, i.filename[:-4])]
+                if not arrays:
+                    raise ValueError(f"no array {self.name} in {self.path}")
+                return [part for info in arrays for part in self.parts_of(archive, info)]
         with open(self.path, "rb") as file:
             shape, dtype, start = npy_header(file)
         return [Part("npy", shape, dtype.str, start, z) for z in range(0, shape[2], self.planes)]
 
+    def parts_of(self, archive, info):
+        with archive.open(info) as file:
+            shape, dtype, start = npy_header(file)
+        if info.compress_type == zipfile.ZIP_STORED:
+            with open(self.path, "rb") as file:
+                file.seek(info.header_offset + 26)
+                start += info.header_offset + 30 + sum(struct.unpack("<HH", file.read(4)))
+            return [Part("npy", shape, dtype.str, start, z) for z in range(0, shape[2], self.planes)]
+        step = max(self.planes, -(-shape[2] // self.tasks))
+        return [Part("npz", info.filename, z, min(z + step, shape[2])) for z in range(0, shape[2], step)]
+
     def read(self, part):
         if part.what[0] == "npz":
-            with zipfile.ZipFile(self.path) as archive:
-                raw = io.BytesIO(archive.read(part.what[1]))
-            shape, dtype, start = npy_header(raw)
-            yield slab(raw.getvalue()[start:], dtype, shape, 0)
+            _, name, first, last = part.what
+            with zipfile.ZipFile(self.path) as archive, archive.open(name) as file:
+                shape, dtype, _ = npy_header(file)
+                plane = shape[0] * shape[1] * dtype.itemsize
+                for _ in range(first):
+                    file.read(plane)
+                for z in range(first, last, self.planes):
+                    yield slab(file.read(min(self.planes, last - z) * plane), dtype, shape, z)
+                if last == shape[2]:
+                    file.read()
             return
         _, shape, kind, start, z = part.what
         dtype = np.dtype(kind)
