@@ -1,4 +1,13 @@
-from voxelspark.llm.licenses import LICENSES, read_licenses, scan_licenses
+import os
+
+import duckdb
+import pytest
+
+from voxelspark.llm.licenses import DIGESTS, LICENSES, OP8_SQL, op8_licenses, read_licenses, scan_licenses
+
+SHIPPED = "/usr/share/common-licenses"
+#: Names of the files there by the names of licences.
+NAMES = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "GFDL": "GFDL-1.3", "GPL": "GPL-3.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL": "LGPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
 
 
 def test_variants_are_found_and_others_not(spark):
@@ -32,3 +41,25 @@ def test_licenses_of_a_folder(spark, tmp_path):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(SHIPPED), reason="no licence texts on this system")
+def test_long_licences_are_found_in_a_query(spark, tmp_path):
+    """Whole texts of the system's folder, changed in case, lines, spelling and notices, and cut at the end of the terms; texts with a sentence more or less are none. By the registered query and its SQL."""
+    end, rows, want = "END OF TERMS AND CONDITIONS", [], {}
+    for file in sorted(os.listdir(SHIPPED)):
+        text = open(f"{SHIPPED}/{file}", encoding="utf-8").read()
+        cut = [text[: text.index(end) + len(end)]] if end in text else []
+        for form in (text, text.upper(), "Copyright (c) 2011 Someone\n\n" + text.replace("\n", "\r\n").replace("license", "licence"), *cut):
+            want[len(rows)] = NAMES.get(file, file)
+            rows.append((len(rows), form))
+        for other in (text + "\nOne sentence more.", text[: len(text) // 3] + " zebra " + text[len(text) // 3 :], text[: len(text) // 2]):
+            want[len(rows)] = None
+            rows.append((len(rows), other))
+    assert {n for n, _ in DIGESTS} == {n for n in want.values() if n}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.digest, r.license_id) for r in op8_licenses(spark, str(tmp_path)).collect()}
+    assert {k: v[1] for k, v in got.items()} == want
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {d: (h, n) for d, h, n in db.execute(OP8_SQL).fetchall()} == got

@@ -4,8 +4,9 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from voxelspark.llm.urls import RULES, judge_urls, template_tree
+from voxelspark.llm.urls import RULES, judge_urls, shape, template_tree
 
 
 def brute(url):
@@ -115,3 +116,36 @@ def test_tree_matches_branch_by_branch(spark):
     assert {(r.host, r.shape): r.template for r in got.collect()} == {k: t for k, (t, _) in want.items()}
     assert {(r.host, r.shape): r.purity for r in got.collect()} == pytest.approx({k: x for k, (_, x) in want.items()})
     assert len({t for t, _ in want.values()}) > 6 and any("*+" in t or "*-" in t for t, _ in want.values())
+
+
+def test_variable_segments(spark):
+    cases = {
+        "/item/12/page-3.html": "item/#/page-#.html",
+        "/u/3f2504e0-4f89-11d3-9a0c-0305e82c3301/x": "u/#/x",
+        "/c/DEADBEEF01/deadbeef": "c/#/deadbeef",
+        "/facade/accede": "facade/accede",
+        "/watch/dQw4w9WgXcQ": "watch/#",
+        "/watch/Documentation": "watch/Documentation",
+        "/2020/Jan/05/a": "#/#/#/a",
+        "/05-march-2021": "#-#-#",
+        "/may/be/march": "may/be/march",
+        "/news/the-quick-brown-fox.html": "news/~.html",
+        "/news/a_b_c_d_e/": "news/~",
+        "/terms-of-service": "terms-of-service",
+        "/post/top-10-things-to-do": "post/~",
+        "//a///b/": "a/b",
+        "": "",
+        "/" + "a-" * 50000 + "b": "~",
+    }
+    rows = spark.createDataFrame([(p, s) for p, s in cases.items()] + [(None, "")], "path string, want string")
+    for r in rows.select("path", "want", shape(F.col("path")).alias("got")).collect():
+        assert r.got == r.want, r.path[:80] if r.path else r
+
+
+def test_titles_and_identifiers_share_a_template(spark):
+    """Labelled pages tell of others that have the same form and no page in common with them."""
+    rows = [(f"http://h.net/{kind}/{word}-{i}-of-the-{word}s", bad) for kind, bad in (("win", 1), ("read", 0)) for word in ("cat", "dog", "owl") for i in range(10)]
+    rows += [("http://h.net/win/some-other-title-here", None), ("http://h.net/read/yet-another-long-title", None)]
+    got = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, bad int"), rules=(), label="bad").collect()}
+    assert got["http://h.net/win/some-other-title-here"]["_verdict"] == "block" and got["http://h.net/read/yet-another-long-title"]["_verdict"] == "allow"
+    assert {r["_template"] for r in got.values()} == {"/win/~", "/read/~"}

@@ -24,6 +24,7 @@ MARKS = ("copyright", "(c)", "©", "all rights reserved")
 _SIGNS = [c for c in range(128) if not chr(c).isalnum()] + [0xA0, 0xA9, 0xAB, 0xAE, 0xB7, 0xBB]
 PUNCTUATION = "[" + "".join(f"\\x{c:02X}" for c in _SIGNS) + r"\x{2000}-\x{206F}\x{2122}\x{FEFF}]+"
 
+# Public licence texts.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -50,7 +51,7 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
-# Public licence texts, each with its usual titles and without.
+# The texts above, each with its usual titles and without.
 LICENSES = tuple(
     (name, lead + text)
     for name, titles, text in (
@@ -67,6 +68,29 @@ LICENSES = tuple(
     )
     for lead in ("", *(t + "\n" for t in titles))
 )
+# Canonical digests of longer public licences as systems commonly ship them, and, where a text has "END OF TERMS AND CONDITIONS", of the text up to there.
+DIGESTS = (
+    ("Apache-2.0", "14de5e59ca2d4318ac52f7c036d0b2158e82250410272372c9a552b6ace7eb5f"),
+    ("Apache-2.0", "1d5129820031a4000e0f7f846423a81e08fc09dba82aff5bace10fbad75700ce"),
+    ("Artistic-1.0-Perl", "fb6f9b6ee3a33f958fe94dc1e9b1ffda1f74a3f8d2377abd8efdd9904a6d07dd"),
+    ("BSD-3-Clause", "fad79cba3e77e83e69641bd7d3dd8ee15938439023e379b5bbcc829d32bb49d3"),
+    ("CC0-1.0", "490463d4781ed2034b3bbbc660dcd0dd7d1f4c2395fac855079030adbaf9b8ec"),
+    ("GFDL-1.2", "21083399c050f0109b0753c98f6f796f924ac7e5cd60e72044e66a716e281a77"),
+    ("GFDL-1.3", "b5db45ce7ae24a5f4c7b290cc0d2844e0db79c157be4fcef51b99e32c7510d1d"),
+    ("GPL-1.0", "d8785135070290aef41fd8427be4a7a38773acd88b7e9ccb7e93dc3af324d933"),
+    ("GPL-1.0", "0fd74e6f24738ca0c19c7a9868b74d7ce88749df0e6c8637712f9464fa5bf2aa"),
+    ("GPL-2.0", "a07c2c4f7cd250a6693d15fe478f83d937db15854f872d2e63102028ac18a482"),
+    ("GPL-2.0", "7fa59f8821203340bbb2c3544a069b8e9054dede930e574f4f53fd1f326b1639"),
+    ("GPL-3.0", "22f45b6cdc3ff39b9717203cbf76bcdaa8b9b48ad7dc9e8dd82f180c688700bd"),
+    ("GPL-3.0", "25cb601b89be72503febf6177d1a2847684faa8e24ef09babc26a0b69147920f"),
+    ("LGPL-2.0", "732004013d269ff5b3f32bc5fdfd67ee69bb78ad970b2cd00f1ad7184ebaec07"),
+    ("LGPL-2.0", "a45a8e2e9a46fafcd9d4dcbabbb1d856b5d2437981e062bf126516a4979d79be"),
+    ("LGPL-2.1", "be7d8817628491fa143503f71de80f7e637c8f9aaa264e95e38e6fc2d5035748"),
+    ("LGPL-2.1", "6a3f7c41fc208f93b3261feaffd6e0b7505b1953cf528928874fb3a04e95042c"),
+    ("LGPL-3.0", "9da940a5cdd0ef8c6da67bf24cbe851115f32bfcb87aa56b7dec93a85f943e6d"),
+    ("MPL-1.1", "fb45b649c065edba3e022706dfb10b77ce10632dba510516994b6ecc9f5a77e6"),
+    ("MPL-2.0", "71146a0d6e9425b18dd5d6a1b5141eab309c03ea4fae946eadfb5d069de504eb"),
+)
 #: A table of known digests of up to so many rows is broadcast.
 SMALL = 100_000
 
@@ -93,19 +117,22 @@ def read_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.alias("license_id"), F.col("value").alias("text"))
 
 
-def known_digests(spark: SparkSession, licenses=LICENSES) -> DataFrame:
-    """license_id and digest of each known text; of several with one digest, the least license_id. ``licenses`` is a sequence of (license_id, text) or a DataFrame of them."""
+def known_digests(spark: SparkSession, licenses=LICENSES, digests=DIGESTS) -> DataFrame:
+    """license_id and digest of each known text; of several with one digest, the least license_id. ``licenses`` is a sequence of (license_id, text) or a DataFrame of them; ``digests`` is a sequence of (license_id, canonical digest) of texts known by those alone."""
     texts = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(list(licenses), "license_id string, text string")
-    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    told = texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    if digests:
+        told = told.union(spark.createDataFrame(list(digests), "license_id string, digest string"))
+    return told.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, licenses=LICENSES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, digest of the canonical text, and license_id (null if the text is no known licence). ``licenses`` is as in ``known_digests``; a DataFrame (``read_licenses``) is joined as its size asks.
+def scan_licenses(docs: DataFrame, licenses=LICENSES, text: str = "text", doc_id: str = "doc_id", digests=DIGESTS) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, digest of the canonical text, and license_id (null if the text is no known licence). ``licenses`` and ``digests`` are as in ``known_digests``; a DataFrame (``read_licenses``) is joined as its size asks.
 
     Null text: null digest and license_id. Empty texts, and those of punctuation and copyright lines only, have the digest of nothing, which no licence has. Texts of any length are taken whole, a text in one task. Repeated rows and null ids stay as they are; an empty table gives an empty result; other columns are left out.
     """
-    known = known_digests(docs.sparkSession, licenses)
-    known = known if isinstance(licenses, DataFrame) or len(licenses) > SMALL else F.broadcast(known)
+    known = known_digests(docs.sparkSession, licenses, digests)
+    known = known if isinstance(licenses, DataFrame) or len(licenses) + len(digests) > SMALL else F.broadcast(known)
     told = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(canonical(F.col(text)), 256).alias("digest"))
     return told.join(known, "digest", "left").select("doc_id", "digest", "license_id")
 
@@ -122,13 +149,13 @@ def _sql(text: str) -> str:
     return f"sha256(regexp_replace({out}, {quote(PUNCTUATION)}, '', 'g'))"
 
 
-def _values() -> str:
+def _values(pairs) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in LICENSES)
+    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in pairs)
 
 
 OP8_SQL = f"""
-WITH known AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, {_sql("text")} AS digest FROM (VALUES {_values()}) AS v(license_id, text)) GROUP BY digest),
+WITH known AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, {_sql("text")} AS digest FROM (VALUES {_values(LICENSES)}) AS v(license_id, text) UNION ALL FROM (VALUES {_values(DIGESTS)})) GROUP BY digest),
 told AS (SELECT doc_id, {_sql("text")} AS digest FROM documents)
 SELECT t.doc_id, t.digest, k.license_id FROM told t LEFT JOIN known k ON t.digest = k.digest
 """

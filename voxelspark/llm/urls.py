@@ -1,6 +1,6 @@
 """URL filters: listed rules first, then a path-template tree.
 
-Each host has a tree of path segments. Variable segments are generalised (runs of digits become "#"), sibling branches whose labelled rates do not differ significantly from the rest of their node are merged into the wildcard "*", and a template is rejected if its labelled purity, smoothed towards the template above it, reaches a threshold.
+Each host has a tree of path segments. Variable segments are generalised (identifiers, dates and runs of digits become "#", titles "~"), sibling branches whose labelled rates do not differ significantly from the rest of their node are merged into the wildcard "*", and a template is rejected if its labelled purity, smoothed towards the template above it, reaches a threshold.
 """
 
 from __future__ import annotations
@@ -42,10 +42,22 @@ def rule_columns(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return (empty, empty) if rule is None else (rule, verdict)
 
 
+#: What varies from page to page, in this order: UUIDs; hexadecimal numbers of eight digits or more, one of them below ten; whole segments of ten characters or more that have upper case, lower case and digits; months by name after or before a number; runs of digits; and whole segments, but for their endings, of four words or more joined by "-" or "_". No group repeats without a bound, as the JVM's expressions go one call deeper for each repetition, which a long path would not survive.
+VARIABLE = (
+    (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])", "#"),
+    (r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}(?![0-9A-Za-z])", "#"),
+    (r"(?<=/)(?=[^/]*[0-9])(?=[^/]*[a-z])(?=[^/]*[A-Z])[0-9A-Za-z_-]{10,}(?=/|$)", "#"),
+    (r"(?i)(?<=[0-9][/_-])(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec|january|february|march|april|august|september|october|november|december)(?=[/_-]|$)|(?<![^/_-])(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec|january|february|march|april|august|september|october|november|december)(?=[/_-][0-9])", "#"),
+    (r"[0-9]+", "#"),
+    (r"(?<=/)(?:[^/._-]+[_-]){3}[^/._-][^/.]*", "~"),
+)
+
+
 def shape(path: Column) -> Column:
-    """The path with each run of digits as "#" and without empty segments."""
-    segments = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.concat_ws("/", segments)
+    """The path with what is ``VARIABLE`` as "#" or "~" and without empty segments."""
+    for pattern, sign in VARIABLE:
+        path = F.regexp_replace(path, pattern, sign)
+    return F.concat_ws("/", F.filter(F.split(path, "/"), lambda s: s != ""))
 
 
 def _score(b: Column, m: Column, rb: Column, rm: Column) -> Column:
