@@ -45,26 +45,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-#: A key of more than this part of the rows, and of more than so many rows, is dealt over several tasks by ``spread_join``.
-SHARE, LEAST = 1000, 64
-
-
-def spread_limit(rows: int) -> int:
-    """Rows of one key that a task may take, of ``rows`` in all: fewer than ``SHARE`` keys have more."""
-    return max(rows // SHARE, LEAST)
-
-
-def spread_join(many: DataFrame, one: DataFrame, key: str, spread: str, counts: DataFrame, limit: int, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one``, which has at most one row a ``key``, so that a frequent key's rows go to several tasks.
-
-    ``counts`` has the key and n, how many rows of ``many`` have it. A key of n > ``limit`` is salted: rows of ``many`` take one of ceil(n / limit) salts by the hash of the column ``spread``, and its row of ``one`` is copied for each. With ``limit`` from ``spread_limit`` of the sum of n, fewer than 1000 keys are salted, which bounds what is broadcast (the keys and their salts) and the copies (2000). ``many`` and ``one`` have no columns _salts and _salt. Null keys meet nothing, as in any join.
-    """
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
-    dealt = many.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_salts").cast("int"), F.lit(0))).drop("_salts")
-    copies = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
-
-
 def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str], list[str]]:
     """``docs`` with columns whose names begin with "_" renamed, so that an operator's own names are free; the old names by the new ones; and what the columns ``used`` are called now."""
     free = "kept"
