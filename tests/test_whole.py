@@ -1,3 +1,4 @@
+import itertools
 import math
 import os
 
@@ -277,3 +278,18 @@ def test_sketches_of_labels_up_the_tree(spark):
     coarse = V.distinct_by_level(V.label_sketches(bricks.repartition(13), 12), 3).filter("level = 3").first().n_labels
     assert abs(coarse - exact[3, 0]) <= 4 * 1.04 / 64 * exact[3, 0]
     assert V.distinct_by_level(V.label_sketches(bricks.limit(0)), 3).count() == 0
+
+
+def test_voxels_of_cells_are_not_broadcast(spark, tmp_path):
+    """Only the seeds are dealt, once; voxels, whose size the planner takes to be that of the seeds, go to no driver."""
+    keys = [*range(90), None]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    voxels = V.segmentation(spark, str(tmp_path))
+    plan = voxels._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    got, g = {(r.x, r.y, r.z): r.label for r in voxels.collect()}, 32
+    seeds = [(k, (7 * k + 3) % g, (11 * k + 5 + k // g) % g, (13 * k + 1 + k // g) % g) for k in keys if k is not None]
+    assert len(got) == g**3
+    for x, y, z in itertools.product(range(0, g, 3), range(0, g, 5), range(0, g, 2)):
+        far, k = min(((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2, k) for k, a, b, c in seeds)
+        assert got[x, y, z] == (k + 1 if far <= V.REACH**2 else 0)
