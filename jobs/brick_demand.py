@@ -34,13 +34,14 @@ def demand(spark: SparkSession, tables: str, days: list[str] | None, brick: int,
     if days is not None:
         events = events.filter(F.to_date("ts").isin(*[F.lit(d).cast("date") for d in days]))
     at = events.select(F.col("event_id").alias("frame"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("hour"))
-    cameras = registry.cameras_of(spark, tables, events).drop("session").join(at, "frame")
+    # Frames of an hour whose cameras are alike count together, and an hour's are dealt to one task, which counts what they see.
+    cameras = registry.cameras_of(spark, tables, events).join(at, "frame").groupBy("day", "hour", *octree.POSE).agg(F.count("*").alias("n"))
     # The bricks with a label that is not hidden, written once, as each level of the descent reads them.
     palettes = V.palettes(V.to_bricks(V.segmentation(spark, tables), brick))
     bricks = written(view.visible_bricks(palettes, registry.hidden(spark, tables)), "shown-bricks")
-    seen = octree.in_view(bricks, cameras, V.side(spark, tables), brick)
+    seen = octree.in_view(bricks, cameras, V.side(spark, tables), brick, keys=("day", "hour"))
     lod = view.brick_lod(brick, width=width).cast("int").alias("lod")
-    counted = seen.select("day", "hour", "brick_id", lod).groupBy("day", "hour", "brick_id", "lod").agg(F.count("*").alias("frames"))
+    counted = seen.select("day", "hour", "brick_id", lod, "n").groupBy("day", "hour", "brick_id", "lod").agg(F.sum("n").alias("frames"))
     voxels = F.col("frames") * F.pow(F.lit(8.0), F.col("lod")).cast("long")
     return counted.select("hour", "brick_id", "lod", "frames", voxels.alias("voxels"), "day")
 

@@ -45,3 +45,20 @@ def test_descent_equals_every_brick(spark, side):
         assert {tuple(r) for r in octree.in_view(bricks.select("brick_id"), cameras, side, 8, fov).select("frame", "brick_id").collect()} == want
     want = {(r.frame, r.lod): r.n for r in every.groupBy("frame", view.brick_lod(8, width=64).alias("lod")).agg(F.count("*").alias("n")).collect()}
     assert {(r.frame, r.lod): r.bricks for r in octree.lod_counts(bricks.select("brick_id"), cameras, side, 8, width=64).collect()} == want
+
+
+def test_no_row_of_a_camera_and_a_brick_is_shuffled(spark, tmp_path):
+    """Only bricks, cameras and counts are dealt: descents to what is seen, kept or left have no shuffle above the broadcasts' joins but that of the cameras. Frames that occur twice give their rows as often as the joins of rows do."""
+    bricks = written(spark.range(512).select(F.col("id").alias("brick_id")), "bricks")
+    poses = [(f, float(f * 7 % 60 - 10), float(f * 11 % 50 - 5), float(f * 13 % 70 - 15), 0.0, -0.6, 0.8) for f in [*range(40), 7, 8, 8, 21]]
+    cameras = spark.createDataFrame(poses, "frame long, px double, py double, pz double, dx double, dy double, dz double")
+    wanted = octree.in_view(bricks, cameras, 64, 8).select("frame", "brick_id", view.brick_lod(8, width=64).cast("int").alias("lod"))
+    assert "Generate" not in wanted._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(frame")[1]
+    before, clicks = octree.next_frame(wanted), spark.createDataFrame([(5,), (8,), (9,)], "frame long")
+    told = lambda df: [tuple(r) for r in df.select("frame", "brick_id", "lod").collect()]
+    for name, want in {"evicted": view.evicted(before, wanted), "requested": view.requested(wanted, before), "work_queue": view.work_queue(wanted, before)}.items():
+        got = told(getattr(octree, name)(bricks, cameras, 64, 8, width=64))
+        assert got and sorted(got) == sorted(told(want)), name
+        assert name != "work_queue" or got == sorted(got)
+    got = told(octree.redecoded(bricks, cameras, clicks, 64, 8, width=64))
+    assert got == sorted(told(view.redecode(before, clicks))) and got
