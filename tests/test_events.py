@@ -35,3 +35,26 @@ def test_sessions_merge_late_events_up_to_the_watermark(spark, tmp_path):
         query.awaitTermination()
     got = sorted((r.user_id, r.start, r.end, r.n, r.clicks) for r in spark.read.parquet(target).collect())
     assert got == [(1, at(12, 0), at(12, 19), 2, 1), (1, at(12, 20), at(12, 30), 1, 0), (2, at(14, 0), at(14, 10), 1, 0)]
+
+
+def test_toggles_of_far_frames_meet_few_blocks(spark):
+    """Sessions whose few frames lie far apart: a toggle is not dealt to blocks without frames."""
+    frames = spark.createDataFrame([(s, f * 1_000_000 + s) for s in range(20) for f in range(6)], "session long, frame long")
+    toggles = spark.createDataFrame([(s, f * 2_000_000, s % 3) for s in range(20) for f in range(3)], "session long, frame long, label long")
+    hidden = view.hidden_at(frames, toggles)
+    want = {(s, f * 1_000_000 + s, s % 3) for s in range(20) for f in range(6) if min(f // 2, 2) % 2 == 0}
+    assert {tuple(r) for r in hidden.collect()} == want and hidden.count() == len(want)
+    seen = hidden._jdf.queryExecution()
+    seen.executedPlan().executeCollect()
+    made = [int(n.replace(",", "")) for n in _rows(seen.executedPlan(), "Generate")]
+    assert made and max(made) <= 120
+
+
+def _rows(plan, name):
+    """The output rows of the operators of a name in an executed plan."""
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    plan = plan.plan() if plan.nodeName().endswith("QueryStage") else plan
+    if plan.nodeName() == name:
+        yield str(plan.metrics().apply("numOutputRows").value())
+    for i in range(plan.children().size()):
+        yield from _rows(plan.children().apply(i), name)

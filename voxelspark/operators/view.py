@@ -54,14 +54,19 @@ def palette_visible(hidden: Column) -> Column:
 
 
 def hidden_at(frames: DataFrame, toggles: DataFrame, block: int = 1024) -> DataFrame:
-    """session, frame and label of the labels that are hidden in each frame (session, frame): those that the toggles (session, frame, label) up to it switched an odd number of times. An as-of join: each toggle holds until the label's next one, and meets the frames by blocks of frames that it reaches into, so neither a window nor a join holds a session's frames together."""
+    """session, frame and label of the labels that are hidden in each frame (session, frame): those that the toggles (session, frame, label) up to it switched an odd number of times. An as-of join: each toggle holds until the label's next one, and meets the frames by the session's blocks that it reaches into, so neither a window nor a join holds a session's frames together. Blocks are runs of ``block`` numbers of frames that have a frame or a toggle, put together up to about ``block`` of these, so a session has as many as its rows ask for, however far its frames lie apart."""
+    keys, run = ["session", "_run"], F.expr(f"frame div {block}").alias("_run")
+    rows = frames.select("session", run).unionByName(toggles.select("session", run))
+    ahead = W.partitionBy("session").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    runs = rows.groupBy(keys).agg(F.count("*").alias("_n")).select(*keys, F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / block).alias("_block"))
     w = W.partitionBy("session", "label").orderBy("frame")
     until = frames.groupBy("session").agg((F.max("frame") + 1).alias("_last"))
-    held = toggles.groupBy("session", "label", "frame").agg(F.count("*").alias("_n"))
-    held = held.select("session", "label", F.col("frame").alias("_from"), F.lead("frame").over(w).alias("_to"), (F.sum("_n").over(w) % 2).alias("_odd")).filter("_odd = 1")
-    held = held.join(until, "session").withColumn("_to", F.least("_to", "_last")).filter("_from < _to")
-    dealt = held.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_to - 1) div {block}"))))
-    met = frames.withColumn("_block", F.expr(f"frame div {block}")).join(dealt, ["session", "_block"])
+    ends = runs.groupBy("session").agg(F.max("_block").alias("_end"))
+    held = toggles.groupBy("session", "label", "frame").agg(F.count("*").alias("_n")).withColumn("_run", run).join(runs, keys)
+    held = held.select("session", "label", F.col("frame").alias("_from"), F.lead("frame").over(w).alias("_to"), "_block", F.lead("_block").over(w).alias("_upto"), (F.sum("_n").over(w) % 2).alias("_odd")).filter("_odd = 1")
+    held = held.join(until, "session").join(ends, "session").withColumn("_to", F.least("_to", "_last")).filter("_from < _to")
+    dealt = held.withColumn("_block", F.explode(F.sequence("_block", F.coalesce("_upto", "_end"))))
+    met = frames.withColumn("_run", run).join(runs, keys).join(dealt, ["session", "_block"])
     return met.filter("frame >= _from and frame < _to").select("session", "frame", "label")
 
 
