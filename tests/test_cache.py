@@ -1,8 +1,12 @@
 import math
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from voxelspark.operators.cache import BrickCache, replay
+from voxelspark.operators import view
+from voxelspark.operators import volume as V
+from voxelspark.operators.cache import BrickCache, BrickTable, replay, replay_views
 from voxelspark.streaming.residency import moving_average, stream_residency
 
 SCHEMA = "session long, frame long, px double, py double, pz double, dx double, dy double, dz double, brick_id long, lod int, visible boolean"
@@ -53,6 +57,31 @@ def test_stream_equals_replay(spark, tmp_path):
     assert len(set(got[1])) < 8  # frames with a camera at rest change nothing
 
 
+def test_tables_of_bricks_equal_the_cache():
+    rng = np.random.default_rng(3)
+    for capacity in (0, 64, 600, 1200, 5000):
+        cache, table = BrickCache(capacity), BrickTable(capacity, 30)
+        for _ in range(150):
+            want = np.where(rng.random(30) < rng.random(), rng.integers(0, 4, 30), -1).astype(np.int8)
+            got = [(int(b), int(k), a, None if s is None else int(s[i])) for a, at, lods, s in table.update(want) for i, (b, k) in enumerate(zip(at, lods))]
+            assert sorted(got, key=str) == sorted(cache.update({b: int(k) for b, k in enumerate(want) if k >= 0}), key=str)
+            assert table.top == cache.top and {k: v for k, v in table.free.items() if v} == {k: v for k, v in cache.free.items() if v}
+
+
+def test_views_replay_without_rows_of_cameras_and_bricks(spark):
+    """Sessions of several tasks, a null one, cameras at rest and at a brick's centre: as ``replay`` over every frame and brick."""
+    bricks = V.positions(spark.range(0, 64, 3).select(F.col("id").alias("brick_id")), 8)
+    poses = [(s, f, *((float((f // 2 * k + j) % 50 - 9) for j, k in enumerate((7, 11, 13)))), *((0.0, -0.6, 0.8) if f % 3 else (1.0, 0.0, 0.0))) for s in (1, 2, 7, None) for f in range(s or 0, 40)] + [(9, 1, 4.0, 4.0, 4.0, 0.0, 0.0, 0.0)]
+    cameras = spark.createDataFrame(poses, "session long, frame long, px double, py double, pz double, dx double, dy double, dz double").repartition(5)
+    seen = view.seen_from(bricks, cameras, 8).withColumn("lod", view.brick_lod(8, width=64).cast("int")).withColumn("visible", view.in_frustum(8))
+    for capacity in (200, 3000):
+        want, got = replay(seen, capacity), replay_views(bricks, cameras, capacity, 8, width=64)
+        assert got.schema == want.schema
+        rows = sorted(map(str, want.collect()))
+        assert sorted(map(str, got.collect())) == rows and len(rows) > 500
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_moving_average(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(100)], "session long, frame long, ms double")
     last = moving_average(df).filter("frame = 99").first()
