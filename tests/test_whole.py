@@ -293,3 +293,27 @@ def test_voxels_of_cells_are_not_broadcast(spark, tmp_path):
     for x, y, z in itertools.product(range(0, g, 3), range(0, g, 5), range(0, g, 2)):
         far, k = min(((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2, k) for k, a, b, c in seeds)
         assert got[x, y, z] == (k + 1 if far <= V.REACH**2 else 0)
+
+
+def test_blends_of_points_take_one_row_each(spark):
+    """Full, sparse and absent bricks, a missing value, places past the far faces: as a loop over the eight corners, without rows of corners."""
+    code = lambda p: sum((c >> b & 1) << 3 * b + i for i, c in enumerate(p) for b in range(3))
+    cells = {(b, lod, code((x, y, z))): (float((x + 3 * y + 5 * z + b) % 7), None if (x, y, z) == (1, 0, 0) else float(x)) for b, lod in ((0, 1), (0, 2), (5, 2)) for x in range(1 << lod) for y in range(1 << lod) for z in range(1 << lod) if b != 5 or (x + y * z) % 3}
+    nodes = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "brick_id long, lod int, m long, r double, a double")
+    places = [(b, lod, i * 0.37 % (1 << lod), i * 0.61 % (1 << lod), i * 0.25 % (1 << lod)) for i in range(40) for b, lod in ((0, 1), (0, 2), (5, 2), (9, 2))] + [(0, 2, 3.9, 3.9, 3.9), (0, 2, 2.0, 1.0, 0.0), (0, 2, None, 1.0, 1.0), (0, 2, -1.5, 0.0, 0.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, brick_id long, lod int, cx double, cy double, cz double")
+    got = rays.trilinear(points, nodes, ("r", "a"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Broadcast" not in plan
+    rows = {x.id: (x.r, x.a) for x in got.collect()}
+    assert len(rows) == len(places)
+    for i, (b, lod, *at) in enumerate(places):
+        total, sums = 0.0, [0.0, 0.0]
+        for k in range(8) if None not in at and min(at) >= 0 else ():
+            bits = [k >> j & 1 for j in range(3)]
+            w = math.prod(c - math.floor(c) if t else 1 - c + math.floor(c) for c, t in zip(at, bits))
+            found = cells.get((b, lod, code([min(math.floor(c) + t, (1 << lod) - 1) for c, t in zip(at, bits)])))
+            if w > 0 and found:
+                total += w
+                sums = [s + w * (v or 0.0) for s, v in zip(sums, found)]
+        assert rows[i] == pytest.approx(tuple(s / total if total else 0.0 for s in sums)), places[i]
