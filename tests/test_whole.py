@@ -317,3 +317,15 @@ def test_blends_of_points_take_one_row_each(spark):
                 total += w
                 sums = [s + w * (v or 0.0) for s, v in zip(sums, found)]
         assert rows[i] == pytest.approx(tuple(s / total if total else 0.0 for s in sums)), places[i]
+
+
+def test_nodes_are_not_broadcast(spark):
+    """Nodes and voxels of a volume grow with it, also where the planner takes them to be small."""
+    nodes = spark.range(64).select(F.lit(0).cast("long").alias("brick_id"), F.lit(2).alias("lod"), F.col("id").alias("m"), (F.col("id") % 8 / 8.0).alias("alpha"))
+    found = rays.lod_gradients(nodes, nodes.select("brick_id", "lod").distinct(), 8, 8)
+    voxels = spark.range(64).select((F.col("id") % 4).alias("x"), (F.col("id").bitwiseAND(F.lit(12)) / 4).cast("long").alias("y"), F.floor(F.col("id") / 16).alias("z"), F.lit(0.5).alias("alpha"))
+    points = voxels.select((F.col("x") + 4 * F.col("y") + 16 * F.col("z")).alias("id"), "x", "y", "z", *(F.lit(0.0).alias(f"n{c}") for c in "xyz"), F.lit(0.5).alias("through"))
+    for df, key in ((found, "home_m"), (rays.shadows(points, voxels, (0.0, 1.0, 0.0), 4), "x#")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin" in line and key in line for line in plan.splitlines())
+    assert found.count() == 64
