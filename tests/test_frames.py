@@ -62,3 +62,18 @@ def test_no_row_of_a_camera_and_a_brick_is_shuffled(spark, tmp_path):
         assert name != "work_queue" or got == sorted(got)
     got = told(octree.redecoded(bricks, cameras, clicks, 64, 8, width=64))
     assert got == sorted(told(view.redecode(before, clicks))) and got
+
+
+@pytest.mark.parametrize("side", [16, 32, 64])
+def test_a_cube_is_looked_up_once_for_all_that_it_unfolds_to(spark, side):
+    """What is made for a brick and a camera is made in generated code, without a look-up or a lambda for each; the order holds in trees of every depth."""
+    bricks = written(spark.range((side // 8) ** 3).filter("id % 5 <> 3").select(F.col("id").alias("brick_id")), "bricks")
+    poses = [(f, float(f * 7 % 60 - 10), float(f * 11 % 50 - 5), float(f * 13 % 70 - 15), 0.0, -0.6, 0.8) for f in [*range(39, -1, -1), 7, 21]]
+    cameras = spark.createDataFrame(poses, "frame long, px double, py double, pz double, dx double, dy double, dz double")
+    wanted = octree.in_view(bricks, cameras, side, 8).select("frame", "brick_id", view.brick_lod(8, width=64).cast("int").alias("lod"))
+    above, last = wanted._jdf.queryExecution().executedPlan().toString().split("Generate")[:2]
+    assert "Join" not in above and "lambda" not in above + last.split("\n")[0]
+    every, told = octree.next_frame(cameras).select("frame"), lambda df: [tuple(r) for r in df.select("frame", "brick_id", "lod").collect()]
+    for got, want in ((octree.work_queue(bricks, cameras, side, 8, width=64), view.work_queue(wanted, octree.next_frame(wanted))), (octree.redecoded(bricks, cameras, every, side, 8, width=64), view.redecode(octree.next_frame(wanted), every))):
+        got = told(got)
+        assert got and got == sorted(got) and got == sorted(told(want))
