@@ -77,3 +77,16 @@ def test_a_cube_is_looked_up_once_for_all_that_it_unfolds_to(spark, side):
     for got, want in ((octree.work_queue(bricks, cameras, side, 8, width=64), view.work_queue(wanted, octree.next_frame(wanted))), (octree.redecoded(bricks, cameras, every, side, 8, width=64), view.redecode(octree.next_frame(wanted), every))):
         got = told(got)
         assert got and got == sorted(got) and got == sorted(told(want))
+
+
+def test_frames_of_one_pose_descend_together(spark):
+    """200 frames of four poses, some twice, in two blocks: eight cameras descend, and every frame has its rows."""
+    bricks = written(spark.range(64).select(F.col("id").alias("brick_id")), "bricks")
+    poses = [(f, float(f % 4 * 9), 5.0, float(f % 4 * 7 - 3), 0.0, -0.6, 0.8) for f in [*range(200), 7, 7, 150]]
+    cameras = spark.createDataFrame([*poses, (300, None, 5.0, 5.0, 0.0, -0.6, 0.8)], "frame long, px double, py double, pz double, dx double, dy double, dz double")
+    got = octree.frames_in_view(bricks, cameras, 32, 8, block=100).select("frame", "brick_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(frame" in plan and "Generate" not in plan.split("collect_list(frame")[1]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and got.rdd.getNumPartitions() == 4
+    rows = sorted(map(tuple, got.collect()))
+    assert rows and rows == sorted(map(tuple, octree.in_view(bricks, cameras, 32, 8).select("frame", "brick_id").collect()))
