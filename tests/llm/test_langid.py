@@ -69,6 +69,20 @@ def test_small_languages_keep_their_rows(spark, monkeypatch):
     assert seen[0]["dd"] == 90 and max(seen[0].values()) <= 100 and min(seen[0].values()) > 70
 
 
+def test_sample_reaches_the_driver_in_parts(spark):
+    """One job's results may be smaller than the sample."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(200)), "ab"[i % 2]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "4m")  # 500 rows have about 15 KB each
+    try:
+        model = fit(docs)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert model.languages == ["a", "b"]
+
+
 @pytest.mark.parametrize("wrong", [0.0, 0.03])
 def test_wrong_labels_do_not_reject_clean_rows(wrong):
     from voxelspark.llm.langid import FLOOR, Model, calibrate

@@ -95,6 +95,18 @@ def test_components_of_long_paths(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 31 for i in range(31, 61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_take_few_tasks_for_few_arcs(spark):
+    """Partitions of shuffles may be many more than small graphs need."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+        assert got.rdd.getNumPartitions() == 1 and {r.label for r in got.collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

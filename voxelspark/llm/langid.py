@@ -21,6 +21,8 @@ NGRAMS = (2, 3, 4)
 SAMPLE = 1000
 #: Languages that the classifier is fitted on, at most: those of the most rows, by name among equals.
 LANGUAGES = 512
+#: Rows that go to the driver at a time, unless that takes more than FETCHES turns.
+FETCH, FETCHES = 128, 256
 #: Share of the accepted rows that should be right, and the least probability that is accepted.
 TARGET, FLOOR = 0.99, 0.5
 #: Share of the rows of a probability from FLOOR on that a higher threshold must still accept; where labels are wrong at all scores, it stays at FLOOR.
@@ -151,7 +153,7 @@ def calibrate(model: Model, logits: np.ndarray, y: np.ndarray, target: float = T
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """A model of at most ``sample`` rows a language, of at most ``LANGUAGES`` languages, of the labelled rows of ``docs``; None without any.
 
-    Rows are drawn by a hash of ``order``, ties in order of their n-gram counts. Rows of null label, and texts that are null or have no letter, are left out; repeated rows are drawn together and count as often as they come. A text is counted whole, in one task. Jobs run here.
+    Rows are drawn by a hash of ``order``, ties in order of their n-gram counts. Rows of null label, and texts that are null or have no letter, are left out; repeated rows are drawn together and count as often as they come. A text is counted whole, in one task. Counts reach the driver a few rows at a time, so its JVM never holds the sample. Jobs run here.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
@@ -169,10 +171,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("draw"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([c[i].astype("<f4").tobytes() for i, c in rows], pa.binary())], names=["lang", "draw", "i", "c"])
 
     first = F.row_number().over(W.partitionBy("lang").orderBy("draw", "i", "c"))
-    rows = drawn.mapInArrow(run, "lang string, draw long, i binary, c binary").withColumn("first", first).filter(F.col("first") <= sample).orderBy("draw", "lang", "i", "c").collect()
+    rows = drawn.mapInArrow(run, "lang string, draw long, i binary, c binary").withColumn("first", first).filter(F.col("first") <= sample).select("draw", "lang", "i", "c")
+    turns = min(FETCHES, -(-sum(min(sample, n) for n in sizes.values()) // FETCH))
+    rows = sorted((draw, name, bytes(i), bytes(c)) for draw, name, i, c in rows.repartition(turns).toLocalIterator())
     if not rows:
         return None
-    return train(Rows([(bytes(r["i"]), bytes(r["c"])) for r in rows]), [r["lang"] for r in rows])
+    return train(Rows([(i, c) for _, _, i, c in rows]), [name for _, name, _, _ in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

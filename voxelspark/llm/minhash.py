@@ -22,6 +22,8 @@ BANDS, ROWS = 20, 4
 BLOCK = 512
 #: Rows of a table of buckets that is broadcast, at most; larger ones are joined by a shuffle.
 SMALL = 200_000
+#: Arcs of a graph whose components are sought that a task takes, where partitions would hold less.
+ARCS = 50_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -284,15 +286,18 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, similarity:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and the least node of its connected component, for all nodes of ``edges`` (a, b): neighbours' least labels and pointer jumping, until nothing changes."""
+    """node and the least node of its connected component, for all nodes of ``edges`` (a, b): neighbours' least labels and pointer jumping, until nothing changes. Each turn runs several stages, so partitions of few arcs are read together: tasks follow the arcs, not the setting of the shuffles."""
     arcs = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    tasks = max(1, -(-arcs.count() // ARCS))
+    together = lambda df: checkpoint(df.coalesce(tasks))
+    arcs = arcs.coalesce(tasks)
+    labels = together(arcs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
         near = arcs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        step = checkpoint(step)
+        step = together(step)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = checkpoint(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        after = together(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
         labels = after.select("node", "label")
         if after.filter("label <> old").isEmpty():
             return labels
