@@ -1,6 +1,6 @@
 """Which bricks of a volume its viewers ask for: a batch job over a log of camera events.
 
-For each day and hour it tells how many frames had a brick in view at each level of detail, and how many voxels that were, so that what is asked for most can be kept decoded and near. Frames meet bricks by a descent of the octree, which takes hidden labels' bricks out early.
+For each day and hour it tells how many frames had a brick in view at each level of detail, and how many voxels that were, so that what is asked for most can be kept decoded and near. The task that has an hour looks at each of its poses and adds up what they see, or, for volumes of more than ``octree.SHARED`` levels, frames meet bricks by a descent of the octree. Bricks of hidden labels are taken out before.
 
     python -m jobs.brick_demand --config jobs/brick_demand.json tables=/data/sf1 output=/data/demand
 
@@ -19,7 +19,7 @@ if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from jobs.common import log_of, main, overwrite, ready, settings
-from voxelspark.operators import octree, view
+from voxelspark.operators import octree, poses, view
 from voxelspark.operators import volume as V
 from voxelspark.plans import registry
 from voxelspark.sources.shared import new_folder, written
@@ -30,6 +30,7 @@ LOG = log_of("brick_demand")
 
 
 def demand(spark: SparkSession, tables: str, days: list[str] | None, brick: int, width: int) -> DataFrame:
+    """The job's rows, each day's in one part and in order."""
     events = V.read(spark, tables, "events").filter(F.col("ts").isNotNull())
     if days is not None:
         events = events.filter(F.to_date("ts").isin(*[F.lit(d).cast("date") for d in days]))
@@ -39,9 +40,14 @@ def demand(spark: SparkSession, tables: str, days: list[str] | None, brick: int,
     # The bricks with a label that is not hidden, written once, as each level of the descent reads them.
     palettes = V.palettes(V.to_bricks(V.segmentation(spark, tables), brick))
     bricks = written(view.visible_bricks(palettes, registry.hidden(spark, tables)), "shown-bricks")
-    seen = octree.in_view(bricks, cameras, V.side(spark, tables), brick, keys=("day", "hour"))
-    lod = view.brick_lod(brick, width=width).cast("int").alias("lod")
-    counted = seen.select("day", "hour", "brick_id", lod, "n").groupBy("day", "hour", "brick_id", "lod").agg(F.sum("n").alias("frames"))
+    side = V.side(spark, tables)
+    if octree.depth(side, brick) <= octree.SHARED:
+        counted = poses.counted(bricks, cameras, brick, width, {"day": "string", "hour": "int"}, "day")
+    else:
+        seen = octree.in_view(bricks, cameras, side, brick, keys=("day", "hour"))
+        lod = view.brick_lod(brick, width=width).cast("int").alias("lod")
+        counted = seen.select("day", "hour", "brick_id", lod, "n").groupBy("day", "hour", "brick_id", "lod").agg(F.sum("n").alias("frames"))
+        counted = counted.repartition("day").sortWithinPartitions("day", "hour", "brick_id", "lod")
     voxels = F.col("frames") * F.pow(F.lit(8.0), F.col("lod")).cast("long")
     return counted.select("hour", "brick_id", "lod", "frames", voxels.alias("voxels"), "day")
 
@@ -53,7 +59,7 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     n = V.read(spark, c["tables"], "events").select(F.count("*").alias("events"), F.count("ts").alias("dated")).observe(read, F.max("events").alias("events"), F.max("dated").alias("dated"))
     n.collect()
     LOG.info("read %s: %s events, %s of them with a time, days %s", c["tables"], read.get["events"], read.get["dated"], c["days"] or "all")
-    rows = demand(spark, c["tables"], c["days"], c["brick"], c["width"]).repartition("day").sortWithinPartitions("day", "hour", "brick_id", "lod")
+    rows = demand(spark, c["tables"], c["days"], c["brick"], c["width"])
     ready(spark, c["output"], SCHEMA, "day")
     overwrite(rows.observe(wrote, F.count("*").alias("rows"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames")), c["output"], "day")
     LOG.info("wrote %s: %s rows, %s bricks in view", c["output"], wrote.get["rows"], wrote.get["frames"])
